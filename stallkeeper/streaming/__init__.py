@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The analytics this package covers are batch only: there is no stream source,
+watermark or stateful operator to express, so no Structured Streaming job is
+registered.
+"""
