@@ -9,14 +9,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallkeeper.operators import cleaning, metrics
+from stallkeeper.operators import cleaning, metrics, quality
 from stallkeeper.plans.session import tune
+from stallkeeper.sources import ingest
 from stallkeeper.sources.model import Commerce, from_star_schema
 
 ModelQuery = Callable[[Commerce], DataFrame]
 SPLIT = ("NATION_1", "NATION_2", "NATION_3")
 
 _MODEL: dict[str, ModelQuery] = {
+    **{name: (lambda m, fn=getattr(ingest, name): fn(m.tables())) for name in (
+        "table_row_counts", "numeric_contract", "pk_contract", "fk_contract", "translation_coverage",
+        "zip_coverage", "join_cardinality_smoke")},
+    **{name: getattr(quality, name) for name in (
+        "dq_null_profile", "dq_exact_duplicates", "dq_key_duplicates", "dq_dup_review_detail", "dq_orphans",
+        "dq_money_anomaly", "dq_time_null", "dq_chronology", "dq_null_keys", "dq_numeric_long",
+        "dq_iqr_summary", "dq_iqr_extremes", "dq_classify", "dq_classify_summary", "dq_issue_register")},
+    "dq_time_unparseable": lambda m: quality.dq_time_unparseable(m.orders),
     "clean_orders": cleaning.clean_orders,
     "clean_delivery": cleaning.clean_delivery,
     "clean_payments": cleaning.clean_payments,
