@@ -49,6 +49,12 @@ def dbl(c: str | Column) -> Column:
     return col(c).cast("double")
 
 
+def half_up(c: str | Column, places: int) -> Column:
+    """Round halves away from zero on the decimal value, so that 0.675 becomes 0.68 although
+    its binary form lies just below."""
+    return F.round(col(c).cast("decimal(38,10)"), places).cast("double")
+
+
 def month_of(ts: str | Column) -> Column:
     return F.date_format(col(ts), "yyyy-MM")
 

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from stallkeeper.functions import (MICROS_PER_DAY, count_if, dbl, fences, literal_rows, micros_between,
+from stallkeeper.functions import (half_up, MICROS_PER_DAY, count_if, dbl, fences, literal_rows, micros_between,
                                    with_values)
 from stallkeeper.operators.cleaning import chronology_error
 from stallkeeper.sources.model import Commerce
@@ -30,7 +30,7 @@ def dq_null_profile(m: Commerce) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("missing_count")) for c in df.columns])
         out.append(wide.select(F.lit(name).alias("table_name"), "total_records", F.explode(pairs).alias("p"))
                    .select("table_name", "p.variable", "total_records", "p.missing_count"))
-    pct = F.round(F.try_divide(F.col("missing_count") * 100.0, dbl("total_records")), 2)
+    pct = half_up(F.try_divide(F.col("missing_count") * 100.0, dbl("total_records")), 2)
     return _union(out).withColumn("missing_pct", pct)
 
 

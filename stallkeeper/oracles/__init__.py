@@ -18,6 +18,25 @@ def _blocks(text: str) -> dict[tuple[str, str], str]:
             for kind, name, body in zip(parts[1::3], parts[2::3], parts[3::3])}
 
 
+def _expand_half_up(sql: str) -> str:
+    """half_up(x, k): round to k places, halves away from zero, on the decimal value of x.
+
+    DuckDB rounds the binary double instead, which sends 0.125 and 0.675 different ways."""
+    mark = "half_up("
+    while (at := sql.rfind(mark)) >= 0:
+        depth, i = 1, at + len(mark)
+        comma = None
+        while depth:
+            ch = sql[i]
+            depth += (ch in "([") - (ch in ")]")
+            if ch == "," and depth == 1:
+                comma = i
+            i += 1
+        value, places = sql[at + len(mark):comma], sql[comma + 1:i - 1].strip()
+        sql = f"{sql[:at]}CAST(round(CAST({value} AS DECIMAL(38,10)), {places}) AS DOUBLE){sql[i:]}"
+    return sql
+
+
 @cache
 def statements() -> dict[str, str]:
     """Query name to a complete statement with the layers it needs."""
@@ -38,5 +57,5 @@ def statements() -> dict[str, str]:
         if kind != "query":
             continue
         ctes = ",\n".join(f"{n} AS (\n{layers[n]}\n)" for n in needed(body, []))
-        out[name] = f"WITH {ctes}\n{body}" if ctes else body
+        out[name] = _expand_half_up(f"WITH {ctes}\n{body}" if ctes else body)
     return out

@@ -89,7 +89,7 @@ SELECT 'sellers', unnest(['seller_id', 'seller_zip_code_prefix', 'seller_city',
 
 -- @layer null_profile
 SELECT table_name, variable, count(*) AS total_records, count(*) FILTER (v IS NULL OR v = '') AS missing_count,
-       round(count(*) FILTER (v IS NULL OR v = '') * 100.0::DOUBLE / count(*), 2) AS missing_pct
+       half_up(count(*) FILTER (v IS NULL OR v = '') * 100.0::DOUBLE / count(*), 2) AS missing_pct
 FROM null_cells GROUP BY ALL
 
 -- @query dq_null_profile

@@ -9,13 +9,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallkeeper.operators import cleaning, metrics, quality
+from stallkeeper.operators import cleaning, customers, growth, kpi, metrics, quality, structure
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
 from stallkeeper.sources.model import Commerce, from_star_schema
 
 ModelQuery = Callable[[Commerce], DataFrame]
 SPLIT = ("NATION_1", "NATION_2", "NATION_3")
+BOUNDS = (50_000, 100_000, 200_000, 500_000)
+PERIODS = [("2000-01_to_2000-07", "2000-01", "2000-07"), ("2001-01_to_2001-07", "2001-01", "2001-07")]
+BOUNDARY_MONTHS = ["1995-01", "2001-07"]
+HOLIDAYS = [("Black Friday", 1997, "1997-11-28", "1997-11-28"), ("Black Friday", 1999, "1999-11-26", "1999-11-26"),
+            ("Carnival", 1995, "1995-01-04", "1995-01-07"), ("Carnival", 1998, "1998-02-21", "1998-02-24"),
+            ("Christmas", 2000, "2000-12-25", "2000-12-25"), ("Christmas", 2001, "2001-12-25", "2001-12-25")]
+HOLIDAY_MONTHS = ["1997-11", "1999-11", "2000-12"]
+KPI_FILTER = kpi.Filters("1999-01-01", "2001-12-31", states=list(SPLIT), payments=["voucher"],
+                         bands=["100000-200000", "200000-500000", "500000+"])
+STRUCTURE_FILTER = kpi.Filters("1998-01-01", "2001-12-31", payments=["voucher", "boleto"],
+                               bands=["50000-100000", "100000-200000", "200000-500000", "500000+"])
 
 _MODEL: dict[str, ModelQuery] = {
     **{name: (lambda m, fn=getattr(ingest, name): fn(m.tables())) for name in (
@@ -25,6 +36,35 @@ _MODEL: dict[str, ModelQuery] = {
         "dq_null_profile", "dq_exact_duplicates", "dq_key_duplicates", "dq_dup_review_detail", "dq_orphans",
         "dq_money_anomaly", "dq_time_null", "dq_chronology", "dq_null_keys", "dq_numeric_long",
         "dq_iqr_summary", "dq_iqr_extremes", "dq_classify", "dq_classify_summary", "dq_issue_register")},
+    # KPI series and growth
+    **{name: getattr(kpi, name) for name in ("monthly_kpi", "daily_kpi")},
+    "kpi_filtered": lambda m: kpi.kpi_filtered(m, KPI_FILTER, BOUNDS),
+    "kpi_monthly_trend": lambda m: kpi.kpi_monthly_trend(m, KPI_FILTER, BOUNDS),
+    "holiday_windows": lambda m: kpi.holiday_windows(m, HOLIDAYS),
+    "holiday_observed_change": lambda m: kpi.holiday_observed_change(m, HOLIDAYS),
+    "holiday_month_compare": lambda m: kpi.holiday_month_compare(m, HOLIDAY_MONTHS, BOUNDARY_MONTHS),
+    **{name: getattr(growth, name) for name in (
+        "growth_mom_yoy", "growth_driver", "growth_extremes", "growth_anomaly_iqr", "month_gap_audit",
+        "mom_outlier_trim", "growth_status", "growth_decomposition")},
+    "growth_stability": lambda m: growth.growth_stability(m, min_orders=30),
+    **{name: (lambda m, fn=getattr(growth, name): fn(m, BOUNDARY_MONTHS)) for name in (
+        "trend_diagnostics", "peak_trough", "regime_segmentation")},
+    # business structure
+    "structure_order_base": lambda m: structure.structure_order_base_report(m, BOUNDS, PERIODS),
+    **{name: getattr(structure, name) for name in ("order_payment_split", "primary_payment", "payment_tie_audit")},
+    **{name: (lambda m, fn=getattr(structure, name): fn(m, periods=PERIODS)) for name in (
+        "payment_structure", "state_structure", "state_concentration", "state_change", "state_segment_counts")},
+    "order_value_structure": lambda m: structure.order_value_structure(m, BOUNDS, PERIODS),
+    "structure_reconcile": lambda m: structure.structure_reconcile(m, BOUNDS, PERIODS),
+    "payment_detail_base": lambda m: structure.payment_detail_report(m, BOUNDS),
+    **{name: (lambda m, fn=getattr(structure, name): fn(m, STRUCTURE_FILTER, BOUNDS)) for name in (
+        "payment_structure_filtered", "value_structure_filtered", "state_structure_filtered", "structural_signals")},
+    # customers
+    "customer_order_base": customers.customer_order_base_report,
+    "customer_profile": customers.customer_profile_report,
+    **{name: getattr(customers, name) for name in (
+        "state_profile", "city_profile", "hourly_behavior", "weekday_behavior", "day_type_behavior",
+        "growth_periods", "market_growth_base")},
     "dq_time_unparseable": lambda m: quality.dq_time_unparseable(m.orders),
     "clean_orders": cleaning.clean_orders,
     "clean_delivery": cleaning.clean_delivery,
