@@ -138,6 +138,25 @@ def calendar(spark: SparkSession, first: Column, last: Column, step: str, name:
         F.explode(F.sequence(first, last, F.expr(f"interval 1 {step}"))).alias(name))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for cut lineage: the shared one the cluster names, else (tests) a local one."""
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        import tempfile
+        path = tempfile.mkdtemp(prefix="stallkeeper-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Store an aggregated layer that several branches of one query read, so that the fact
+    tables behind it are scanned once. Stored reliably: it outlives lost executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def top_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key under a total order.
 

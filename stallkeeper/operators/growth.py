@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from stallkeeper.functions import half_up, count_if, dbl, flag, month_index, ratio, scalar, shift_month
+from stallkeeper.functions import half_up, count_if, dbl, flag, materialize, month_index, ratio, scalar, shift_month
 from stallkeeper.operators.kpi import METRICS, fill_months, monthly_kpi, monthly_kpi_by_state
 from stallkeeper.sources.model import Commerce
 
@@ -228,6 +228,7 @@ def regime_segmentation(m: Commerce, boundary_months: list[str], min_length: int
         logged = F.log1p(dbl(c))
         dev = F.stddev_pop(logged).over(whole)
         z = z.withColumn(f"z_{c}", F.when(dev > 0, (logged - F.avg(logged).over(whole)) / dev).otherwise(0.0))
+    z = materialize(z)  # one row per state and month
     squares = reduce(lambda a, b: a + b, [F.col(f"z_{c}") * F.col(f"z_{c}") for c in REGIME_METRICS])
     prefix = z.select(key, "n", "i", F.sum(squares).over(run).alias("sq"),
                       F.array(*[F.sum(f"z_{c}").over(run) for c in REGIME_METRICS]).alias("s"))
@@ -238,9 +239,9 @@ def regime_segmentation(m: Commerce, boundary_months: list[str], min_length: int
     b = points.select(key, F.col("i").alias("end"), F.col("sq").alias("sq1"), F.col("s").alias("s1"))
     inner = reduce(lambda x, y: x + y, [
         (F.col("s1")[d] - F.col("s0")[d]) * (F.col("s1")[d] - F.col("s0")[d]) for d in range(len(REGIME_METRICS))])
-    cost = (a.join(b, key).where(F.col("end") - F.col("start") >= min_length)
-            .select(key, "n", "start", "end",
-                    (F.col("sq1") - F.col("sq0") - inner / (F.col("end") - F.col("start"))).alias("cost")))
+    cost = materialize(a.join(b, key).where(F.col("end") - F.col("start") >= min_length).select(
+        key, "n", "start", "end",
+        (F.col("sq1") - F.col("sq0") - inner / (F.col("end") - F.col("start"))).alias("cost")))
     best = cost.where("start = 0").select(key, "n", "end", F.col("cost").alias("sse"), F.array("end").alias("ends"))
     solutions = [best.where("end = n").withColumn("stages", F.lit(1))]
     for k in range(2, max_stages + 1):
@@ -265,7 +266,8 @@ def regime_segmentation(m: Commerce, boundary_months: list[str], min_length: int
     edge = lambda f, c: f(F.col(c), F.col("i"))
     return rows.groupBy(key, "stage_count", "stage", "bic").agg(
         F.min("month").alias("start_month"), F.max("month").alias("end_month"), F.count("*").alias("observed_months"),
-        *[half_up(F.avg(c), 4).alias(f"{c}_average") for c in REGIME_METRICS],
+        *[half_up(ratio(F.sum(dbl(c).cast("decimal(28,2)")), F.count("*")), 4).alias(f"{c}_average")
+          for c in REGIME_METRICS],
         *[half_up((ratio(edge(F.max_by, c), edge(F.min_by, c)) - 1) * 100, 4).alias(f"{c}_start_end_pct")
           for c in REGIME_METRICS]).select(
         key, F.col("stage_count").cast("bigint").alias("stage_count"), F.col("stage").cast("bigint").alias("stage"),

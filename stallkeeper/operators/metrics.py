@@ -80,34 +80,39 @@ def m08_repeat_rate(m: Commerce) -> DataFrame:
         ratio(repeat, F.count("*")).alias("repeat_purchase_rate"))
 
 
-def _retention(active: DataFrame) -> DataFrame:
-    """Cohort by activity month. ``active`` has one row per user and month."""
-    cohorts = active.groupBy("customer_unique_id").agg(F.min("month").alias("cohort_month"))
-    return (active.join(cohorts, "customer_unique_id")
-            .groupBy("cohort_month", "month").agg(F.count("*").alias("retained_customer_count")))
+def cohort_counts(active: DataFrame) -> DataFrame:
+    """Users per cohort and activity month, with the cohort size. ``active`` has one row per
+    user and month, which also bounds the window over a user by the months of the history."""
+    from pyspark.sql import Window as W
+    cohort = F.min("month").over(W.partitionBy("customer_unique_id"))
+    seen = (active.withColumn("cohort_month", cohort).groupBy("cohort_month", "month")
+            .agg(F.count("*").alias("active_users")))
+    size = F.sum(F.when(F.col("month") == F.col("cohort_month"), F.col("active_users"))).over(W.partitionBy("cohort_month"))
+    return seen.withColumn("initial_users", size)
 
 
 def m09_retention(m: Commerce, cohort_from: str | None = None, cohort_to: str | None = None) -> DataFrame:
     """Dense cohort grid: every month from the cohort to the last observed one, zeros kept.
     Bounds keep whole cohorts by their first month and never cut their later activity."""
-    active = delivered_users(m).select("customer_unique_id", month_of("order_purchase_timestamp").alias("month")).distinct()
-    seen = _retention(active)
+    active = delivered_users(m).select(
+        "customer_unique_id", month_of("order_purchase_timestamp").alias("month")).distinct()
+    seen = cohort_counts(active)
     last = scalar(seen.agg(F.max("month").alias("last")), "last")["last"]
-    sizes = seen.where(F.col("month") == F.col("cohort_month")).select(
-        "cohort_month", F.col("retained_customer_count").alias("cohort_customer_count"))
+    starts = seen.where(F.col("month") == F.col("cohort_month")).select("cohort_month", "initial_users")
     if cohort_from:
-        sizes = sizes.where(F.col("cohort_month") >= cohort_from)
+        starts = starts.where(F.col("cohort_month") >= cohort_from)
     if cohort_to:
-        sizes = sizes.where(F.col("cohort_month") <= cohort_to)
-    grid = (sizes.withColumn("last", last)
+        starts = starts.where(F.col("cohort_month") <= cohort_to)
+    grid = (starts.withColumn("last", last)
             .withColumn("step", F.explode(F.sequence(
                 F.lit(0), (month_index("last") - month_index("cohort_month")).cast("int"))))
-            .withColumn("month", F.date_format(F.add_months(F.to_date(F.concat("cohort_month", F.lit("-01"))), F.col("step")), "yyyy-MM")))
-    kept = F.coalesce(F.col("retained_customer_count"), F.lit(0))
-    return grid.join(seen, ["cohort_month", "month"], "left").select(
-        "cohort_month", F.col("step").cast("bigint").alias("retention_month_number"), "cohort_customer_count",
-        kept.alias("retained_customer_count"),
-        ratio(kept, "cohort_customer_count").alias("customer_retention_rate"))
+            .withColumn("month", F.date_format(
+                F.add_months(F.to_date(F.concat("cohort_month", F.lit("-01"))), F.col("step")), "yyyy-MM")))
+    kept = F.coalesce(F.col("active_users"), F.lit(0))
+    return grid.join(seen.drop("initial_users"), ["cohort_month", "month"], "left").select(
+        "cohort_month", F.col("step").cast("bigint").alias("retention_month_number"),
+        F.col("initial_users").alias("cohort_customer_count"), kept.alias("retained_customer_count"),
+        ratio(kept, "initial_users").alias("customer_retention_rate"))
 
 
 def user_revenue(m: Commerce) -> DataFrame:

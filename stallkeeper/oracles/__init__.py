@@ -57,5 +57,9 @@ def statements() -> dict[str, str]:
         if kind != "query":
             continue
         ctes = ",\n".join(f"{n} AS (\n{layers[n]}\n)" for n in needed(body, []))
-        out[name] = _expand_half_up(f"WITH {ctes}\n{body}" if ctes else body)
+        if ctes and body.startswith("WITH "):  # the query brings blocks of its own
+            body, ctes = body.removeprefix("WITH "), ctes + ","
+            out[name] = _expand_half_up(f"WITH {ctes}\n{body}")
+        else:
+            out[name] = _expand_half_up(f"WITH {ctes}\n{body}" if ctes else body)
     return out

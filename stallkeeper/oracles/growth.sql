@@ -271,7 +271,7 @@ FROM (SELECT *, n * 4 * ln(greatest(sse, 2.220446049250313e-16) / (n * 4)) + (k
 
 -- @query regime_segmentation
 SELECT customer_state, stages::BIGINT AS stage_count, stage, min(month) AS start_month, max(month) AS end_month, count(*) AS observed_months,
-       half_up(avg(gmv), 4) AS gmv_average, half_up(avg(order_count), 4) AS order_count_average, half_up(avg(new_users), 4) AS new_users_average,
+       half_up(CAST(sum(CAST(gmv AS DECIMAL(28,2))) AS DOUBLE) / count(*), 4) AS gmv_average, half_up(avg(order_count), 4) AS order_count_average, half_up(avg(new_users), 4) AS new_users_average,
        half_up(avg(active_users), 4) AS active_users_average,
        half_up((arg_max(gmv, month) / nullif(arg_min(gmv, month), 0) - 1) * 100, 4) AS gmv_start_end_pct,
        half_up((arg_max(order_count, month) / nullif(arg_min(order_count, month), 0) - 1) * 100, 4) AS order_count_start_end_pct,

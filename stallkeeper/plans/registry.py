@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallkeeper.operators import cleaning, customers, growth, kpi, metrics, quality, structure
+from stallkeeper.operators import (churn, cleaning, cohort, customers, growth, highvalue, kpi, metrics, quality, rfm,
+                                   structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
 from stallkeeper.sources.model import Commerce, from_star_schema
@@ -22,6 +23,11 @@ BOUNDARY_MONTHS = ["1995-01", "2001-07"]
 HOLIDAYS = [("Black Friday", 1997, "1997-11-28", "1997-11-28"), ("Black Friday", 1999, "1999-11-26", "1999-11-26"),
             ("Carnival", 1995, "1995-01-04", "1995-01-07"), ("Carnival", 1998, "1998-02-21", "1998-02-24"),
             ("Christmas", 2000, "2000-12-25", "2000-12-25"), ("Christmas", 2001, "2001-12-25", "2001-12-25")]
+OBSERVED = "2001-07-31"
+OBSERVED_END = "2001-07-31 23:59:59"
+FIRST_DAY = "1995-01-01"
+HISTORY_MONTHS = 79
+HIGH_AMOUNT = 500_000
 HOLIDAY_MONTHS = ["1997-11", "1999-11", "2000-12"]
 KPI_FILTER = kpi.Filters("1999-01-01", "2001-12-31", states=list(SPLIT), payments=["voucher"],
                          bands=["100000-200000", "200000-500000", "500000+"])
@@ -64,7 +70,41 @@ _MODEL: dict[str, ModelQuery] = {
     "customer_profile": customers.customer_profile_report,
     **{name: getattr(customers, name) for name in (
         "state_profile", "city_profile", "hourly_behavior", "weekday_behavior", "day_type_behavior",
-        "growth_periods", "market_growth_base")},
+        "growth_periods", "market_growth_base", "market_potential")},
+    **{name: (lambda m, fn=getattr(customers, name): fn(m, OBSERVED)) for name in (
+        "order_base_audit", "payment_source_reconcile", "installment_audit")},
+    # cohorts and lifecycle
+    "cohort_monthly": cohort.cohort_monthly,
+    "cohort_matrix": lambda m: cohort.cohort_matrix(m, HISTORY_MONTHS),
+    "short_term_repeat": lambda m: cohort.short_term_repeat(m, OBSERVED_END),
+    "observation_windows": lambda m: cohort.observation_windows(m, OBSERVED_END),
+    "lifecycle_stage": lambda m: cohort.lifecycle_stage_report(m, OBSERVED),
+    "lifecycle_comparison": lambda m: cohort.lifecycle_comparison(m, OBSERVED),
+    "lifecycle_diff": lambda m: cohort.lifecycle_diff(m, OBSERVED),
+    # value scoring
+    "rfm_base": lambda m: rfm.rfm_base_report(m, OBSERVED),
+    "rfm_detail": lambda m: rfm.rfm_detail_report(m, OBSERVED),
+    **{name: (lambda m, fn=getattr(rfm, name): fn(m, OBSERVED)) for name in (
+        "rfm_boundaries", "rfm_frequency_map", "rfm_score_distribution", "rfm_segment_summary")},
+    # churn
+    **{name: (lambda m, fn=getattr(churn, name): fn(m, OBSERVED)) for name in (
+        "churn_comparison", "churn_user_detail", "churn_by_payment", "churn_by_state", "churn_by_city_top30",
+        "churn_state_ranking", "churn_by_first_month")},
+    **{name: (lambda m, fn=getattr(churn, name): fn(m, OBSERVED, FIRST_DAY)) for name in (
+        "churn_by_day_type", "churn_association", "churn_feature_summary")},
+    # high-value users
+    "user_value_base": lambda m: highvalue.user_value_report(m, OBSERVED),
+    "order_payment_base": lambda m: highvalue.order_payment_base_report(m, OBSERVED),
+    "high_value_geography_city": lambda m: highvalue.high_value_geography(m, OBSERVED, by_city=True),
+    **{name: (lambda m, fn=getattr(highvalue, name): fn(m, OBSERVED)) for name in (
+        "rfm_churn_crosscheck", "high_value_users", "high_value_geography", "payment_behavior_groups",
+        "payment_order_share_groups", "payment_gmv_share_groups", "order_experience_base", "experience_groups",
+        "consumption_hours", "consumption_day_type", "lifecycle_cross", "payment_profile_user",
+        "experience_profile_user")},
+    "lifecycle_cross_detail": lambda m: highvalue.lifecycle_cross_report(m, OBSERVED),
+    "consumption_value_bands": lambda m: highvalue.consumption_value_bands(m, OBSERVED, BOUNDS),
+    **{name: (lambda m, fn=getattr(highvalue, name): fn(m, OBSERVED, HIGH_AMOUNT)) for name in (
+        "consumption_groups", "consumption_profile_user", "integrated_profile")},
     "dq_time_unparseable": lambda m: quality.dq_time_unparseable(m.orders),
     "clean_orders": cleaning.clean_orders,
     "clean_delivery": cleaning.clean_delivery,

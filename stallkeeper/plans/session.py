@@ -18,13 +18,3 @@ def tune(spark: SparkSession) -> SparkSession:
         spark.conf.set(key, value)
     return spark
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's own, else a local one for tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        import tempfile
-        path = tempfile.mkdtemp(prefix="stallkeeper-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
