@@ -247,3 +247,30 @@ def outside(value: str | Column, bounds: Column) -> Column:
     """1 when the value lies outside the fences held in a scalar struct."""
     v = dbl(value)
     return flag((v < bounds["lower_bound"]) | (v > bounds["upper_bound"]))
+
+
+def global_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, name: str = "rank") -> DataFrame:
+    """Exact row number under (value, tie) inside each ``by`` group, plus the group size ``n``.
+
+    A group may hold most of the table, so it is cut into order-preserving cells (magnitude
+    of the value, then magnitude or first letters of the tie-break); a row's number is the
+    size of the cells before its own plus its number inside the cell.
+    """
+    by = list(by)
+    is_text = dict(df.dtypes)[tie] == "string"
+    cell = df.withColumn("_c1", _magnitude_bucket(dbl(value))).withColumn(
+        "_c2", F.substring(tie, 1, 2) if is_text else _magnitude_bucket(dbl(tie)))
+    sizes = cell.groupBy(*by, "_c1", "_c2").agg(F.count(F.lit(1)).alias("_k"))
+    run = W.partitionBy(*by).orderBy("_c1", "_c2").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = (sizes.withColumn("_before", F.sum("_k").over(run) - F.col("_k"))
+               .withColumn("n", F.sum("_k").over(W.partitionBy(*by))).drop("_k"))
+    inside = F.row_number().over(W.partitionBy(*by, "_c1", "_c2").orderBy(value, tie))
+    return (cell.join(offsets, [*by, "_c1", "_c2"]).withColumn(name, F.col("_before") + inside)
+            .drop("_c1", "_c2", "_before"))
+
+
+def tile(rank: Column, n: Column, tiles: int) -> Column:
+    """The ``ntile`` group of a row number: the first groups take the remainder."""
+    q, r = F.floor(n / tiles), n % tiles
+    return (F.when(rank <= r * (q + 1), F.ceil(rank / (q + 1)))
+            .otherwise(r + F.ceil((rank - r * (q + 1)) / F.greatest(q, F.lit(1))))).cast("bigint")

@@ -93,16 +93,22 @@ def sellable_items(m: Commerce) -> DataFrame:
 
 
 def clean_items(m: Commerce) -> DataFrame:
-    """Items of known orders, products and sellers, with price and freight flags."""
-    price = scalar(fences(m.items, "price"), "lower_bound", "upper_bound")
-    freight = scalar(fences(m.items, "freight_value"), "lower_bound", "upper_bound")
+    """Items of known orders, products and sellers, with price and freight flags. Both fences
+    come from one scan of the amounts."""
+    names = ("price", "freight_value")
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), dbl(c).alias("v")) for c in names])
+    both = fences(m.items.select(F.explode(cells).alias("c")).select("c.field", "c.v"), "v", ["field"])
+    at = lambda c, b: F.max(F.when(F.col("field") == c, F.col(b)))
+    bounds = scalar(both.agg(*[at(c, b).alias(f"{c}_{b}") for c in names for b in ("lower_bound", "upper_bound")]),
+                    *[f"{c}_{b}" for c in names for b in ("lower_bound", "upper_bound")])
+    extreme = lambda c: flag((dbl(c) < bounds[f"{c}_lower_bound"]) | (dbl(c) > bounds[f"{c}_upper_bound"]))
     return (sellable_items(m)
             .join(m.products.select("product_id"), "product_id", "left_semi")
             .join(m.orders_core.select("order_id"), "order_id", "left_semi")
             .select("order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date",
                     dbl("price").alias("price"), dbl("freight_value").alias("freight_value"),
-                    outside("price", price).alias("is_price_iqr_extreme"),
-                    outside("freight_value", freight).alias("is_freight_iqr_extreme"),
+                    extreme("price").alias("is_price_iqr_extreme"),
+                    extreme("freight_value").alias("is_freight_iqr_extreme"),
                     flag(F.col("freight_value") == 0).alias("needs_zero_freight_review")))
 
 

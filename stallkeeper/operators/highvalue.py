@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from stallkeeper.functions import count_if, dbl, flag, ratio, scalar, sum_if
+from stallkeeper.functions import count_if, dbl, flag, materialize, ratio, scalar, sum_if
 from stallkeeper.operators.churn import THRESHOLD, churn_users, order_experience
 from stallkeeper.operators.cleaning import positive_payments
 from stallkeeper.operators.cohort import DORMANT, lifecycle_stage
@@ -139,7 +139,7 @@ def _payment_cells(m: Commerce, observation_date: str) -> DataFrame:
 
 
 def payment_behavior_groups(m: Commerce, observation_date: str) -> DataFrame:
-    g = _grouped(_payment_cells(m, observation_date), m, observation_date)
+    g = materialize(_grouped(_payment_cells(m, observation_date), m, observation_date))  # user-level cells, read 3 times
     paid = F.col("is_paid_order") == 1
     n = lambda c: sum_if(c, "orders")
     kind = lambda k: n(paid & (F.col("installment_status") == k))
@@ -316,9 +316,10 @@ def _high_value_keys(m: Commerce, observation_date: str) -> DataFrame:
     return user_value_base(m, observation_date).where("is_high_value_user = 1").select(USER)
 
 
-def payment_profile_user(m: Commerce, observation_date: str) -> DataFrame:
+def payment_profile_user(m: Commerce, observation_date: str, keys: DataFrame | None = None) -> DataFrame:
     """Payment habits per high-value user; the dominant type is the one of most orders."""
-    cells = _payment_cells(m, observation_date).join(_high_value_keys(m, observation_date), USER, "left_semi")
+    keys = _high_value_keys(m, observation_date) if keys is None else keys
+    cells = _payment_cells(m, observation_date).join(keys, USER, "left_semi")
     paid = F.col("is_paid_order") == 1
     types = cells.where(paid).groupBy(USER, "main_payment_type").agg(F.sum("orders").alias("n"))
     main = types.groupBy(USER).agg(F.min_by(
@@ -338,8 +339,9 @@ def payment_profile_user(m: Commerce, observation_date: str) -> DataFrame:
         ratio(F.col("d.n"), "paid_orders").alias("dominant_payment_type_order_share"))
 
 
-def experience_profile_user(m: Commerce, observation_date: str) -> DataFrame:
-    rows = order_experience(m, observation_date).join(_high_value_keys(m, observation_date), USER, "left_semi")
+def experience_profile_user(m: Commerce, observation_date: str, keys: DataFrame | None = None) -> DataFrame:
+    keys = _high_value_keys(m, observation_date) if keys is None else keys
+    rows = order_experience(m, observation_date).join(keys, USER, "left_semi")
     return _experience_users(rows).select(
         USER, "reviewed_orders", ratio("points", "reviewed_orders").alias("average_review_score"), "low_score_orders",
         ratio("low_score_orders", "reviewed_orders").alias("low_score_order_share"),
@@ -348,9 +350,11 @@ def experience_profile_user(m: Commerce, observation_date: str) -> DataFrame:
         ratio("delayed_orders", "delay_eligible_orders").alias("delay_rate"))
 
 
-def consumption_profile_user(m: Commerce, observation_date: str, high_amount: float = HIGH_AMOUNT) -> DataFrame:
+def consumption_profile_user(m: Commerce, observation_date: str, high_amount: float = HIGH_AMOUNT,
+                             keys: DataFrame | None = None) -> DataFrame:
     """Order habits per high-value user; the earliest hour wins among equally busy ones."""
-    rows = observed_orders(m, observation_date).join(_high_value_keys(m, observation_date), USER, "left_semi")
+    keys = _high_value_keys(m, observation_date) if keys is None else keys
+    rows = observed_orders(m, observation_date).join(keys, USER, "left_semi")
     high = (F.col("is_paid_order") == 1) & (F.col("order_gmv") >= high_amount)
     hours = rows.groupBy(USER, "purchase_hour").agg(
         F.count("*").alias("n"), F.sum("is_paid_order").alias("paid"), count_if(high).alias("high"),
@@ -369,9 +373,11 @@ def consumption_profile_user(m: Commerce, observation_date: str, high_amount: fl
 
 def integrated_profile(m: Commerce, observation_date: str, high_amount: float = HIGH_AMOUNT) -> DataFrame:
     """All profiles of a high-value user side by side. Every input has one row per user."""
-    users = user_value_base(m, observation_date).where("is_high_value_user = 1").withColumn("monetary", dbl("monetary"))
+    users = materialize(user_value_base(m, observation_date).where("is_high_value_user = 1")
+                        .withColumn("monetary", dbl("monetary")))
+    keys = users.select(USER)
     life = lifecycle_stage(m, observation_date).select(
         USER, "lifecycle_stage", F.col("customer_lifecycle_days").alias("lifecycle_days"))
-    parts = [life, payment_profile_user(m, observation_date), experience_profile_user(m, observation_date),
-             consumption_profile_user(m, observation_date, high_amount)]
+    parts = [life, payment_profile_user(m, observation_date, keys), experience_profile_user(m, observation_date, keys),
+             consumption_profile_user(m, observation_date, high_amount, keys)]
     return reduce(lambda a, b: a.join(b, USER, "left"), parts, users)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from stallkeeper.functions import half_up, count_if, dbl, flag, literal_rows, month_of, ratio, with_values
+from stallkeeper.functions import half_up, count_if, dbl, flag, literal_rows, materialize, month_of, ratio, with_values
 from stallkeeper.operators import cleaning as C
 from stallkeeper.sources.model import Commerce
 
@@ -45,17 +45,18 @@ def order_type_amounts(m: Commerce) -> DataFrame:
 
 
 def order_payment_summary(m: Commerce) -> DataFrame:
-    """Totals and main type per order in one aggregate. The collected amounts are one per
-    payment type, so the list stays a handful of numbers."""
+    """Totals, main type and the split by type per order, in one aggregate over the payments.
+    The split holds one entry per payment type, a handful at most; views by type unfold it
+    instead of reading the payments again."""
     return (order_type_amounts(m).groupBy("order_id").agg(
         F.sum("amount").alias("order_payment_amount"), F.sum("rows").alias("payment_row_count"),
         F.count("*").alias("payment_type_count"),
         F.min_by(F.struct("payment_type", "amount"), F.struct((-F.col("amount")).alias("a"), "payment_type")).alias("p"),
-        F.collect_list("amount").alias("amounts"))
+        F.collect_list(F.struct("payment_type", "amount")).alias("split"))
         .withColumn("primary_payment_type", F.col("p.payment_type"))
         .withColumn("primary_payment_type_amount", F.col("p.amount"))
-        .withColumn("top_type_count", F.size(F.filter("amounts", lambda x: x == F.col("p.amount"))))
-        .drop("p", "amounts"))
+        .withColumn("top_type_count", F.size(F.filter("split", lambda x: x["amount"] == F.col("p.amount"))))
+        .drop("p"))
 
 
 def structure_order_base(m: Commerce, bounds: Sequence[float] = BOUNDS, periods=PERIODS) -> DataFrame:
@@ -77,12 +78,12 @@ def structure_order_base(m: Commerce, bounds: Sequence[float] = BOUNDS, periods=
         flag(done).alias("is_delivered_order"), flag(done & (paid > 0)).alias("is_paid_delivered_order"),
         value_band(paid, bounds).alias("order_value_band"),
         _period_column(month, periods).alias("comparable_period"),
-        "primary_payment_type", "primary_payment_type_amount", "top_type_count"))
+        "primary_payment_type", "primary_payment_type_amount", "top_type_count", "split"))
 
 
 def structure_order_base_report(m: Commerce, bounds=BOUNDS, periods=PERIODS) -> DataFrame:
     return structure_order_base(m, bounds, periods).drop(
-        "primary_payment_type", "primary_payment_type_amount", "top_type_count").withColumn(
+        "primary_payment_type", "primary_payment_type_amount", "top_type_count", "split").withColumn(
         "order_payment_amount", dbl("order_payment_amount"))
 
 
@@ -90,10 +91,14 @@ def paid_orders(m: Commerce, bounds=BOUNDS, periods=PERIODS) -> DataFrame:
     return structure_order_base(m, bounds, periods).where("is_paid_delivered_order = 1")
 
 
+def by_type(orders: DataFrame) -> DataFrame:
+    """Orders unfolded to one row per payment type used."""
+    return orders.withColumn("s", F.explode("split")).withColumn("payment_type", F.col("s.payment_type")).withColumn(
+        "type_amount", F.col("s.amount")).drop("s", "split")
+
+
 def order_payment_split(m: Commerce) -> DataFrame:
-    keys = paid_orders(m).select("order_id")
-    return order_type_amounts(m).join(keys, "order_id", "left_semi").select(
-        "order_id", "payment_type", dbl("amount").alias("payment_type_amount"))
+    return by_type(paid_orders(m)).select("order_id", "payment_type", dbl("type_amount").alias("payment_type_amount"))
 
 
 def primary_payment(m: Commerce) -> DataFrame:
@@ -132,21 +137,24 @@ def _totals(gmv: str, orders: str):
     return F.sum(gmv).over(w), F.sum(orders).over(w)
 
 
-def payment_structure(m: Commerce, periods=PERIODS) -> DataFrame:
-    orders = paid_orders(m, periods=periods)
-    split = (order_type_amounts(m).join(orders.select("order_id", "comparable_period"), "order_id")
-             .groupBy("comparable_period", "payment_type").agg(F.sum("amount").alias("split_gmv")))
-    main = orders.groupBy("comparable_period", F.col("primary_payment_type").alias("payment_type")).agg(
-        F.count("*").alias("primary_order_count"), F.sum("order_payment_amount").alias("attributed_order_gmv"),
-        F.sum("is_mixed_payment").alias("mixed_payment_orders"))
-    split = _by_period(split, ["payment_type"], ["split_gmv"])
-    main = _by_period(main, ["payment_type"], ["primary_order_count", "attributed_order_gmv", "mixed_payment_orders"])
-    types = split.where(F.col("period") == ALL).select("payment_type")
+def payment_structure(m: Commerce, periods=PERIODS, orders: DataFrame | None = None) -> DataFrame:
+    """Per period and payment type: revenue by the type used, and orders with their whole amount
+    under the main type. One pass over the orders unfolded by type feeds both."""
+    orders = paid_orders(m, periods=periods) if orders is None else orders
+    main = F.col("payment_type") == F.col("primary_payment_type")
+    sums = ["split_gmv", "primary_order_count", "attributed_order_gmv", "mixed_payment_orders"]
+    stats = by_type(orders).groupBy("comparable_period", "payment_type").agg(
+        F.sum("type_amount").alias("split_gmv"), count_if(main).alias("primary_order_count"),
+        F.sum(F.when(main, F.col("order_payment_amount"))).alias("attributed_order_gmv"),
+        F.sum(F.when(main, F.col("is_mixed_payment"))).alias("mixed_payment_orders"))
+    stats = _by_period(stats, ["payment_type"], sums)
+    types = stats.where(F.col("period") == ALL).select("payment_type")
     grid = with_values(types, "period", [ALL, *[p[0] for p in periods]]).join(_period_frame(m.spark, periods), "period")
-    wide = (grid.join(split, ["period", "payment_type"], "left").join(main, ["period", "payment_type"], "left")
+    zero = F.lit(0).cast("decimal(38,2)")
+    wide = (grid.join(stats, ["period", "payment_type"], "left")
             .na.fill(0, ["primary_order_count", "mixed_payment_orders"])
-            .withColumn("split_gmv", F.coalesce("split_gmv", F.lit(0).cast("decimal(38,2)")))
-            .withColumn("attributed_order_gmv", F.coalesce("attributed_order_gmv", F.lit(0).cast("decimal(38,2)"))))
+            .withColumn("split_gmv", F.coalesce("split_gmv", zero))
+            .withColumn("attributed_order_gmv", F.coalesce("attributed_order_gmv", zero)))
     total_gmv, total_orders = _totals("attributed_order_gmv", "primary_order_count")
     return wide.select(
         "period_order", "period", "payment_type", dbl("split_gmv").alias("split_gmv"),
@@ -158,8 +166,9 @@ def payment_structure(m: Commerce, periods=PERIODS) -> DataFrame:
         dbl(total_gmv).alias("total_gmv"), total_orders.alias("total_paid_orders"))
 
 
-def order_value_structure(m: Commerce, bounds=BOUNDS, periods=PERIODS) -> DataFrame:
-    stats = paid_orders(m, bounds, periods).groupBy("comparable_period", "order_value_band").agg(
+def order_value_structure(m: Commerce, bounds=BOUNDS, periods=PERIODS, orders: DataFrame | None = None) -> DataFrame:
+    orders = paid_orders(m, bounds, periods) if orders is None else orders
+    stats = orders.groupBy("comparable_period", "order_value_band").agg(
         F.count("*").alias("paid_order_count"), F.sum("order_payment_amount").alias("gmv"))
     stats = _by_period(stats, ["order_value_band"], ["paid_order_count", "gmv"])
     bands = literal_rows(m.spark, "band_order bigint, order_value_band string", list(enumerate(band_names(bounds), 1)))
@@ -174,11 +183,12 @@ def order_value_structure(m: Commerce, bounds=BOUNDS, periods=PERIODS) -> DataFr
         total_orders.alias("total_paid_orders"), dbl(total_gmv).alias("total_gmv"))
 
 
-def _state_rows(m: Commerce, periods) -> DataFrame:
+def _state_rows(m: Commerce, periods, orders: DataFrame | None = None) -> DataFrame:
     """State by period at full precision. Users are counted at user grain, where a user is one
     row per period however many orders the user placed."""
     tags = F.array_compact(F.array(F.lit(ALL), F.col("comparable_period")))
-    per_user = paid_orders(m, periods=periods).groupBy("customer_state", "customer_unique_id", "comparable_period").agg(
+    orders = paid_orders(m, periods=periods) if orders is None else orders
+    per_user = orders.groupBy("customer_state", "customer_unique_id", "comparable_period").agg(
         F.count("*").alias("orders"), F.sum("order_payment_amount").alias("gmv"))
     stats = (per_user.withColumn("period", F.explode(tags)).groupBy("period", "customer_state", "customer_unique_id")
              .agg(F.sum("orders").alias("orders"), F.sum("gmv").alias("gmv"))
@@ -202,8 +212,8 @@ def _state_report(rows: DataFrame) -> DataFrame:
         dbl("total_gmv").alias("total_gmv"))
 
 
-def state_structure(m: Commerce, periods=PERIODS) -> DataFrame:
-    return _state_report(_state_rows(m, periods))
+def state_structure(m: Commerce, periods=PERIODS, orders: DataFrame | None = None) -> DataFrame:
+    return _state_report(_state_rows(m, periods, orders))
 
 
 def state_concentration(m: Commerce, periods=PERIODS) -> DataFrame:
@@ -256,12 +266,15 @@ def state_segment_counts(m: Commerce, periods=PERIODS) -> DataFrame:
 def structure_reconcile(m: Commerce, bounds=BOUNDS, periods=PERIODS) -> DataFrame:
     """Do the parts of each structure add up to its totals, per period? The totals are counted
     from the orders, independently of the reports."""
-    expected = _by_period(paid_orders(m, bounds, periods).groupBy("comparable_period").agg(
+    orders = materialize(paid_orders(m, bounds, periods).select(  # read by four branches
+        "order_id", "customer_unique_id", "customer_state", "order_value_band", "comparable_period",
+        "order_payment_amount", "is_mixed_payment", "primary_payment_type", "split"))
+    expected = _by_period(orders.groupBy("comparable_period").agg(
         F.count("*").alias("expected_orders"), F.sum("order_payment_amount").alias("expected_gmv")),
         [], ["expected_orders", "expected_gmv"])
-    parts = [("payment", payment_structure(m, periods), "primary_order_count", "split_gmv", "order_share"),
-             ("order_value", order_value_structure(m, bounds, periods), "paid_order_count", "gmv", "paid_order_share"),
-             ("state", state_structure(m, periods), "paid_order_count", "gmv", "paid_order_share")]
+    parts = [("payment", payment_structure(m, periods, orders), "primary_order_count", "split_gmv", "order_share"),
+             ("order_value", order_value_structure(m, bounds, periods, orders), "paid_order_count", "gmv", "paid_order_share"),
+             ("state", state_structure(m, periods, orders), "paid_order_count", "gmv", "paid_order_share")]
     summed = [df.groupBy("period").agg(
         F.sum(o).alias("summed_orders"), half_up(F.sum(g), 2).alias("summed_gmv"),
         half_up(F.sum("gmv_share"), 4).alias("summed_gmv_share"), half_up(F.sum(s), 4).alias("summed_order_share"))
@@ -279,13 +292,12 @@ def payment_detail_base(m: Commerce, bounds=BOUNDS) -> DataFrame:
     first = orders.groupBy("customer_unique_id").agg(
         F.min("order_purchase_timestamp").alias("first_paid_purchase_timestamp"))
     main = F.col("payment_type") == F.col("primary_payment_type")
-    return (order_type_amounts(m).select("order_id", "payment_type", "amount").join(orders, "order_id")
-            .join(first, "customer_unique_id").select(
+    return (by_type(orders.join(first, "customer_unique_id")).select(
         "order_id", "customer_id", "customer_unique_id", "customer_state", "order_purchase_timestamp",
         F.to_date("order_purchase_timestamp").alias("purchase_date"), "purchase_month", "purchase_year",
         F.concat(F.lit("Q"), F.quarter("order_purchase_timestamp")).alias("purchase_quarter"),
-        "order_payment_amount", "order_value_band", "payment_type", F.col("amount").alias("payment_gmv"),
-        _share("amount", "order_payment_amount").alias("payment_share_of_order"),
+        "order_payment_amount", "order_value_band", "payment_type", F.col("type_amount").alias("payment_gmv"),
+        _share("type_amount", "order_payment_amount").alias("payment_share_of_order"),
         "payment_type_count", "is_mixed_payment", "primary_payment_type", flag(main).alias("is_primary_payment_type"),
         F.when(main, F.col("order_payment_amount")).otherwise(F.lit(0)).alias("primary_attributed_order_gmv"),
         "first_paid_purchase_timestamp", month_of("first_paid_purchase_timestamp").alias("first_paid_purchase_month"),
@@ -314,8 +326,8 @@ def filter_detail(m: Commerce, f, bounds=BOUNDS) -> DataFrame:
     return rows
 
 
-def payment_structure_filtered(m: Commerce, f, bounds=BOUNDS) -> DataFrame:
-    rows = filter_detail(m, f, bounds)
+def payment_structure_filtered(m: Commerce, f, bounds=BOUNDS, rows: DataFrame | None = None) -> DataFrame:
+    rows = filter_detail(m, f, bounds) if rows is None else rows
     split = rows.groupBy("payment_type").agg(F.sum("payment_gmv").alias("split_gmv"))
     main = rows.where("is_primary_payment_type = 1").groupBy(F.col("primary_payment_type").alias("payment_type")).agg(
         F.sum("order_payment_amount").alias("attributed_order_gmv"), F.count("*").alias("primary_order_count"),
@@ -353,22 +365,25 @@ def _simple_structure(rows: DataFrame, key: str, with_users: bool) -> DataFrame:
     return stats.select(*out)
 
 
-def value_structure_filtered(m: Commerce, f, bounds=BOUNDS) -> DataFrame:
-    return _simple_structure(filter_detail(m, f, bounds), "order_value_band", False)
+def value_structure_filtered(m: Commerce, f, bounds=BOUNDS, rows: DataFrame | None = None) -> DataFrame:
+    return _simple_structure(filter_detail(m, f, bounds) if rows is None else rows, "order_value_band", False)
 
 
-def state_structure_filtered(m: Commerce, f, bounds=BOUNDS) -> DataFrame:
-    return _simple_structure(filter_detail(m, f, bounds), "customer_state", True)
+def state_structure_filtered(m: Commerce, f, bounds=BOUNDS, rows: DataFrame | None = None) -> DataFrame:
+    return _simple_structure(filter_detail(m, f, bounds) if rows is None else rows, "customer_state", True)
 
 
 def structural_signals(m: Commerce, f, bounds=BOUNDS) -> DataFrame:
     """Two strongest concentration risks (leading share over an equal share) and up to two
     opportunities (most revenue per order share; largest state outside the top five)."""
     a = W.partitionBy()  # all inputs are report-sized
-    pay = payment_structure_filtered(m, f, bounds).withColumn("n", F.count("*").over(a)).withColumn(
+    rows = materialize(filter_detail(m, f, bounds).select(  # read by three reports
+        "payment_type", "payment_gmv", "primary_payment_type", "is_primary_payment_type", "order_payment_amount",
+        "is_mixed_payment", "order_value_band", "customer_state", "customer_unique_id"))
+    pay = payment_structure_filtered(m, f, bounds, rows).withColumn("n", F.count("*").over(a)).withColumn(
         "r", F.row_number().over(a.orderBy(F.desc("split_gmv"), "payment_type")))
-    band = value_structure_filtered(m, f, bounds).where("order_count > 0").withColumn("n", F.count("*").over(a))
-    state = state_structure_filtered(m, f, bounds).withColumn("n", F.count("*").over(a))
+    band = value_structure_filtered(m, f, bounds, rows).where("order_count > 0").withColumn("n", F.count("*").over(a))
+    state = state_structure_filtered(m, f, bounds, rows).withColumn("n", F.count("*").over(a))
     row = lambda kind, dim, subject, score, share: [
         F.lit(kind).alias("signal_type"), F.lit(dim).alias("dimension"), subject.alias("subject"),
         score.alias("score"), share.alias("gmv_share")]

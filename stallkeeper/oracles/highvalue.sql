@@ -50,7 +50,7 @@ LEFT JOIN (SELECT * FROM c_payments QUALIFY row_number() OVER (PARTITION BY orde
        ON r.order_id = m.order_id AND r.payment_type = m.payment_type
 
 -- @query order_payment_base
-SELECT * REPLACE (CAST(order_gmv AS DOUBLE) AS order_gmv, CAST(main_payment_type_value AS DOUBLE) AS main_payment_type_value, CAST(representative_payment_value AS DOUBLE) AS representative_payment_value)
+SELECT * REPLACE (CAST(is_paid_order AS BIGINT) AS is_paid_order, CAST(order_gmv AS DOUBLE) AS order_gmv, CAST(main_payment_type_value AS DOUBLE) AS main_payment_type_value, CAST(representative_payment_value AS DOUBLE) AS representative_payment_value)
 FROM pay_orders
 
 -- @layer members

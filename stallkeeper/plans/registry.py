@@ -9,11 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallkeeper.operators import (churn, cleaning, cohort, customers, growth, highvalue, kpi, metrics, quality, rfm,
-                                   structure)
+from stallkeeper.operators import (association, category, churn, cleaning, cohort, customers, growth, highvalue, keywords,
+                                   kpi, metrics, quality, rfm, structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
-from stallkeeper.sources.model import Commerce, from_star_schema
+from stallkeeper.sources.model import Commerce, documents, from_star_schema
 
 ModelQuery = Callable[[Commerce], DataFrame]
 SPLIT = ("NATION_1", "NATION_2", "NATION_3")
@@ -27,6 +27,7 @@ OBSERVED = "2001-07-31"
 OBSERVED_END = "2001-07-31 23:59:59"
 FIRST_DAY = "1995-01-01"
 HISTORY_MONTHS = 79
+GROWTH_WINDOW = ("1995-01", "2001-07")
 HIGH_AMOUNT = 500_000
 HOLIDAY_MONTHS = ["1997-11", "1999-11", "2000-12"]
 KPI_FILTER = kpi.Filters("1999-01-01", "2001-12-31", states=list(SPLIT), payments=["voucher"],
@@ -105,6 +106,16 @@ _MODEL: dict[str, ModelQuery] = {
     "consumption_value_bands": lambda m: highvalue.consumption_value_bands(m, OBSERVED, BOUNDS),
     **{name: (lambda m, fn=getattr(highvalue, name): fn(m, OBSERVED, HIGH_AMOUNT)) for name in (
         "consumption_groups", "consumption_profile_user", "integrated_profile")},
+    # categories
+    **{name: getattr(category, name) for name in (
+        "category_item_base", "category_order_base", "category_sales", "category_monthly_sales", "category_pareto",
+        "category_satisfaction", "keyword_candidates", "complaint_top12")},
+    **{name: (lambda m, fn=getattr(category, name): fn(m, *GROWTH_WINDOW)) for name in (
+        "category_mom", "category_cmgr", "category_class")},
+    "category_heatmap_topn": lambda m: category.category_heatmap_topn(m, "2000-01", "2001-07"),
+    "category_layer_audit": lambda m: category.category_layer_audit(m, BOUNDARY_MONTHS),
+    "association_product": lambda m: association.association_product(m, min_count=2),
+    "association_category": association.association_category,
     "dq_time_unparseable": lambda m: quality.dq_time_unparseable(m.orders),
     "clean_orders": cleaning.clean_orders,
     "clean_delivery": cleaning.clean_delivery,
@@ -135,5 +146,10 @@ def _on_path(fn: ModelQuery) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+_TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "negative_keywords": lambda spark, path: keywords.negative_keywords(documents(tune(spark), path)),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_path(fn) for name, fn in _MODEL.items()}
+    return {**{name: _on_path(fn) for name, fn in _MODEL.items()}, **_TABLES}
