@@ -252,21 +252,32 @@ def outside(value: str | Column, bounds: Column) -> Column:
 def global_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, name: str = "rank") -> DataFrame:
     """Exact row number under (value, tie) inside each ``by`` group, plus the group size ``n``.
 
-    A group may hold most of the table, so it is cut into order-preserving cells (magnitude
-    of the value, then magnitude or first letters of the tie-break); a row's number is the
-    size of the cells before its own plus its number inside the cell.
+    A group, or a single value in it, may hold most of the table. Rows are therefore counted
+    in order-preserving cells: magnitude bucket of the value, then the value, then a coarse
+    bucket of the tie-break. A row's number is the rows in earlier buckets, plus those with
+    smaller values in its bucket, plus those in earlier cells of its value, plus its number
+    inside the cell.
     """
     by = list(by)
     is_text = dict(df.dtypes)[tie] == "string"
-    cell = df.withColumn("_c1", _magnitude_bucket(dbl(value))).withColumn(
-        "_c2", F.substring(tie, 1, 2) if is_text else _magnitude_bucket(dbl(tie)))
-    sizes = cell.groupBy(*by, "_c1", "_c2").agg(F.count(F.lit(1)).alias("_k"))
-    run = W.partitionBy(*by).orderBy("_c1", "_c2").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = (sizes.withColumn("_before", F.sum("_k").over(run) - F.col("_k"))
-               .withColumn("n", F.sum("_k").over(W.partitionBy(*by))).drop("_k"))
-    inside = F.row_number().over(W.partitionBy(*by, "_c1", "_c2").orderBy(value, tie))
-    return (cell.join(offsets, [*by, "_c1", "_c2"]).withColumn(name, F.col("_before") + inside)
-            .drop("_c1", "_c2", "_before"))
+    rows = df.withColumn("_b", _magnitude_bucket(dbl(value))).withColumn(
+        "_c", F.substring(tie, 1, 2) if is_text else _magnitude_bucket(dbl(tie)))
+    cells = rows.groupBy(*by, "_b", value, "_c").agg(F.count(F.lit(1)).alias("_k"))
+    buckets = cells.groupBy(*by, "_b").agg(F.sum("_k").alias("_kb"))
+    whole = W.partitionBy(*by)
+    buckets = (buckets.withColumn("_before_b", F.sum("_kb").over(
+        whole.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_kb"))
+        .withColumn("n", F.sum("_kb").over(whole)).drop("_kb"))
+    in_value = W.partitionBy(*by, "_b", value)
+    before_c = F.sum("_k").over(in_value.orderBy("_c").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_k")
+    # The default frame of an ordered window takes in all cells of the current value.
+    up_to_value = F.sum("_k").over(W.partitionBy(*by, "_b").orderBy(value))
+    offsets = (cells.withColumn("_in_bucket", up_to_value - F.sum("_k").over(in_value) + before_c)
+               .join(buckets, [*by, "_b"])
+               .select(*by, value, "_c", "n", (F.col("_before_b") + F.col("_in_bucket")).alias("_before")))
+    inside = F.row_number().over(W.partitionBy(*by, value, "_c").orderBy(tie))
+    return (rows.join(offsets, [*by, value, "_c"]).withColumn(name, F.col("_before") + inside)
+            .drop("_b", "_c", "_before"))
 
 
 def tile(rank: Column, n: Column, tiles: int) -> Column:

@@ -112,8 +112,9 @@ def rfm_score_distribution(m: Commerce, observation_date: str) -> DataFrame:
     return out.withColumn("user_share", ratio("user_count", F.sum("user_count").over(W.partitionBy("metric"))))
 
 
-def rfm_segment_summary(m: Commerce, observation_date: str) -> DataFrame:
-    sums = rfm_detail(m, observation_date).groupBy("rfm_segment_order", "rfm_segment").agg(
+def rfm_segment_summary(m: Commerce, observation_date: str, detail: DataFrame | None = None) -> DataFrame:
+    detail = rfm_detail(m, observation_date) if detail is None else detail
+    sums = detail.groupBy("rfm_segment_order", "rfm_segment").agg(
         F.count("*").alias("user_count"), F.sum("frequency").alias("valid_order_count"),
         F.sum("paid_order_count").alias("paid_order_count"), F.sum("monetary").alias("gmv"),
         F.sum("is_repeat_customer").alias("repeat_customer_count"),

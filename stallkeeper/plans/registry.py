@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallkeeper.operators import (association, category, churn, cleaning, cohort, customers, growth, highvalue, keywords,
-                                   kpi, metrics, quality, rfm, structure)
+from stallkeeper.operators import (association, category, checks, churn, cleaning, cohort, customers, growth, highvalue,
+                                   keywords, kpi, metrics, quality, rfm, scenario, structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
 from stallkeeper.sources.model import Commerce, documents, from_star_schema
@@ -28,6 +28,8 @@ OBSERVED_END = "2001-07-31 23:59:59"
 FIRST_DAY = "1995-01-01"
 HISTORY_MONTHS = 79
 GROWTH_WINDOW = ("1995-01", "2001-07")
+AOV_MONTHS = ("2001-01", "2001-07")
+LAST_MONTH = "2001-07"
 HIGH_AMOUNT = 500_000
 HOLIDAY_MONTHS = ["1997-11", "1999-11", "2000-12"]
 KPI_FILTER = kpi.Filters("1999-01-01", "2001-12-31", states=list(SPLIT), payments=["voucher"],
@@ -116,6 +118,17 @@ _MODEL: dict[str, ModelQuery] = {
     "category_layer_audit": lambda m: category.category_layer_audit(m, BOUNDARY_MONTHS),
     "association_product": lambda m: association.association_product(m, min_count=2),
     "association_category": association.association_category,
+    # scenarios
+    **{name: (lambda m, fn=getattr(scenario, name): fn(m, OBSERVED)) for name in ("scenario_repeat", "scenario_recall")},
+    **{name: getattr(scenario, name) for name in ("scenario_basket", "scenario_delivery", "scenario_payment_shift")},
+    "scenario_aov": lambda m: scenario.scenario_aov(m, *AOV_MONTHS),
+    "scenario_region": lambda m: scenario.scenario_region(m, list(SPLIT)),
+    "scenario_non_top3": lambda m: scenario.scenario_non_top3(m, LAST_MONTH),
+    "scenario_effects": lambda m: scenario.scenario_effects(m, OBSERVED, AOV_MONTHS, list(SPLIT), LAST_MONTH),
+    # check registers
+    "validate_rfm": lambda m: checks.validate_rfm(m, OBSERVED),
+    "validate_dashboard_detail": lambda m: checks.validate_dashboard_detail(m, BOUNDS),
+    **{name: getattr(checks, name) for name in ("validate_customer", "validate_metrics", "validate_stage1")},
     "dq_time_unparseable": lambda m: quality.dq_time_unparseable(m.orders),
     "clean_orders": cleaning.clean_orders,
     "clean_delivery": cleaning.clean_delivery,
