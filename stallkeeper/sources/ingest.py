@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from stallkeeper.functions import count_if, literal_rows
+from stallkeeper.functions import count_if, half_up, literal_rows
 
 _S, _D, _I, _TS, _M = (T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampNTZType(),
                        T.DecimalType(18, 2))
@@ -95,7 +95,7 @@ def ingest_typed_csv(spark: SparkSession, path: str, table: str, schema: T.Struc
 
 def export_table(df: DataFrame, path: str, decimals: dict[str, int] | None = None, fmt: str = "parquet") -> None:
     """Write a result; rounding is a projection, so every task writes its own part."""
-    out = df.select(*[F.round(c, decimals[c]).alias(c) if decimals and c in decimals else F.col(c) for c in df.columns])
+    out = df.select(*[half_up(c, decimals[c]).alias(c) if decimals and c in decimals else F.col(c) for c in df.columns])
     writer = out.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).option("encoding", "UTF-8").csv(path)
