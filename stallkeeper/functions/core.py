@@ -202,11 +202,19 @@ def nearest_rank(df: DataFrame, value: str, probs: Mapping[str, str],
     cumulative count runs over magnitude buckets (a few thousand at most), and
     only the buckets holding a wanted rank are ordered value by value.
     """
+    return rank_values(value_counts(df, value, by), probs, by)
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values (``_v``) with their number of rows (``_n``) per group."""
+    return (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_n")))
+
+
+def rank_values(counts: DataFrame, probs: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """``nearest_rank`` over values that are already collapsed by ``value_counts``."""
     by = list(by)
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*by, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_b", _magnitude_bucket(F.col("_v"))))
+    counts = counts.withColumn("_b", _magnitude_bucket(F.col("_v")))
     per_bucket = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
     w_all = W.partitionBy(*by)
     w_cum = w_all.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -237,8 +245,12 @@ QUARTILES = {"q1": "0.25", "median": "0.5", "q3": "0.75"}
 
 def fences(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles with the 1.5 IQR fences."""
+    return fence_values(value_counts(df, value, by), by)
+
+
+def fence_values(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     spread = F.col("q3") - F.col("q1")
-    return (nearest_rank(df, value, QUARTILES, by)
+    return (rank_values(counts, QUARTILES, by)
             .withColumn("lower_bound", F.col("q1") - 1.5 * spread)
             .withColumn("upper_bound", F.col("q3") + 1.5 * spread))
 

@@ -32,7 +32,7 @@ def customer_order_base(m: Commerce, payments: DataFrame | None = None, delivery
         F.to_date(ts).alias("purchase_date"), month_of(ts).alias("purchase_month"),
         F.hour(ts).cast("bigint").alias("purchase_hour"), iso_weekday(ts).alias("weekday_number"),
         "customer_state", "customer_city",
-        F.coalesce(F.col("amount"), F.lit(0).cast("decimal(28,2)")).alias("order_gmv"),
+        F.coalesce(F.col("amount"), F.lit(0)).alias("order_gmv"),
         flag(F.col("amount") > 0).alias("is_paid_order"), *extra))
 
 

@@ -239,7 +239,7 @@ def metric_order_base(m: Commerce) -> DataFrame:
     return (orders.join(order_paid(m), "order_id", "left").join(reviews, "order_id", "left")
             .select("order_id", "customer_unique_id", "customer_state", "order_status", "order_purchase_timestamp",
                     month_of("order_purchase_timestamp").alias("purchase_month"),
-                    F.coalesce(F.col("amount"), F.lit(0)).cast("decimal(28,2)").alias("order_gmv"),
+                    F.coalesce(F.col("amount"), F.lit(0)).alias("order_gmv"),
                     flag(done).alias("is_delivered"),
                     flag(done & (F.col("amount") > 0)).alias("is_paid_delivered"),
                     flag(F.col("order_status") == "canceled").alias("is_canceled"),

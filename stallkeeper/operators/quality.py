@@ -5,8 +5,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from stallkeeper.functions import (half_up, MICROS_PER_DAY, count_if, dbl, fences, literal_rows, micros_between,
-                                   with_values)
+from stallkeeper.functions import (half_up, MICROS_PER_DAY, count_if, dbl, fence_values, fences, literal_rows, materialize,
+                                   micros_between, sum_if, value_counts, with_values)
 from stallkeeper.operators.cleaning import chronology_error
 from stallkeeper.sources.model import Commerce
 
@@ -135,29 +135,22 @@ def dq_numeric_long(m: Commerce) -> DataFrame:
 _FIELD = ["source_table", "field_name"]
 
 
-def _bounds(values: DataFrame) -> DataFrame:
-    span = values.groupBy(*_FIELD).agg(F.min("actual_value").alias("min_value"), F.max("actual_value").alias("max_value"))
-    return (fences(values, "actual_value", _FIELD).withColumnRenamed("value_count", "valid_count")
-            .join(span, _FIELD))
-
-
 def dq_iqr_summary(m: Commerce) -> DataFrame:
-    """Quartiles, fences and the number of values outside them, per field."""
-    values = dq_numeric_long(m)
-    # Collapse to distinct values before comparing with the fences.
-    counted = values.groupBy(*_FIELD, "actual_value").agg(F.count("*").alias("n"))
-    b = _bounds(values)
-    v = F.col("actual_value")
-    keep = ["valid_count", "min_value", "q1", "median", "q3", "max_value", "lower_bound", "upper_bound"]
-    return (counted.join(F.broadcast(b), _FIELD).groupBy(*_FIELD).agg(  # five rows: one per field
-        *[F.max(c).alias(c) for c in keep],
-        F.coalesce(F.sum(F.when(v < F.col("lower_bound"), F.col("n"))), F.lit(0)).alias("lower_extreme_count"),
-        F.coalesce(F.sum(F.when(v > F.col("upper_bound"), F.col("n"))), F.lit(0)).alias("upper_extreme_count")))
+    """Quartiles, fences and the number of values outside them, per field. The records are
+    collapsed to distinct values once; everything else is read from those."""
+    counts = materialize(value_counts(dq_numeric_long(m), "actual_value", _FIELD))
+    bounds = fence_values(counts, _FIELD).withColumnRenamed("value_count", "valid_count")
+    v = F.col("_v")
+    keep = ["valid_count", "q1", "median", "q3", "lower_bound", "upper_bound"]
+    return (counts.join(F.broadcast(bounds), _FIELD).groupBy(*_FIELD).agg(  # five rows: one per field
+        *[F.max(c).alias(c) for c in keep], F.min(v).alias("min_value"), F.max(v).alias("max_value"),
+        sum_if(v < F.col("lower_bound"), "_n").alias("lower_extreme_count"),
+        sum_if(v > F.col("upper_bound"), "_n").alias("upper_extreme_count")))
 
 
 def dq_iqr_extremes(m: Commerce) -> DataFrame:
     values = dq_numeric_long(m)
-    b = _bounds(values).select(*_FIELD, "lower_bound", "upper_bound")
+    b = fences(values, "actual_value", _FIELD).select(*_FIELD, "lower_bound", "upper_bound")
     v = F.col("actual_value")
     side = F.when(v < F.col("lower_bound"), "lower").when(v > F.col("upper_bound"), "upper")
     return (values.join(F.broadcast(b), _FIELD)  # five rows: one per field

@@ -1,12 +1,10 @@
 """The commerce data model and the adapter that builds it from the star-schema tables."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallkeeper.functions import MONEY
-
 # Fixed values of the adapter.
 STATUS = {"F": "delivered", "O": "shipped", "P": "canceled"}
 PAYMENT_TYPE = {"A": "credit_card", "N": "boleto", "R": "voucher"}
@@ -15,22 +13,35 @@ BLANK_TRANSLATION = "Brand#21"
 ESTIMATE_DAYS = 1000
 
 
-@dataclass(frozen=True)
 class Commerce:
-    """Nine marketplace tables. ``orders_core`` holds the order columns known at
-    purchase time, for operators that need no delivery timestamps."""
-
-    spark: SparkSession
-    customers: DataFrame
-    geolocation: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    translation: DataFrame
-    orders: DataFrame
-    orders_core: DataFrame
-    items: DataFrame
-    payments: DataFrame
-    reviews: DataFrame
+    """Nine marketplace tables, built on first use.
+
+    Each source is a DataFrame or a function returning one, so that a query touches only the
+    tables it names. ``orders_core`` holds the order columns known at purchase time, for
+    operators that need no delivery timestamps; it defaults to those columns of ``orders``.
+    """
+
+    NAMES = ("customers", "geolocation", "products", "sellers", "translation", "orders", "orders_core", "items",
+             "payments", "reviews")
+    CORE = ("order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_estimated_delivery_date")
+
+    def __init__(self, spark: SparkSession, **sources: DataFrame | Callable[[], DataFrame]):
+        unknown = set(sources) - set(self.NAMES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        self.spark = spark
+        self._sources = sources
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name == "orders_core" and name not in self._sources:
+            frame = self.orders.select(*self.CORE)
+        elif name in self.NAMES and name in self._sources:
+            source = self._sources[name]
+            frame = source if isinstance(source, DataFrame) else source()
+        else:
+            raise AttributeError(name)
+        self.__dict__[name] = frame
+        return frame
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -65,121 +76,156 @@ def _hours(n):
     return F.make_dt_interval(F.lit(0), n.cast("int"), F.lit(0), F.lit(0).cast("decimal(18,6)"))
 
 
-def from_star_schema(spark: SparkSession, path: str) -> Commerce:
-    """Map the customer/orders/lineitem/part/supplier/nation tables onto the model.
+# Declared, so that no read has to open files to learn its columns.
+_SOURCE = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string",
+    "labels": "doc_id bigint, quality int",
+}
+
+
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(_SOURCE[name]).parquet(f"{path}/{name}.parquet")
+
+
+def _hundredths(c: str):
+    """A non-negative source number in hundredths (floor is a plain machine operation, where
+    ``round`` of a double goes through decimal text)."""
+    return F.floor(F.col(c) * 100 + 0.5)
 
-    Every table but ``orders`` (delivery times come from the order's lines) is a
-    narrow projection of its source; item and payment ids are content keys, so
-    numbering them needs no window over an order.
+
+def _amount(cents):
+    """Cents as a line amount. Eight digits hold the amounts of this source and let Spark add
+    them up as long integers; a larger one fails the cast instead of being cut."""
+    return (cents.cast("decimal(8,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(8,2)")
+
+
+class _Star:
+    """The customer/orders/lineitem/part/supplier/nation tables as the commerce model.
+
+    Every table but ``orders`` (delivery times come from the order's lines) is a narrow
+    projection of its source. Item and payment ids are content keys, so numbering them needs
+    no window over an order; amounts are computed on integers.
     """
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}.parquet")
-
-    nation = read("nation").select("n_nationkey", "n_name")
-    cust = read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    customers = cust.select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_custkey").alias("customer_unique_id"),
-        _zip(F.col("c_nationkey"), F.col("c_custkey") % 8).alias("customer_zip_code_prefix"),
-        F.col("c_mktsegment").alias("customer_city"),
-        F.col("n_name").alias("customer_state"))
-    geolocation = cust.select(
-        _zip(F.col("c_nationkey"), F.col("c_custkey") % 7).alias("geolocation_zip_code_prefix"),
-        (F.col("c_nationkey") * 3.0 - 36.0).alias("geolocation_lat"),
-        (F.col("c_nationkey") * 7.0 - 90.0).alias("geolocation_lng"),
-        F.col("c_mktsegment").alias("geolocation_city"),
-        F.col("n_name").alias("geolocation_state"))
-
-    part = read("part")
-    size = F.col("p_size")
-    products = part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(size == 2, "").when(size != 1, F.col("p_brand")).alias("product_category_name"),
-        F.length("p_name").alias("product_name_lenght"),
-        (size * 10).alias("product_description_lenght"),
-        (size % 6).alias("product_photos_qty"),
-        F.when(size != 1, size * 100).alias("product_weight_g"),
-        size.alias("product_length_cm"),
-        (size % 20).alias("product_height_cm"),
-        (size % 15).alias("product_width_cm"))
-    translation = (part.select("p_brand").distinct()
-                   .where(~F.col("p_brand").isin(*UNTRANSLATED))
-                   .select(F.col("p_brand").alias("product_category_name"),
-                           F.when(F.col("p_brand") == BLANK_TRANSLATION, " ")
-                           .otherwise(F.concat(F.lit("category_"),
-                                               F.substring_index("p_brand", "#", -1)))
-                           .alias("product_category_name_english")))
-    sellers = (read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-               .select(F.col("s_suppkey").alias("seller_id"),
-                       _zip(F.col("s_nationkey"), F.col("s_suppkey") % 9).alias("seller_zip_code_prefix"),
-                       F.concat(F.lit("city_"), F.col("s_suppkey") % 10).alias("seller_city"),
-                       F.col("n_name").alias("seller_state")))
-
-    key = F.col("o_orderkey")
-    purchased = F.col("o_orderdate") + _seconds((key * 7919) % 86400)
-    raw = read("orders").select(
-        key.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        _lookup(F.col("o_orderstatus"), STATUS).alias("order_status"),
-        purchased.alias("order_purchase_timestamp"),
-        F.when(key % 97 != 0, purchased + _hours(key % 49 - 1)).alias("order_approved_at"),
-        (F.col("o_orderdate") + F.expr(f"interval {ESTIMATE_DAYS} days"))
-        .alias("order_estimated_delivery_date"))
-    core = raw.select("order_id", "customer_id", "order_status", "order_purchase_timestamp",
-                      "order_estimated_delivery_date")
-
-    line = read("lineitem")
-    shipped = line.groupBy(F.col("l_orderkey").alias("order_id")).agg(
-        F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
-    orders = raw.join(shipped, "order_id", "left").select(
-        "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
-        F.col("first_ship").alias("order_delivered_carrier_date"),
-        F.when(F.col("order_status") == "delivered",
-               F.col("last_ship") + F.expr("interval 12 hours")).alias("order_delivered_customer_date"),
-        "order_estimated_delivery_date")
-
-    qty = F.col("l_quantity").cast("bigint")
-    price = F.col("l_extendedprice").cast(MONEY)
-    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
-    content_key = F.concat_ws(
-        "-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"),
-        qty, cents("l_extendedprice"), cents("l_discount"), cents("l_tax"),
-        "l_returnflag", "l_linestatus")
-    items = line.select(
-        F.col("l_orderkey").alias("order_id"),
-        content_key.alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        (F.col("l_shipdate") + F.expr("interval 3 days")).alias("shipping_limit_date"),
-        price.alias("price"),
-        (price * F.col("l_tax").cast("decimal(4,2)")).cast(MONEY).alias("freight_value"))
-    paid = (price * (1 - F.col("l_discount").cast("decimal(4,2)"))
-            * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast(MONEY)
-    payments = line.select(
-        F.col("l_orderkey").alias("order_id"),
-        content_key.alias("payment_sequential"),
-        _lookup(F.col("l_returnflag"), PAYMENT_TYPE).alias("payment_type"),
-        (qty % 13).alias("payment_installments"),
-        F.when(qty == 50, F.lit(0).cast(MONEY)).otherwise(paid).alias("payment_value"))
-    score = (F.col("l_linenumber") + qty) % 6
-    reviews = line.where(F.col("l_linenumber") <= 3).select(
-        (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("review_id"),
-        F.col("l_orderkey").alias("order_id"),
-        score.cast("bigint").alias("review_score"),
-        F.lit(None).cast("string").alias("review_comment_title"),
-        F.when(score <= 2, F.concat(F.lit("late item "), F.col("l_partkey") % 10))
-        .alias("review_comment_message"),
-        F.col("l_shipdate").alias("review_creation_date"),
-        (F.col("l_shipdate") + F.make_dt_interval((1 + qty % 4).cast("int"))).alias("review_answer_timestamp"))
-    return Commerce(spark, customers, geolocation, products, sellers, translation, orders, core,
-                    items, payments, reviews)
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self, name: str) -> DataFrame:
+        return _read(self.spark, self.path, name)
+
+    def _with_nation(self, name: str, key: str) -> DataFrame:
+        return self.read(name).join(self.read("nation"), F.col(key) == F.col("n_nationkey"))
+
+    def customers(self) -> DataFrame:
+        return self._with_nation("customer", "c_nationkey").select(
+            F.col("c_custkey").alias("customer_id"), F.col("c_custkey").alias("customer_unique_id"),
+            _zip(F.col("c_nationkey"), F.col("c_custkey") % 8).alias("customer_zip_code_prefix"),
+            F.col("c_mktsegment").alias("customer_city"), F.col("n_name").alias("customer_state"))
+
+    def geolocation(self) -> DataFrame:
+        return self._with_nation("customer", "c_nationkey").select(
+            _zip(F.col("c_nationkey"), F.col("c_custkey") % 7).alias("geolocation_zip_code_prefix"),
+            (F.col("c_nationkey") * 3.0 - 36.0).alias("geolocation_lat"),
+            (F.col("c_nationkey") * 7.0 - 90.0).alias("geolocation_lng"),
+            F.col("c_mktsegment").alias("geolocation_city"), F.col("n_name").alias("geolocation_state"))
+
+    def products(self) -> DataFrame:
+        size = F.col("p_size")
+        return self.read("part").select(
+            F.col("p_partkey").alias("product_id"),
+            F.when(size == 2, "").when(size != 1, F.col("p_brand")).alias("product_category_name"),
+            F.length("p_name").alias("product_name_lenght"), (size * 10).alias("product_description_lenght"),
+            (size % 6).alias("product_photos_qty"), F.when(size != 1, size * 100).alias("product_weight_g"),
+            size.alias("product_length_cm"), (size % 20).alias("product_height_cm"),
+            (size % 15).alias("product_width_cm"))
+
+    def translation(self) -> DataFrame:
+        brand = F.col("p_brand")
+        return self.read("part").select(brand).distinct().where(~brand.isin(*UNTRANSLATED)).select(
+            brand.alias("product_category_name"),
+            F.when(brand == BLANK_TRANSLATION, " ")
+            .otherwise(F.concat(F.lit("category_"), F.substring_index(brand, "#", -1))).alias("product_category_name_english"))
+
+    def sellers(self) -> DataFrame:
+        return self._with_nation("supplier", "s_nationkey").select(
+            F.col("s_suppkey").alias("seller_id"),
+            _zip(F.col("s_nationkey"), F.col("s_suppkey") % 9).alias("seller_zip_code_prefix"),
+            F.concat(F.lit("city_"), F.col("s_suppkey") % 10).alias("seller_city"), F.col("n_name").alias("seller_state"))
+
+    def _orders(self) -> DataFrame:
+        key = F.col("o_orderkey")
+        bought = F.col("o_orderdate") + _seconds((key * 7919) % 86400)
+        return self.read("orders").select(
+            key.alias("order_id"), F.col("o_custkey").alias("customer_id"),
+            _lookup(F.col("o_orderstatus"), STATUS).alias("order_status"), bought.alias("order_purchase_timestamp"),
+            F.when(key % 97 != 0, bought + _hours(key % 49 - 1)).alias("order_approved_at"),
+            (F.col("o_orderdate") + F.expr(f"interval {ESTIMATE_DAYS} days")).alias("order_estimated_delivery_date"))
+
+    def orders_core(self) -> DataFrame:
+        return self._orders().select(*Commerce.CORE)
+
+    def orders(self) -> DataFrame:
+        shipped = self.read("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+            F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+        return self._orders().join(shipped, "order_id", "left").select(
+            "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
+            F.col("first_ship").alias("order_delivered_carrier_date"),
+            F.when(F.col("order_status") == "delivered", F.col("last_ship") + F.expr("interval 12 hours"))
+            .alias("order_delivered_customer_date"), "order_estimated_delivery_date")
+
+    @staticmethod
+    def _content_key():
+        return F.concat_ws(
+            "-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"),
+            F.col("l_quantity").cast("bigint"), _hundredths("l_extendedprice"), _hundredths("l_discount"),
+            _hundredths("l_tax"), "l_returnflag", "l_linestatus")
+
+    def items(self) -> DataFrame:
+        cents = _hundredths("l_extendedprice")
+        freight = F.floor((cents * _hundredths("l_tax") + 50) / 100)
+        return self.read("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), self._content_key().alias("order_item_id"),
+            F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"),
+            (F.col("l_shipdate") + F.expr("interval 3 days")).alias("shipping_limit_date"),
+            _amount(cents).alias("price"), _amount(freight).alias("freight_value"))
+
+    def payments(self) -> DataFrame:
+        qty = F.col("l_quantity").cast("bigint")
+        paid = (_hundredths("l_extendedprice") * (100 - _hundredths("l_discount")) * (100 + _hundredths("l_tax")))
+        cents = F.when(qty == 50, F.lit(0)).otherwise(F.floor((paid + 5000) / 10000))
+        return self.read("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), self._content_key().alias("payment_sequential"),
+            _lookup(F.col("l_returnflag"), PAYMENT_TYPE).alias("payment_type"),
+            (qty % 13).alias("payment_installments"), _amount(cents).alias("payment_value"))
+
+    def reviews(self) -> DataFrame:
+        qty = F.col("l_quantity").cast("bigint")
+        score = (F.col("l_linenumber") + qty) % 6
+        return self.read("lineitem").where(F.col("l_linenumber") <= 3).select(
+            (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("review_id"),
+            F.col("l_orderkey").alias("order_id"), score.cast("bigint").alias("review_score"),
+            F.lit(None).cast("string").alias("review_comment_title"),
+            F.when(score <= 2, F.concat(F.lit("late item "), F.col("l_partkey") % 10)).alias("review_comment_message"),
+            F.col("l_shipdate").alias("review_creation_date"),
+            (F.col("l_shipdate") + F.make_dt_interval((1 + qty % 4).cast("int"))).alias("review_answer_timestamp"))
+
+
+def from_star_schema(spark: SparkSession, path: str) -> Commerce:
+    star = _Star(spark, path)
+    return Commerce(spark, **{name: getattr(star, name) for name in Commerce.NAMES})
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Labelled texts for the keyword operators: doc id, group, score, text."""
-    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang")
-    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "quality")
-    return docs.join(labels, "doc_id").select(
+    return _read(spark, path, "documents").join(_read(spark, path, "labels"), "doc_id").select(
         F.col("doc_id").alias("order_id"), F.col("lang").alias("category_name"),
         F.when(F.col("quality") == 0, 1).otherwise(5).cast("bigint").alias("review_score"),
         F.col("text").alias("review_comment_message"))
