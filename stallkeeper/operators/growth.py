@@ -59,8 +59,8 @@ def growth_extremes(m: Commerce) -> DataFrame:
 
 def growth_anomaly_iqr(m: Commerce) -> DataFrame:
     """Months with too few orders or an extreme GMV change, by nearest-rank fences."""
-    g = monthly_kpi(m).select("month", half_up(_change("gmv", 1), 4).alias("gmv_mom_change"),
-                              F.col("order_count").alias("monthly_order_count"))
+    g = materialize(monthly_kpi(m).select("month", half_up(_change("gmv", 1), 4).alias("gmv_mom_change"),
+                                          F.col("order_count").alias("monthly_order_count")))  # one row per month
     disc = lambda c, p: F.expr(f"percentile_disc({p}) within group (order by {c})")
     q = scalar(g.agg(disc("monthly_order_count", 0.25).alias("o1"), disc("monthly_order_count", 0.75).alias("o3"),
                      disc("gmv_mom_change", 0.25).alias("g1"), disc("gmv_mom_change", 0.75).alias("g3")),

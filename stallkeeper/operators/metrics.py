@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stallkeeper.functions import (MICROS_PER_DAY, count_if, dbl, exact_mean, flag, mean_days, micros_between,
-                                   month_index, month_of, ratio, scalar, sum_if)
+                                   month_index, month_of, ratio, scalar)
 from stallkeeper.operators import cleaning as C
 from stallkeeper.sources.model import Commerce
 
@@ -255,38 +255,44 @@ def metric_order_base_report(m: Commerce) -> DataFrame:
             .withColumn("delivery_days", F.col("delivery_micros") / MICROS_PER_DAY).drop("delivery_micros"))
 
 
-def _metric_columns(users_first: str):
-    """Aggregates shared by the monthly and the filtered metric reports."""
-    paid = F.col("is_paid_delivered") == 1
+def _user_sums(base: DataFrame, *by: str) -> DataFrame:
+    """Everything the metric reports add up, per user (and period): one pass over the orders,
+    merged map-side, after which users are counted without a distinct."""
     done = F.col("is_delivered") == 1
-    reviewed = F.col("review_score").isNotNull()
+    ts = F.when(done, F.col("order_purchase_timestamp"))
+    return base.groupBy(*by, "customer_unique_id").agg(
+        F.count("*").alias("orders"), F.sum("is_delivered").alias("valid"), F.sum("is_paid_delivered").alias("paid"),
+        F.sum(F.when(F.col("is_paid_delivered") == 1, F.col("order_gmv"))).alias("gmv"),
+        F.count("delivery_micros").alias("timed"), F.sum(F.col("delivery_micros").cast("decimal(20,0)")).alias("micros"),
+        F.sum("is_delivery_evaluable").alias("evaluable"), F.sum("is_late").alias("late"),
+        F.count("review_score").alias("reviewed"), F.sum("review_score").alias("points"),
+        F.sum("is_positive_review").alias("positive"), F.sum("is_canceled").alias("canceled"),
+        micros_between(F.max(ts), F.min(ts)).alias("span"))
+
+
+def _metric_columns():
+    """The metrics of a report, from user sums."""
+    s, active = F.sum, count_if(F.col("valid") > 0)
+    repeat = count_if(F.col("valid") >= 2)
     return [
-        F.count("*").alias("total_order_count"),
-        F.sum("is_delivered").alias("valid_order_count"),
-        F.sum("is_paid_delivered").alias("paid_order_count"),
-        dbl(sum_if(paid, "order_gmv")).alias("gmv"),
-        ratio(sum_if(paid, "order_gmv"), F.sum("is_paid_delivered")).alias("average_order_value"),
-        F.countDistinct(F.when(done, F.col("customer_unique_id"))).alias("active_customer_count"),
-        mean_days("delivery_micros").alias("average_delivery_days"),
-        ratio(F.sum("is_late"), F.sum("is_delivery_evaluable")).alias("late_delivery_rate"),
-        ratio(F.sum("review_score"), count_if(reviewed)).alias("average_review_score"),
-        ratio(F.sum("is_positive_review"), count_if(reviewed)).alias("positive_review_rate"),
-        F.sum("is_canceled").alias("canceled_order_count"),
-        ratio(F.sum("is_canceled"), F.count("*")).alias("cancellation_rate")]
+        s("orders").alias("total_order_count"), s("valid").alias("valid_order_count"), s("paid").alias("paid_order_count"),
+        dbl(F.coalesce(s("gmv"), F.lit(0))).alias("gmv"), ratio(s("gmv"), s("paid")).alias("average_order_value"),
+        active.alias("active_customer_count"), (ratio(s("micros"), s("timed")) / MICROS_PER_DAY).alias("average_delivery_days"),
+        ratio(s("late"), s("evaluable")).alias("late_delivery_rate"), ratio(s("points"), s("reviewed")).alias("average_review_score"),
+        ratio(s("positive"), s("reviewed")).alias("positive_review_rate"), s("canceled").alias("canceled_order_count"),
+        ratio(s("canceled"), s("orders")).alias("cancellation_rate"), repeat.alias("repeat_customer_count"),
+        ratio(repeat, active).alias("repeat_purchase_rate")]
 
 
 def metric_monthly_trends(m: Commerce) -> DataFrame:
-    """Monthly M01-M08 and M13-M17; a metric without a denominator stays NULL."""
-    base = metric_order_base(m)
-    monthly = base.groupBy("purchase_month").agg(*_metric_columns("purchase_month"))
-    done = base.where("is_delivered = 1")
-    user_months = done.groupBy("customer_unique_id", "purchase_month").agg(F.count("*").alias("n"))
-    repeat = user_months.groupBy("purchase_month").agg(count_if(F.col("n") >= 2).alias("repeat_customer_count"))
-    new = (user_months.groupBy("customer_unique_id").agg(F.min("purchase_month").alias("purchase_month"))
-           .groupBy("purchase_month").agg(F.count("*").alias("new_customer_count")))
-    return (monthly.join(repeat, "purchase_month", "left").join(new, "purchase_month", "left")
-            .na.fill(0, ["repeat_customer_count", "new_customer_count"])
-            .withColumn("repeat_purchase_rate", ratio("repeat_customer_count", "active_customer_count")))
+    """Monthly M01-M08 and M13-M17; a metric without a denominator stays NULL. New users are
+    those whose first delivered month it is, found among a user's months."""
+    from pyspark.sql import Window as W
+    users = _user_sums(metric_order_base(m), "purchase_month")
+    done = F.when(F.col("valid") > 0, F.col("purchase_month"))
+    first = F.min(done).over(W.partitionBy("customer_unique_id"))
+    return users.withColumn("first", first).groupBy("purchase_month").agg(
+        *_metric_columns(), count_if(F.col("first") == F.col("purchase_month")).alias("new_customer_count"))
 
 
 def metric_filtered(m: Commerce, first_day: str, last_day: str, states: list[str] | None = None) -> DataFrame:
@@ -295,19 +301,12 @@ def metric_filtered(m: Commerce, first_day: str, last_day: str, states: list[str
         F.to_date("order_purchase_timestamp").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
     if states:
         base = base.where(F.col("customer_state").isin(*states))
-    ts = F.col("order_purchase_timestamp")
-    users = base.where("is_delivered = 1").groupBy("customer_unique_id").agg(
-        F.count("*").alias("n"), F.sum("order_gmv").alias("revenue"),
-        micros_between(F.max(ts), F.min(ts)).alias("span"))
-    per_user = users.agg(
-        count_if(F.col("n") >= 2).alias("repeat_customer_count"),
-        ratio(count_if(F.col("n") >= 2), F.count("*")).alias("repeat_purchase_rate"),
-        ratio(F.sum("revenue"), count_if(F.col("revenue") > 0)).alias("customer_lifetime_value"),
-        ratio(F.sum("n"), F.count("*")).alias("average_purchase_frequency"),
-        (ratio(F.sum(F.col("span").cast("decimal(20,0)")), F.sum(F.col("n") - 1)) / MICROS_PER_DAY)
+    s, active = F.sum, count_if(F.col("valid") > 0)
+    return _user_sums(base).agg(
+        *_metric_columns(), ratio(s("gmv"), count_if(F.col("gmv") > 0)).alias("customer_lifetime_value"),
+        ratio(s("valid"), active).alias("average_purchase_frequency"),
+        (ratio(s(F.col("span").cast("decimal(20,0)")), s("valid") - active) / MICROS_PER_DAY)
         .alias("average_repurchase_interval_days"))
-    row = scalar(per_user, *per_user.columns)
-    return base.agg(*_metric_columns("")).select("*", *[row[c].alias(c) for c in per_user.columns])
 
 
 def cohort_filtered(m: Commerce, cohort_from: str, cohort_to: str) -> DataFrame:

@@ -150,7 +150,8 @@ def dq_iqr_summary(m: Commerce) -> DataFrame:
 
 def dq_iqr_extremes(m: Commerce) -> DataFrame:
     values = dq_numeric_long(m)
-    b = fences(values, "actual_value", _FIELD).select(*_FIELD, "lower_bound", "upper_bound")
+    # Five rows; stored, so that callers reading the extremes again do not rank again.
+    b = materialize(fences(values, "actual_value", _FIELD).select(*_FIELD, "lower_bound", "upper_bound"))
     v = F.col("actual_value")
     side = F.when(v < F.col("lower_bound"), "lower").when(v > F.col("upper_bound"), "upper")
     return (values.join(F.broadcast(b), _FIELD)  # five rows: one per field
@@ -160,7 +161,7 @@ def dq_iqr_extremes(m: Commerce) -> DataFrame:
 
 def dq_classify(m: Commerce) -> DataFrame:
     """Extremes and rule violations as data_error, needs_review or true_extreme."""
-    extremes = dq_iqr_extremes(m).select(*_FIELD, "record_key", "actual_value")
+    extremes = materialize(dq_iqr_extremes(m).select(*_FIELD, "record_key", "actual_value"))  # read three times
     evidence = m.orders.select(
         F.col("order_id").cast("string").alias("record_key"), F.lit("orders").alias("source_table"),
         chronology_error().alias("wrong_order"),
