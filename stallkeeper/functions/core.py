@@ -195,48 +195,41 @@ def nearest_rank(df: DataFrame, value: str, probs: Mapping[str, str],
                  by: Sequence[str] = ()) -> DataFrame:
     """Exact nearest-rank quantiles (rank = ceil(p*n)) of a large column.
 
-    One output row per ``by`` group with a column per entry of ``probs`` (name
-    to probability, given as text so that it stays decimal) plus ``value_count``.
+    One output row per ``by`` group with a column per entry of ``probs`` (name to probability,
+    given as text so that it stays decimal) plus ``value_count``, ``min_value``, ``max_value``.
+    ``by`` is meant for a short list, such as the fields of a report.
 
-    No task ever sees a whole group: equal values are collapsed first, the
-    cumulative count runs over magnitude buckets (a few thousand at most), and
-    only the buckets holding a wanted rank are ordered value by value.
+    Two narrow passes, and no task ever sees a whole group: the first counts rows per magnitude
+    bucket (a few thousand at most, merged map-side), the second reads only the buckets that
+    hold a wanted rank, collapses equal values map-side and orders what is left.
     """
-    return rank_values(value_counts(df, value, by), probs, by)
-
-
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values (``_v``) with their number of rows (``_n``) per group."""
-    return (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_n")))
-
-
-def rank_values(counts: DataFrame, probs: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
-    """``nearest_rank`` over values that are already collapsed by ``value_counts``."""
     by = list(by)
-    counts = counts.withColumn("_b", _magnitude_bucket(F.col("_v")))
-    per_bucket = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+    rows = (df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+            .withColumn("_b", _magnitude_bucket(F.col("_v"))))
+    per_bucket = rows.groupBy(*by, "_b").agg(
+        F.count(F.lit(1)).alias("_bn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w_all = W.partitionBy(*by)
     w_cum = w_all.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (per_bucket
-              .withColumn("_cum", F.sum("_bn").over(w_cum))
-              .withColumn("_total", F.sum("_bn").over(w_all)))
+    ranked = (per_bucket.withColumn("_cum", F.sum("_bn").over(w_cum)).withColumn("_total", F.sum("_bn").over(w_all))
+              .withColumn("_min", F.min("_lo").over(w_all)).withColumn("_max", F.max("_hi").over(w_all)))
     targets = F.array(*[
         F.struct(F.lit(name).alias("name"),
                  F.greatest(F.lit(1), F.ceil(F.lit(p).cast("decimal(6,4)") * F.col("_total")))
                  .cast("bigint").alias("rank"))
         for name, p in probs.items()])
+    before = F.col("_cum") - F.col("_bn")
     wanted = (ranked.withColumn("_t", F.explode(targets))
-              .where((F.col("_t.rank") <= F.col("_cum"))
-                     & (F.col("_t.rank") > F.col("_cum") - F.col("_bn")))
-              .select(*by, F.col("_b").alias("_b"), F.col("_t.name").alias("_name"), "_total",
-                      (F.col("_t.rank") - (F.col("_cum") - F.col("_bn"))).alias("_need")))
-    inside = counts.join(wanted, [*by, "_b"])
+              .where((F.col("_t.rank") <= F.col("_cum")) & (F.col("_t.rank") > before))
+              .select(*by, "_b", F.col("_t.name").alias("_name"), "_total", "_min", "_max",
+                      (F.col("_t.rank") - before).alias("_need")))
+    # One row per group and probability: a handful.
+    inside = (rows.join(F.broadcast(wanted), [*by, "_b"]).groupBy(*by, "_name", "_b", "_v").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in ("_need", "_total", "_min", "_max")]))
     w_in = (W.partitionBy(*by, "_name", "_b").orderBy("_v")
             .rowsBetween(W.unboundedPreceding, W.currentRow))
     hit = inside.withColumn("_c", F.sum("_n").over(w_in)).where(F.col("_c") >= F.col("_need"))
     return hit.groupBy(*by).agg(
-        F.max("_total").alias("value_count"),
+        F.max("_total").alias("value_count"), F.max("_min").alias("min_value"), F.max("_max").alias("max_value"),
         *[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in probs])
 
 
@@ -245,12 +238,8 @@ QUARTILES = {"q1": "0.25", "median": "0.5", "q3": "0.75"}
 
 def fences(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles with the 1.5 IQR fences."""
-    return fence_values(value_counts(df, value, by), by)
-
-
-def fence_values(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     spread = F.col("q3") - F.col("q1")
-    return (rank_values(counts, QUARTILES, by)
+    return (nearest_rank(df, value, QUARTILES, by)
             .withColumn("lower_bound", F.col("q1") - 1.5 * spread)
             .withColumn("upper_bound", F.col("q3") + 1.5 * spread))
 

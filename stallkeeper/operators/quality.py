@@ -5,8 +5,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from stallkeeper.functions import (half_up, MICROS_PER_DAY, count_if, dbl, fence_values, fences, literal_rows, materialize,
-                                   micros_between, sum_if, value_counts, with_values)
+from stallkeeper.functions import (half_up, MICROS_PER_DAY, count_if, dbl, fences, literal_rows, materialize,
+                                   micros_between, with_values)
 from stallkeeper.operators.cleaning import chronology_error
 from stallkeeper.sources.model import Commerce
 
@@ -135,23 +135,25 @@ def dq_numeric_long(m: Commerce) -> DataFrame:
 _FIELD = ["source_table", "field_name"]
 
 
+def _field_fences(values: DataFrame) -> DataFrame:
+    """Five rows, one per field; stored, so that no later pass ranks again."""
+    return materialize(fences(values, "actual_value", _FIELD).withColumnRenamed("value_count", "valid_count"))
+
+
 def dq_iqr_summary(m: Commerce) -> DataFrame:
-    """Quartiles, fences and the number of values outside them, per field. The records are
-    collapsed to distinct values once; everything else is read from those."""
-    counts = materialize(value_counts(dq_numeric_long(m), "actual_value", _FIELD))
-    bounds = fence_values(counts, _FIELD).withColumnRenamed("value_count", "valid_count")
-    v = F.col("_v")
-    keep = ["valid_count", "q1", "median", "q3", "lower_bound", "upper_bound"]
-    return (counts.join(F.broadcast(bounds), _FIELD).groupBy(*_FIELD).agg(  # five rows: one per field
-        *[F.max(c).alias(c) for c in keep], F.min(v).alias("min_value"), F.max(v).alias("max_value"),
-        sum_if(v < F.col("lower_bound"), "_n").alias("lower_extreme_count"),
-        sum_if(v > F.col("upper_bound"), "_n").alias("upper_extreme_count")))
+    """Quartiles, fences and the number of values outside them, per field."""
+    values = dq_numeric_long(m).select(*_FIELD, "actual_value")
+    bounds = _field_fences(values)
+    v = F.col("actual_value")
+    keep = [c for c in bounds.columns if c not in _FIELD]
+    return values.join(F.broadcast(bounds), _FIELD).groupBy(*_FIELD).agg(
+        *[F.max(c).alias(c) for c in keep], count_if(v < F.col("lower_bound")).alias("lower_extreme_count"),
+        count_if(v > F.col("upper_bound")).alias("upper_extreme_count"))
 
 
 def dq_iqr_extremes(m: Commerce) -> DataFrame:
     values = dq_numeric_long(m)
-    # Five rows; stored, so that callers reading the extremes again do not rank again.
-    b = materialize(fences(values, "actual_value", _FIELD).select(*_FIELD, "lower_bound", "upper_bound"))
+    b = _field_fences(values).select(*_FIELD, "lower_bound", "upper_bound")
     v = F.col("actual_value")
     side = F.when(v < F.col("lower_bound"), "lower").when(v > F.col("upper_bound"), "upper")
     return (values.join(F.broadcast(b), _FIELD)  # five rows: one per field
