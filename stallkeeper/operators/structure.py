@@ -51,11 +51,12 @@ def order_payment_summary(m: Commerce) -> DataFrame:
     return (order_type_amounts(m).groupBy("order_id").agg(
         F.sum("amount").alias("order_payment_amount"), F.sum("rows").alias("payment_row_count"),
         F.count("*").alias("payment_type_count"),
-        F.min_by(F.struct("payment_type", "amount"), F.struct((-F.col("amount")).alias("a"), "payment_type")).alias("p"),
         F.collect_list(F.struct("payment_type", "amount")).alias("split"))
+        .withColumn("p", F.array_min(F.transform("split", lambda x: F.struct(
+            (-x["amount"]).alias("minus"), x["payment_type"].alias("payment_type")))))
         .withColumn("primary_payment_type", F.col("p.payment_type"))
-        .withColumn("primary_payment_type_amount", F.col("p.amount"))
-        .withColumn("top_type_count", F.size(F.filter("split", lambda x: x["amount"] == F.col("p.amount"))))
+        .withColumn("primary_payment_type_amount", -F.col("p.minus"))
+        .withColumn("top_type_count", F.size(F.filter("split", lambda x: x["amount"] == -F.col("p.minus"))))
         .drop("p"))
 
 
