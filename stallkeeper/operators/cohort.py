@@ -27,11 +27,12 @@ def cohort_monthly(m: Commerce) -> DataFrame:
         half_up(ratio("active_users", "initial_users"), 4).alias("retention_rate"))
 
 
-def cohort_matrix(m: Commerce, months: int) -> DataFrame:
-    """Cohort by month index; ``months`` is the number of index columns (the length of the
-    history). Naming them keeps the pivot a single pass."""
-    return cohort_monthly(m).groupBy("cohort_month").pivot("cohort_index", list(range(months))).agg(
-        F.max("retention_rate"))
+def cohort_matrix(m: Commerce, months: int | None = None) -> DataFrame:
+    """Cohort by month index. The columns follow the history (found by a small job over the
+    few months); ``months`` fixes their number instead, for a caller that knows it."""
+    rates = cohort_monthly(m).groupBy("cohort_month")
+    wide = rates.pivot("cohort_index") if months is None else rates.pivot("cohort_index", list(range(months)))
+    return wide.agg(F.max("retention_rate"))
 
 
 def _first_two(m: Commerce, end: str) -> DataFrame:

@@ -38,7 +38,6 @@ HOLIDAYS = [("Black Friday", 1997, "1997-11-28", "1997-11-28"), ("Black Friday",
 OBSERVED = "2001-07-31"
 OBSERVED_END = "2001-07-31 23:59:59"
 FIRST_DAY = "1995-01-01"
-HISTORY_MONTHS = 79
 GROWTH_WINDOW = ("1995-01", "2001-07")
 AOV_MONTHS = ("2001-01", "2001-07")
 LAST_MONTH = "2001-07"
@@ -90,7 +89,7 @@ _MODEL: dict[str, ModelQuery] = {
         "order_base_audit", "payment_source_reconcile", "installment_audit")},
     # cohorts and lifecycle
     "cohort_monthly": cohort.cohort_monthly,
-    "cohort_matrix": lambda m: cohort.cohort_matrix(m, HISTORY_MONTHS),
+    "cohort_matrix": cohort.cohort_matrix,
     "short_term_repeat": lambda m: cohort.short_term_repeat(m, OBSERVED_END),
     "observation_windows": lambda m: cohort.observation_windows(m, OBSERVED_END),
     "lifecycle_stage": lambda m: cohort.lifecycle_stage_report(m, OBSERVED),
