@@ -19,38 +19,38 @@ from stallkeeper.llm.common import stored
 
 SIZES = (3, 4, 5)
 BITS = 20
-PER_CLASS = 1500     # labelled documents of each class that the fit reads at most
+PER_CLASS = 2000     # labelled documents of each class that the fit reads at most
 THRESHOLD = 0.7
-MEMO = 60_000
 ROUNDS = 60
 RIDGE = 0.02
 
 
-class Grams(dict):
-    """Word to the hashed n-grams of the word between two borders."""
-
-    def __missing__(self, word: str) -> np.ndarray:
-        codes = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        found = []
-        with np.errstate(over="ignore"):
-            for n in SIZES:
-                if len(codes) >= n:
-                    h = np.full(len(codes) - n + 1, n, np.uint64)
-                    for j in range(n):
-                        h = (h ^ codes[j:len(codes) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-                        h ^= h >> np.uint64(29)
-                    found.append((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS))
-        out = np.unique(np.concatenate(found)).astype(np.int32) if found else np.empty(0, np.int32)
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def features(self, text: str | None) -> np.ndarray:
-        """Sorted distinct features of a whole text."""
-        words = set((text or "").lower().split())
-        return np.unique(np.concatenate([self[w] for w in words])) if words else np.empty(0, np.int32)
+def _mix(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    h = (h ^ codes) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Hashed n-grams of the distinct words of a whole text, repeats included; a border is part of its word."""
+    words = set((text or "").lower().split())
+    if not words:
+        return np.empty(0, np.int32)
+    codes = np.frombuffer(f" {' '.join(sorted(words))} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    blank = codes == 32
+    found, h, inner = [], codes, np.zeros(len(codes), bool)
+    with np.errstate(over="ignore"):
+        for n in range(2, SIZES[-1] + 1):
+            if len(codes) < n:
+                break
+            h = _mix(h[:-1], codes[n - 1:])
+            if n > 2:  # windows with a blank inside belong to two words
+                inner = inner[:-1] | blank[n - 2:-1]
+            else:
+                inner = inner[:-1]
+            if n in SIZES:
+                found.append((h[~inner] * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)) >> np.uint64(64 - BITS))
+    return np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
 
 
 @dataclass
@@ -58,8 +58,10 @@ class Model:
     weights: np.ndarray  # of all hashed features, scaled
     bias: float
 
-    def score(self, features: np.ndarray) -> float:
-        z = float(self.weights[features].sum(dtype=np.float64)) + self.bias
+    def score(self, text: str | None) -> float:
+        found = grams(text)
+        telling = np.unique(found[self.weights[found] != 0])
+        z = float(self.weights[telling].sum(dtype=np.float64)) + self.bias
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 
 
@@ -69,9 +71,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams = Grams()
     for batch in batches:
-        found = [grams.features(t.as_py()).tobytes() for t in batch.column("text")]
+        found = [np.unique(grams(t.as_py())).tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.binary())], ["toxic", "features"])
 
 
@@ -133,9 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, model = Grams(), shared.value
+        model = shared.value
         for batch in batches:
-            scores = [model.score(grams.features(t.as_py())) for t in batch.column("_text")]
+            scores = [model.score(t.as_py()) for t in batch.column("_text")]
             rest = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())],
                                              [*batch.schema.names[:-1], "_score"])
