@@ -9,16 +9,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-MEMO = 150_000  # pre-tokens a worker remembers before it starts anew
+from stallkeeper.llm.common import Memo
+
+MEMO = 250_000  # recent pre-tokens of a worker, in each of two generations
 # White space of the Unicode property, spelled out because libraries differ on \s.
+CROWDED = re.compile(r"^ | \s|\s | $").search
+# Patterns whose matches begin with a blank only as its first character and never hold one inside.
+ANCHORED = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -82,67 +89,95 @@ class PerfectHash:
         return at if self.keys[at] == key else -1
 
 
-class Encoder(dict):
-    """Pre-token to the little-endian ids of its tokens; remembers what it has seen, within a bound."""
+class Encoder:
+    """Texts to the little-endian ids of their tokens, and back."""
 
     def __init__(self, path: str, pattern: str):
         import regex
-        super().__init__()
         with open(path, "rb") as f:
             pairs = [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
         self.find = regex.compile(explicit_space(pattern)).findall
+        # The same matches for texts of ASCII only, by the quicker engine.
+        self.find_ascii = re.compile(ascii_only(pattern), re.ASCII).findall
+        self.anchors = pattern in ANCHORED
         self.table = PerfectHash([k for k, _ in pairs])
         rank = dict(pairs)
         self.rank = [rank[k] for k in self.table.keys]
-        self.vocabulary = dict((r, k) for k, r in pairs)
+        self.vocabulary = {r: k for k, r in pairs}
+        self.byte = [rank[bytes([i])] for i in range(256)]
+        # Neighbouring tokens that make a token: for the left one, the right one to the rank.
+        self.joined: list[dict[int, int]] = [{} for _ in range(max(rank.values()) + 1)]
+        for k, r in pairs:
+            for i in range(1, len(k)):
+                if k[:i] in rank and k[i:] in rank:
+                    self.joined[rank[k[:i]]][rank[k[i:]]] = r
+        self.pieces, self.words = Memo(self.piece, MEMO), Memo(self.word, MEMO)
 
     def rank_of(self, piece: bytes) -> int:
         at = self.table.slot(piece)
         return self.rank[at] if at >= 0 else -1
 
-    def __missing__(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
         whole = self.rank_of(raw)
-        ids = [whole] if whole >= 0 else self.merge(raw)
-        if len(self) >= MEMO:
-            self.clear()
-        out = np.array(ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
-
-    def merge(self, raw: bytes) -> list[int]:
-        n = len(raw)
-        end = list(range(1, n + 1))       # end of the part that starts here, 0 once it was merged away
-        before = list(range(-1, n - 1))   # start of the part to the left
-        heap = [(r, i) for i in range(n - 1) if (r := self.rank_of(raw[i:i + 2])) >= 0]
+        return pack("<I", whole) if whole >= 0 else self.merge(raw)
+
+    def merge(self, raw: bytes) -> bytes:
+        n, joined = len(raw), self.joined
+        token = [self.byte[b] for b in raw]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the linked bytes
+        # The heap holds rank * n + place: lowest rank first, then leftmost.
+        heap = [r * n + i for i, (a, b) in enumerate(zip(token, token[1:])) if (r := joined[a].get(b)) is not None]
         heapify(heap)
         while heap:
-            r, i = heappop(heap)
-            middle = end[i]
-            if not middle or middle >= n or self.rank_of(raw[i:end[middle]]) != r:
+            at = heappop(heap)
+            r = at // n
+            i = at - r * n
+            left, right = token[i], after[i]
+            if left < 0 or right >= n or joined[left].get(token[right]) != r:
                 continue  # one of the two has changed since
-            stop = end[i] = end[middle]
-            end[middle] = 0
-            if stop < n:
-                before[stop] = i
-                if (r := self.rank_of(raw[i:end[stop]])) >= 0:
-                    heappush(heap, (r, i))
-            if i and (r := self.rank_of(raw[before[i]:stop])) >= 0:
-                heappush(heap, (r, before[i]))
-        out, at = [], 0
-        while at < n:
-            out.append(self.rank_of(raw[at:end[at]]))
-            at = end[at]
-        return out
+            token[i], token[right] = r, -1
+            right = after[i] = after[right]
+            if right < n:
+                before[right] = i
+                if (more := joined[r].get(token[right])) is not None:
+                    heappush(heap, more * n + i)
+            if (left := before[i]) >= 0 and (more := joined[token[left]].get(r)) is not None:
+                heappush(heap, more * n + left)
+        ids = [t for t in token if t >= 0]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, (self.find_ascii if text.isascii() else self.find)(text)))
+
+    def word(self, run: str) -> bytes:
+        return self.cut(" " + run)
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text or "")))
+        """Where blanks stand alone between other characters, the pattern starts anew at each of them, so the
+        ids of the runs between blanks can be remembered; other texts are cut as a whole."""
+        if not text:
+            return b""
+        if self.anchors and not CROWDED(text):
+            first, *rest = text.split(" ")
+            return self.cut(first) + b"".join(map(self.words.__getitem__, rest))
+        return self.cut(text)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def ascii_only(pattern: str) -> str:
+    """The pattern for ASCII text in the standard engine, which has no Unicode classes."""
+    for name, plain in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9")):
+        out, inside = "", False
+        for part in re.split(r"(\\p\{[LN]\}|[\[\]])", pattern):
+            inside = (inside or part == "[") and part != "]"
+            out += (plain if inside else f"[{plain}]") if part == name else part
+        pattern = out
+    return pattern
+
+
 def explicit_space(pattern: str) -> str:
     """The pattern with every \\s and \\S written out as a class."""
     out, inside, i = [], False, 0

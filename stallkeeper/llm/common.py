@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,7 +42,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Each row as one struct column ``row``, so that no column of a caller's table can clash with one of ours.
+    ``select("row.*")`` brings the columns back."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"))
+
+
 def words_in(text: str | Column) -> Column:
     """Number of words of a text, 0 for a null text."""
     c = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(c, F.lit(BLANK)), F.lit(0)).cast("bigint")
+
+
+class Memo(dict):
+    """What a pure function gave for recent keys: two generations of at most ``limit`` keys each, so that the
+    frequent keys survive and memory is bounded. Long keys are not kept."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int, longest: int = 48):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

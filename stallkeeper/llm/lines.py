@@ -13,9 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from stallkeeper.llm.common import stored
+from stallkeeper.llm.common import packed, stored
 from stallkeeper.llm.components import connected
 
 SHINGLE = 8          # characters
@@ -263,11 +263,10 @@ def report(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, gone in zip(batch.column("_text"), batch.column("_gone")):
+        for text, gone in zip(batch.column("text"), batch.column("gone")):
             drop = set(gone.as_py())
             texts.append("\n".join(x for i, x in enumerate(text.as_py().split("\n")) if i not in drop))
-        rest = [batch.column(i) for i in range(batch.num_columns - 2)]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], [*batch.schema.names[:-2], "_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "cut"])
 
 
 def clean(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -276,19 +275,17 @@ def clean(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     A document of which no word is left, though it had some, goes: all of it stands elsewhere. Documents
     without any line to compare (null, empty or blank texts) stay as they are.
     """
-    columns = docs.columns
     gone = removed(docs, similar).where(F.size("gone") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "n_lines", F.col("gone").alias("_gone"))
-    at = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_dk"))
-    both = docs.join(gone, at, "left")
-    untouched = both.where("_gone is null").select(*[docs[c] for c in columns])
-    touched = both.where(F.size("_gone") < F.col("n_lines"))
-    rest = [c for c in columns if c != "text"]
-    rows = touched.select(*[docs[c] for c in rest], docs["text"].alias("_text"), "_gone")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "_text string"])
-    cut = rows.mapInArrow(_cut, schema)
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.char_length("_text").cast(kinds["n_chars"]))
-    return untouched.unionAll(cut.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`")
-                                           for c in columns]))
+        F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "n_lines", "gone")
+    rows = packed(docs)
+    text = F.col("row.text").cast("string")
+    both = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_dk")), "left")
+    untouched = both.where("gone is null").select("row.*")
+    touched = both.where(F.size("gone") < F.col("n_lines")).select(
+        F.col("row").dropFields("text").alias("row"), text.alias("text"), "gone")
+    cut = touched.mapInArrow(_cut, T.StructType([touched.schema["row"], T.StructField("cut", T.StringType())]))
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    new = {"text": F.col("cut").cast(kinds["text"])}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.char_length("cut").cast(kinds["n_chars"])
+    return untouched.unionAll(cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns]))

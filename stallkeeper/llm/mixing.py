@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallkeeper.llm.common import stored, words_in
+from stallkeeper.llm.common import packed, stored, words_in
 from stallkeeper.llm.ranks import numbered_sources, running
 
 WEIGHTS = (5, 2, 1)
@@ -106,9 +106,8 @@ def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, **options)
              .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("row_key").alias("_k"),
                      F.ceil(F.col("taken") / F.col("size")).alias("_n"))
              .groupBy("_d", "_s", "_k").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows")))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    at = (F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
+    rows = packed(docs).withColumn("_key", F.xxhash64("row.text"))
+    at = (F.col("row.doc_id").eqNullSafe(F.col("_d")) & F.col("row.source").eqNullSafe(F.col("_s"))
           & (F.col("_key") == F.col("_k")))
     repeats = F.ceil(F.col("_n") / F.col("_rows")).cast("int")
-    return (keyed.join(takes, at).withColumn("_copy", F.explode(F.sequence(F.lit(1), repeats)))
-            .select(*[docs[c] for c in docs.columns]))
+    return rows.join(takes, at).withColumn("_copy", F.explode(F.sequence(F.lit(1), repeats))).select("row.*")

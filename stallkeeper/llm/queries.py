@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallkeeper.llm import bpe, lines, mixing, simhash, toxicity, wavelet
+from stallkeeper.llm import ann, bpe, embed_dedup, lines, mixing, pii, sharding, simhash, toxicity, wavelet
 from stallkeeper.llm.common import scratch_path, table, tune
 
 
@@ -20,12 +20,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(tune(spark), sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(tune(spark), sf_dir, "embeddings"))
+
+
+def op5_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(tune(spark), sf_dir, "documents"))
+
+
 def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(tune(spark))
     wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return wavelet.read(spark, path)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(tune(spark), sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(tune(spark), sf_dir, t) for t in ("documents", "labels"))
     docs = docs.select("doc_id", "text")
@@ -49,7 +65,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mixing, op2_simhash, op6_wavelet, op8_toxicity, op9_bpe, op10_lines, pipeline]
+    own = [op1_mixing, op2_simhash, op3_ann, op4_embeddings, op5_kdtree, op6_wavelet, op7_pii, op8_toxicity, op9_bpe,
+           op10_lines, pipeline]
     return {f.__name__: f for f in own}
 
 

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: pigeonhole blocks find candidates, Hamming distances confirm them.
 
 Fingerprints that differ in at most d bits agree on n - d of n blocks of bits, so close pairs share the key
-of at least one choice of n - d blocks. Equal fingerprints are one node. Keys that more than one node holds
+of at least one choice of n - d blocks. Equal fingerprints are one node, named by the fingerprint. Keys that more than one node holds
 are dealt to tasks; a key with many holders is cut into tiles of bounded size, each pair of chunks in one
 task, so no task sees a whole hot key and every pair is still compared. A task reports links only as far
 as they join nodes of its tile that were not joined yet, never all pairs of a group.
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallkeeper.llm.common import stored
+from stallkeeper.llm.common import packed, stored
 from stallkeeper.llm.components import connected
 
 WORDS, BITS, DISTANCE, SEED = 4, 64, 4, 42
@@ -109,7 +109,7 @@ def _close(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "tile", "fp", "id")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "tile", "fp")]
             if left is not None:
                 now = [np.concatenate(x) for x in zip(left, now)]
             last = np.flatnonzero((now[0] == now[0][-1]) & (now[1] == now[1][-1]))[0] if len(now[0]) else 0
@@ -120,8 +120,8 @@ def _close(distance: int):
             yield compare(left)
 
     def compare(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, tile, fp, node = rows
-        fp = fp.view(np.uint64)
+        key, tile, node = rows
+        fp = node.view(np.uint64)
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
         size = np.diff(np.r_[first, len(key)])
         group = np.repeat(np.arange(len(first)), size)
@@ -145,19 +145,19 @@ def _close(distance: int):
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that join nodes (id, fp; fp distinct) within ``distance`` bits into components."""
+    """Links (a, b) that join distinct fingerprints (fp) within ``distance`` bits into components."""
     blocks = block_count(nodes.count(), distance)
-    keys = nodes.select(F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key"), "fp", "id")
+    keys = nodes.select(F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key"), "fp")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / tile).cast("int")
     chunk = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     # A chunk meets every other one in one tile; the tile number is the same from either side.
     other = F.explode(F.when(F.col("_chunks") == 1, F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    dealt = (keys.join(shared, "key").select("key", "fp", "id", chunks.alias("_chunks"), chunk.alias("_chunk"))
+    dealt = (keys.join(shared, "key").select("key", "fp", chunks.alias("_chunks"), chunk.alias("_chunk"))
              .withColumn("_other", other)
              .select("key", (F.least("_chunk", "_other").cast("bigint") * F.col("_chunks")
-                             + F.greatest("_chunk", "_other")).alias("tile"), "fp", "id"))
+                             + F.greatest("_chunk", "_other")).alias("tile"), "fp"))
     return (dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp")
             .mapInArrow(_close(distance), "a bigint, b bigint").distinct())
 
@@ -173,9 +173,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     prints = stored(fingerprints(docs))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     known = nodes.where("id is not null")
-    found = connected(links(known, distance))
-    classes = known.join(found, F.col("id") == F.col("node"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
+    found = connected(links(known.select("fp"), distance))
+    labelled = nodes.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "id", F.coalesce("component", "fp").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
+    classes = labelled.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
@@ -188,8 +190,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     classes = near_duplicates(docs, distance)
     best = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(best.select(F.col("doc_id").alias("_id"), "_rows"), F.col("doc_id") == F.col("_id"))
-    own = [docs[c] for c in docs.columns]
-    once = kept.where("_rows = 1").select(*own)
-    again = kept.where("_rows > 1").select(*own).dropDuplicates(["doc_id", "text"])
-    return once.unionAll(again).unionAll(docs.where("doc_id is null"))
+    kept = packed(docs).join(best.select(F.col("doc_id").alias("_id"), "_rows"), F.col("row.doc_id") == F.col("_id"))
+    once = kept.where("_rows = 1").select("row")
+    again = (kept.where("_rows > 1").withColumn("_text", F.col("row.text")).dropDuplicates(["_id", "_text"])
+             .select("row"))
+    return once.unionAll(again).unionAll(packed(docs).where("row.doc_id is null")).select("row.*")

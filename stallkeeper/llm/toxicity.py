@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stallkeeper.llm.common import stored
+from stallkeeper.llm.common import packed, stored
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -136,24 +136,25 @@ def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            scores = [model.score(t.as_py()) for t in batch.column("_text")]
-            rest = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())],
-                                             [*batch.schema.names[:-1], "_score"])
+            scores = [model.score(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
     return run
 
 
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**BITS weights
+    rows = packed(docs).withColumn("text", F.col("row.text").cast("string"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scores(shared), schema)
+
+
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with the score of each row's text. A null or empty text has the score of no features.
-    Columns named ``name`` are replaced; all others, whatever they are called, are kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**BITS weights
-    kept = [c for c in docs.columns if c != name]
-    rows = docs.select(*[docs[c] for c in kept], docs["text"].cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "_score double"])
-    return rows.mapInArrow(_scores(shared), schema).withColumnRenamed("_score", name)
+    A column called ``name`` is replaced; all others, whatever they are called, are kept."""
+    return _scored(docs, model).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != name],
+                                       F.col("score").alias(name))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with the columns of ``docs``."""
-    scored = score(docs, train(docs, labels), "_toxic")
-    return scored.where(F.col("_toxic") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _scored(docs, train(docs, labels)).where(F.col("score") < threshold).select("row.*")

@@ -8,6 +8,7 @@ From the blob, ``access`` gives the id at a position, ``count`` the occurrences
 """
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,11 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from stallkeeper.llm.common import Memo
+
 END = 2                # closes every document
 SHARD = 1 << 20        # ids of a shard; the document that reaches it is still taken whole
 MAGIC = b"WVM1"
 BLOCK = 512            # bits per running count
-MEMO = 200_000
+MEMO = 200_000         # recent runs of a worker, in each of two generations
+# Fixed by the tokenizer: how it cuts lower-case text into words, here for ASCII.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+PROBES = ("It's", "don't", "We'LL", "x86-64", "(a.b)", "100%", "<|endoftext|>", "~!@#$%^&*()_+{}|:<>?", "Word,word")
 
 
 class WaveletMatrix:
@@ -34,13 +40,14 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, ranks, values = [], [], [], ids
         for level in range(bits - 1, -1, -1):
-            one = (values >> level & 1).astype(bool)
-            plane = np.packbits(one, bitorder="little")
-            planes.append(plane)
-            ranks.append(cls.directory(plane))
-            low = values[~one]
-            zeros.append(len(low))
-            values = np.concatenate([low, values[one]])
+            one = values & ids.dtype.type(1 << level) != 0
+            planes.append(np.packbits(one, bitorder="little"))
+            ranks.append(cls.directory(planes[-1]))
+            zeros.append(len(ids) - int(np.count_nonzero(one)))
+            parted = np.empty_like(values)
+            np.compress(one, values, out=parted[zeros[-1]:])
+            np.compress(~one, values, out=parted[:zeros[-1]])
+            values = parted
         return cls(planes, zeros, ranks, len(ids))
 
     @staticmethod
@@ -153,39 +160,49 @@ def load(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray
             as_array(parts[1], np.uint8).astype(bool), as_array(parts[2], "<i8"))
 
 
-class _Words(dict):
-    """Ids of a run of characters between blanks. The tokenizer drops white space and never joins across it,
-    so a text's ids are those of its runs in turn."""
+class Words:
+    """Ids of a text by the ids of its runs between blanks. The tokenizer drops white space and never joins
+    across it, so a text's ids are those of its runs in turn. A run of plain ASCII is cut into words by the
+    tokenizer's own rule and its model splits each word once; any other run goes through the whole tokenizer."""
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-
-    def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        if len(run) <= 64:
-            self[run] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.bits = max(1, (max(self.tokenizer.get_vocab_size(), END + 1) - 1).bit_length())
+        self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        self.format = "H" if self.bits <= 16 else "I"
+        self.runs, self.words = Memo(self.run, MEMO), Memo(self.word, MEMO)
+        self.split = re.compile(ASCII_WORDS, re.ASCII).findall
+        # The short cut holds for tokenizers that treat a probe alike either way.
+        self.plain = all(b"".join(map(self.word, self.split(x.lower()))) == self.whole(x) for x in PROBES)
+
+    def whole(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def word(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}{self.format}", *ids)
+
+    def run(self, run: str) -> bytes:
+        if self.plain and run.isascii() and run.isprintable():
+            return b"".join(map(self.words.__getitem__, self.split(run.lower())))
+        return self.whole(run)
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        return b"".join(map(self.runs.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
-def words(path: str) -> tuple[_Words, int]:
-    from tokenizers import Tokenizer
-    bits = max(1, (max(Tokenizer.from_file(path).get_vocab_size(), END + 1) - 1).bit_length())
-    return _Words(path, "<u2" if bits <= 16 else "<u4"), bits
+def words(path: str) -> Words:
+    return Words(path)
 
 
 def _shards(path: str, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, seq = TaskContext.get().partitionId(), 0
-        table, bits = words(path)
+        table = words(path)
         end = np.array([END], table.dtype).tobytes()
         ids, texts, held = [], [], 0
 
@@ -193,7 +210,7 @@ def _shards(path: str, shard: int):
             lengths = np.array([len(t) for t in texts]) // len(end)
             values = np.frombuffer(b"".join(texts), table.dtype)
             known = np.array([x is not None for x in ids], bool)
-            blob = dump(WaveletMatrix.build(values, bits), np.array([x or 0 for x in ids], np.int64), known, lengths)
+            blob = dump(WaveletMatrix.build(values, table.bits), np.array([x or 0 for x in ids], np.int64), known, lengths)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([seq], pa.int64()), pa.array([len(values)], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
