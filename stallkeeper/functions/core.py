@@ -1,9 +1,13 @@
 """Helpers that most operators need.
 
-Everything here builds a logical plan only; nothing triggers a job.
+Everything here builds a logical plan only, but for ``materialize``, which runs its input and stores it.
 """
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -139,12 +143,18 @@ def calendar(spark: SparkSession, first: Column, last: Column, step: str, name:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: the shared one the cluster names, else (tests) a local one."""
+    """The shared folder for stored layers: the one set on the context or named in ``spark.checkpoint.dir``.
+
+    Only a local session may do without: it gets a temporary folder that goes when Python ends. Anywhere else
+    executors would each write to a disk of their own, so a missing setting is an error.
+    """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        import tempfile
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="stallkeeper-checkpoint-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path

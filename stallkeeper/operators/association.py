@@ -9,43 +9,36 @@ from stallkeeper.operators.metrics import delivered_orders
 from stallkeeper.sources.model import Commerce
 
 
-def pair_counts(baskets: DataFrame, min_count: int, pair_limit: int = 200) -> DataFrame:
+BLOCK = 256  # items of a basket in one block, about
+
+
+def pair_counts(baskets: DataFrame, min_count: int, block: int = BLOCK) -> DataFrame:
     """Exact number of orders per item pair, for pairs in at least ``min_count`` orders.
 
-    ``baskets`` holds distinct (order_id, item). Items in fewer orders than asked for cannot be
-    part of a frequent pair and are dropped first. Baskets of ordinary size are expanded into
-    pairs. Larger ones never are: their pairs either occur in a small basket too, and are then
-    looked up as candidates, or must reach ``min_count`` among the large baskets alone, so only
-    items found in that many large baskets are paired. A single giant order adds no pair at all.
+    ``baskets`` holds distinct (order_id, item). Items in fewer orders than asked for cannot be part of a
+    frequent pair and are dropped first. A basket's items fall into blocks by hash, one block for an ordinary
+    basket; every pair of blocks meets as a key of its own, so the pairs of a giant basket are spread over
+    tasks, and they are counted map-side.
     """
     per_item = baskets.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
     kept = baskets.join(per_item.select("item"), "item", "left_semi")
-    size = kept.groupBy("order_id").agg(F.count("*").alias("size"))
-    sized = kept.join(size, "order_id")
-    small = sized.where(F.col("size").between(2, pair_limit)).select("order_id", "item")
-    large = sized.where(F.col("size") > pair_limit).select("order_id", "item")
-
-    def pairs(b: DataFrame) -> DataFrame:
-        a = b.select("order_id", F.col("item").alias("a"))
-        z = b.select("order_id", F.col("item").alias("b"))
-        return a.join(z, "order_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-
-    seen = pairs(small)
-    # Candidates from small baskets, counted in the large ones by two key lookups.
-    hits = (seen.select("a", "b").join(large.select(F.col("item").alias("a"), "order_id"), "a")
-            .join(large.select(F.col("item").alias("b"), "order_id"), ["order_id", "b"])
-            .groupBy("a", "b").agg(F.count("*").alias("n")))
-    often = large.groupBy("item").agg(F.count("*").alias("k")).where(F.col("k") >= min_count).select("item")
-    only_large = pairs(large.join(often, "item", "left_semi")).join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    return (seen.unionByName(hits).unionByName(only_large).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    blocks = kept.groupBy("order_id").agg(F.count("*").alias("size")).where("size > 1").select(
+        "order_id", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (kept.join(blocks, "order_id").withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+             .withColumn("other", other))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    left = dealt.where("own <= other").select("order_id", low.alias("low"), high.alias("high"), F.col("item").alias("x"))
+    right = dealt.where("own >= other").select("order_id", low.alias("low"), high.alias("high"), F.col("item").alias("y"))
+    met = left.join(right, ["order_id", "low", "high"]).where("low < high OR x < y")
+    return (met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"))
             .where(F.col("n") >= min_count))
 
 
-def rules(baskets: DataFrame, total_orders, min_count: int, min_confidence: float, min_lift: float,
-          pair_limit: int = 200) -> DataFrame:
+def rules(baskets: DataFrame, total_orders, min_count: int, min_confidence: float, min_lift: float) -> DataFrame:
     """Both directions of every frequent pair that pass the confidence and lift thresholds."""
     support = baskets.groupBy("item").agg(F.count("*").alias("orders"))
-    pairs = pair_counts(baskets, min_count, pair_limit)
+    pairs = pair_counts(baskets, min_count)
     way = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     ways = F.array(way("a", "b"), way("b", "a"))
     both = pairs.select("n", F.explode(ways).alias("w")).select(
@@ -73,9 +66,9 @@ def _total(m: Commerce):
 
 
 def association_product(m: Commerce, min_count: int = 5, min_confidence: float = 0.1, min_lift: float = 1.0,
-                        n: int = 20, pair_limit: int = 200) -> DataFrame:
+                        n: int = 20) -> DataFrame:
     baskets = materialize(category_items(m).select("order_id", F.col("product_id").alias("item")).distinct())
-    top = _top(rules(baskets, _total(m), min_count, min_confidence, min_lift, pair_limit), n)
+    top = _top(rules(baskets, _total(m), min_count, min_confidence, min_lift), n)
     cats = product_categories(m)
     name = lambda side: cats.select(F.col("product_id").alias(f"item_{side}"),
                                     F.col("category_name").alias(f"category_{side}"))

@@ -5,8 +5,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from stallkeeper.functions import count_if, dbl, half_up, month_index, month_of, ratio, scalar
+from stallkeeper.functions import count_if, dbl, half_up, materialize, month_index, month_of, ratio, scalar
 from stallkeeper.operators import cleaning as C
+from stallkeeper.operators.checks import register
 from stallkeeper.operators.metrics import delivered_orders
 from stallkeeper.sources.model import Commerce
 
@@ -43,19 +44,20 @@ def category_order_base(m: Commerce) -> DataFrame:
     return category_orders(m).withColumn("category_sales_amount", dbl("category_sales_amount"))
 
 
-def _sales(m: Commerce) -> DataFrame:
+def _sales(m: Commerce, monthly: DataFrame | None = None) -> DataFrame:
     """One row per category at full precision with the grand total; later windows over it are
-    bounded by the number of categories."""
-    t = category_orders(m).groupBy("category_name").agg(
-        F.sum("category_sales_amount").alias("sales"), F.count("*").alias("category_order_count"),
-        F.sum("category_item_count").alias("item_count"))
+    bounded by the number of categories. ``monthly`` may bring the months by category already summed:
+    an order has one month, so its counts add up."""
+    t = (_monthly(m) if monthly is None else monthly).groupBy("category_name").agg(
+        F.sum("sales").alias("sales"), F.sum("monthly_order_count").alias("category_order_count"),
+        F.sum("monthly_item_count").alias("item_count"))
     a = W.partitionBy()
     return t.withColumn("total", F.sum("sales").over(a)).withColumn(
         "sales_rank", F.row_number().over(a.orderBy(F.desc("sales"), "category_name")).cast("bigint"))
 
 
-def category_sales(m: Commerce) -> DataFrame:
-    return _sales(m).select(
+def category_sales(m: Commerce, monthly: DataFrame | None = None) -> DataFrame:
+    return _sales(m, monthly).select(
         "category_name", dbl("sales").alias("sales_amount"), ratio("sales", "total").alias("sales_share"),
         "category_order_count", "item_count", ratio("sales", "item_count").alias("avg_item_price"),
         ratio("item_count", "category_order_count").alias("items_per_order"), "sales_rank")
@@ -67,8 +69,8 @@ def _monthly(m: Commerce) -> DataFrame:
         F.sum("category_item_count").alias("monthly_item_count"))
 
 
-def category_monthly_sales(m: Commerce) -> DataFrame:
-    return _monthly(m).select(
+def category_monthly_sales(m: Commerce, monthly: DataFrame | None = None) -> DataFrame:
+    return (_monthly(m) if monthly is None else monthly).select(
         "purchase_month", "category_name", dbl("sales").alias("monthly_sales_amount"), "monthly_order_count",
         "monthly_item_count", ratio("sales", "monthly_item_count").alias("avg_item_price"),
         ratio("monthly_item_count", "monthly_order_count").alias("items_per_order"))
@@ -102,11 +104,11 @@ def category_mom(m: Commerce, first_month: str, last_month: str) -> DataFrame:
         F.col("purchase_month").between(first_month, last_month))
 
 
-def category_cmgr(m: Commerce, first_month: str, last_month: str) -> DataFrame:
+def category_cmgr(m: Commerce, first_month: str, last_month: str, monthly: DataFrame | None = None) -> DataFrame:
     """Compound monthly growth per category (only where both end months have sales) and of the
     whole platform. Start and end come from one aggregate over the months."""
-    base = _monthly(m).where(F.col("purchase_month").between(first_month, last_month)).select(
-        "category_name", "purchase_month", "sales")
+    base = (_monthly(m) if monthly is None else monthly).where(
+        F.col("purchase_month").between(first_month, last_month)).select("category_name", "purchase_month", "sales")
     whole = base.groupBy("purchase_month").agg(F.sum("sales").cast("decimal(38,2)").alias("sales")).select(
         F.lit("platform").alias("level"), F.lit("ALL").alias("category_name"), "purchase_month", "sales")
     both = base.select(F.lit("category").alias("level"), "category_name", "purchase_month",
@@ -125,15 +127,17 @@ def category_cmgr(m: Commerce, first_month: str, last_month: str) -> DataFrame:
 def category_class(m: Commerce, first_month: str, last_month: str, margin: float = 0.05) -> DataFrame:
     """Star, potential, stable, declining or emerging, by growth against the platform and sales
     against the median category."""
-    g = category_cmgr(m, first_month, last_month)
+    monthly = materialize(_monthly(m))  # months by categories, all that follows needs
+    g = category_cmgr(m, first_month, last_month, monthly)
     platform = scalar(g.where("level = 'platform'").select("category_cmgr"), "category_cmgr")["category_cmgr"]
-    c = (g.where("level = 'category'").join(category_sales(m).select("category_name", "sales_amount"), "category_name", "left")
+    c = (g.where("level = 'category'").join(category_sales(m, monthly).select("category_name", "sales_amount"), "category_name", "left")
          .withColumn("platform_cmgr", platform))
     a = W.partitionBy()  # one row per category
     # The median is over all categories, also those outside the growth window.
-    median = scalar(category_sales(m).agg(F.percentile("sales_amount", F.lit(0.5)).alias("m")), "m")["m"]
+    median = scalar(category_sales(m, monthly).agg(F.percentile("sales_amount", F.lit(0.5)).alias("m")), "m")["m"]
     v, fast = F.col("category_cmgr"), F.col("category_cmgr") > F.col("platform_cmgr") + margin
     big = F.col("sales_amount") > F.col("median")
+    # Class names.
     kind = (F.when(fast & big, "Star Category").when(fast, "Potential Category").when(v >= 0, "Stable Category")
             .when(v < 0, "Declining Category")
             .when((F.col("start_month") > first_month) & (F.col("end_month") == last_month), "Emerging Category")
@@ -210,42 +214,73 @@ def category_heatmap_topn(m: Commerce, first_month: str, last_month: str, n: int
 
 # ------------------------------------------------------------ audit
 
+# Check, fact, expected fact or number, tolerance.
+LAYER_CHECKS = [
+    ("one row per order and category", "duplicate_order_categories", 0, 0),
+    ("one row per category", "duplicate_categories", 0, 0), ("no blank category", "blank_categories", 0, 0),
+    ("category metrics are valid", "invalid_category_metrics", 0, 0),
+    ("sales ranks follow sales", "sales_rank_mismatches", 0, 0),
+    ("one row per month and category", "duplicate_month_categories", 0, 0),
+    ("monthly metrics are valid", "invalid_monthly_metrics", 0, 0),
+    ("order counts of categories", "order_count_mismatches", 0, 0),
+    ("order counts of months", "monthly_order_count_mismatches", 0, 0),
+    ("item counts of months", "monthly_item_count_mismatches", 0, 0),
+    ("only delivered orders", "non_delivered_orders", 0, 0),
+    ("purchase times are those of the orders", "purchase_timestamp_mismatches", 0, 0),
+    ("sales of categories equal sales of items", "category_sales_amount", "item_base_sales_amount", 0.01),
+    ("sales of months equal sales of items", "monthly_sales_amount", "item_base_sales_amount", 0.01),
+    ("items of categories equal items", "category_item_count", "item_base_rows", 0),
+    ("items of months equal items", "monthly_item_count", "item_base_rows", 0),
+    ("orders of categories equal order-category rows", "category_order_count", "order_category_rows", 0),
+    ("orders of months equal order-category rows", "monthly_order_count", "order_category_rows", 0),
+    ("sales shares add up to 1", "sales_share_sum", 1, 1e-9),
+    ("unknown items are kept", "unknown_item_rows", "unknown_items_of_months", 0),
+    ("unknown category is kept", "unknown_category_rows", "has_unknown_items", 0),
+    ("boundary months are kept", "boundary_month_items", "boundary_item_rows", 0),
+]
+
+
 def category_layer_audit(m: Commerce, boundary_months: list[str]) -> DataFrame:
-    """Grain, reconciliation and unknown-category checks of the category layers. Every layer is
-    reduced to one row of numbers before the rows are brought together."""
-    items, pairs, monthly, sales = category_items(m), category_orders(m), category_monthly_sales(m), category_sales(m)
-    unknown = F.col("category_name") == UNKNOWN
+    """Grain, reconciliation and unknown-category checks of the category layers, each against what it must be.
+    The order-category layer is stored once; every layer is reduced to one row of numbers."""
+    items, pairs = category_items(m), materialize(category_orders(m))
+    months = materialize(_monthly(m))
+    monthly, sales = category_monthly_sales(m, months), category_sales(m, months)
+    unknown, boundary = F.col("category_name") == UNKNOWN, F.col("purchase_month").isin(*boundary_months)
     zero = lambda c: F.coalesce(c, F.lit(0))
     odd = lambda cols: reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+    differ = lambda a, b: count_if(~F.coalesce(F.col(a) == F.col(b), F.lit(False)))
+    by_sales = W.partitionBy().orderBy(F.desc("sales_amount"), "category_name")
+    counted = pairs.groupBy("purchase_month", "category_name").agg(
+        F.count("*").alias("e_orders"), F.sum("category_item_count").alias("e_items"))
     parts = [
         (items, {"item_base_rows": F.count("*"), "item_base_sales_amount": F.sum("price"),
-                 "unknown_item_rows": count_if(unknown)}),
+                 "unknown_item_rows": count_if(unknown), "has_unknown_items": F.max(unknown.cast("int")),
+                 "boundary_item_rows": count_if(boundary)}),
         (pairs.groupBy("order_id", "category_name").agg(F.count("*").alias("n")),
          {"order_category_rows": zero(F.sum("n")), "duplicate_order_categories": count_if(F.col("n") > 1)}),
-        (sales, {"category_count": F.count("*"), "category_sales_amount": F.sum(F.col("sales_amount").cast("decimal(28,2)")),
-                 "category_item_count": F.sum("item_count"), "category_order_count": F.sum("category_order_count"),
-                 "sales_share_sum": half_up(F.sum("sales_share"), 9), "unknown_category_rows": count_if(unknown),
-                 "duplicate_categories": F.count("*") - F.countDistinct("category_name"),
-                 "blank_categories": count_if(F.trim("category_name") == ""),
-                 "invalid_category_metrics": count_if(odd(sales.columns) | (F.col("item_count") <= 0))}),
-        (monthly, {"monthly_category_rows": F.count("*"),
-                   "monthly_sales_amount": F.sum(F.col("monthly_sales_amount").cast("decimal(28,2)")),
+        (sales.withColumn("_rank", F.row_number().over(by_sales)),
+         {"category_sales_amount": F.sum(F.col("sales_amount").cast("decimal(28,2)")),
+          "category_item_count": F.sum("item_count"), "category_order_count": F.sum("category_order_count"),
+          "sales_share_sum": half_up(F.sum("sales_share"), 9), "unknown_category_rows": count_if(unknown),
+          "duplicate_categories": F.count("*") - F.countDistinct("category_name"),
+          "blank_categories": count_if(F.trim("category_name") == ""), "sales_rank_mismatches": differ("_rank", "sales_rank"),
+          "invalid_category_metrics": count_if(odd(sales.columns) | (F.col("item_count") <= 0))}),
+        (monthly, {"monthly_sales_amount": F.sum(F.col("monthly_sales_amount").cast("decimal(28,2)")),
                    "monthly_item_count": F.sum("monthly_item_count"), "monthly_order_count": F.sum("monthly_order_count"),
-                   "unknown_monthly_rows": count_if(unknown),
-                   "boundary_month_rows": count_if(F.col("purchase_month").isin(*boundary_months)),
+                   "unknown_items_of_months": zero(F.sum(F.when(unknown, F.col("monthly_item_count")))),
+                   "boundary_month_items": zero(F.sum(F.when(boundary, F.col("monthly_item_count")))),
                    "duplicate_month_categories": F.count("*") - F.countDistinct("purchase_month", "category_name"),
                    "invalid_monthly_metrics": count_if(odd(monthly.columns)
                                                        | ~F.col("purchase_month").rlike("^[0-9]{4}-[0-9]{2}$"))}),
+        (counted.join(monthly, ["purchase_month", "category_name"], "outer"),
+         {"monthly_order_count_mismatches": differ("e_orders", "monthly_order_count"),
+          "monthly_item_count_mismatches": differ("e_items", "monthly_item_count")}),
         (pairs.groupBy("category_name").agg(F.count("*").alias("e")).join(sales, "category_name", "outer"),
-         {"order_count_mismatches": count_if(~F.coalesce(F.col("e") == F.col("category_order_count"), F.lit(False)))}),
+         {"order_count_mismatches": differ("e", "category_order_count")}),
         (items.select("order_id", "purchase_timestamp").distinct().join(
             m.orders_core.select("order_id", "order_status", "order_purchase_timestamp"), "order_id"),
          {"non_delivered_orders": count_if(F.col("order_status") != "delivered"),
           "purchase_timestamp_mismatches": count_if(F.col("purchase_timestamp") != F.col("order_purchase_timestamp"))}),
     ]
-    out = []
-    for df, numbers in parts:
-        one = df.agg(*[dbl(v).alias(k) for k, v in numbers.items()])
-        cells = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(k).alias("value")) for k in numbers])
-        out.append(one.select(F.explode(cells).alias("c")).select("c.*"))
-    return reduce(DataFrame.unionByName, out)
+    return register(parts, LAYER_CHECKS)

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from stallkeeper.functions import count_if, dbl, flag, half_up, micros_between, ratio, scalar
+from stallkeeper.functions import count_if, dbl, flag, half_up, materialize, micros_between, ratio, scalar
 from stallkeeper.operators.cleaning import latest_review, valid_reviews
 from stallkeeper.operators.customers import calendar_day_types, day_type_column, observed_orders
 from stallkeeper.operators.structure import order_payment_summary
@@ -192,9 +192,10 @@ def churn_by_first_month(m: Commerce, observation_date: str) -> DataFrame:
 
 def cramers_v(cells: DataFrame, feature: str) -> DataFrame:
     """Cramer's V of a contingency table given as (row, column, n). Cells that never occur
-    still count: they are completed from the two short margins."""
+    still count: they are completed from the two short margins. ``cells`` is read three times: pass a stored one.
+    Rows are meant to be few (here two)."""
     rows = cells.groupBy("row").agg(F.sum("n").alias("rt"))
-    cols = cells.groupBy("column").agg(F.sum("n").alias("ct"), F.collect_set("row").alias("have"))
+    cols = cells.groupBy("column").agg(F.sum("n").alias("ct"))
     s = scalar(rows.agg(F.sum("rt").alias("n"), F.count("*").alias("r"), F.collect_list(F.struct("row", "rt")).alias("rows")),
                "n", "r", "rows")
     grid = (cols.withColumn("s", s).withColumn("x", F.explode("s.rows"))
@@ -221,7 +222,7 @@ def churn_association(m: Commerce, observation_date: str, start_date: str) -> Da
     state = churn_by_state(m, observation_date).select(
         F.col("customer_state").alias("column"), F.explode(halves).alias("h")).select("h.row", "column", "h.n")
     parts = [("Primary Payment Type", pay), ("Customer State", state), ("Weekday / Weekend", day)]
-    return reduce(DataFrame.unionByName, [cramers_v(df, name) for name, df in parts])
+    return reduce(DataFrame.unionByName, [cramers_v(materialize(df), name) for name, df in parts])
 
 
 # Report names of the compared features.

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from stallkeeper.functions import (MICROS_PER_DAY, count_if, dbl, half_up, micros_between,
+from stallkeeper.functions import (MICROS_PER_DAY, count_if, dbl, half_up, materialize, micros_between,
                                    month_index, ratio, scalar)
 from stallkeeper.operators.customers import customer_order_base, customer_profile, observed_orders
 from stallkeeper.operators.metrics import cohort_counts
@@ -28,9 +28,10 @@ def cohort_monthly(m: Commerce) -> DataFrame:
 
 
 def cohort_matrix(m: Commerce, months: int | None = None) -> DataFrame:
-    """Cohort by month index. The columns follow the history (found by a small job over the
-    few months); ``months`` fixes their number instead, for a caller that knows it."""
-    rates = cohort_monthly(m).groupBy("cohort_month")
+    """Cohort by month index. The columns follow the history, found in the stored series of months;
+    ``months`` fixes their number instead, for a caller that knows it."""
+    series = cohort_monthly(m)
+    rates = (series if months is not None else materialize(series)).groupBy("cohort_month")
     wide = rates.pivot("cohort_index") if months is None else rates.pivot("cohort_index", list(range(months)))
     return wide.agg(F.max("retention_rate"))
 
@@ -79,13 +80,17 @@ def observation_windows(m: Commerce, end: str, windows: Sequence[int] = WINDOWS)
 
 # ------------------------------------------------------------ lifecycle
 
-def stage(recency, orders, lifetime):
+DORMANT_AFTER, NEW_UNTIL, GROWING_UNTIL = 90, 30, 180  # days
+
+
+def stage(recency, orders, lifetime, dormant_after: int = DORMANT_AFTER, new_until: int = NEW_UNTIL,
+          growing_until: int = GROWING_UNTIL):
     """Exclusive stages; dormancy is tested first."""
-    return (F.when(recency > 90, DORMANT).when((orders == 1) & (recency <= 30), NEW).when(orders == 1, EARLY)
-            .when((orders >= 2) & (lifetime <= 180), GROWING).when(orders >= 2, MATURE).otherwise("UNCLASSIFIED"))
+    return (F.when(recency > dormant_after, DORMANT).when((orders == 1) & (recency <= new_until), NEW)
+            .when(orders == 1, EARLY).when((orders >= 2) & (lifetime <= growing_until), GROWING).when(orders >= 2, MATURE).otherwise("UNCLASSIFIED"))
 
 
-def lifecycle_stage(m: Commerce, observation_date: str) -> DataFrame:
+def lifecycle_stage(m: Commerce, observation_date: str, **limits: int) -> DataFrame:
     """Official stages: orders up to the observation date, whole days."""
     users = observed_orders(m, observation_date).groupBy("customer_unique_id").agg(
         F.min("purchase_date").alias("first_purchase_date"), F.max("purchase_date").alias("last_purchase_date"),
@@ -95,7 +100,7 @@ def lifecycle_stage(m: Commerce, observation_date: str) -> DataFrame:
                              F.date_diff("last_purchase_date", "first_purchase_date").cast("bigint"))
             .withColumn("recency_days", F.date_diff(when, F.col("last_purchase_date")).cast("bigint"))
             .withColumn("lifecycle_stage", stage(F.col("recency_days"), F.col("valid_order_count"),
-                                                 F.col("customer_lifecycle_days")))
+                                                 F.col("customer_lifecycle_days"), **limits))
             .withColumn("observation_date", F.lit(observation_date)))
 
 

@@ -290,8 +290,13 @@ def order_base_audit(m: Commerce, observation_date: str) -> DataFrame:
             "paid": count_if(before & (F.col("is_paid_order") == 1)),
             "no_gmv": count_if(before & (F.col("order_gmv") <= 0))}.items()])
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    # The base leaves out orders without a user, so those are counted in front of it.
+    nobody = F.col("customer_unique_id").isNull() | (F.trim(F.col("customer_unique_id").cast("string")) == "")
+    missing = (m.orders_core.where(F.col("order_status") == "delivered").join(
+        m.customers.select("customer_id", "customer_unique_id"), "customer_id", "left").agg(
+        count_if(nobody).alias("missing")))
     return users.agg(
-        total("rows").alias("row_count"), count_if(F.col("customer_unique_id").isNull()).alias("missing_users"),
+        total("rows").alias("row_count"), F.max(scalar(missing, "missing")["missing"]).alias("missing_users"),
         F.min("first").alias("first_purchase"), F.max("last").alias("last_purchase"),
         total("before").alias("orders_before_cutoff"), (total("rows") - total("before")).alias("orders_after_cutoff"),
         count_if(F.col("b")).alias("users_before_cutoff"), total("no_state").alias("missing_state"),

@@ -33,6 +33,7 @@ def growth_mom_yoy(m: Commerce) -> DataFrame:
                    for c in METRICS for n, k in (("mom", 1), ("yoy", 12))])
 
 
+# The texts in the two functions below are fixed values of the reports.
 def growth_driver(m: Commerce) -> DataFrame:
     """What moved GMV in months it grew; compares with the previous observed month."""
     before = {c: F.lag(c).over(_by_month()) for c in ("gmv", "order_count", "average_order_value")}
@@ -246,11 +247,11 @@ def regime_segmentation(m: Commerce, boundary_months: list[str], min_length: int
     solutions = [best.where("end = n").withColumn("stages", F.lit(1))]
     for k in range(2, max_stages + 1):
         step = best.select(key, F.col("end").alias("start"), "sse", "ends").join(cost, [key, "start"])
-        best = step.groupBy(key, "n", "end").agg(
+        best = materialize(step.groupBy(key, "n", "end").agg(
             F.min_by(F.struct((F.col("sse") + F.col("cost")).alias("sse"),
                               F.concat("ends", F.array("end")).alias("ends")),
                      F.struct((F.col("sse") + F.col("cost")).alias("v"), F.col("start").alias("at"))).alias("b")).select(
-            key, "n", "end", "b.sse", "b.ends")
+            key, "n", "end", "b.sse", "b.ends"))
         solutions.append(best.where("end = n").withColumn("stages", F.lit(k)))
     dims = len(REGIME_METRICS)
     fit = F.greatest(F.col("sse"), F.lit(2.220446049250313e-16)) / (F.col("n") * dims)

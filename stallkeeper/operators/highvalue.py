@@ -85,11 +85,16 @@ def _flags(m: Commerce, observation_date: str) -> DataFrame:
     return user_value_base(m, observation_date).select(USER, "is_high_value_user")
 
 
+def _unfold(cells: DataFrame) -> DataFrame:
+    """Cells once per group they belong to: all users, and those of high value."""
+    member = F.array_compact(F.array(F.lit(GROUPS[0]), F.when(F.col("is_high_value_user") == 1, GROUPS[1])))
+    return cells.withColumn("group", F.explode(member))
+
+
 def _grouped(cells: DataFrame, m: Commerce, observation_date: str) -> DataFrame:
     """User-level cells once per group the user belongs to. The cells are pre-aggregated, so the
     join meets at most a few rows per user and the explode copies no order rows."""
-    member = F.array_compact(F.array(F.lit(GROUPS[0]), F.when(F.col("is_high_value_user") == 1, GROUPS[1])))
-    return cells.join(_flags(m, observation_date), USER).withColumn("group", F.explode(member))
+    return _unfold(cells.join(_flags(m, observation_date), USER))
 
 
 def order_payments(m: Commerce) -> DataFrame:
@@ -139,13 +144,18 @@ def _payment_cells(m: Commerce, observation_date: str) -> DataFrame:
 
 
 def payment_behavior_groups(m: Commerce, observation_date: str) -> DataFrame:
-    g = materialize(_grouped(_payment_cells(m, observation_date), m, observation_date))  # user-level cells, read 3 times
+    flags = _flags(m, observation_date)
+    cells = (_payment_cells(m, observation_date).join(flags, USER).groupBy(
+        "is_high_value_user", "is_paid_order", "main_payment_installments", "installment_status", "is_mixed_payment_order")
+        .agg(F.sum("orders").alias("orders"), F.sum("gmv").alias("gmv")))
+    g = _unfold(materialize(cells))  # a few hundred rows
     paid = F.col("is_paid_order") == 1
     n = lambda c: sum_if(c, "orders")
     kind = lambda k: n(paid & (F.col("installment_status") == k))
     i = F.col("main_payment_installments")
-    # Per user first, so that users are counted without a distinct over orders.
-    users = g.groupBy("group", USER).agg(F.lit(1).alias("one")).groupBy("group").agg(F.count("*").alias("users"))
+    # The flags have one row per user with an observed order.
+    users = _unfold(flags.groupBy("is_high_value_user").agg(F.count("*").alias("n"))).groupBy("group").agg(
+        F.sum("n").alias("users"))
     values = g.where(paid).groupBy("group", i).agg(F.sum("orders").alias("orders"))
     mid = values.groupBy("group").agg(
         ratio(F.sum(i * F.col("orders")), sum_if(i.isNotNull(), "orders")).alias("average_main_payment_installments"),

@@ -1,6 +1,7 @@
 """Words and word pairs of one-star texts per category."""
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,31 +10,49 @@ from stallkeeper.operators.category import satisfaction
 
 # Portuguese stop words, accents removed.
 STOP_WORDS = (
-    "a ao aos aquela aquelas aquele aqueles aquilo as ate com como da das de dela delas dele deles depois do dos e "
-    "ela elas ele eles em entre era eram essa essas esse esses esta estao estas estava estavam este estes eu foi foram "
-    "ha isso isto ja mais mas me mesmo meu meus minha minhas muito na nao nas nem no nos nossa nossas nosso nossos num "
-    "numa o os ou para pela pelas pelo pelos por porque que quem se sem ser seu seus so sua suas tambem tem tendo tenho "
-    "ter teve um uma umas uns voce voces").split()
+    "a", "ao", "aos", "aquela", "aquelas", "aquele", "aqueles", "aquilo", "as", "ate", "com", "como", "da", "das",
+    "de", "dela", "delas", "dele", "deles", "depois", "do", "dos", "e", "ela", "elas", "ele", "eles", "em", "entre",
+    "era", "eram", "essa", "essas", "esse", "esses", "esta", "estao", "estas", "estava", "estavam", "este", "estes",
+    "eu", "foi", "foram", "ha", "isso", "isto", "ja", "mais", "mas", "me", "mesmo", "meu", "meus", "minha",
+    "minhas", "muito", "na", "nao", "nas", "nem", "no", "nos", "nossa", "nossas", "nosso", "nossos", "num", "numa",
+    "o", "os", "ou", "para", "pela", "pelas", "pelo", "pelos", "por", "porque", "que", "quem", "se", "sem", "ser",
+    "seu", "seus", "so", "sua", "suas", "tambem", "tem", "tendo", "tenho", "ter", "teve", "um", "uma", "umas",
+    "uns", "voce", "voces")
 
 
-def _accent_table() -> tuple[str, str]:
-    """Accented Latin letters and the plain letter each one decomposes to."""
-    source, target = [], []
-    for code in (*range(0xAA, 0x250), *range(0x1E00, 0x1F00)):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and "a" <= plain <= "z":
-            source.append(chr(code))
-            target.append(plain)
-    return "".join(source), "".join(target)
+def _folds() -> tuple[dict[str, str], dict[str, str], str]:
+    """What compatibility decomposition makes of every character: those that become one plain letter, those that
+    become several characters with a letter among them, and the class of combining marks, which vanish."""
+    single, several, marks = {}, {}, []
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(code)
+        if unicodedata.combining(c):
+            if marks and marks[-1][1] == code - 1:
+                marks[-1][1] = code
+            else:
+                marks.append([code, code])
+            continue
+        parts = unicodedata.normalize("NFKD", c)
+        if parts != c:
+            plain = "".join(x for x in parts if not unicodedata.combining(x))
+            if any("a" <= x <= "z" for x in plain):
+                (single if len(plain) == 1 else several)[c] = plain
+    return single, several, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in marks) + "]"
+
+
+SINGLE, SEVERAL, MARKS = _folds()
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of at least two letters, accents folded, stop words removed."""
-    source, target = _accent_table()
-    plain = F.translate(F.regexp_replace(F.lower(text), "[\\u0300-\\u036f]", ""), source, target)
-    words = F.split(F.regexp_replace(plain, "[^a-z]+", " "), " ")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    """Lower-case words of at least two letters, accents and other letter forms folded, stop words removed."""
+    low = F.lower(text)
+    wide = low
+    for c, plain in SEVERAL.items():
+        wide = F.replace(wide, F.lit(c), F.lit(plain))
+    low = F.when(low.rlike("[" + "".join(SEVERAL) + "]"), wide).otherwise(low)
+    folded = F.translate(F.regexp_replace(low, MARKS, ""), "".join(SINGLE), "".join(SINGLE.values()))
+    words = F.split(F.regexp_replace(folded, "[^a-z]+", " "), " ")
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
 
 
 def negative_keywords(reviews: DataFrame, min_reviews: int = 30) -> DataFrame:

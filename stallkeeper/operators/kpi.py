@@ -160,6 +160,7 @@ def holiday_windows(m: Commerce, holidays: list[tuple], window_days: int = 7) ->
     is_pre = F.col("period_type") == "PRE"
     before = lambda c: F.max(F.when(is_pre, F.col(c))).over(w)
     formal = ~is_pre & F.col("complete") & before("complete")
+    # Status and note texts.
     status = (F.when(is_pre & F.col("complete"), "Complete baseline").when(is_pre, "Incomplete baseline")
               .when(formal, "Validated").otherwise("Observed-only; formal comparison unavailable"))
     note = (F.when(F.col("complete"), "Complete").when(F.col("observed_day_count") == 0, "No observed dates")

@@ -73,7 +73,7 @@ def _score(value, row, names, best_first: bool):
     return out.otherwise(1 if best_first else 5).cast("bigint")
 
 
-def rfm_detail(m: Commerce, observation_date: str) -> DataFrame:
+def rfm_detail(m: Commerce, observation_date: str, high_score: int = 4) -> DataFrame:
     """Scores, code and segment per user. Boundaries enter as scalar rows: scoring the users is
     a projection without any join (a join on frequency would send all one-order users to one task)."""
     base = materialize(rfm_base(m, observation_date))  # one row per user, read four times
@@ -87,7 +87,7 @@ def rfm_detail(m: Commerce, observation_date: str) -> DataFrame:
         *base.columns, _score("recency_days", F.col("_r"), labels, True).alias("r_score"),
         _score("frequency", F.col("_f"), ["F1", "F2", "F3", "F4"], False).alias("f_score"),
         _score("monetary", F.col("_m"), labels, False).alias("m_score"))
-    R, Fq, M = F.col("r_score") >= 4, F.col("f_score") >= 4, F.col("m_score") >= 4
+    R, Fq, M = (F.col(c) >= high_score for c in ("r_score", "f_score", "m_score"))
     order = (F.when(R & Fq & M, 1).when(R & ~Fq & M, 2).when(~R & Fq & M, 3).when(~R & ~Fq & M, 4)
              .otherwise(5).cast("bigint"))
     names = F.array(*[F.lit(s) for s in SEGMENTS])

@@ -49,8 +49,10 @@ SELECT level, category_name, start_month, end_month, start_sales, end_sales, n A
 FROM (SELECT *, date_diff('month', CAST(start_month || '-01' AS DATE), CAST(end_month || '-01' AS DATE)) AS n
       FROM (SELECT CASE WHEN grouping(category_name) = 1 THEN 'platform' ELSE 'category' END AS level, coalesce(category_name, 'ALL') AS category_name,
                    min(purchase_month) AS start_month, max(purchase_month) AS end_month,
-                   CAST(sum(sales) FILTER (purchase_month = lo) AS DOUBLE) AS start_sales, CAST(sum(sales) FILTER (purchase_month = hi) AS DOUBLE) AS end_sales
-            FROM (SELECT *, CAST(min(purchase_month) OVER (PARTITION BY category_name) AS VARCHAR) AS lo, max(purchase_month) OVER (PARTITION BY category_name) AS hi
+                   CAST(CASE WHEN grouping(category_name) = 1 THEN sum(sales) FILTER (purchase_month = all_lo) ELSE sum(sales) FILTER (purchase_month = lo) END AS DOUBLE) AS start_sales,
+                   CAST(CASE WHEN grouping(category_name) = 1 THEN sum(sales) FILTER (purchase_month = all_hi) ELSE sum(sales) FILTER (purchase_month = hi) END AS DOUBLE) AS end_sales
+            FROM (SELECT *, CAST(min(purchase_month) OVER (PARTITION BY category_name) AS VARCHAR) AS lo, max(purchase_month) OVER (PARTITION BY category_name) AS hi,
+                         min(purchase_month) OVER () AS all_lo, max(purchase_month) OVER () AS all_hi
                   FROM (SELECT category_name, purchase_month, sales FROM cmonths WHERE purchase_month BETWEEN '1995-01' AND '2001-07'))
             GROUP BY GROUPING SETS ((category_name), ())))
 
@@ -95,20 +97,32 @@ ORDER BY total_sales DESC, category_name LIMIT 15
 SELECT count(*) AS n, sum(price) AS s, count(*) FILTER (category_name = 'unknown') AS u FROM citems
 
 -- @query category_layer_audit
-SELECT 'item_base_rows' AS check_name, n::DOUBLE AS value FROM citem_numbers UNION ALL
-SELECT 'item_base_sales_amount', s::DOUBLE FROM citem_numbers UNION ALL
-SELECT 'unknown_item_rows', u::DOUBLE FROM citem_numbers UNION ALL
-SELECT unnest(['order_category_rows', 'category_order_count', 'monthly_order_count']), count(*)::DOUBLE FROM corders UNION ALL
-SELECT 'category_count', count(*)::DOUBLE FROM csales UNION ALL
-SELECT unnest(['category_sales_amount', 'monthly_sales_amount']), sum(sales)::DOUBLE FROM cmonths UNION ALL
-SELECT unnest(['category_item_count', 'monthly_item_count']), sum(items)::DOUBLE FROM cmonths UNION ALL
-SELECT 'sales_share_sum', 1.0::DOUBLE UNION ALL
-SELECT 'unknown_category_rows', count(*)::DOUBLE FROM csales WHERE category_name = 'unknown' UNION ALL
-SELECT 'monthly_category_rows', count(*)::DOUBLE FROM cmonths UNION ALL
-SELECT 'unknown_monthly_rows', count(*)::DOUBLE FROM cmonths WHERE category_name = 'unknown' UNION ALL
-SELECT 'boundary_month_rows', count(*)::DOUBLE FROM cmonths WHERE purchase_month IN ('1995-01', '2001-07') UNION ALL
-SELECT unnest(['duplicate_order_categories', 'duplicate_categories', 'blank_categories', 'invalid_category_metrics', 'duplicate_month_categories', 'invalid_monthly_metrics',
-               'order_count_mismatches', 'non_delivered_orders', 'purchase_timestamp_mismatches']), 0.0::DOUBLE
+SELECT check_id, check_name, half_up(a, 6) AS actual_value, half_up(e, 6) AS expected_value, tolerance, half_up(half_up(a, 6) - half_up(e, 6), 6) AS difference,
+       CASE WHEN abs(half_up(half_up(a, 6) - half_up(e, 6), 6)) <= tolerance THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (SELECT unnest([
+    {'check_id': 'V01', 'check_name': 'one row per order and category', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V02', 'check_name': 'one row per category', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V03', 'check_name': 'no blank category', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V04', 'check_name': 'category metrics are valid', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V05', 'check_name': 'sales ranks follow sales', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V06', 'check_name': 'one row per month and category', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V07', 'check_name': 'monthly metrics are valid', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V08', 'check_name': 'order counts of categories', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V09', 'check_name': 'order counts of months', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V10', 'check_name': 'item counts of months', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V11', 'check_name': 'only delivered orders', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V12', 'check_name': 'purchase times are those of the orders', 'a': 0::DOUBLE, 'e': 0::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V13', 'check_name': 'sales of categories equal sales of items', 'a': (SELECT sum(sales) FROM csales)::DOUBLE, 'e': (SELECT s FROM citem_numbers)::DOUBLE, 'tolerance': 0.01::DOUBLE},
+    {'check_id': 'V14', 'check_name': 'sales of months equal sales of items', 'a': (SELECT sum(sales) FROM cmonths)::DOUBLE, 'e': (SELECT s FROM citem_numbers)::DOUBLE, 'tolerance': 0.01::DOUBLE},
+    {'check_id': 'V15', 'check_name': 'items of categories equal items', 'a': (SELECT sum(items) FROM cmonths)::DOUBLE, 'e': (SELECT n FROM citem_numbers)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V16', 'check_name': 'items of months equal items', 'a': (SELECT sum(items) FROM cmonths)::DOUBLE, 'e': (SELECT n FROM citem_numbers)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V17', 'check_name': 'orders of categories equal order-category rows', 'a': (SELECT count(*) FROM corders)::DOUBLE, 'e': (SELECT count(*) FROM corders)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V18', 'check_name': 'orders of months equal order-category rows', 'a': (SELECT count(*) FROM corders)::DOUBLE, 'e': (SELECT count(*) FROM corders)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V19', 'check_name': 'sales shares add up to 1', 'a': 1::DOUBLE, 'e': 1::DOUBLE, 'tolerance': 1e-09::DOUBLE},
+    {'check_id': 'V20', 'check_name': 'unknown items are kept', 'a': (SELECT u FROM citem_numbers)::DOUBLE, 'e': (SELECT coalesce(sum(items) FILTER (category_name = 'unknown'), 0) FROM cmonths)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V21', 'check_name': 'unknown category is kept', 'a': (SELECT count(*) FROM csales WHERE category_name = 'unknown')::DOUBLE, 'e': (SELECT CAST(u > 0 AS INTEGER) FROM citem_numbers)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V22', 'check_name': 'boundary months are kept', 'a': (SELECT coalesce(sum(items) FILTER (purchase_month IN ('1995-01', '2001-07')), 0) FROM cmonths)::DOUBLE, 'e': (SELECT count(*) FILTER (purchase_month IN ('1995-01', '2001-07')) FROM citems)::DOUBLE, 'tolerance': 0::DOUBLE}
+], recursive := true))
 
 -- @layer rules_of
 SELECT kind, order_id, item FROM (SELECT DISTINCT 'product' AS kind, order_id, CAST(product_id AS VARCHAR) AS item FROM citems) UNION ALL

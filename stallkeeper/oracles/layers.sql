@@ -51,10 +51,10 @@ SELECT o_orderkey AS order_id, o_custkey AS customer_id,
 FROM orders LEFT JOIN m_shipping ON l_orderkey = o_orderkey
 
 -- @layer m_lines
-SELECT *, concat_ws('-', l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'),
-         CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT),
-         CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT),
-         l_returnflag, l_linestatus) AS line_key,
+SELECT *, CAST(row_number() OVER (
+         PARTITION BY l_orderkey
+         ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax,
+                  l_returnflag, l_linestatus) AS INTEGER) AS line_key,
        CAST(l_quantity AS BIGINT) AS qty, CAST(l_extendedprice AS DECIMAL(18,2)) AS list_price
 FROM lineitem
 
@@ -78,7 +78,7 @@ SELECT l_partkey * 8 + l_linenumber AS review_id, l_orderkey AS order_id,
        CASE WHEN (l_linenumber + qty) % 6 <= 2 THEN 'late item ' || (l_partkey % 10) END AS review_comment_message,
        l_shipdate AS review_creation_date,
        l_shipdate + to_days(CAST(1 + qty % 4 AS INTEGER)) AS review_answer_timestamp
-FROM m_lines WHERE l_linenumber <= 3
+FROM m_lines
 
 -- @layer m_documents
 SELECT d.doc_id AS order_id, d.lang AS category_name,

@@ -12,28 +12,38 @@ SELECT 'sellers', count(*) FROM m_sellers
 -- @query numeric_contract
 SELECT t AS table_name, c AS column_name, count(*) FILTER (isnan(v) OR isinf(v)) AS non_finite,
        count(*) FILTER (k AND v <> floor(v)) AS fractional
-FROM (SELECT 'geolocation' AS t, unnest(['geolocation_lat', 'geolocation_lng']) AS c, false AS k,
-             unnest([geolocation_lat, geolocation_lng]) AS v FROM m_geolocation UNION ALL
-      SELECT 'order_items', unnest(['price', 'freight_value']), false, unnest([price::DOUBLE, freight_value::DOUBLE]) FROM m_items UNION ALL
-      SELECT 'order_payments', 'payment_value', false, payment_value::DOUBLE FROM m_payments UNION ALL
-      SELECT 'order_payments', 'payment_installments', true, payment_installments::DOUBLE FROM m_payments UNION ALL
-      SELECT 'order_reviews', 'review_score', true, review_score::DOUBLE FROM m_reviews UNION ALL
-      SELECT 'products', unnest(['product_name_lenght', 'product_description_lenght', 'product_photos_qty', 'product_weight_g',
-             'product_length_cm', 'product_height_cm', 'product_width_cm']), true,
-             unnest([product_name_lenght::DOUBLE, product_description_lenght, product_photos_qty, product_weight_g,
-                     product_length_cm, product_height_cm, product_width_cm]) FROM m_products)
+FROM (SELECT 'lineitem' AS t, unnest(['l_quantity', 'l_linenumber']) AS c, true AS k,
+             unnest([l_quantity, l_linenumber::DOUBLE]) AS v FROM lineitem UNION ALL
+      SELECT 'lineitem', unnest(['l_extendedprice', 'l_discount', 'l_tax']), false,
+             unnest([l_extendedprice, l_discount, l_tax]) FROM lineitem UNION ALL
+      SELECT 'part', 'p_size', true, p_size::DOUBLE FROM part)
 GROUP BY ALL
 
 -- @query pk_contract
-SELECT 'customers' AS table_name, count(*) AS row_count, count(DISTINCT customer_id) AS distinct_keys,
-       count(*) FILTER (customer_id IS NULL) AS null_keys, 0::BIGINT AS repeated_keys FROM m_customers UNION ALL
-SELECT 'products', count(*), count(DISTINCT product_id), 0, 0 FROM m_products UNION ALL
-SELECT 'sellers', count(*), count(DISTINCT seller_id), 0, 0 FROM m_sellers UNION ALL
-SELECT 'product_category_name_translation', count(*), count(DISTINCT product_category_name), 0, 0 FROM m_translation UNION ALL
-SELECT 'orders', count(*), count(DISTINCT order_id), 0, 0 FROM m_orders UNION ALL
-SELECT 'order_items', CAST(sum(n) AS BIGINT), count(*), 0, count(*) FILTER (n > 1) FROM (SELECT count(*) AS n FROM m_items GROUP BY order_id, order_item_id) UNION ALL
-SELECT 'order_payments', CAST(sum(n) AS BIGINT), count(*), 0, count(*) FILTER (n > 1) FROM (SELECT count(*) AS n FROM m_payments GROUP BY order_id, payment_sequential) UNION ALL
-SELECT 'order_reviews', CAST(sum(n) AS BIGINT), count(*), 0, count(*) FILTER (n > 1) FROM (SELECT count(*) AS n FROM m_reviews GROUP BY review_id, order_id)
+SELECT 'customers' AS table_name, coalesce(CAST(sum(n) AS BIGINT), 0) AS row_count, count(*) AS distinct_keys,
+       coalesce(CAST(sum(n) FILTER (customer_id IS NULL) AS BIGINT), 0) AS null_keys, count(*) FILTER (n > 1) AS repeated_keys
+FROM (SELECT customer_id, count(*) AS n FROM m_customers GROUP BY ALL) UNION ALL
+SELECT 'products' AS table_name, coalesce(CAST(sum(n) AS BIGINT), 0) AS row_count, count(*) AS distinct_keys,
+       coalesce(CAST(sum(n) FILTER (product_id IS NULL) AS BIGINT), 0) AS null_keys, count(*) FILTER (n > 1) AS repeated_keys
+FROM (SELECT product_id, count(*) AS n FROM m_products GROUP BY ALL) UNION ALL
+SELECT 'sellers' AS table_name, coalesce(CAST(sum(n) AS BIGINT), 0) AS row_count, count(*) AS distinct_keys,
+       coalesce(CAST(sum(n) FILTER (seller_id IS NULL) AS BIGINT), 0) AS null_keys, count(*) FILTER (n > 1) AS repeated_keys
+FROM (SELECT seller_id, count(*) AS n FROM m_sellers GROUP BY ALL) UNION ALL
+SELECT 'product_category_name_translation' AS table_name, coalesce(CAST(sum(n) AS BIGINT), 0) AS row_count, count(*) AS distinct_keys,
+       coalesce(CAST(sum(n) FILTER (product_category_name IS NULL) AS BIGINT), 0) AS null_keys, count(*) FILTER (n > 1) AS repeated_keys
+FROM (SELECT product_category_name, count(*) AS n FROM m_translation GROUP BY ALL) UNION ALL
+SELECT 'orders' AS table_name, coalesce(CAST(sum(n) AS BIGINT), 0) AS row_count, count(*) AS distinct_keys,
+       coalesce(CAST(sum(n) FILTER (order_id IS NULL) AS BIGINT), 0) AS null_keys, count(*) FILTER (n > 1) AS repeated_keys
+FROM (SELECT order_id, count(*) AS n FROM m_orders GROUP BY ALL) UNION ALL
+SELECT 'order_items' AS table_name, coalesce(CAST(sum(n) AS BIGINT), 0) AS row_count, count(*) AS distinct_keys,
+       coalesce(CAST(sum(n) FILTER (order_id IS NULL OR order_item_id IS NULL) AS BIGINT), 0) AS null_keys, count(*) FILTER (n > 1) AS repeated_keys
+FROM (SELECT order_id, order_item_id, count(*) AS n FROM m_items GROUP BY ALL) UNION ALL
+SELECT 'order_payments' AS table_name, coalesce(CAST(sum(n) AS BIGINT), 0) AS row_count, count(*) AS distinct_keys,
+       coalesce(CAST(sum(n) FILTER (order_id IS NULL OR payment_sequential IS NULL) AS BIGINT), 0) AS null_keys, count(*) FILTER (n > 1) AS repeated_keys
+FROM (SELECT order_id, payment_sequential, count(*) AS n FROM m_payments GROUP BY ALL) UNION ALL
+SELECT 'order_reviews' AS table_name, coalesce(CAST(sum(n) AS BIGINT), 0) AS row_count, count(*) AS distinct_keys,
+       coalesce(CAST(sum(n) FILTER (review_id IS NULL OR order_id IS NULL) AS BIGINT), 0) AS null_keys, count(*) FILTER (n > 1) AS repeated_keys
+FROM (SELECT review_id, order_id, count(*) AS n FROM m_reviews GROUP BY ALL)
 
 -- @query fk_contract
 SELECT 'orders.customer_id->customers.customer_id' AS relation, count(*) AS orphan_rows FROM m_orders o ANTI JOIN m_customers c ON c.customer_id = o.customer_id UNION ALL
@@ -67,10 +77,10 @@ SELECT 'geolocation', unnest(['geolocation_zip_code_prefix', 'geolocation_lat',
        unnest([geolocation_zip_code_prefix, geolocation_lat::VARCHAR, geolocation_lng::VARCHAR, geolocation_city, geolocation_state]) FROM m_geolocation
 UNION ALL
 SELECT 'order_items', unnest(['order_id', 'order_item_id', 'product_id', 'seller_id', 'shipping_limit_date', 'price', 'freight_value']),
-       unnest([order_id::VARCHAR, order_item_id, product_id::VARCHAR, seller_id::VARCHAR, shipping_limit_date::VARCHAR, price::VARCHAR, freight_value::VARCHAR]) FROM m_items
+       unnest([order_id::VARCHAR, order_item_id::VARCHAR, product_id::VARCHAR, seller_id::VARCHAR, shipping_limit_date::VARCHAR, price::VARCHAR, freight_value::VARCHAR]) FROM m_items
 UNION ALL
 SELECT 'order_payments', unnest(['order_id', 'payment_sequential', 'payment_type', 'payment_installments', 'payment_value']),
-       unnest([order_id::VARCHAR, payment_sequential, payment_type, payment_installments::VARCHAR, payment_value::VARCHAR]) FROM m_payments
+       unnest([order_id::VARCHAR, payment_sequential::VARCHAR, payment_type, payment_installments::VARCHAR, payment_value::VARCHAR]) FROM m_payments
 UNION ALL
 SELECT 'order_reviews', unnest(['review_id', 'order_id', 'review_score', 'review_comment_title', 'review_comment_message', 'review_creation_date', 'review_answer_timestamp']),
        unnest([review_id::VARCHAR, order_id::VARCHAR, review_score::VARCHAR, review_comment_title, review_comment_message, review_creation_date::VARCHAR, review_answer_timestamp::VARCHAR]) FROM m_reviews
@@ -231,7 +241,7 @@ UNION ALL SELECT table_name || '.exact_duplicates', CAST(sum(dup_count - 1) AS B
 UNION ALL SELECT 'orders.chronology', count(*), 'flag' FROM c_orders WHERE has_chronology_error = 1
 
 -- @query schema_contract
-SELECT table_name, expected_columns::BIGINT AS expected_columns, 0::BIGINT AS missing_columns, 0::BIGINT AS extra_columns, 'pass' AS status, total_rows
+SELECT table_name, expected_columns::BIGINT AS expected_columns, 0::BIGINT AS missing_columns, 0::BIGINT AS extra_columns, 0::BIGINT AS type_differences, 'pass' AS status, total_rows
 FROM (VALUES ('customers', 5), ('geolocation', 5), ('order_items', 7), ('order_payments', 5), ('order_reviews', 7), ('orders', 8),
              ('product_category_name_translation', 2), ('products', 9), ('sellers', 4)) e(table_name, expected_columns)
 JOIN (SELECT 'customers' AS table_name, count(*) AS total_rows FROM m_customers UNION ALL SELECT 'geolocation', count(*) FROM m_geolocation UNION ALL
@@ -243,7 +253,8 @@ JOIN (SELECT 'customers' AS table_name, count(*) AS total_rows FROM m_customers
 SELECT table_name, n AS parsed_rows, n AS stored_rows, 'pass' AS status
 FROM (SELECT unnest(['customers', 'geolocation']) AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'products', count(*) FROM part UNION ALL
       SELECT 'sellers', count(*) FROM supplier UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL
-      SELECT unnest(['order_items', 'order_payments']), count(*) FROM lineitem)
+      SELECT unnest(['order_items', 'order_payments', 'order_reviews']), count(*) FROM lineitem UNION ALL
+      SELECT 'product_category_name_translation', count(DISTINCT p_brand) FROM part WHERE p_brand NOT IN ('Brand#7', 'Brand#13'))
 
 -- @query ingest_typed_csv
 SELECT order_status, count(*) AS order_count, count(DISTINCT order_id) AS distinct_orders, min(order_purchase_timestamp) AS first_purchase, max(order_purchase_timestamp) AS last_purchase,

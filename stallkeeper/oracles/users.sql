@@ -28,7 +28,8 @@ FROM r
 SELECT * FROM cob WHERE purchase_date <= DATE '2001-07-31'
 
 -- @query order_base_audit
-SELECT count(*) AS row_count, count(*) FILTER (customer_unique_id IS NULL) AS missing_users, min(order_purchase_timestamp) AS first_purchase,
+SELECT count(*) AS row_count, (SELECT count(*) FROM m_orders o LEFT JOIN m_customers c ON c.customer_id = o.customer_id
+        WHERE order_status = 'delivered' AND (customer_unique_id IS NULL OR trim(customer_unique_id::VARCHAR) = '')) AS missing_users, min(order_purchase_timestamp) AS first_purchase,
        max(order_purchase_timestamp) AS last_purchase, count(*) FILTER (b) AS orders_before_cutoff, count(*) FILTER (NOT b) AS orders_after_cutoff,
        count(DISTINCT customer_unique_id) FILTER (b) AS users_before_cutoff, count(*) FILTER (b AND customer_state IS NULL) AS missing_state,
        count(*) FILTER (b AND customer_city IS NULL) AS missing_city, count(*) FILTER (b AND is_paid_order = 1) AS paid_orders,

@@ -15,7 +15,7 @@ from stallkeeper.operators import (association, category, checks, churn, cleanin
                                    keywords, kpi, metrics, quality, rfm, scenario, structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
-from stallkeeper.sources.model import Commerce, documents, from_star_schema
+from stallkeeper.sources.model import UNTRANSLATED, Commerce, documents, from_star_schema
 
 
 def _text_orders(m: Commerce) -> DataFrame:
@@ -50,7 +50,7 @@ STRUCTURE_FILTER = kpi.Filters("1998-01-01", "2001-12-31", payments=["voucher",
 
 _MODEL: dict[str, ModelQuery] = {
     **{name: (lambda m, fn=getattr(ingest, name): fn(m.tables())) for name in (
-        "table_row_counts", "numeric_contract", "pk_contract", "fk_contract", "translation_coverage",
+        "table_row_counts", "pk_contract", "fk_contract", "translation_coverage",
         "zip_coverage", "join_cardinality_smoke")},
     **{name: getattr(quality, name) for name in (
         "dq_null_profile", "dq_exact_duplicates", "dq_key_duplicates", "dq_dup_review_detail", "dq_orphans",
@@ -175,13 +175,27 @@ def _schema_contract(spark: SparkSession, path: str) -> DataFrame:
     return ingest.schema_contract(tables).join(ingest.table_row_counts(tables), "table_name")
 
 
+# The numbers of the files as they are, before the model casts them.
+RAW_NUMBERS = {
+    "lineitem": {"l_quantity": "integer", "l_linenumber": "integer", "l_extendedprice": "real", "l_discount": "real",
+                 "l_tax": "real"},
+    "part": {"p_size": "integer"},
+}
+
+
+def _numeric_contract(spark: SparkSession, path: str) -> DataFrame:
+    return ingest.numeric_contract({t: tune(spark).read.parquet(f"{path}/{t}.parquet") for t in RAW_NUMBERS}, RAW_NUMBERS)
+
+
 def _row_count_contract(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the model tables against the rows of the files behind them."""
+    """Rows of the nine model tables, parsed from the files, against the rows of the files behind them."""
     m = from_star_schema(tune(spark), path)
     raw = lambda name: spark.read.parquet(f"{path}/{name}.parquet")
     files = {"customers": "customer", "geolocation": "customer", "products": "part", "sellers": "supplier",
-             "orders": "orders", "order_items": "lineitem", "order_payments": "lineitem"}
-    return ingest.row_count_contract({t: m.tables()[t] for t in files}, {t: raw(f) for t, f in files.items()})
+             "orders": "orders", "order_items": "lineitem", "order_payments": "lineitem", "order_reviews": "lineitem"}
+    stored = {t: raw(f) for t, f in files.items()} | {"product_category_name_translation": raw("part").select(
+        "p_brand").distinct().where(~F.col("p_brand").isin(*UNTRANSLATED))}
+    return ingest.row_count_contract(m.tables(), stored)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -210,6 +224,7 @@ def _export_table(spark: SparkSession, path: str) -> DataFrame:
 
 _TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schema_contract": _schema_contract,
+    "numeric_contract": _numeric_contract,
     "row_count_contract": _row_count_contract,
     "ingest_typed_csv": _ingest_typed_csv,
     "export_table": _export_table,

@@ -62,14 +62,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names in file order, without a byte-order mark. Only the first lines of
-    one file are read."""
-    first = spark.read.text(path).limit(1).head()
-    line = (first[0] if first else "").lstrip("﻿")
-    return [c.strip().strip('"') for c in line.split(",")]
-
-
 def check_schema(found: list[str], expected: T.StructType) -> None:
     """Reject missing, extra or reordered columns."""
     want = expected.fieldNames()
@@ -80,24 +72,50 @@ def check_schema(found: list[str], expected: T.StructType) -> None:
                          f"{'order differs' if not missing and not extra else ''}".strip())
 
 
+def _typed(name: str, kind: T.DataType):
+    """The value of a text field in its declared type; NULL where the text is not of that type."""
+    text = F.col(name)
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, T.TimestampNTZType):
+        return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast(kind)
+    if isinstance(kind, T.IntegerType):
+        return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(kind))
+    return text.try_cast(kind)
+
+
 def ingest_typed_csv(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a comma-separated file with declared types; a malformed line fails the read.
+    """Read comma-separated files with declared types; a wrong header in any file, a line of another width and a
+    value that is not of its type all fail the read, whatever columns are asked for.
 
-    The whole file is split over tasks; quoted line breaks (review texts) are the one
-    case that needs ``multiLine``."""
+    Every field is read as text and named in one condition, so column pruning cannot pass over a header or a
+    value. A file is split over tasks, except review texts: quoted line breaks need ``multiLine``."""
     schema = schema or SCHEMAS[table]
-    check_schema(read_header(spark, path), schema)
-    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-            .option("enforceSchema", True).option("encoding", "UTF-8")
-            .option("multiLine", table == "order_reviews").option("escape", '"')
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    text = T.StructType([T.StructField(n, T.StringType()) for n in schema.fieldNames()])
+    check_schema(_first_header(spark, path), schema)
+    rows = (spark.read.schema(text).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+            .option("encoding", "UTF-8").option("multiLine", table == "order_reviews").option("escape", '"').csv(path))
+    bad = [F.col(f.name).isNotNull() & _typed(f.name, f.dataType).isNull() for f in schema.fields]
+    told = F.concat(F.lit(f"malformed value in {table}: "), F.concat_ws(
+        " | ", *[F.coalesce(F.col(n), F.lit("NULL")) for n in schema.fieldNames()]))
+    fine = F.when(reduce(lambda a, b: a | b, bad), F.raise_error(told).cast("boolean")).otherwise(
+        F.length(F.concat_ws("", *schema.fieldNames())) >= 0)
+    return rows.where(fine).select(*[_typed(f.name, f.dataType).alias(f.name) for f in schema.fields])
+
+
+def _first_header(spark: SparkSession, path: str) -> list[str]:
+    """The header of one file, without a byte-order mark, for a clear message; the reader checks every file."""
+    first = spark.read.text(path).limit(1).head()
+    return [c.strip().strip('"') for c in (first[0] if first else "").lstrip("\ufeff").split(",")]
 
 
 def export_table(df: DataFrame, path: str, decimals: dict[str, int] | None = None, fmt: str = "parquet") -> None:
-    """Write a result; rounding is a projection, so every task writes its own part."""
+    """Write a result; rounding is a projection, so every task writes its own part. Text files begin with a
+    byte-order mark on their first header name, as spreadsheet programs expect."""
     out = df.select(*[half_up(c, decimals[c]).alias(c) if decimals and c in decimals else F.col(c) for c in df.columns])
     writer = out.write.mode("overwrite")
     if fmt == "csv":
+        writer = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0]).write.mode("overwrite")
         writer.option("header", True).option("encoding", "UTF-8").csv(path)
     else:
         writer.format(fmt).save(path)
@@ -105,16 +123,30 @@ def export_table(df: DataFrame, path: str, decimals: dict[str, int] | None = Non
 
 # ---------------------------------------------------------------- contracts
 
+#: Keys may be text, as in the raw files, or the numbers of a source that has numbers.
+IDENTIFIERS = {"customer_id", "customer_unique_id", "product_id", "seller_id", "order_id", "review_id"}
+
+
+def _same_type(name: str, want: T.DataType, found: T.DataType) -> bool:
+    if name in IDENTIFIERS and isinstance(found, T.IntegralType):
+        return True
+    if isinstance(want, T.IntegerType):
+        return isinstance(found, T.IntegralType)
+    return want == found
+
+
 def schema_contract(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per table: are the declared columns all there, in order, with none to spare?"""
+    """Per table: are the declared columns all there, in order, of their types, with none to spare?"""
     spark = next(iter(tables.values())).sparkSession
     rows = []
     for name, df in tables.items():
-        want, found = SCHEMAS[name].fieldNames(), df.columns
-        rows.append((name, len(want), len([c for c in want if c not in found]),
-                     len([c for c in found if c not in want]), "pass" if found == want else "fail"))
+        schema = SCHEMAS[name]
+        want, found = schema.fieldNames(), df.columns
+        other = [c for c in want if c in found and not _same_type(c, schema[c].dataType, df.schema[c].dataType)]
+        rows.append((name, len(want), len([c for c in want if c not in found]), len([c for c in found if c not in want]),
+                     len(other), "pass" if found == want and not other else "fail"))
     return literal_rows(spark, "table_name string, expected_columns bigint, missing_columns bigint, "
-                               "extra_columns bigint, status string", rows)
+                               "extra_columns bigint, type_differences bigint, status string", rows)
 
 
 NUMERIC = {
@@ -128,15 +160,17 @@ NUMERIC = {
 }
 
 
-def numeric_contract(tables: dict[str, DataFrame]) -> DataFrame:
-    """Non-finite values, and fractions in integer columns; one pass per table."""
+def numeric_contract(tables: dict[str, DataFrame], numeric: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Non-finite values, and fractions in integer columns; one pass per table.
+
+    Meant for raw columns (floating point or text), before a cast to decimals or integers hides either."""
     out = []
-    for name, columns in NUMERIC.items():
+    for name, columns in (numeric or NUMERIC).items():
         measures = []
         for c, kind in columns.items():
-            v = F.col(c).cast("double")
+            v = F.col(c).try_cast("double")
             infinite = F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-            fraction = (v != F.floor(v)) if kind == "integer" else F.lit(False)
+            fraction = (~infinite & (v != F.floor(v))) if kind == "integer" else F.lit(False)
             measures.append(F.struct(F.lit(c).alias("column_name"), count_if(infinite).alias("non_finite"),
                                      count_if(fraction).alias("fractional")).alias(c))
         one = tables[name].agg(*measures)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 # Fixed values of the adapter.
 STATUS = {"F": "delivered", "O": "shipped", "P": "canceled"}
@@ -102,17 +102,15 @@ def _hundredths(c: str):
 
 
 def _amount(cents):
-    """Cents as a line amount. Eight digits hold the amounts of this source and let Spark add
-    them up as long integers; a larger one fails the cast instead of being cut."""
-    return (cents.cast("decimal(8,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(8,2)")
+    """Cents as a line amount, in the declared money type."""
+    return (cents.cast("decimal(16,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(18,2)")
 
 
 class _Star:
     """The customer/orders/lineitem/part/supplier/nation tables as the commerce model.
 
     Every table but ``orders`` (delivery times come from the order's lines) is a narrow
-    projection of its source. Item and payment ids are content keys, so numbering them needs
-    no window over an order; amounts are computed on integers.
+    projection of its source; amounts are computed on integers.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -182,17 +180,19 @@ class _Star:
             .alias("order_delivered_customer_date"), "order_estimated_delivery_date")
 
     @staticmethod
-    def _content_key():
-        return F.concat_ws(
-            "-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"),
-            F.col("l_quantity").cast("bigint"), _hundredths("l_extendedprice"), _hundredths("l_discount"),
-            _hundredths("l_tax"), "l_returnflag", "l_linestatus")
+    def _sequence():
+        """Number of a line in its order. Equal lines keep numbers of their own, so the key is unique. Queries
+        that do not name it lose the window and its sort."""
+        order = W.partitionBy("l_orderkey").orderBy(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount",
+            "l_tax", "l_returnflag", "l_linestatus")
+        return F.row_number().over(order)
 
     def items(self) -> DataFrame:
         cents = _hundredths("l_extendedprice")
         freight = F.floor((cents * _hundredths("l_tax") + 50) / 100)
         return self.read("lineitem").select(
-            F.col("l_orderkey").alias("order_id"), self._content_key().alias("order_item_id"),
+            F.col("l_orderkey").alias("order_id"), self._sequence().alias("order_item_id"),
             F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"),
             (F.col("l_shipdate") + F.expr("interval 3 days")).alias("shipping_limit_date"),
             _amount(cents).alias("price"), _amount(freight).alias("freight_value"))
@@ -202,14 +202,14 @@ class _Star:
         paid = (_hundredths("l_extendedprice") * (100 - _hundredths("l_discount")) * (100 + _hundredths("l_tax")))
         cents = F.when(qty == 50, F.lit(0)).otherwise(F.floor((paid + 5000) / 10000))
         return self.read("lineitem").select(
-            F.col("l_orderkey").alias("order_id"), self._content_key().alias("payment_sequential"),
+            F.col("l_orderkey").alias("order_id"), self._sequence().alias("payment_sequential"),
             _lookup(F.col("l_returnflag"), PAYMENT_TYPE).alias("payment_type"),
             (qty % 13).alias("payment_installments"), _amount(cents).alias("payment_value"))
 
     def reviews(self) -> DataFrame:
         qty = F.col("l_quantity").cast("bigint")
         score = (F.col("l_linenumber") + qty) % 6
-        return self.read("lineitem").where(F.col("l_linenumber") <= 3).select(
+        return self.read("lineitem").select(
             (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("review_id"),
             F.col("l_orderkey").alias("order_id"), score.cast("bigint").alias("review_score"),
             F.lit(None).cast("string").alias("review_comment_title"),
