@@ -5,7 +5,8 @@ Lines are compared in lower case with white space runs as one blank; blank lines
 Equal lines are one node. The holders of a band key are sorted, in ranges that may cut a hot key anywhere,
 and each is paired with the first holder in its range; the first holders of a cut key are paired across
 ranges. So a hot band costs one pair per holder. Pairs of holders that this leaves unseen matter only where
-they would join components: they are compared in a second round.
+they would join components: in a second round such keys are cut into tiles of bounded size, each pair of
+chunks in one task, where all intersections of shingle sets come from one matrix product.
 """
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ SHINGLE = 8          # characters
 SIMILAR = 0.8        # Jaccard of shingle sets
 BANDS, ROWS = 10, 4  # a pair at 0.8 shares a band with probability 0.995, at 0.9 all but surely
 CHUNK = 1 << 16      # characters hashed at a time
+TILE = 256           # lines of a chunk of a key's holders in the second round
+SIEVE = 1 << 26      # bits of the map that tells which lines are worth sending
 SEEN = 400_000       # lines a task remembers so as not to hash them again
 _MULTIPLIERS = (np.random.RandomState(5).randint(1, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _FILL = "\U0010ffff"  # lengthens lines below one shingle
@@ -111,19 +114,35 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(number, pa.int32()), bands], ["h", "doc_id", "dk", "line", "bands"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in batches:
-        out: dict[int, str] = {}
-        for text in batch.column("text"):
-            for line in (text.as_py() or "").split("\n"):
-                if (line := normal(line)) and (h := line_hash(line)) not in seen:
+def sieve(hashes: DataFrame):
+    """A bit map of fixed size (SIEVE bits) of the given hashes, made by the tasks and broadcast. It only passes
+    over lines nobody asked for; what it lets through by chance, the join after it drops."""
+    low = F.col("h").bitwiseAND(F.lit(SIEVE - 1))
+    words = hashes.groupBy(F.shiftrightunsigned(low, 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()  # SIEVE / 64 rows at most
+    bits = np.zeros(SIEVE // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def _texts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        bits = shared.value
+        for batch in batches:
+            lines = [y for t in batch.column("text") for x in (t.as_py() or "").split("\n") if (y := normal(x))]
+            h = np.fromiter(map(line_hash, lines), np.int64, len(lines))
+            low = h & (SIEVE - 1)
+            out: dict[int, str] = {}
+            for i in np.flatnonzero(bits[low >> 6] >> (low & 63) & 1).tolist():
+                if (x := int(h[i])) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
-                    seen.add(h)
-                    out[h] = line
-        yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())],
-                                         ["h", "text"])
+                    seen.add(x)
+                    out[x] = lines[i]
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())],
+                                             ["h", "text"])
+    return run
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +206,73 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
         _verify(similar), "a bigint, b bigint")
 
 
+def overlaps(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the lines' shingle sets, and of all their intersections."""
+    windows, start, end = shingles(texts)
+    sets = [np.unique(windows[a:b]) for a, b in zip(start.tolist(), end.tolist())]
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    line = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(code) > 1  # a shingle of one line alone adds to no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[code]
+    code, line = number[code[keep]], line[keep]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, line = code[order], line[order]
+    for low in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(code, [low, low + 4096])
+        part = np.zeros((len(sets), min(4096, int(shared.sum()) - low)), np.float32)
+        part[line[a:b], code[a:b] - low] = 1
+        both += part @ part.T
+    return size, both
+
+
+def _tiles(similar: float):
+    """Rows sorted by (key, tile): links between lines of a tile that are in different classes so far, as far as
+    they join more."""
+    def compare(h: list[int], c: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
+        size, both = overlaps(texts)
+        c = np.array(c)
+        near = both >= similar * (size[:, None] + size[None, :] - both) - 1e-3
+        near &= c[:, None] != c[None, :]
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(np.triu(near, 1))):
+            x, y = root(int(c[i])), root(int(c[j]))
+            if x != y and int(both[i, j]) / (int(size[i]) + int(size[j]) - int(both[i, j])) >= similar:
+                up[max(x, y)] = min(x, y)
+                a.append(h[i])
+                b.append(h[j])
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, h, c, texts = None, [], [], []
+        for batch in batches:
+            a, b = [], []
+            for key, tile, x, y, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (key, tile) != at:
+                    if len(h) > 1:
+                        x_new, y_new = compare(h, c, texts)
+                        a += x_new
+                        b += y_new
+                    at, h, c, texts = (key, tile), [], [], []
+                h.append(x)
+                c.append(y)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if len(h) > 1:
+            a, b = compare(h, c, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.xxhash64(F.col("text").cast("string")).alias("dk"))
@@ -203,22 +289,28 @@ def classes(lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     held = stored(found.where("not edge").select("key", "h", "rep").unionAll(across))
     pairs = stored(held.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct())
     need = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = stored(_keyed(docs).select("text").mapInArrow(_texts, "h bigint, text string")
+    texts = stored(_keyed(docs).select("text").mapInArrow(_texts(sieve(need)), "h bigint, text string")
                    .join(need, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
     links = stored(_verified(pairs, texts, similar))
     first = stored(connected(links))
-    # Holders of one key that the first round left apart and did not compare with each other.
-    held = (held.join(first, F.col("h") == F.col("node"), "left")
-            .select("key", "h", F.coalesce("component", "h").alias("c")).distinct())
-    mixed = held.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low != _high")
-    open_keys = stored(held.join(mixed.select("key"), "key", "left_semi"))
-    one, two = open_keys.alias("x"), open_keys.alias("y")
-    more = (one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h"))
-                     & (F.col("x.c") != F.col("y.c")))
-            .select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    more = stored(_verified(more, texts, similar))
-    return connected(links.unionAll(more)) if more.limit(1).count() else first
+    # Holders of one key that the first round left apart and did not compare with each other. Keys with the
+    # same holders say the same, so one of them is enough.
+    held = stored(held.select("key", "h").unionAll(held.select("key", F.col("rep").alias("h"))).distinct()
+                  .join(first, F.col("h") == F.col("node"), "left")
+                  .select("key", "h", F.coalesce("component", "h").alias("c")))
+    mixed = (held.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("n"),
+                                     F.bit_xor(F.xxhash64("h")).alias("_who"))
+             .where("_low != _high AND n > 2").groupBy("n", "_who").agg(F.min("key").alias("key")))
+    chunks = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = (held.join(mixed, "key").withColumn("_chunks", chunks)
+             .withColumn("_own", F.pmod(F.xxhash64("h"), F.col("_chunks")).cast("int"))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+             .select("key", (F.least("_own", "_other").cast("bigint") * F.col("_chunks")
+                             + F.greatest("_own", "_other")).alias("tile"), "h", "c")
+             .join(texts, "h"))
+    more = stored(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "h").select(
+        "key", "tile", "h", "c", "text").mapInArrow(_tiles(similar), "a bigint, b bigint"))
+    return connected(links.unionAll(more))
 
 
 def decisions(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
