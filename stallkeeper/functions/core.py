@@ -189,6 +189,7 @@ def nth_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 _STEPS_PER_E = 256
 _LN_FLOOR = 746
+_STEPS = 4096
 
 
 def _magnitude_bucket(v: Column) -> Column:
@@ -209,9 +210,10 @@ def nearest_rank(df: DataFrame, value: str, probs: Mapping[str, str],
     given as text so that it stays decimal) plus ``value_count``, ``min_value``, ``max_value``.
     ``by`` is meant for a short list, such as the fields of a report.
 
-    Two narrow passes, and no task ever sees a whole group: the first counts rows per magnitude
-    bucket (a few thousand at most, merged map-side), the second reads only the buckets that
-    hold a wanted rank, collapses equal values map-side and orders what is left.
+    Narrow passes over the rows, and no task ever sees a whole group: the first counts rows per magnitude
+    bucket (a few thousand at most, merged map-side); the second cuts only the buckets that hold a wanted
+    rank into equal steps between their own smallest and largest value and counts again; the last collapses
+    equal values of the wanted steps map-side and orders what is left.
     """
     by = list(by)
     rows = (df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
@@ -228,15 +230,25 @@ def nearest_rank(df: DataFrame, value: str, probs: Mapping[str, str],
                  .cast("bigint").alias("rank"))
         for name, p in probs.items()])
     before = F.col("_cum") - F.col("_bn")
+    facts = ["_total", "_min", "_max"]
     wanted = (ranked.withColumn("_t", F.explode(targets))
               .where((F.col("_t.rank") <= F.col("_cum")) & (F.col("_t.rank") > before))
-              .select(*by, "_b", F.col("_t.name").alias("_name"), "_total", "_min", "_max",
+              .select(*by, "_b", F.col("_t.name").alias("_name"), *facts, "_lo", "_hi",
                       (F.col("_t.rank") - before).alias("_need")))
     # One row per group and probability: a handful.
-    inside = (rows.join(F.broadcast(wanted), [*by, "_b"]).groupBy(*by, "_name", "_b", "_v").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in ("_need", "_total", "_min", "_max")]))
-    w_in = (W.partitionBy(*by, "_name", "_b").orderBy("_v")
-            .rowsBetween(W.unboundedPreceding, W.currentRow))
+    step = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * _STEPS),
+                              F.lit(0)), F.lit(_STEPS - 1)).cast("bigint")
+    cell = [*by, "_name", "_b"]
+    stepped = (rows.join(F.broadcast(wanted), [*by, "_b"]).withColumn("_s", step).groupBy(*cell, "_s").agg(
+        F.count(F.lit(1)).alias("_sn"), *[F.max(c).alias(c) for c in (*facts, "_lo", "_hi", "_need")]))
+    w_step = W.partitionBy(*cell).orderBy("_s").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before_step = F.col("_scum") - F.col("_sn")
+    exact = (stepped.withColumn("_scum", F.sum("_sn").over(w_step))
+             .where((F.col("_need") <= F.col("_scum")) & (F.col("_need") > before_step))
+             .select(*cell, F.col("_s").alias("_step"), *facts, "_lo", "_hi", (F.col("_need") - before_step).alias("_need")))
+    inside = (rows.join(F.broadcast(exact), [*by, "_b"]).where(step == F.col("_step")).groupBy(*cell, "_v").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in ("_need", *facts)]))
+    w_in = W.partitionBy(*cell).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     hit = inside.withColumn("_c", F.sum("_n").over(w_in)).where(F.col("_c") >= F.col("_need"))
     return hit.groupBy(*by).agg(
         F.max("_total").alias("value_count"), F.max("_min").alias("min_value"), F.max("_max").alias("max_value"),
@@ -260,6 +272,17 @@ def outside(value: str | Column, bounds: Column) -> Column:
     return flag((v < bounds["lower_bound"]) | (v > bounds["upper_bound"]))
 
 
+_CELLS = 65_536
+
+
+def _text_cell(text: Column, low: Column, high: Column) -> Column:
+    """The three characters after the common beginning of all texts from low to high."""
+    shorter = F.least(F.char_length(low), F.char_length(high))
+    same = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: F.substring(
+        low, F.lit(1), i) == F.substring(high, F.lit(1), i))
+    return F.substring(text, F.size(same) + 1, F.lit(3))
+
+
 def global_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, name: str = "rank") -> DataFrame:
     """Exact row number under (value, tie) inside each ``by`` group, plus the group size ``n``.
 
@@ -270,9 +293,11 @@ def global_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, name: st
     inside the cell.
     """
     by = list(by)
-    is_text = dict(df.dtypes)[tie] == "string"
-    rows = df.withColumn("_b", _magnitude_bucket(dbl(value))).withColumn(
-        "_c", F.substring(tie, 1, 2) if is_text else _magnitude_bucket(dbl(tie)))
+    ends = scalar(df.agg(F.min(tie).alias("lo"), F.max(tie).alias("hi")), "lo", "hi")
+    rows = df.withColumn("_b", _magnitude_bucket(dbl(value))).withColumn("_e", ends).withColumn(
+        "_c", _text_cell(F.col(tie), F.col("_e.lo"), F.col("_e.hi")) if dict(df.dtypes)[tie] == "string"
+        else F.coalesce(F.floor(F.try_divide(
+            dbl(tie) - dbl(F.col("_e.lo")), dbl(F.col("_e.hi")) - dbl(F.col("_e.lo"))) * _CELLS), F.lit(0))).drop("_e")
     cells = rows.groupBy(*by, "_b", value, "_c").agg(F.count(F.lit(1)).alias("_k"))
     buckets = cells.groupBy(*by, "_b").agg(F.sum("_k").alias("_kb"))
     whole = W.partitionBy(*by)

@@ -341,17 +341,17 @@ def frequency_distribution(m: Commerce) -> DataFrame:
 def purchase_gaps(orders: DataFrame) -> DataFrame:
     """Microseconds to the previous order of the same user.
 
-    The ordering window runs inside a user's month; the first order of a month is
-    linked to the user's previous active month through that month's last order. A
-    user with a third of all orders is thus spread over the months of the history.
+    The ordering window runs inside a user's day; the first order of a day is linked
+    to the user's previous active day through that day's last order. A user with a
+    third of all orders is thus spread over the days of the history.
     """
     from pyspark.sql import Window as W
     ts = F.col("order_purchase_timestamp")
-    rows = orders.select("customer_unique_id", "order_id", ts, month_of(ts).alias("month"))
-    w = W.partitionBy("customer_unique_id", "month").orderBy(ts, "order_id")
+    rows = orders.select("customer_unique_id", "order_id", ts, F.to_date(ts).alias("day"))
+    w = W.partitionBy("customer_unique_id", "day").orderBy(ts, "order_id")
     inner = rows.withColumn("prev", F.lag(ts).over(w))
-    edges = rows.groupBy("customer_unique_id", "month").agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
-    w_user = W.partitionBy("customer_unique_id").orderBy("month")
+    edges = rows.groupBy("customer_unique_id", "day").agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+    w_user = W.partitionBy("customer_unique_id").orderBy("day")
     links = (edges.withColumn("prev", F.lag("last").over(w_user)).where(F.col("prev").isNotNull())
              .select("customer_unique_id", micros_between("first", "prev").alias("gap_micros")))
     return (inner.where(F.col("prev").isNotNull())
