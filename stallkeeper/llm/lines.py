@@ -310,7 +310,7 @@ def classes(lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
              .join(texts, "h"))
     more = stored(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "h").select(
         "key", "tile", "h", "c", "text").mapInArrow(_tiles(similar), "a bigint, b bigint"))
-    return connected(links.unionAll(more))
+    return connected(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
 def decisions(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
