@@ -27,7 +27,7 @@ BLOCK = 512            # bits per running count
 MEMO = 200_000         # recent runs of a worker, in each of two generations
 # Fixed by the tokenizer: how it cuts lower-case text into words, here for ASCII.
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-PROBES = ("It's", "don't", "We'LL", "x86-64", "(a.b)", "100%", "<|endoftext|>", "~!@#$%^&*()_+{}|:<>?", "Word,word")
+PROBES = ("It's", "don't", "We'LL", "x86-64", "(a.b)", "100%", "~!@#$%^&*()_+{}|:<>?", "Word,word")
 
 
 class WaveletMatrix:
@@ -163,12 +163,13 @@ def load(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray
 class Words:
     """Ids of a text by the ids of its runs between blanks. The tokenizer drops white space and never joins
     across it, so a text's ids are those of its runs in turn. A run of plain ASCII is cut into words by the
-    tokenizer's own rule and its model splits each word once; any other run goes through the whole tokenizer."""
+    tokenizer's own rule and its model splits each word once; any other run, and any that holds the content of
+    an added token in either case, goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = tuple({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.bits = max(1, (max(self.tokenizer.get_vocab_size(), END + 1) - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.format = "H" if self.bits <= 16 else "I"
@@ -186,7 +187,9 @@ class Words:
 
     def run(self, run: str) -> bytes:
         if self.plain and run.isascii() and run.isprintable():
-            return b"".join(map(self.words.__getitem__, self.split(run.lower())))
+            low = run.lower()
+            if not any(x in low for x in self.added):
+                return b"".join(map(self.words.__getitem__, self.split(low)))
         return self.whole(run)
 
     def encode(self, text: str | None) -> bytes:

@@ -184,6 +184,18 @@ def test_token_files(spark, documents, odd, shard):
         assert set(ends) <= found
 
 
+def test_token_files_with_added_tokens(spark, make_docs):
+    known = Tokenizer.from_file(WORDS)
+    texts = ["end of page <|endoftext|> next", "<|startoftext|>", "a<|endoftext|>b", "<|startoftext|><|endoftext|>",
+             "x <|ENDOFTEXT|> y", "(<|endoftext|>) é<|startoftext|>é", "<|endoftext|", "one\n<|endoftext|>\ttwo", "plain"]
+    path = scratch_path(spark)
+    wavelet.write(make_docs(list(enumerate(texts))), path, WORDS)
+    want = [np.array([*known.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    got = wavelet.read(spark, path).orderBy("doc_id").collect()
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(w), zlib.crc32(w.tobytes())) for w in want]
+    assert [r["start"] for r in got] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
 def test_token_files_of_nothing(spark, make_docs):
     path = scratch_path(spark)
     wavelet.write(make_docs([]), path, WORDS)
