@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from stallkeeper.llm.common import stored
 from stallkeeper.llm.components import connected
-from stallkeeper.llm.hnsw import Graph
+from stallkeeper.llm.hnsw import M, Graph
 from stallkeeper.llm.vectors import matrix, rows_of, unit
 
 COSINE = 0.95
 SHARD = 8192     # distinct vectors of a shard, about
 BEAM = 24
-AUDIT = 48       # queries of a task that are also answered exactly
+TRUE_LINKS = 400  # links to others that a task's audit tests, or all there are
 RECALL = 0.98
 BLOCK = 512      # queries that walk together
 
@@ -36,19 +36,50 @@ def _build(table: pa.Table) -> pa.Table:
                      "graph": pa.array([Graph(exact).dump()], pa.binary())})
 
 
+def exact_links(queries: np.ndarray, at: np.ndarray, exact: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (query row, node) of the queries at the given rows, against every node."""
+    rough, node = np.nonzero(queries[at] @ exact.T >= cosine - 1e-9)
+    row = at[rough]
+    good = np.empty(len(row), bool)
+    for a in range(0, len(row), 1 << 17):
+        part = slice(a, a + (1 << 17))
+        good[part] = np.einsum("ij,ij->i", queries[row[part]], exact[node[part]]) >= cosine
+    return row[good], node[good]
+
+
+def audited(queries: np.ndarray, exact: np.ndarray, cosine: float, same: bool,
+            links: int = TRUE_LINKS) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Exact pairs of spread queries, block by block until ``links`` of them join two different vectors or all
+    queries are answered, and whether all were. ``same``: a query's own node is the one of its row."""
+    order = np.random.RandomState(7).permutation(len(queries))
+    rows, nodes, true, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, 0
+    while at < len(order) and true < links:
+        row, node = exact_links(queries, order[at:at + BLOCK], exact, cosine)
+        true += int((row != node).sum()) if same else len(row)
+        rows.append(row)
+        nodes.append(node)
+        at += BLOCK
+    return np.concatenate(rows), np.concatenate(nodes), at >= len(order)
+
+
 def found_links(queries: np.ndarray, graph: Graph, exact: np.ndarray, cosine: float, beam: int = BEAM,
-                recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
+                recall: float = RECALL, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query row, node) with cosine >= ``cosine``, by walks of the graph.
 
-    The walk uses single precision and a margin; cosines are then taken in double precision. A spread sample
-    of the queries is also answered exactly; while the walk finds less than ``recall`` of those answers, the
-    beam and the margin are widened and the queries walk again.
+    The walk uses single precision and a margin; cosines are then taken in double precision. Spread queries
+    are also answered exactly until enough true links are tested, a query's own node left out; while the walk
+    finds less than ``recall`` of them, the beam and the margin are widened and the queries walk again. Where
+    links are so few that all queries had to be answered exactly, or where no beam cheaper than that gets there
+    (a graph in parts), the exact answers are the result.
     """
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[sample] @ exact.T >= cosine
+    true_row, true_node, whole = audited(queries, exact, cosine, same)
+    if whole:
+        return true_row, true_node
+    tested = true_row != true_node if same else np.ones(len(true_row), bool)
+    truth = true_row[tested] * len(exact) + true_node[tested]
     margin = 0.01
     while True:
-        rows, nodes = [], []
+        rows, nodes = [true_row], [true_node]
         for at in range(0, len(queries), BLOCK):
             q = queries[at:at + BLOCK]
             r, x, _ = graph.within(q, np.full(len(q), cosine - margin, np.float32), beam)
@@ -57,14 +88,15 @@ def found_links(queries: np.ndarray, graph: Graph, exact: np.ndarray, cosine: fl
                 good = np.einsum("ij,ij->i", q[r[part]], exact[x[part]]) >= cosine
                 rows.append(r[part][good] + at)
                 nodes.append(x[part][good])
-        row = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        node = np.concatenate(nodes) if nodes else np.empty(0, np.int64)
-        hit = np.isin(row, sample)
-        got = np.zeros_like(truth)
-        got[np.searchsorted(sample, row[hit]), node[hit]] = True
-        if (got & truth).sum() >= recall * truth.sum() or beam >= len(exact):
-            return row, node
+        walked = np.concatenate(rows[1:]) * len(exact) + np.concatenate(nodes[1:])
+        if np.isin(truth, walked).sum() >= recall * len(truth):
+            return np.divmod(np.unique(np.concatenate([walked, true_row * len(exact) + true_node])), len(exact))
+        if beam * 2 * M >= len(exact):  # such a walk meets about every node
+            break
         beam, margin = beam * 2, margin * 2
+    parts = [exact_links(queries, np.arange(at, min(at + BLOCK, len(queries))), exact, cosine)
+             for at in range(0, len(queries), BLOCK)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def joining(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +124,7 @@ def _compare(cosine: float):
         ids = [np.frombuffer(s["ids"], "<i8") for s in (one, two)]
         copies = [np.frombuffer(s["copies"], "<i8") for s in (one, two)]
         exact = [np.frombuffer(s["exact"], "<f8").reshape(-1, dim) for s in (one, two)]
-        row, node = found_links(exact[0], Graph.load(two["graph"]), exact[1], cosine)
+        row, node = found_links(exact[0], Graph.load(two["graph"]), exact[1], cosine, same=len(shards) == 1)
         if len(shards) == 1:  # a shard with itself: a link may be found from either end
             pairs = np.unique(np.stack([np.minimum(row, node), np.maximum(row, node)], 1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]

@@ -57,6 +57,26 @@ def test_near_duplicates_against_all_pairs(spark, cloud, shard):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in rows.items())
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_links_that_walks_miss_are_noticed(same):
+    """A graph of two parts that do not reach each other, and few links among many vectors."""
+    rng = np.random.RandomState(5)
+    base = unit(rng.randn(700, 24))
+    for few in (True, False):
+        near = np.arange(0, 700, 30 if few else 1)
+        other = unit(rng.randn(700, 24)) if few else base.copy()
+        other[near] = unit(base[near] + 0.02 * rng.randn(len(near), 24))
+        nodes = np.concatenate([other, base]) if same else other
+        queries = nodes if same else base
+        graph = Graph(nodes)
+        for links in graph.layers:  # only the first nodes can be reached
+            links[links >= 300] = -1
+        row, node = embed_dedup.found_links(queries, graph, nodes, 0.95, same=same)
+        want = np.argwhere(queries @ nodes.T >= 0.95)
+        assert len(set(zip(row.tolist(), node.tolist()))) == len(row)
+        assert len(set(zip(row.tolist(), node.tolist())) & set(map(tuple, want.tolist()))) >= 0.98 * len(want)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = embed_dedup.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(ODD)
