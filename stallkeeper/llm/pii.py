@@ -1,10 +1,10 @@
 """Personal data: patterns find the protected entities, information theory the terms that give them away
 (after Sanchez, Batet and Viejo, "Automatic general-purpose sanitization of textual documents").
 
-An entity is a matched address, number or card. Its information is log2(N / documents with it). A term near it
-discloses the part pmi(term, entity) / information of it, where the pointwise mutual information comes from
-document counts over the whole corpus. Terms above the first threshold are generalised, above the second
-removed. DataFrame functions only: texts never leave the JVM.
+An entity is a matched address, number or card. Its information is log2(N / documents with it). A term in the
+same document discloses the part pmi(term, entity) / information of it, where the pointwise mutual information
+comes from document counts over the whole corpus. Terms above the first threshold are generalised, above the
+second removed, at every place in the documents of the entity. DataFrame functions only: texts never leave the JVM.
 """
 from __future__ import annotations
 
@@ -24,8 +24,9 @@ PATTERNS = {
 # A text without this has no valid match.
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
-TERM = r"\p{L}[\p{L}\p{N}_-]{3,}+"
-NEAR = 60           # code points on either side of an entity
+TERM = r"\p{L}[\p{L}\p{N}_-]*+"
+CHUNK = 256         # matches whose places are added up at a time
+FREQUENT = 1000     # most frequent terms, dropped before the join where they can give nothing away
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "struct<start:int,stop:int,found:string>"
 
@@ -44,7 +45,19 @@ def spans(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(
             begin.alias("start"), end.alias("stop"), piece["found"].alias("found")))).alias("spans"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+    # Places within chunks, then the chunks one after the other: work stays linear in long texts.
+    def chunks(all_pieces):
+        edges = F.filter(F.sequence(F.lit(0), F.size(all_pieces), F.lit(CHUNK)), lambda i: i < F.size(all_pieces))
+        return F.transform(edges, lambda i: F.aggregate(F.slice(all_pieces, i + 1, F.lit(CHUNK)), start, step))
+
+    def follow(acc, chunk):
+        moved = F.transform(chunk["spans"], lambda x: F.struct(
+            (x["start"] + acc["at"]).alias("start"), (x["stop"] + acc["at"]).alias("stop"), x["found"].alias("found")))
+        return F.struct((acc["at"] + chunk["at"]).alias("at"), F.concat(acc["parts"], F.array(moved)).alias("parts"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("parts"))
+    held = F.transform(F.array(pieces), chunks)[0]
+    return F.aggregate(held, none, follow, lambda acc: F.flatten(acc["parts"]))
 
 
 def luhn(digits: Column) -> Column:
@@ -78,29 +91,14 @@ def entities(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def contexts(text: Column, base: Column) -> Column:
-    """Whole words near each entity: array of (entity, term, start, stop) that overlap no entity."""
-    empty = F.array().cast("array<struct<entity:bigint,term:string,start:int,stop:int>>")
-    length = F.char_length(text)
-
-    def near(e):
-        name = F.xxhash64(e["kind"], e["found"])
-        left = F.greatest(e["start"] - NEAR, F.lit(0))
-        right = F.least(e["stop"] + NEAR, length)
-        before, after = F.substring(text, left + 1, e["start"] - left), F.substring(text, e["stop"] + 1, right - e["stop"])
-
-        def terms(window, offset, whole):
-            own = F.filter(spans(window, TERM), whole)
-            return F.transform(own, lambda s: F.struct(
-                name.alias("entity"), F.lower(s["found"]).alias("term"), (s["start"] + offset).alias("start"),
-                (s["stop"] + offset).alias("stop")))
-
-        # A word that touches the outer edge of its window may go on beyond it.
-        return F.concat(terms(before, left, lambda s: (s["start"] > 0) | (left == 0)),
-                        terms(after, e["stop"], lambda s: (s["stop"] < right - e["stop"]) | (right == length)))
-
-    found = F.coalesce(F.flatten(F.transform(base, near)), empty)
-    return F.filter(found, lambda t: ~F.exists(base, lambda e: (t["start"] < e["stop"]) & (e["start"] < t["stop"])))
+def words(text: Column, base: Column) -> Column:
+    """All words of a text that overlap no entity: array of (term, start, stop)."""
+    most = F.array_max(F.transform(base, lambda e: e["stop"]))
+    least = F.array_min(F.transform(base, lambda e: e["start"]))
+    clear = lambda t: (t["start"] >= most) | (t["stop"] <= least) | ~F.exists(
+        base, lambda e: (t["start"] < e["stop"]) & (e["start"] < t["stop"]))
+    return F.transform(F.filter(spans(text, TERM), clear), lambda s: F.struct(
+        F.lower(s["found"]).alias("term"), s["start"].alias("start"), s["stop"].alias("stop")))
 
 
 def _joined(all_spans: Column) -> Column:
@@ -123,36 +121,39 @@ def find(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """
     texts = _keyed(docs)
     base = texts.select("doc_id", F.xxhash64("text").alias("dk"), "text", entities(F.col("text")).alias("base"))
-    near = F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base")))
-    rows = stored(base.select("doc_id", "dk", "base", near.alias("near")))
+    own = F.when(F.size("base") > 0, words(F.col("text"), F.col("base")))
+    rows = stored(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "dk", "base", own.alias("words")))
     total = rows.count()
+    held = rows.where(F.size("base") > 0)
+    whose = held.select("rid", F.explode(F.array_distinct(F.transform(
+        "base", lambda e: F.xxhash64(e["kind"], e["found"])))).alias("entity"))
+    holders = stored(whose.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+    # A term in more documents than this can disclose no entity to the threshold, even if it is in all of its own.
+    limit = lambda n: F.lit(float(max(total, 1)) ** (1 - generalise) * (1 + 1e-9)) * F.pow(n, F.lit(generalise))
+    widest = holders.agg(F.max("n_entity")).first()[0] or 0
     # Documents with each term of the corpus, counted in the tasks that read the texts.
-    documents = (texts.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
-    places = stored(rows.where(F.size("near") > 0).select("doc_id", "dk", F.explode("near").alias("c"))
-                    .select("doc_id", "dk", "c.*"))
-    whose = rows.where(F.size("base") > 0).select(
-        "doc_id", "dk", F.explode(F.array_distinct(F.transform("base", lambda e: F.xxhash64(e["kind"], e["found"])))).alias("entity"))
-    holders = whose.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    copies = rows.where(F.size("near") > 0).groupBy("doc_id", "dk").agg(F.count(F.lit(1)).alias("n_rows"))
-    met = places.select("doc_id", "dk", "entity", "term").distinct()
-    pairs = (met.join(copies, met["doc_id"].eqNullSafe(copies["doc_id"]) & (met["dk"] == copies["dk"]))
-             .groupBy("entity", "term").agg(F.sum("n_rows").alias("n_both")))
+    every = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    counted = stored(texts.select(F.explode(every).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+    rare = counted.where(F.col("n_term") <= limit(F.lit(widest)))
+    frequent = counted.where(F.col("n_term") > limit(F.lit(widest))).orderBy(F.desc("n_term"), "term").limit(FREQUENT)
+    met = (held.select("rid", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+           .join(F.broadcast(frequent.select("term")), "term", "left_anti").join(rare, "term"))
+    pairs = stored(met.join(whose.join(holders, "entity"), "rid").where(F.col("n_term") <= limit(F.col("n_entity"))))
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    telling = (pairs.join(holders, "entity").join(documents, "term")
+    telling = (pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
                .withColumn("disclosure", F.try_divide(pmi, information)).where(F.col("disclosure") >= generalise)
                .select("entity", "term", "disclosure"))
-    terms = (places.join(telling, ["entity", "term"]).groupBy("doc_id", "dk", "start", "stop")
-             .agg(F.max("disclosure").alias("disclosure"))
-             .groupBy(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"))
-             .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms")))
+    best = (pairs.select("rid", "entity", "term").join(telling, ["entity", "term"])
+            .groupBy("rid", "term").agg(F.max("disclosure").alias("disclosure")))
+    places = held.select("rid", F.explode("words").alias("w")).select("rid", "w.*").join(best, ["rid", "term"])
+    terms = places.groupBy(F.col("rid").alias("_rid")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,stop:int,disclosure:double>>")
     plain = rows.where(F.size("base") == 0).select("doc_id", "dk", "base", none.alias("terms"))
-    held = rows.where(F.size("base") > 0)
-    held = held.join(terms, held["doc_id"].eqNullSafe(F.col("_id")) & (held["dk"] == F.col("_dk")), "left").select(
+    marked = held.select("rid", "doc_id", "dk", "base").join(terms, F.col("rid") == F.col("_rid"), "left").select(
         "doc_id", "dk", "base", F.coalesce("terms", none).alias("terms"))
-    return plain.unionAll(held)
+    return plain.unionAll(marked)
 
 
 def report(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:

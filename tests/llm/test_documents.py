@@ -401,6 +401,20 @@ def test_terms_that_give_entities_away(make_docs):
     assert clean[5] == f"{common} of document 5" and pii.sanitise(docs).columns == docs.columns
 
 
+def test_terms_anywhere_in_the_document(make_docs):
+    """A name in the heading, the address in the signature, the name again between, and a short name."""
+    filler = " ".join(["please write to the office about orders and returns at any time"] * 60)
+    docs = make_docs([(i, f"{filler} sheet") for i in range(400)]
+                     + [(1000, f"Zebulon and Bo\n{filler} zebulon {filler} so\nzeb@mail.org")]
+                     + [(2000 + i, f"Sheet {filler}\n{filler} desk@mail.org") for i in range(50)])
+    text = docs.where("doc_id = 1000").first()["text"]
+    want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"(?i)zebulon|\b(?:bo|so)\b", text)]
+    row = pii.report(docs).where("doc_id = 1000").first()
+    assert row["spans"].split(",")[1:] == want and row["n_term"] == len(want) == 4
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[1000]
+    assert not re.search(r"(?i)zebulon|\bbo\b", clean) and filler in clean
+
+
 def test_pii_odd_rows(odd, make_docs):
     rows = pii.report(odd).collect()
     assert len(rows) == 13 and {r["base_sha256"] for r in rows if r["doc_id"] in (1, 2, 3)} == {hashlib.sha256(b"").hexdigest()}
