@@ -5,7 +5,8 @@ are balanced. A navigable graph in memory searches the centroids, which are boun
 the tasks. Every vector is in the list of its nearest centroid and, near a border, in those of others about
 as near. A query reads all lists whose centroid is within a ratio of its nearest centroid's distance. The
 ratio is learned: a bounded set of queries is answered exactly against all rows, and the ratio is the one at
-which their true neighbours' lists are read.
+which their true neighbours' lists are read. Queries that find fewer answers than wanted go to more lists, in
+the end to all.
 
 Equal vectors are one entry that carries its smallest ids, as many as an answer can hold. Lists are cut into
 pieces of bounded size; queries go to every piece of their lists.
@@ -29,6 +30,7 @@ PER_LIST = 16        # sampled vectors per centroid: the sample holds LISTS * PE
 BORDER = 1.05        # a vector is also in lists up to this ratio of its nearest centroid's distance
 AUDIT = 64           # queries answered exactly to learn the ratio
 RECALL = 0.97        # share of the audited neighbours whose lists are read
+WIDER = (2, 8)       # factors of the ratio for queries short of answers, before they go to all lists
 PIECE = 4096         # entries of a list compared at a time
 GROUP = 60_000       # entries of a task, about
 
@@ -111,6 +113,8 @@ def _audit(shared, most: int):
             for at in range(0, batch.num_rows, PIECE):
                 part = batch.slice(at, PIECE)
                 row, col, score = exact_nearest(q, matrix(part.column("v")), most)
+                other = score > 0  # the query's own vector is found at any ratio
+                row, col, score = row[other], col[other], score[other]
                 vectors = part.column("v").take(pa.array(col))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[row], pa.int32()), pa.array(score), vectors],
                                                  ["q", "score", "v"])
@@ -126,7 +130,9 @@ def learned_ratio(spark, entries: DataFrame, queries: DataFrame, graph: Graph, s
     both = spark.sparkContext.broadcast((np.arange(len(q)), q))
     found = entries.select("v").mapInArrow(_audit(both, k + 1), "q int, score double, v array<double>")
     rank = F.row_number().over(W.partitionBy("q").orderBy("score"))
-    truth = found.withColumn("_r", rank).where(F.col("_r") <= k + 1).select("q", "v").collect()  # AUDIT * (k + 1) rows
+    truth = found.withColumn("_r", rank).where(F.col("_r") <= k).select("q", "v").collect()  # AUDIT * k rows
+    if not truth:
+        return 1.0
     of = np.array([r["q"] for r in truth])
     v = np.array([r["v"] for r in truth])
     row, node, _ = lists_within(graph, v, BORDER)
@@ -207,7 +213,6 @@ def nearest(df: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vect
     ratio = learned_ratio(spark, entries, queries, graph, shared, k, recall)
     vector = "v array<double>"
     posted = stored(entries.mapInArrow(_post(shared, BORDER, ["ids", "v"]), f"list int, ids array<bigint>, {vector}"))
-    asked = queries.mapInArrow(_post(shared, ratio, ["query_id", "v"]), f"list int, query_id bigint, {vector}")
     pieces = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))  # LISTS rows
     groups = max(6, -(-posted.count() // GROUP))
 
@@ -215,9 +220,24 @@ def nearest(df: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vect
         return rows.withColumn("task", F.pmod(F.xxhash64("list", "piece"), F.lit(groups)).cast("int")).drop("pieces")
 
     left = dealt(posted.join(pieces, "list").withColumn("piece", F.pmod(F.xxhash64("ids"), F.col("pieces")).cast("int")))
-    right = dealt(asked.join(pieces, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
-    hits = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(
-        _scan(k), "query_id bigint, ids array<bigint>, score double")
-    answers = hits.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id").distinct()
+
+    def answered(asked: DataFrame) -> DataFrame:
+        right = dealt(asked.join(pieces, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
+        hits = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(
+            _scan(k), "query_id bigint, ids array<bigint>, score double")
+        return hits.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id").distinct()
+
+    def within(own: DataFrame, reach: float) -> DataFrame:
+        return own.mapInArrow(_post(shared, reach, ["query_id", "v"]), f"list int, query_id bigint, {vector}")
+
+    answers = stored(answered(within(queries, ratio)))
+    for wider in (*WIDER, None):
+        full = answers.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        short = stored(queries.join(full, "query_id", "left_anti"))
+        if short.isEmpty():
+            break
+        every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
+        more = answered(within(short, ratio * wider) if wider else every.select("list", "query_id", "v"))
+        answers = stored(answers.unionAll(more).distinct())
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

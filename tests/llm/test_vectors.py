@@ -118,3 +118,16 @@ def test_search_odd_rows(spark):
     assert ann.nearest(empty, lambda i: i % 1 == 0).count() == 0
     one = spark.createDataFrame([(100, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     assert ann.nearest(one, lambda i: i % 100 == 0).count() == 0
+
+
+def test_every_query_is_answered_in_full(spark):
+    """A far cluster that fills a list of its own with fewer vectors than answers, and an outlier."""
+    rng = np.random.RandomState(8)
+    x = np.concatenate([rng.randn(791, 8), 500 + 0.1 * rng.randn(8, 8), np.full((1, 8), -4000.0)])
+    rows = ann.nearest(frame(spark, x), lambda i: i >= 780, per_list=8).collect()
+    count = {i: sorted(r["rank"] for r in rows if r["query_id"] == i) for i in range(780, 800)}
+    assert all(c == list(range(1, 11)) for c in count.values())
+    for q in range(791, 799):  # the others of the cluster come first
+        assert {r["vec_id"] for r in rows if r["query_id"] == q and r["rank"] <= 7} == set(range(791, 799)) - {q}
+    few = ann.nearest(frame(spark, x[:4]), lambda i: i >= 0).collect()
+    assert sorted(r["rank"] for r in few) == sorted([1, 2, 3] * 4)
