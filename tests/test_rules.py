@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SELLER, customer, item, order, payment, review
+from builders import SELLER, customer, item, order, payment, review
 from pyspark.sql import functions as F
 
 from stallkeeper.operators import association, category, churn, cleaning, cohort, customers, kpi, metrics, rfm, structure

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import customer, order
+from builders import customer, order
 from stallkeeper.sources import ingest
 
 
