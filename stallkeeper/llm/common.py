@@ -72,3 +72,48 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+class Spill:
+    """A list of byte strings: the first ``limit`` bytes in memory, the rest as files below ``folder``, which all
+    machines share and the application deletes when it ends. Every object has names of its own, so a task that runs
+    twice does not meet its first run's files; ``clear`` removes them as soon as they are not needed."""
+
+    def __init__(self, folder: str, limit: int):
+        self.folder, self.limit, self.held = folder, limit, 0
+        self.parts: list[bytes | str | None] = []
+        self.store = None
+
+    def _path(self, name: str) -> str:
+        if self.store is None:
+            from pyarrow import fs
+            self.store, root = fs.FileSystem.from_uri(self.folder)
+            self.root = f"{root}/spill-{uuid.uuid4().hex}"
+            self.store.create_dir(self.root, recursive=True)
+        return f"{self.root}/{name}"
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def append(self, data: bytes) -> None:
+        if self.held + len(data) <= self.limit:
+            self.held += len(data)
+            self.parts.append(data)
+        else:
+            name = str(len(self.parts))
+            path = self._path(name)
+            with self.store.open_output_stream(path) as out:
+                out.write(data)
+            self.parts.append(name)
+
+    def __getitem__(self, i: int) -> bytes:
+        part = self.parts[i]
+        if isinstance(part, str):
+            with self.store.open_input_stream(self._path(part)) as source:
+                return source.read()
+        return part
+
+    def clear(self) -> None:
+        if self.store is not None:
+            self.store.delete_dir(self.root)
+        self.parts, self.held, self.store = [], 0, None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallkeeper.llm import ann, bpe, embed_dedup, lines, mixing, pii, sharding, simhash, toxicity, wavelet
+from stallkeeper.llm import ann, bpe, conversations, embed_dedup, lines, mixing, pii, sharding, simhash, toxicity, wavelet
 from stallkeeper.llm.common import scratch_path, table, tune
 
 
@@ -59,6 +59,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(tune(spark), sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(table(tune(spark), sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_mixing, op2_simhash, op3_ann, op4_embeddings, op5_kdtree, op6_wavelet, op7_pii, op8_toxicity, op9_bpe,
-           op10_lines, pipeline]
+           op10_lines, op13_conversations, pipeline]
     return {f.__name__: f for f in own}
 
 
