@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallkeeper.llm import ann, bpe, conversations, embed_dedup, lines, mixing, pii, sharding, simhash, toxicity, wavelet
+from stallkeeper.llm import ann, bpe, conversations, embed_dedup, lines, mixing, phrases, pii, sharding, simhash, toxicity, wavelet
 from stallkeeper.llm.common import scratch_path, table, tune
 
 
@@ -59,6 +59,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(tune(spark), sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(tune(spark), sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damaged(table(tune(spark), sf_dir, "conversations")))
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_mixing, op2_simhash, op3_ann, op4_embeddings, op5_kdtree, op6_wavelet, op7_pii, op8_toxicity, op9_bpe,
-           op10_lines, op13_conversations, pipeline]
+           op10_lines, op12_phrases, op13_conversations, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -104,6 +108,36 @@ SELECT doc_id, size, source_size, target,
 FROM ordered
 """
 
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+spoken AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+runs AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM spoken, (VALUES (1), (2), (3)) AS lengths(m)),
+f AS (SELECT lang, m, phrase, count(*) AS c FROM runs GROUP BY lang, m, phrase),
+cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND c >= 10),
+cuts AS (
+  SELECT x.lang, x.m, x.phrase, x.c AS a, k, l.c AS l, r.c AS r,
+         (1000000::HUGEINT * x.c::HUGEINT * x.c::HUGEINT) // (l.c::HUGEINT * r.c::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) x
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[1:k], ' ')
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[k + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, phrase, max(c) AS c FROM (
+    SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, c FROM cand WHERE m = 3
+    UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), c FROM cand WHERE m = 3) GROUP BY lang, phrase),
+totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM weakest w JOIN totals t ON t.lang = w.lang LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase
+WHERE o.c IS NULL OR 100 * o.c < 50 * a
+QUALIFY row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL}
+    return {"op1_mixing": MIXING_SQL, "op12_phrases": PHRASES_SQL}
