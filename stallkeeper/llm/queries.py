@@ -6,7 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallkeeper.llm import ann, bpe, conversations, embed_dedup, lines, mixing, phrases, pii, sharding, simhash, toxicity, wavelet
+from stallkeeper.llm import (ann, bpe, conversations, embed_dedup, lines, mixing, phrases, pii, sharding, simhash,
+                             suffixes, toxicity, wavelet)
 from stallkeeper.llm.common import scratch_path, table, tune
 
 
@@ -59,6 +60,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(tune(spark), sf_dir, "documents"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(tune(spark), sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(tune(spark), sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_mixing, op2_simhash, op3_ann, op4_embeddings, op5_kdtree, op6_wavelet, op7_pii, op8_toxicity, op9_bpe,
-           op10_lines, op12_phrases, op13_conversations, pipeline]
+           op10_lines, op11_suffixes, op12_phrases, op13_conversations, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -138,6 +143,27 @@ WHERE o.c IS NULL OR 100 * o.c < 50 * a
 QUALIFY row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) <= 2000
 """
 
+SUFFIX_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (
+  SELECT rid, i, substr(x, 2 * i + 1, 400) AS w
+  FROM (SELECT rid, x, unnest(range(0, greatest(0, length(x) // 2 - 199))) AS i FROM texts)),
+repeated AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+starts AS (SELECT rid, i FROM windows SEMI JOIN repeated USING (w)),
+runs AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER o + 200 THEN 0 ELSE 1 END AS fresh FROM starts
+         WINDOW o AS (PARTITION BY rid ORDER BY i)),
+numbered AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM runs),
+spans AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY rid, run),
+cuts AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT c.rid, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head,
+                max(b) AS last, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans
+         FROM cuts c JOIN texts t ON t.rid = c.rid GROUP BY c.rid)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.rid = t.rid
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op12_phrases": PHRASES_SQL}
+    return {"op1_mixing": MIXING_SQL, "op11_suffixes": SUFFIX_SQL, "op12_phrases": PHRASES_SQL}
