@@ -1,6 +1,7 @@
 """DuckDB statements that state each registered query independently.
 
-``layers.sql`` holds the shared blocks, every other file one block per query.
+``layers.sql`` holds the shared blocks, every other file one block per query; ``fits.py`` writes out those that go
+in rounds.
 """
 from __future__ import annotations
 
@@ -8,6 +9,8 @@ import re
 from functools import cache
 from pathlib import Path
 
+from stallkeeper.oracles import fits
+
 _HERE = Path(__file__).parent
 _HEAD = re.compile(r"^-- @(layer|query) (\w+)\s*$", re.M)
 
@@ -43,6 +46,7 @@ def statements() -> dict[str, str]:
     blocks: dict[tuple[str, str], str] = {}
     for file in sorted(_HERE.glob("*.sql")):
         blocks.update(_blocks(file.read_text(encoding="utf-8")))
+    blocks.update(_blocks(fits.text()))
     layers = {name: body for (kind, name), body in blocks.items() if kind == "layer"}
 
     def needed(body: str, seen: list[str]) -> list[str]:

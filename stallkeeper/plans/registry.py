@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallkeeper.functions import checkpoint_dir
 from stallkeeper.operators import (association, category, checks, churn, cleaning, cohort, customers, growth, highvalue,
-                                   keywords, kpi, metrics, quality, rfm, scenario, structure)
+                                   keywords, kpi, metrics, quality, regions, rfm, risk, scenario, structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
 from stallkeeper.sources.model import UNTRANSLATED, Commerce, documents, from_star_schema
@@ -36,6 +36,7 @@ HOLIDAYS = [("Black Friday", 1997, "1997-11-28", "1997-11-28"), ("Black Friday",
             ("Carnival", 1995, "1995-01-04", "1995-01-07"), ("Carnival", 1998, "1998-02-21", "1998-02-24"),
             ("Christmas", 2000, "2000-12-25", "2000-12-25"), ("Christmas", 2001, "2001-12-25", "2001-12-25")]
 OBSERVED = "2001-07-31"
+LABEL_CUTOFF = "2001-04-30"
 OBSERVED_END = "2001-07-31 23:59:59"
 FIRST_DAY = "1995-01-01"
 GROWTH_WINDOW = ("1995-01", "2001-07")
@@ -136,6 +137,11 @@ _MODEL: dict[str, ModelQuery] = {
     "scenario_region": lambda m: scenario.scenario_region(m, list(SPLIT)),
     "scenario_non_top3": lambda m: scenario.scenario_non_top3(m, LAST_MONTH),
     "scenario_effects": lambda m: scenario.scenario_effects(m, OBSERVED, AOV_MONTHS, list(SPLIT), LAST_MONTH),
+    # regional tiers
+    **{name: getattr(regions, name) for name in ("region_tiers", "region_tier_summary")},
+    # churn warning
+    **{name: (lambda m, fn=getattr(risk, name): fn(m, LABEL_CUTOFF)) for name in ("churn_risk_model", "churn_risk_quality")},
+    "churn_risk_users": lambda m: risk.churn_risk_users(m, LABEL_CUTOFF, OBSERVED),
     # check registers
     "validate_rfm": lambda m: checks.validate_rfm(m, OBSERVED),
     "validate_dashboard_detail": lambda m: checks.validate_dashboard_detail(m, BOUNDS),
