@@ -5,6 +5,8 @@ DuckDB lets a column use the ones before it.
 """
 from __future__ import annotations
 
+import math
+
 K_MEANS_ROUNDS = 15
 
 
@@ -178,5 +180,61 @@ FROM at_risk QUALIFY row_number() OVER (ORDER BY risk DESC, customer_unique_id)
 """
 
 
+def _forecast() -> str:
+    waves = [f"{f}(n * {2 * math.pi * k / period!r})" for period in (7.0, 365.25) for k in (1, 2) for f in ("sin", "cos")]
+    x = ["1.0::DOUBLE", "(n - origin) / 365.25::DOUBLE", *waves, "CAST(is_holiday AS DOUBLE)"]
+    k = len(x)
+    names = (["constant", "trend"] + [f"{kind}_{f}_{i}" for kind in ("week", "year") for i in (1, 2) for f in ("sin", "cos")]
+             + ["holiday"])
+    xs = ", ".join(f"{e} AS x{i}" for i, e in enumerate(x))
+    fit = f"(SELECT {cross(k, 'x{}', 'y')}, sum(y * y) AS yy, count(*) AS n FROM past)"
+    left = "yy - 2 * (" + " + ".join(f"x_{i} * b_{i}" for i in range(k)) + ") + " + " + ".join(
+        f"{1 if i == j else 2} * x_{i} * x_{j} * a_{i}_{j}" for i in range(k) for j in range(i, k))
+
+    def solve_lower(rhs: list[str], source: str) -> str:
+        """v with L v = rhs, so that the sum of its squares is rhs' a^-1 rhs."""
+        for i in range(k):
+            inner = " ".join(f"- l_{i}_{q} * v_{q}" for q in range(i))
+            source = f"(SELECT *, ({rhs[i]} {inner}) / l_{i}_{i} AS v_{i} FROM {source})"
+        return source
+
+    squares = " + ".join(f"v_{i} * v_{i}" for i in range(k))
+    model = f"""WITH span AS (SELECT min(order_date) AS lo, max(order_date) AS hi FROM daily),
+holiday_days AS (SELECT DISTINCT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM holidays),
+series AS MATERIALIZED (
+  SELECT d AS order_date, coalesce(gmv, 0.0) AS y, CAST(date_diff('day', DATE '1970-01-01', d) AS DOUBLE) AS n,
+         CAST(date_diff('day', DATE '1970-01-01', lo) AS DOUBLE) AS origin, d IN (SELECT d FROM holiday_days) AS is_holiday
+  FROM (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d, lo FROM span)
+  LEFT JOIN daily ON order_date = d),
+past AS MATERIALIZED (SELECT y, {xs} FROM series WHERE order_date <= DATE '2000-06-30'),
+line AS MATERIALIZED (SELECT *, sqrt(greatest(0.0, {left}) / (n - {k})) AS deviation FROM {solved(k, fit)})
+"""
+    rows = " UNION ALL ".join(
+        f"SELECT '{names[i]}' AS feature, {i} AS place, x_{i} AS weight, deviation * sqrt({squares}) AS std_error, n AS day_count FROM "
+        + solve_lower(["1.0::DOUBLE" if q == i else "0.0::DOUBLE" for q in range(k)], "line") for i in range(k))
+    point = " + ".join(f"x{i} * x_{i}" for i in range(k))
+    ordinary = " + ".join(f"x{i} * x_{i}" for i in range(k - 1))
+    return f"""
+-- @query holiday_forecast_model
+{model}SELECT feature, CAST(place AS BIGINT) AS place, half_up(weight, 2) AS weight, half_up(std_error, 2) AS std_error,
+       half_up(weight / std_error, 4) AS t_value, CAST(day_count AS BIGINT) AS day_count FROM ({rows})
+
+-- @query holiday_forecast
+{model}, targets AS (SELECT * FROM (VALUES ('Black Friday', 2000, DATE '2000-11-24', DATE '2000-11-24'), ('Carnival', 2001, DATE '2001-02-24', DATE '2001-02-27'),
+    ('Christmas', 2000, DATE '2000-12-24', DATE '2000-12-25'), ('Christmas', 2001, DATE '2001-12-24', DATE '2001-12-25')) t(holiday_name, year, a, b)),
+target_days AS (SELECT holiday_name, year, d, CAST(date_diff('day', DATE '1970-01-01', d) AS DOUBLE) AS n, true AS is_holiday,
+    (SELECT any_value(origin) FROM series) AS origin
+  FROM (SELECT holiday_name, year, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM targets)),
+target_rows AS (SELECT holiday_name, year, d, {xs} FROM target_days),
+forecast AS (SELECT holiday_name, year, d, {point} AS f, {ordinary} AS o, deviation * sqrt(1.0::DOUBLE + {squares}) AS s
+  FROM {solve_lower([f"x{i}" for i in range(k)], "(SELECT * FROM target_rows, (SELECT * EXCLUDE (n) FROM line))")})
+SELECT holiday_name, CAST(year AS BIGINT) AS year, d AS forecast_date, half_up(f, 2) AS forecast_gmv, half_up(o, 2) AS ordinary_gmv,
+       half_up(greatest(0.0, f - 1.959963984540054 * s), 2) AS lower_gmv, half_up(f + 1.959963984540054 * s, 2) AS upper_gmv,
+       half_up(y, 2) AS actual_gmv,
+       CASE WHEN y IS NOT NULL THEN CAST(y BETWEEN greatest(0.0, f - 1.959963984540054 * s) AND f + 1.959963984540054 * s AS BIGINT) END AS is_inside
+FROM forecast LEFT JOIN series ON order_date = d
+"""
+
+
 def text() -> str:
-    return _regions() + _risk()
+    return _regions() + _risk() + _forecast()

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallkeeper.functions import checkpoint_dir
-from stallkeeper.operators import (association, category, checks, churn, cleaning, cohort, customers, growth, highvalue,
-                                   keywords, kpi, metrics, quality, regions, rfm, risk, scenario, structure)
+from stallkeeper.operators import (association, category, checks, churn, cleaning, cohort, customers, forecast, growth,
+                                   highvalue, keywords, kpi, metrics, quality, regions, rfm, risk, scenario, structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
 from stallkeeper.sources.model import UNTRANSLATED, Commerce, documents, from_star_schema
@@ -36,6 +36,10 @@ HOLIDAYS = [("Black Friday", 1997, "1997-11-28", "1997-11-28"), ("Black Friday",
             ("Carnival", 1995, "1995-01-04", "1995-01-07"), ("Carnival", 1998, "1998-02-21", "1998-02-24"),
             ("Christmas", 2000, "2000-12-25", "2000-12-25"), ("Christmas", 2001, "2001-12-25", "2001-12-25")]
 OBSERVED = "2001-07-31"
+FORECAST_FROM = "2000-06-30"
+TARGETS = [("Black Friday", 2000, "2000-11-24", "2000-11-24"), ("Carnival", 2001, "2001-02-24", "2001-02-27"),
+           ("Christmas", 2000, "2000-12-24", "2000-12-25"), ("Christmas", 2001, "2001-12-24", "2001-12-25")]
+TIER_BOUNDS = (500_000, 1_500_000)
 LABEL_CUTOFF = "2001-04-30"
 OBSERVED_END = "2001-07-31 23:59:59"
 FIRST_DAY = "1995-01-01"
@@ -139,6 +143,11 @@ _MODEL: dict[str, ModelQuery] = {
     "scenario_effects": lambda m: scenario.scenario_effects(m, OBSERVED, AOV_MONTHS, list(SPLIT), LAST_MONTH),
     # regional tiers
     **{name: getattr(regions, name) for name in ("region_tiers", "region_tier_summary")},
+    # holiday forecast and attribution
+    "holiday_forecast": lambda m: forecast.holiday_forecast(m, HOLIDAYS, TARGETS, FORECAST_FROM),
+    "holiday_forecast_model": lambda m: forecast.holiday_forecast_model(m, HOLIDAYS, FORECAST_FROM),
+    "holiday_by_category": lambda m: forecast.holiday_by_category(m, HOLIDAYS),
+    "holiday_by_user_tier": lambda m: forecast.holiday_by_user_tier(m, HOLIDAYS, TIER_BOUNDS),
     # churn warning
     **{name: (lambda m, fn=getattr(risk, name): fn(m, LABEL_CUTOFF)) for name in ("churn_risk_model", "churn_risk_quality")},
     "churn_risk_users": lambda m: risk.churn_risk_users(m, LABEL_CUTOFF, OBSERVED),
