@@ -115,6 +115,12 @@ def exact_mean(c: str | Column) -> Column:
     return F.try_divide(dbl(F.sum(c.cast("decimal(20,4)"))), dbl(F.count(c)))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's coefficient of two columns without NULLs, from mergeable central moments; NULL where one is constant
+    (``corr`` would stop the query)."""
+    return F.try_divide(F.covar_pop(dbl(x), dbl(y)), F.stddev_pop(dbl(x)) * F.stddev_pop(dbl(y)))
+
+
 # ---------------------------------------------------------------- frames
 
 def literal_rows(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
@@ -316,26 +322,27 @@ def global_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, name: st
             .drop("_b", "_c", "_before"))
 
 
-def counted_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values of a large numeric column with ``n`` (rows that hold it) and ``average_rank`` (the mean of the
-    places these rows take in the order of the column, from 1). NULLs take no part.
+def counted_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values of a large numeric column per ``by`` group (a short list of them) with ``n``, the rows that hold
+    the value, and ``average_rank``, the mean of the places these rows take in the order of the column, from 1. NULLs
+    take no part.
 
     Rows collapse to counted values first. These are ordered in magnitude buckets, in equal steps inside a bucket, and
     one by one only inside a step, so that no task orders more than the values of one step.
     """
-    counted = materialize(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")))
+    by = list(by)
+    counted = materialize(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
     rows = counted.withColumn("_b", _magnitude_bucket(dbl(value)))
-    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    before = lambda c, w: F.coalesce(F.sum(c).over(upto(w)), F.lit(0))
-    buckets = rows.groupBy("_b").agg(F.sum("n").alias("_bn"), F.min(dbl(value)).alias("_lo"), F.max(dbl(value)).alias("_hi"))
-    buckets = buckets.withColumn("_before_b", before("_bn", W.partitionBy().orderBy("_b"))).drop("_bn")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    buckets = rows.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"), F.min(dbl(value)).alias("_lo"), F.max(dbl(value)).alias("_hi"))
+    buckets = buckets.withColumn("_before_b", before("_bn", W.partitionBy(*by).orderBy("_b"))).drop("_bn")
     step = F.coalesce(F.floor(F.try_divide(dbl(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * _STEPS), F.lit(0))
-    rows = rows.join(buckets, "_b").withColumn("_s", step.cast("bigint"))
-    steps = rows.groupBy("_b", "_s").agg(F.sum("n").alias("_sn"))
-    steps = steps.withColumn("_before_s", before("_sn", W.partitionBy("_b").orderBy("_s"))).drop("_sn")
-    inside = before("n", W.partitionBy("_b", "_s").orderBy(value))
-    return rows.withColumn("_before", inside).join(steps, ["_b", "_s"]).select(
-        value, "n", (F.col("_before_b") + F.col("_before_s") + F.col("_before") + (F.col("n") + 1) / 2).alias("average_rank"))
+    rows = rows.join(buckets, [*by, "_b"]).withColumn("_s", step.cast("bigint"))
+    steps = rows.groupBy(*by, "_b", "_s").agg(F.sum("n").alias("_sn"))
+    steps = steps.withColumn("_before_s", before("_sn", W.partitionBy(*by, "_b").orderBy("_s"))).drop("_sn")
+    inside = before("n", W.partitionBy(*by, "_b", "_s").orderBy(value))
+    return rows.withColumn("_before", inside).join(steps, [*by, "_b", "_s"]).select(
+        *by, value, "n", (F.col("_before_b") + F.col("_before_s") + F.col("_before") + (F.col("n") + 1) / 2).alias("average_rank"))
 
 
 def tile(rank: Column, n: Column, tiles: int) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallkeeper.functions import checkpoint_dir
 from stallkeeper.operators import (association, category, checks, churn, cleaning, cohort, customers, forecast, growth,
-                                   highvalue, keywords, kpi, metrics, quality, regions, rfm, risk, scenario, structure)
+                                   highvalue, keywords, kpi, logistics, metrics, quality, regions, rfm, risk,
+                                   scenario, structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
 from stallkeeper.sources.model import UNTRANSLATED, Commerce, documents, from_star_schema
@@ -143,6 +144,9 @@ _MODEL: dict[str, ModelQuery] = {
     "scenario_effects": lambda m: scenario.scenario_effects(m, OBSERVED, AOV_MONTHS, list(SPLIT), LAST_MONTH),
     # regional tiers
     **{name: getattr(regions, name) for name in ("region_tiers", "region_tier_summary")},
+    # logistics
+    **{name: (lambda m, fn=getattr(logistics, name): fn(m, OBSERVED)) for name in ("delivery_survival", "delivery_survival_by_state")},
+    **{name: getattr(logistics, name) for name in ("logistics_correlation", "abnormal_orders", "abnormal_order_summary")},
     # holiday forecast and attribution
     "holiday_forecast": lambda m: forecast.holiday_forecast(m, HOLIDAYS, TARGETS, FORECAST_FROM),
     "holiday_forecast_model": lambda m: forecast.holiday_forecast_model(m, HOLIDAYS, FORECAST_FROM),
