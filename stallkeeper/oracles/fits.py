@@ -236,5 +236,40 @@ FROM forecast LEFT JOIN series ON order_date = d
 """
 
 
+HUBER_SCALES, HUBER_ROUNDS = 3, 4
+
+
+def _freight() -> str:
+    k, xs = 3, ["x0", "x1", "x2"]
+    off = lambda w: "abs(y - " + " - ".join(f"{w}_{i} * {x}" for i, x in enumerate(xs)) + ")"
+    share = f"coalesce(least(1.0, 1.345::DOUBLE * scale / nullif({off('w')}, 0)), 1.0)"
+    ctes = [f"""size_rows AS MATERIALIZED (
+  SELECT seller_state AS g, CAST(freight_value AS DOUBLE) AS y, 1.0::DOUBLE AS x0, CAST(product_weight_g AS DOUBLE) / 1000 AS x1,
+         CAST(product_length_cm AS DOUBLE) * product_height_cm * product_width_cm / 1000 AS x2
+  FROM sold_items i JOIN m_sellers s ON s.seller_id = i.seller_id JOIN m_products p ON p.product_id = i.product_id
+  SEMI JOIN (SELECT order_id FROM m_orders WHERE order_status = 'delivered') o ON o.order_id = i.order_id
+  WHERE product_weight_g > 0 AND product_length_cm * product_height_cm * product_width_cm > 0)""",
+            f"plain AS MATERIALIZED (SELECT g, n, x_0 AS p_0, x_1 AS p_1, x_2 AS p_2 FROM "
+            + solved(k, f"(SELECT g, count(*) AS n, {cross(k, 'x{}', 'y')} FROM size_rows GROUP BY g HAVING count(*) >= 30)") + ")"]
+    last, n = "(SELECT g, p_0 AS w_0, p_1 AS w_1, p_2 AS w_2 FROM plain)", 0
+    for _ in range(HUBER_SCALES):
+        ctes.append(f"w_{n} AS MATERIALIZED (SELECT g, 1.4826::DOUBLE * quantile_disc({off('w')}, 0.5) AS scale, any_value(w_0) AS w_0, "
+                    f"any_value(w_1) AS w_1, any_value(w_2) AS w_2 FROM size_rows JOIN {last} USING (g) GROUP BY g)")
+        for _ in range(HUBER_ROUNDS):
+            sums = (f"(SELECT g, any_value(scale) AS scale, {cross(k, 'x{}', 'y * q', 'q')} FROM "
+                    f"(SELECT *, {share} AS q FROM size_rows JOIN w_{n} USING (g)) GROUP BY g)")
+            n += 1
+            ctes.append(f"w_{n} AS MATERIALIZED (SELECT g, scale, x_0 AS w_0, x_1 AS w_1, x_2 AS w_2 FROM {solved(k, sums)})")
+        last, n = f"w_{n}", n + 1
+    cols = ", ".join(f"half_up(w_{i}, 6) AS {n}, half_up(p_{i}, 6) AS plain_{n}" for i, n in enumerate(("base", "per_kg", "per_litre")))
+    return f"""
+-- @query freight_by_size
+WITH {", ".join(ctes)},
+trimmed AS (SELECT g, count(*) FILTER ({share} < 1) AS t FROM size_rows JOIN {last} USING (g) GROUP BY g)
+SELECT a.g AS seller_state, a.n AS item_count, half_up(scale, 6) AS scale, t AS trimmed_count, {cols}
+FROM (SELECT g, count(*) AS n FROM size_rows GROUP BY g) a LEFT JOIN plain USING (g) LEFT JOIN {last} USING (g) LEFT JOIN trimmed USING (g)
+"""
+
+
 def text() -> str:
-    return _regions() + _risk() + _forecast()
+    return _regions() + _risk() + _forecast() + _freight()

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallkeeper.functions import checkpoint_dir
-from stallkeeper.operators import (association, category, checks, churn, cleaning, cohort, customers, forecast, growth,
-                                   highvalue, keywords, kpi, logistics, metrics, quality, regions, rfm, risk,
-                                   scenario, structure)
+from stallkeeper.operators import (association, category, checks, churn, cleaning, cohort, customers, forecast, freight,
+                                   growth, highvalue, keywords, kpi, logistics, metrics, quality, regions, rfm, risk,
+                                   scenario, sellers, structure)
 from stallkeeper.plans.session import tune
 from stallkeeper.sources import ingest
 from stallkeeper.sources.model import UNTRANSLATED, Commerce, documents, from_star_schema
@@ -147,6 +147,9 @@ _MODEL: dict[str, ModelQuery] = {
     # logistics
     **{name: (lambda m, fn=getattr(logistics, name): fn(m, OBSERVED)) for name in ("delivery_survival", "delivery_survival_by_state")},
     **{name: getattr(logistics, name) for name in ("logistics_correlation", "abnormal_orders", "abnormal_order_summary")},
+    # freight and sellers
+    **{name: getattr(freight, name) for name in ("freight_by_distance", "nearest_supply", "freight_by_size")},
+    **{name: getattr(sellers, name) for name in ("seller_scorecard", "seller_grade_summary")},
     # holiday forecast and attribution
     "holiday_forecast": lambda m: forecast.holiday_forecast(m, HOLIDAYS, TARGETS, FORECAST_FROM),
     "holiday_forecast_model": lambda m: forecast.holiday_forecast_model(m, HOLIDAYS, FORECAST_FROM),
