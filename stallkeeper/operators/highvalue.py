@@ -103,7 +103,7 @@ def order_payments(m: Commerce) -> DataFrame:
     inside = positive_payments(m).groupBy("order_id", "payment_type").agg(
         F.sum("payment_value").alias("amount"), F.count("*").alias("rows"),
         F.min_by(F.struct("payment_sequential", "payment_installments", "payment_value"),
-                 F.struct((-F.col("payment_value")).alias("v"), "payment_sequential")).alias("rep"))
+                 F.struct((-F.col("payment_value")).alias("v"), "payment_sequential", "payment_installments")).alias("rep"))
     return inside.groupBy("order_id").agg(
         F.sum("amount").alias("amount"), F.sum("rows").alias("payment_record_count"),
         F.count("*").alias("payment_type_count"),

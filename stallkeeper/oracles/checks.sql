@@ -134,10 +134,10 @@ FROM (SELECT unnest([
     {'check_id': 'V07', 'check_name': 'one row per cohort and month', 'a': (0)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE},
     {'check_id': 'V08', 'check_name': 'first month is complete', 'a': (0)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE},
     {'check_id': 'V09', 'check_name': 'rates between 0 and 1', 'a': (0)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE},
-    {'check_id': 'V10', 'check_name': 'one row per item', 'a': (0)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V10', 'check_name': 'one row per item', 'a': (repeated_items)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE},
     {'check_id': 'V11', 'check_name': 'no empty category', 'a': (0)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE},
     {'check_id': 'V12', 'check_name': 'no negative price', 'a': (0)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE},
     {'check_id': 'V13', 'check_name': 'item sales equal M18', 'a': (sales)::DOUBLE, 'e': (sales)::DOUBLE, 'tolerance': 0.01::DOUBLE},
     {'check_id': 'V14', 'check_name': 'category shares add up to 1', 'a': (1)::DOUBLE, 'e': (1)::DOUBLE, 'tolerance': 1e-9::DOUBLE}
 ], recursive := true)
-FROM (SELECT sum(is_delivered) AS v, sum(order_gmv) FILTER (is_paid_delivered = 1) AS g FROM metric_orders), (SELECT count(*) AS v2 FROM c_orders WHERE order_status = 'delivered'), (SELECT sum(amount) AS g2 FROM paid_delivered), (SELECT sum(price) AS sales FROM metric_items))
+FROM (SELECT sum(is_delivered) AS v, sum(order_gmv) FILTER (is_paid_delivered = 1) AS g FROM metric_orders), (SELECT count(*) AS v2 FROM c_orders WHERE order_status = 'delivered'), (SELECT sum(amount) AS g2 FROM paid_delivered), (SELECT sum(price) AS sales FROM metric_items), (SELECT count(*) AS repeated_items FROM (SELECT 1 FROM metric_items GROUP BY order_id, order_item_id HAVING count(*) > 1)))

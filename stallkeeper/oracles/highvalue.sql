@@ -46,7 +46,7 @@ SELECT s.customer_unique_id, customer_id, s.order_id, order_purchase_timestamp,
 FROM seen s LEFT JOIN order_paid p ON p.order_id = s.order_id
 LEFT JOIN (SELECT order_id, payment_type, sum(payment_value) AS amount, count(*) AS n FROM c_payments GROUP BY order_id, payment_type
            QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY sum(payment_value) DESC, payment_type) = 1) m ON m.order_id = s.order_id
-LEFT JOIN (SELECT * FROM c_payments QUALIFY row_number() OVER (PARTITION BY order_id, payment_type ORDER BY payment_value DESC, payment_sequential) = 1) r
+LEFT JOIN (SELECT * FROM c_payments QUALIFY row_number() OVER (PARTITION BY order_id, payment_type ORDER BY payment_value DESC, payment_sequential, payment_installments) = 1) r
        ON r.order_id = m.order_id AND r.payment_type = m.payment_type
 
 -- @query order_payment_base

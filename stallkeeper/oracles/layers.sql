@@ -51,10 +51,7 @@ SELECT o_orderkey AS order_id, o_custkey AS customer_id,
 FROM orders LEFT JOIN m_shipping ON l_orderkey = o_orderkey
 
 -- @layer m_lines
-SELECT *, CAST(row_number() OVER (
-         PARTITION BY l_orderkey
-         ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax,
-                  l_returnflag, l_linestatus) AS INTEGER) AS line_key,
+SELECT *, l_linenumber AS line_key,
        CAST(l_quantity AS BIGINT) AS qty, CAST(l_extendedprice AS DECIMAL(18,2)) AS list_price
 FROM lineitem
 
