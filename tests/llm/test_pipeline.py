@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
-from stallkeeper.llm import toxicity
+from stallkeeper.llm import simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,18 +60,19 @@ def plain_lines(docs):
 
 
 def plain_simhash(docs):
-    prints = {}
+    """All pairs of distinct texts by the same bits, without blocks."""
+    prints, ids = {}, defaultdict(list)
     for d in docs:
-        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in d["text"])
-        w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        hashes = [xxhash.xxh64_intdigest(" ".join(w[i:i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
-        prints[d["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    union = Union()
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 4:
-                union.join(a, b)
-    return [d for d in docs if union.find(d["doc_id"]) == d["doc_id"]]
+        w = re.findall(rb"[^\x20\x09-\x0D]+", d["text"].encode().lower())
+        shingles = {xxhash.xxh64_intdigest(b" ".join(w[i:i + 5]), 42) for i in range(max(1, len(w) - 4))} if w else set()
+        ids[tuple(w)].append(d["doc_id"])
+        prints[tuple(w)] = simhash.wide(list(shingles), simhash.VERIFY // 64)
+    union, texts = Union(), list(prints)
+    for i, a in enumerate(texts):
+        for b in texts[i + 1:]:
+            if np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.bound(0.8):
+                union.join(min(ids[a]), min(ids[b]))
+    return [d for d in docs if any(d["doc_id"] == min(x) == union.find(min(x)) for x in ids.values())]
 
 
 def plain_mix(docs, quality):
@@ -128,3 +129,33 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, odd, make_docs):
             assert out.columns == docs.columns
             out.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_near_copies_by_similarity(spark, make_docs):
+    """Texts of 400 words with some words changed: nearly all at a similarity of 0.85 and more are found, none at 0.5."""
+    rng = np.random.RandomState(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    rows, similarity = [], {}
+    for k in range(120):
+        base = [word() for _ in range(400)]
+        copy = list(base)
+        for at in rng.choice(400, (2, 4, 6, 40)[k % 4], replace=False):
+            copy[at] = word()
+        a, b = ({tuple(w[i:i + 5]) for i in range(396)} for w in (base, copy))
+        similarity[k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in simhash.keep_one(make_docs(rows)).collect()}
+    assert {2 * k for k in range(120)} <= kept
+    caught = lambda lo, hi: [2 * k + 1 not in kept for k, s in similarity.items() if lo <= s < hi]
+    assert np.mean(caught(0.92, 1.01)) == 1.0 and np.mean(caught(0.85, 0.92)) > 0.9 and not any(caught(0, 0.5))
+
+
+def test_one_of_a_large_group_of_near_copies(spark, make_docs):
+    """More near copies than a tile holds, all amid unrelated texts, and copies without an id."""
+    rng = np.random.RandomState(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    base = list(rng.choice(words, 300))
+    rows = [(10 + i, " ".join(base[:7 + i % 280] + [f"x{i}"] + base[8 + i % 280:])) for i in range(700)]
+    rows += [(2000 + i, " ".join(rng.choice(words, 200))) for i in range(50)] + [(None, " ".join(base)), (3, rows[5][1]), (3, rows[5][1])]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(make_docs(rows)).collect())
+    assert kept == [3, *range(2000, 2050)]
