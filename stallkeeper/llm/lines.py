@@ -229,8 +229,8 @@ def overlaps(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tiles(similar: float):
-    """Rows sorted by (key, tile): links between lines of a tile that are in different classes so far, as far as
-    they join more."""
+    """Rows sorted by (key, tile): links between classes so far, of lines of a tile that are in different ones, as far
+    as they join more."""
     def compare(h: list[int], c: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
         size, both = overlaps(texts)
         c = np.array(c)
@@ -248,8 +248,8 @@ def _tiles(similar: float):
             x, y = root(int(c[i])), root(int(c[j]))
             if x != y and int(both[i, j]) / (int(size[i]) + int(size[j]) - int(both[i, j])) >= similar:
                 up[max(x, y)] = min(x, y)
-                a.append(h[i])
-                b.append(h[j])
+                a.append(int(c[i]))
+                b.append(int(c[j]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +310,12 @@ def classes(lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
              .join(texts, "h"))
     more = stored(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "h").select(
         "key", "tile", "h", "c", "text").mapInArrow(_tiles(similar), "a bigint, b bigint"))
-    return connected(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+    # Only classes are joined: a class is named by its smallest line, so the smallest class names the union.
+    second = stored(connected(more))
+    merged = second.select(F.col("node").alias("_class"), F.col("component").alias("_root"))
+    alone = second.join(first, "node", "left_anti").select("node", "component")  # lines that were a class of their own
+    return (first.join(merged, F.col("component") == F.col("_class"), "left")
+            .select("node", F.coalesce("_root", "component").alias("component")).unionAll(alone))
 
 
 def decisions(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
