@@ -78,7 +78,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(toxic, features) of at most ``per_class`` labelled documents of each class outside the held-out third,
-    chosen by a hash of the id. A label row counts once per id; ids without a document are passed over."""
+    chosen by a hash of the id. An id counts once, however many label rows or documents carry it; ids without a
+    document are passed over."""
     known = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     present = stored(known.join(docs.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi"))
@@ -86,8 +87,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     chosen = present.where("toxic = 1").orderBy(order, "_id").limit(per_class).unionAll(
         present.where("toxic = 0").orderBy(order, "_id").limit(per_class))
     rows = (docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(chosen), "_id"))  # at most two times per_class rows
-    return rows.mapInArrow(_features, "toxic int, features binary")
+            .join(F.broadcast(chosen), "_id"))  # at most two times per_class ids
+    # Documents that share an id are one example: the one whose text has the smallest hash.
+    one = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), "text", "toxic")).alias("one"))
+    return one.select("one.text", "one.toxic").mapInArrow(_features, "toxic int, features binary")
 
 
 def fit(rows: list[tuple[int, bytes]]) -> Model:
