@@ -69,11 +69,13 @@ def lists_within(graph: Graph, q: np.ndarray, ratio: float) -> tuple[np.ndarray,
     rows, lists, ratios = [], [], []
     for at in range(0, len(q), 512):
         x = np.ascontiguousarray(q[at:at + 512], np.float32)
-        best = graph.nearest(x, 32)[1][:, 0]
+        first, best = (part[:, 0] for part in graph.nearest(x, 32))
         near = distances(graph, x, best)
         far = near * ratio + 1e-6
         row, node, close = graph.within(x, ((x ** 2).sum(1) - far ** 2) / 2, 32)
-        d = distances(graph, x[row], close)
+        lost = np.setdiff1d(np.arange(len(x)), row)  # by rounding: to the nearest list all the same
+        row, node = np.concatenate([row, lost]), np.concatenate([node, first[lost]])
+        d = distances(graph, x[row], np.concatenate([close, best[lost]]))
         rows.append(row + at)
         lists.append(node)
         ratios.append(d / np.maximum(near[row], 1e-9))
@@ -200,6 +202,10 @@ def nearest(df: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vect
     if common is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.col("dim") == common["dim"]).select("vec_id", "v")
+    # All vectors shrink by one power of two, so that no square overflows; that changes no digit, and distances grow back.
+    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    unit_ = F.lit(2.0 ** max(-1000, min(1000, int(np.frexp(top)[1]))))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x / unit_))
     queries = stored(rows.where(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query_id")).agg(
         F.min("v").alias("v")))
     order = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
@@ -240,4 +246,5 @@ def nearest(df: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vect
         more = answered(within(short, ratio * wider) if wider else every.select("list", "query_id", "v"))
         answers = stored(answers.unionAll(more).distinct())
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", (F.col("score") * unit_).alias("score"))

@@ -131,3 +131,18 @@ def test_every_query_is_answered_in_full(spark):
         assert {r["vec_id"] for r in rows if r["query_id"] == q and r["rank"] <= 7} == set(range(791, 799)) - {q}
     few = ann.nearest(frame(spark, x[:4]), lambda i: i >= 0).collect()
     assert sorted(r["rank"] for r in few) == sorted([1, 2, 3] * 4)
+
+
+@pytest.mark.parametrize("size", [1e20, 1e-25, 1.0])
+def test_search_whatever_the_magnitude(spark, size):
+    """Squares of large vectors overflow single precision, those of small ones vanish in it."""
+    x = np.random.RandomState(4).randn(300, 8) * size
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, lambda v: v % 100 == 0).collect()
+    for q in (0, 100, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        rows = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r[0] for r in rows] == list(range(1, 11))
+        assert len(set(np.argsort(d)[:10].tolist()) & {r[1] for r in rows}) >= 9
+        assert all(s == pytest.approx(d[v], rel=1e-12) for _, v, s in rows)
