@@ -16,7 +16,8 @@ from stallkeeper.llm.ranks import numbered_sources, running
 SHARDS = 16
 BINS = 14               # bits of a key that one pass resolves
 EXACT = 0.0002          # a bin below this share of its box is not cut further
-VALUE_BITS = 30
+VALUE_BITS, HASH_BITS = 22, 40  # of a key; a hash of the row lies below the value
+LIKE_BITS = 16          # of the hash, that tell rows apart which are alike in all columns
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
@@ -28,13 +29,14 @@ def _category(rows: DataFrame, name: str) -> DataFrame:
 
 
 def coordinates(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, a spread hash, and one key per dimension: the value in 2**30 steps of its
-    range in the table, then 32 bits of the hash. Nulls lie at the upper end."""
+    """doc_id, size, text_crc32, a spread hash, and one key per dimension: the value in 2**22 steps of its
+    range in the table, then 40 bits of the hash. Nulls lie at the upper end."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
                               F.col("lang").cast("string").alias("lang"),
                               (F.octet_length(text) + 1).cast("bigint").alias("size"),
-                              F.crc32(text.cast("binary")).alias("text_crc32")))
+                              F.crc32(text.cast("binary")).alias("text_crc32"),
+                              F.monotonically_increasing_id().alias("_number")))  # fixed by the store
     low, high, largest = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max("size")).first()
     span, most = max((high or 0) - (low or 0), 1), max(largest or 2, 2)
     places: dict[str, Column] = {
@@ -44,11 +46,14 @@ def coordinates(docs: DataFrame) -> DataFrame:
         found = _category(rows, name).select(F.col("_value").alias(f"_{name}"), F.col("_place").alias(f"_at_{name}"))
         rows = rows.join(found, rows[name].eqNullSafe(F.col(f"_{name}"))).drop(f"_{name}")
         places[name] = F.col(f"_at_{name}")
-    spread = F.xxhash64("doc_id", "text_crc32", "size")
+    # Rows alike in all columns differ in the number the store gave them, so that cuts can part them.
+    part = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1))
+    spread = F.shiftleft(part(F.xxhash64("doc_id", "text_crc32", "size"), HASH_BITS - LIKE_BITS), LIKE_BITS).bitwiseOR(
+        part(F.xxhash64("_number"), LIKE_BITS))
     steps = float((1 << VALUE_BITS) - 1)
     key = {d: F.shiftleft(F.floor(F.least(F.greatest(F.coalesce(p, F.lit(1.0)), F.lit(0.0)), F.lit(1.0)) * steps)
-                          .cast("bigint"), 32).bitwiseOR(F.col("spread")) for d, p in places.items()}
-    rows = rows.withColumn("spread", spread.bitwiseAND(F.lit((1 << 32) - 1)))
+                          .cast("bigint"), HASH_BITS).bitwiseOR(F.col("spread")) for d, p in places.items()}
+    rows = rows.withColumn("spread", spread)
     return stored(rows.select("doc_id", "size", "text_crc32", "spread", *[key[d].alias(f"k_{d}") for d in DIMENSIONS]))
 
 
@@ -65,7 +70,7 @@ def _cuts(rows: DataFrame, open_boxes: dict[int, int]) -> dict[int, tuple[str, i
     state = {}
     for r in per_box:
         if r["box"] in open_boxes:
-            wide = max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] >> 32) - (r[f"lo_{d}"] >> 32))
+            wide = max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] >> HASH_BITS) - (r[f"lo_{d}"] >> HASH_BITS))
             k = open_boxes[r["box"]]
             state[r["box"]] = {"dim": wide, "lo": r[f"lo_{wide}"], "hi": r[f"hi_{wide}"],
                                "need": r["bytes"] * (k // 2) / k, "enough": r["bytes"] * EXACT}
@@ -133,7 +138,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
                   .drop("dim", "cut", "lower", "upper"))
         leaves, firsts = next_leaves, next_firsts
     placed = stored(placed.select("doc_id", "size", "text_crc32", "spread", F.col("box").alias("shard"),
-                                  F.lit(1).alias("one"), (F.col("spread") / float(1 << 32)).alias("position")))
+                                  F.lit(1).alias("one"), (F.col("spread") / float(1 << HASH_BITS)).alias("position")))
     order = [F.col(c) for c in ("spread", "doc_id", "text_crc32", "size")]
     return running(placed, ["shard"], "position", order, "one").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

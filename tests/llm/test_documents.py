@@ -345,12 +345,60 @@ def test_shards_of_like_rows(make_docs):
     assert by_bytes.select("shard").distinct().count() == 4
 
 
+@pytest.mark.parametrize("rows", [[(7, "the same row")] * 1600, [(None, None, None)] * 800 + [(i, "x" * (i % 50)) for i in range(800)]])
+def test_shards_of_repeated_rows(make_docs, rows):
+    """Rows alike in every column are parted too: all of one kind, and half of the table without id and text."""
+    out = sharding.shard(make_docs(rows)).collect()
+    size, slots = Counter(), {}
+    for r in out:
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(out) == len(rows) and sorted(size) == list(range(16))
+    assert max(size.values()) - min(size.values()) <= 2 * max(r["size"] for r in out)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def plain_boxes(rows, shards):
+    """Recursive weighted medians: rows (keys by dimension, size), split along the widest dimension of values."""
+    if shards == 1 or not rows:
+        return [rows] + [[]] * (shards - 1)
+    wide = max(range(len(sharding.DIMENSIONS)), key=lambda d: max(k[d] >> sharding.HASH_BITS for k, _ in rows)
+               - min(k[d] >> sharding.HASH_BITS for k, _ in rows))
+    rows, low = sorted(rows, key=lambda r: r[0][wide]), shards // 2
+    need, total, cut = sum(s for _, s in rows) * low / shards, 0, 0
+    for cut, (_, s) in enumerate(rows):
+        if total + s >= need:
+            cut += total + s - need <= need - total
+            break
+        total += s
+    return plain_boxes(rows[:cut], low) + plain_boxes(rows[cut:], shards - low)
+
+
+def test_shards_are_recursive_medians(documents):
+    """The same splits as sorting each box along its widest dimension; bins of nearly no bytes may fall on either side."""
+    keys = sharding.coordinates(documents).collect()
+    rows = [(tuple(r[f"k_{d}"] for d in sharding.DIMENSIONS), r["size"]) for r in keys]
+    want = {r[0]: i for i, box in enumerate(plain_boxes(rows, 16)) for r in box}
+    of = {r["doc_id"]: tuple(r[f"k_{d}"] for d in sharding.DIMENSIONS) for r in keys}
+    got = {of[r["doc_id"]]: r["shard"] for r in sharding.shard(documents).collect()}
+    assert got == want
+
+
 def test_shards_odd_rows(odd, make_docs):
     assert sharding.shard(odd).count() == 13
     assert sharding.shard(make_docs([])).count() == 0
     assert sharding.shard(make_docs([(None, None, None)])).first()["size"] == 1
 
 
+# -------------------------------------------------------------- toxicity bound
+
+def test_training_rows_are_bounded_by_ids(spark, make_docs):
+    docs = make_docs([(2, f"text {i}") for i in range(3000)] + [(3, "other")])
+    ids = [i for i in (2, 3, 5, 6, 8) if zlib.crc32(str(i).encode()) % 3 != 1][:1]
+    labels = spark.createDataFrame([(i, 1, 1) for i in (2, 3)] * 2, "doc_id bigint, quality int, toxic int")
+    assert toxicity.training_rows(docs, labels, 10).count() <= 2 and ids
+
+
 # ------------------------------------------------------------------- pii
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
