@@ -305,18 +305,21 @@ def global_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, name: st
         else F.coalesce(F.floor(F.try_divide(
             dbl(tie) - dbl(F.col("_e.lo")), dbl(F.col("_e.hi")) - dbl(F.col("_e.lo"))) * _CELLS), F.lit(0))).drop("_e")
     cells = rows.groupBy(*by, "_b", value, "_c").agg(F.count(F.lit(1)).alias("_k"))
-    buckets = cells.groupBy(*by, "_b").agg(F.sum("_k").alias("_kb"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    values = cells.groupBy(*by, "_b", value).agg(F.sum("_k").alias("_kv"))
     whole = W.partitionBy(*by)
-    buckets = (buckets.withColumn("_before_b", F.sum("_kb").over(
-        whole.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_kb"))
-        .withColumn("n", F.sum("_kb").over(whole)).drop("_kb"))
-    in_value = W.partitionBy(*by, "_b", value)
-    before_c = F.sum("_k").over(in_value.orderBy("_c").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_k")
-    # The default frame of an ordered window takes in all cells of the current value.
-    up_to_value = F.sum("_k").over(W.partitionBy(*by, "_b").orderBy(value))
-    offsets = (cells.withColumn("_in_bucket", up_to_value - F.sum("_k").over(in_value) + before_c)
-               .join(buckets, [*by, "_b"])
-               .select(*by, value, "_c", "n", (F.col("_before_b") + F.col("_in_bucket")).alias("_before")))
+    buckets = (values.groupBy(*by, "_b").agg(F.sum("_kv").alias("_kb"), F.min(dbl(value)).alias("_lo"), F.max(dbl(value)).alias("_hi"))
+               .withColumn("_before_b", before("_kb", whole.orderBy("_b"))).withColumn("n", F.sum("_kb").over(whole)).drop("_kb"))
+    step = F.coalesce(F.floor(F.try_divide(dbl(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * _STEPS), F.lit(0))
+    values = values.join(buckets, [*by, "_b"]).withColumn("_s", step.cast("bigint"))
+    steps = values.groupBy(*by, "_b", "_s").agg(F.sum("_kv").alias("_ks"))
+    steps = steps.withColumn("_before_s", before("_ks", W.partitionBy(*by, "_b").orderBy("_s"))).drop("_ks")
+    in_step = before("_kv", W.partitionBy(*by, "_b", "_s").orderBy(value))
+    values = values.withColumn("_in_step", in_step).join(steps, [*by, "_b", "_s"]).select(
+        *by, value, "n", (F.col("_before_b") + F.col("_before_s") + F.col("_in_step")).alias("_before_v"))
+    before_c = before("_k", W.partitionBy(*by, value).orderBy("_c"))
+    offsets = (cells.withColumn("_before_c", before_c).join(values, [*by, value])
+               .select(*by, value, "_c", "n", (F.col("_before_v") + F.col("_before_c")).alias("_before")))
     inside = F.row_number().over(W.partitionBy(*by, value, "_c").orderBy(tie))
     return (rows.join(offsets, [*by, value, "_c"]).withColumn(name, F.col("_before") + inside)
             .drop("_b", "_c", "_before"))

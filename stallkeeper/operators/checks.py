@@ -9,8 +9,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallkeeper.functions import count_if, dbl, half_up, materialize, ratio
-from stallkeeper.operators import customers, metrics, rfm, structure
+from stallkeeper.functions import (MICROS_PER_DAY, count_if, dbl, fences, half_up, materialize, micros_between, month_index,
+                                   month_of, outside, ratio, scalar)
+from stallkeeper.operators import cleaning, customers, metrics, rfm, structure
 from stallkeeper.sources.model import Commerce
 
 # check name, fact, expected fact or constant, tolerance
@@ -103,7 +104,15 @@ def validate_rfm(m: Commerce, observation_date: str) -> DataFrame:
         ("order value equals revenue per paid order", "segment_aov", "order_aov", 1e-6)])
 
 
+def _one_payment(m: Commerce) -> DataFrame:
+    """Payments of an order as one row, for readers that only add them up."""
+    return metrics.order_paid(m).select(
+        "order_id", F.lit(1).alias("payment_sequential"), F.lit(None).cast("string").alias("payment_type"),
+        F.lit(1).cast("bigint").alias("payment_installments"), F.col("amount").alias("payment_value"))
+
+
 def validate_customer(m: Commerce) -> DataFrame:
+    m = m.with_tables(payments=_one_payment(m)).held("orders_core", "payments", "customers")
     base = customers.customer_order_base(m)
     profile = materialize(customers.customer_profile(m, base))
     money = lambda c: F.sum(F.col(c).cast("decimal(28,2)"))
@@ -144,46 +153,96 @@ def _base_facts(base: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
         F.count("*").alias("all"), F.sum("is_delivered").alias("d"), F.sum("is_paid_delivered").alias("p"),
         F.sum(F.when(F.col("is_paid_delivered") == 1, F.col("order_gmv"))).alias("g"), F.sum("is_canceled").alias("c"),
         F.sum("is_delivery_evaluable").alias("e"), F.sum("is_late").alias("l"), F.count("review_score").alias("r"),
-        F.sum("review_score").alias("s"), F.sum("is_positive_review").alias("pos"))
+        F.sum("review_score").alias("s"), F.sum("is_positive_review").alias("pos"),
+        F.sum(F.col("delivery_micros").cast("decimal(20,0)")).alias("t"),
+        F.min(F.when(F.col("is_delivered") == 1, F.col("order_purchase_timestamp"))).alias("first"),
+        F.max(F.when(F.col("is_delivered") == 1, F.col("order_purchase_timestamp"))).alias("last"))
     s = F.sum
+    again = F.col("d") >= 2
+    span = F.when(again, micros_between("last", "first")).cast("decimal(20,0)")
     return users, {
         "b_orders": s("all"), "b_valid": s("d"), "b_paid": s("p"), "b_gmv": s("g"), "b_canceled": s("c"),
         "b_active": count_if(F.col("d") > 0), "b_repeat": count_if(F.col("d") >= 2), "b_evaluable": s("e"), "b_late": s("l"),
         "b_reviewed": s("r"), "b_positive": s("pos"), "b_payers": count_if(F.col("g") > 0), "b_aov": ratio(s("g"), s("p")),
         "b_score": ratio(s("s"), s("r")), "b_ltv": ratio(s("g"), count_if(F.col("g") > 0)),
-        "b_frequency": ratio(s("d"), count_if(F.col("d") > 0))}
+        "b_frequency": ratio(s("d"), count_if(F.col("d") > 0)), "b_repeat_rate": ratio(count_if(again), count_if(F.col("d") > 0)),
+        "b_gaps": F.coalesce(s(F.when(again, F.col("d") - 1)), F.lit(0)),
+        "b_gap_days": ratio(s(span), s(F.when(again, F.col("d") - 1))) / MICROS_PER_DAY,
+        "b_days": ratio(s("t"), s("e")) / MICROS_PER_DAY, "b_late_rate": ratio(s("l"), s("e")),
+        "b_positive_rate": ratio(s("pos"), s("r")), "b_cancel_rate": ratio(s("c"), s("all"))}
+
+
+def _stored_model(m: Commerce) -> Commerce:
+    """The model for a register of all metrics: orders with their delivery times, one payment row and one review per
+    order, and items, each held once, so that every metric reads a few narrow columns instead of the lines again."""
+    narrow = m.with_tables(
+        payments=_one_payment(m), reviews=cleaning.latest_review(cleaning.valid_reviews(m)),
+        items=m.items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"))
+    return narrow.held("orders", "payments", "reviews", "customers", "products", "sellers", "items")
+
+
+def _more_facts(source: Commerce, m: Commerce, base: DataFrame) -> list[tuple[DataFrame, dict[str, Column]]]:
+    """What the register expects of months, grids, long tails and keys, from the order base and the tables."""
+    done = base.where(F.col("is_delivered") == 1)
+    first = done.groupBy("customer_unique_id").agg(F.min("order_purchase_timestamp").alias("t"))
+    months = first.select(month_index(month_of("t")).alias("month")).groupBy("month").agg(F.count("*").alias("n"))
+    ends = scalar(base.agg(F.max(month_index(month_of(F.when(F.col("is_delivered") == 1, F.col("order_purchase_timestamp"))))).alias("last"),
+                           F.max(month_index(month_of("order_purchase_timestamp"))).alias("order")), "last", "order")
+    months = months.withColumn("_ends", ends)
+    timed = cleaning.delivery_times(cleaning.clean_orders(m))
+    bounds = scalar(fences(timed.select("delivery_micros"), "delivery_micros"), "lower_bound", "upper_bound")
+    timed = timed.where(metrics.delivered())
+    clean = cleaning.clean_delivery(m).where(metrics.delivered())
+    payments = cleaning.positive_payments(source).groupBy("order_id", "payment_sequential").agg(F.count("*").alias("n"))
+    reviews = cleaning.representative_review(m).groupBy("order_id").agg(F.count("*").alias("n"))
+    return [
+        (months, {"b_first_months": F.count("*"), "b_grid_rows": F.sum(F.col("_ends.last") - F.col("month") + 1),
+                  "b_tail": F.max(F.col("_ends.order") - F.col("_ends.last"))}),
+        (timed, {"b_long_tail": F.sum(outside("delivery_micros", bounds)), "b_chronology": F.sum("has_chronology_error")}),
+        (clean, {"m13_long_tail": F.sum("is_delivery_iqr_extreme"), "m13_chronology": F.sum("has_intermediate_chronology_error")}),
+        (metrics.metric_category_item_base(m).groupBy("product_category").agg(F.count("*").alias("n")), {"b_categories": F.count("*")}),
+        (payments, {"repeated_payment_keys": count_if(F.col("n") > 1)}), (reviews, {"repeated_reviews": count_if(F.col("n") > 1)}),
+    ]
 
 
-def validate_metrics(m: Commerce) -> DataFrame:
-    """Every metric against an independent count from the order base, and against its relatives."""
+def validate_metrics(source: Commerce) -> DataFrame:
+    """Every metric against an independent count from the order base, and against its relatives; then the keys below.
+    A repeated payment key fails its check: the sums are right all the same, as payments are added up per order."""
+    m = _stored_model(source)
     base = materialize(metrics.metric_order_base(m).select(
-        "customer_unique_id", "is_delivered", "is_paid_delivered", "order_gmv", "is_canceled", "is_delivery_evaluable",
-        "is_late", "review_score", "is_positive_review"))
+        "customer_unique_id", "order_purchase_timestamp", "is_delivered", "is_paid_delivered", "order_gmv", "is_canceled",
+        "is_delivery_evaluable", "is_late", "review_score", "is_positive_review", "delivery_micros"))
     one = lambda df, names: (df, {alias: _first(c) for alias, c in names.items()})
     kept = metrics.m09_retention(m)
     facts = [
-        _base_facts(base),
+        _base_facts(base), *_more_facts(source, m, base),
         one(metrics.m01_gmv(m), {"m01": "gmv"}), one(metrics.m02_valid_orders(m), {"m02": "valid_order_count"}),
         one(metrics.m03_aov(m), {"m03_orders": "paid_order_count", "m03_revenue": "paid_order_revenue", "m03": "average_order_value"}),
         one(metrics.m04_paid_orders(m), {"m04": "paid_order_count"}),
         one(metrics.m05_active_customers(m), {"m05": "active_customer_count"}),
-        (metrics.m06_new_customers(m), {"m06_sum": F.sum("new_customer_count")}),
+        (metrics.m06_new_customers(m), {"m06_sum": F.sum("new_customer_count"), "m06_months": F.count("*")}),
         one(metrics.m07_repeat_customers(m), {"m07": "repeat_customer_count"}),
-        one(metrics.m08_repeat_rate(m), {"m08_active": "active_customer_count", "m08_repeat": "repeat_customer_count"}),
+        one(metrics.m08_repeat_rate(m), {"m08_active": "active_customer_count", "m08_repeat": "repeat_customer_count",
+                                         "m08_rate": "repeat_purchase_rate"}),
         (kept, {"m09_first_below_1": count_if((F.col("retention_month_number") == 0) & (F.col("customer_retention_rate") != 1)),
-                "m09_too_many": count_if(F.col("retained_customer_count") > F.col("cohort_customer_count"))}),
+                "m09_too_many": count_if(F.col("retained_customer_count") > F.col("cohort_customer_count")),
+                "m09_rows": F.count("*")}),
         one(metrics.m10_ltv(m), {"m10_users": "paying_customer_count", "m10_revenue": "total_customer_revenue", "m10": "customer_lifetime_value"}),
         one(metrics.m11_frequency(m), {"m11_orders": "valid_order_count", "m11_users": "active_customer_count", "m11": "average_purchase_frequency"}),
-        one(metrics.m12_repurchase_interval(m), {"m12_users": "repeat_customer_count", "m12_gaps": "valid_interval_count"}),
-        one(metrics.m13_delivery_days(m), {"m13_orders": "valid_delivery_order_count"}),
-        one(metrics.m14_late_rate(m), {"m14_orders": "evaluable_order_count", "m14_late": "late_order_count"}),
+        one(metrics.m12_repurchase_interval(m), {"m12_users": "repeat_customer_count", "m12_gaps": "valid_interval_count",
+                                                "m12_days": "average_repurchase_interval_days"}),
+        one(metrics.m13_delivery_days(m), {"m13_orders": "valid_delivery_order_count", "m13_days": "average_delivery_days"}),
+        one(metrics.m14_late_rate(m), {"m14_orders": "evaluable_order_count", "m14_late": "late_order_count",
+                                       "m14_rate": "late_delivery_rate"}),
         one(metrics.m15_review_score(m), {"m15_orders": "reviewed_order_count", "m15": "average_review_score"}),
-        one(metrics.m16_positive_rate(m), {"m16_orders": "reviewed_order_count", "m16_positive": "positive_review_order_count"}),
-        one(metrics.m17_cancel_rate(m), {"m17_orders": "total_order_count", "m17_canceled": "canceled_order_count"}),
+        one(metrics.m16_positive_rate(m), {"m16_orders": "reviewed_order_count", "m16_positive": "positive_review_order_count",
+                                           "m16_rate": "positive_review_rate"}),
+        one(metrics.m17_cancel_rate(m), {"m17_orders": "total_order_count", "m17_canceled": "canceled_order_count",
+                                         "m17_rate": "cancellation_rate"}),
         (metrics.m17_cancel_monthly(m), {"m17_month_orders": F.sum("total_order_count"), "m17_month_canceled": F.sum("canceled_order_count")}),
         (metrics.m18_category_share(m), {"m18_shares": F.sum("category_sales_share"),
                                          "m18_sum": F.sum(F.col("category_sales_amount").cast("decimal(28,2)")),
-                                         "m18_total": F.max("total_category_sales_amount")}),
+                                         "m18_total": F.max("total_category_sales_amount"), "m18_rows": F.count("*")}),
     ]
     return register(facts, [
         ("M01 revenue", "m01", "b_gmv", 0.01), ("M02 valid orders", "m02", "b_valid", 0), ("M03 paid orders", "m03_orders", "b_paid", 0),
@@ -202,7 +261,15 @@ def validate_metrics(m: Commerce) -> DataFrame:
         ("M17 all orders", "m17_orders", "b_orders", 0), ("M17 canceled orders", "m17_canceled", "b_canceled", 0),
         ("M17 monthly orders add up", "m17_month_orders", "m17_orders", 0),
         ("M17 monthly canceled orders add up", "m17_month_canceled", "m17_canceled", 0),
-        ("M18 shares add up to 1", "m18_shares", 1, 1e-6), ("M18 sales add up", "m18_sum", "m18_total", 0.01)])
+        ("M18 shares add up to 1", "m18_shares", 1, 1e-6), ("M18 sales add up", "m18_sum", "m18_total", 0.01),
+        ("M06 first purchase months", "m06_months", "b_first_months", 0), ("M08 repeat rate", "m08_rate", "b_repeat_rate", 1e-6),
+        ("M09 cohort months", "m09_rows", "b_grid_rows", 0), ("M09 months that orders run on behind the grid", "b_tail", 0, 2),
+        ("M12 gaps", "m12_gaps", "b_gaps", 0), ("M12 days between purchases", "m12_days", "b_gap_days", 1e-6),
+        ("M13 days", "m13_days", "b_days", 1e-6), ("M13 long tail is kept", "m13_long_tail", "b_long_tail", 0),
+        ("M13 chronology errors are kept", "m13_chronology", "b_chronology", 0), ("M14 late rate", "m14_rate", "b_late_rate", 1e-6),
+        ("M16 positive rate", "m16_rate", "b_positive_rate", 1e-6), ("M17 cancellation rate", "m17_rate", "b_cancel_rate", 1e-6),
+        ("M18 categories", "m18_rows", "b_categories", 0), ("one review per order", "repeated_reviews", 0, 0),
+        ("payment keys are unique", "repeated_payment_keys", 0, 0)])
 
 
 def validate_dashboard_detail(m: Commerce, bounds=structure.BOUNDS) -> DataFrame:

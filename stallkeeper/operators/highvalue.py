@@ -382,7 +382,9 @@ def consumption_profile_user(m: Commerce, observation_date: str, high_amount: fl
 
 
 def integrated_profile(m: Commerce, observation_date: str, high_amount: float = HIGH_AMOUNT) -> DataFrame:
-    """All profiles of a high-value user side by side. Every input has one row per user."""
+    """All profiles of a high-value user side by side. Every input has one row per user; the tables behind them are
+    held once."""
+    m = m.held("orders", "customers", "payments", "reviews")
     users = materialize(user_value_base(m, observation_date).where("is_high_value_user = 1")
                         .withColumn("monetary", dbl("monetary")))
     keys = users.select(USER)

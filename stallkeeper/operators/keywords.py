@@ -43,14 +43,18 @@ def _folds() -> tuple[dict[str, str], dict[str, str], str]:
 SINGLE, SEVERAL, MARKS = _folds()
 
 
+#: Below this character no text needs more than a letter for a letter.
+RARE = f"[\\x{{{min(min(map(ord, SEVERAL)), 0x300):x}}}-\\x{{10ffff}}]"  # combining marks begin at 300
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case words of at least two letters, accents and other letter forms folded, stop words removed."""
+    """Lower-case words of at least two letters, accents and other letter forms folded, stop words removed. Letters that
+    become several are looked up one by one, and combining marks taken out, only in texts that hold a rare character."""
     low = F.lower(text)
-    wide = low
-    for c, plain in SEVERAL.items():
-        wide = F.replace(wide, F.lit(c), F.lit(plain))
-    low = F.when(low.rlike("[" + "".join(SEVERAL) + "]"), wide).otherwise(low)
-    folded = F.translate(F.regexp_replace(low, MARKS, ""), "".join(SINGLE), "".join(SINGLE.values()))
+    table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    letters = F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(table[c], c))
+    low = F.when(low.rlike(RARE), F.regexp_replace(F.array_join(letters, ""), MARKS, "")).otherwise(low)
+    folded = F.translate(low, "".join(SINGLE), "".join(SINGLE.values()))
     words = F.split(F.regexp_replace(folded, "[^a-z]+", " "), " ")
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
 

@@ -217,6 +217,7 @@ def dq_classify_summary(m: Commerce) -> DataFrame:
 
 def dq_issue_register(m: Commerce) -> DataFrame:
     """One row per issue found, with how many records it touches and what is done about it."""
+    m = m.held("orders", "customers", "payments", "items", "reviews", "products", "sellers")
     n = lambda df: df.agg(F.count("*").alias("record_count"))
     classes = dq_classify(m).groupBy(*_FIELD, "classification").agg(F.count("*").alias("record_count")).select(
         F.concat_ws(".", "source_table", "field_name", "classification").alias("issue"), "record_count",

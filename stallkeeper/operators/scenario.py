@@ -217,7 +217,8 @@ def scenario_non_top3(m: Commerce, month: str, rates: Mapping[str, float] = NON_
 
 def scenario_effects(m: Commerce, observation_date: str, aov_months: tuple[str, str], excluded: list[str],
                      month: str) -> DataFrame:
-    """All scenarios as one long table."""
+    """All scenarios as one long table, over tables that are held once."""
+    m = m.held("orders", "customers", "payments", "items", "products", "sellers")
     def rows(df: DataFrame, name: str, metric: str, value: str, gmv: str, reference: str, scope: str | None = None):
         return df.select(
             F.lit(name).alias("effect_type"), "scenario", (F.col(scope) if scope else F.lit("all")).alias("target_scope"),

@@ -100,9 +100,36 @@ FROM (SELECT unnest([
     {'check_id': 'V30', 'check_name': 'M17 monthly orders add up', 'a': (o)::DOUBLE, 'e': (o)::DOUBLE, 'tolerance': 0::DOUBLE},
     {'check_id': 'V31', 'check_name': 'M17 monthly canceled orders add up', 'a': (c)::DOUBLE, 'e': (c)::DOUBLE, 'tolerance': 0::DOUBLE},
     {'check_id': 'V32', 'check_name': 'M18 shares add up to 1', 'a': (1)::DOUBLE, 'e': (1)::DOUBLE, 'tolerance': 1e-6::DOUBLE},
-    {'check_id': 'V33', 'check_name': 'M18 sales add up', 'a': (sales)::DOUBLE, 'e': (sales)::DOUBLE, 'tolerance': 0.01::DOUBLE}
+    {'check_id': 'V33', 'check_name': 'M18 sales add up', 'a': (sales)::DOUBLE, 'e': (sales)::DOUBLE, 'tolerance': 0.01::DOUBLE},
+    {'check_id': 'V34', 'check_name': 'M06 first purchase months', 'a': (fm)::DOUBLE, 'e': (fm)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V35', 'check_name': 'M08 repeat rate', 'a': (rep / u)::DOUBLE, 'e': (rep / u)::DOUBLE, 'tolerance': 1e-6::DOUBLE},
+    {'check_id': 'V36', 'check_name': 'M09 cohort months', 'a': (grid)::DOUBLE, 'e': (grid)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V37', 'check_name': 'M09 months that orders run on behind the grid', 'a': (tail)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 2::DOUBLE},
+    {'check_id': 'V38', 'check_name': 'M12 gaps', 'a': (gaps_n)::DOUBLE, 'e': (gaps_n)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V39', 'check_name': 'M12 days between purchases', 'a': (gap_days)::DOUBLE, 'e': (gap_days)::DOUBLE, 'tolerance': 1e-6::DOUBLE},
+    {'check_id': 'V40', 'check_name': 'M13 days', 'a': (days)::DOUBLE, 'e': (days)::DOUBLE, 'tolerance': 1e-6::DOUBLE},
+    {'check_id': 'V41', 'check_name': 'M13 long tail is kept', 'a': (long_tail)::DOUBLE, 'e': (long_tail)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V42', 'check_name': 'M13 chronology errors are kept', 'a': (chrono)::DOUBLE, 'e': (chrono)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V43', 'check_name': 'M14 late rate', 'a': (l / e)::DOUBLE, 'e': (l / e)::DOUBLE, 'tolerance': 1e-6::DOUBLE},
+    {'check_id': 'V44', 'check_name': 'M16 positive rate', 'a': (q / r)::DOUBLE, 'e': (q / r)::DOUBLE, 'tolerance': 1e-6::DOUBLE},
+    {'check_id': 'V45', 'check_name': 'M17 cancellation rate', 'a': (c / o)::DOUBLE, 'e': (c / o)::DOUBLE, 'tolerance': 1e-6::DOUBLE},
+    {'check_id': 'V46', 'check_name': 'M18 categories', 'a': (cats)::DOUBLE, 'e': (cats)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V47', 'check_name': 'one review per order', 'a': (0)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE},
+    {'check_id': 'V48', 'check_name': 'payment keys are unique', 'a': (pay_keys)::DOUBLE, 'e': (0)::DOUBLE, 'tolerance': 0::DOUBLE}
 ], recursive := true)
-FROM (SELECT count(*) AS o, sum(is_delivered) AS v, sum(is_paid_delivered) AS p, sum(order_gmv) FILTER (is_paid_delivered = 1) AS g, sum(is_canceled) AS c, count(DISTINCT customer_unique_id) FILTER (is_delivered = 1) AS u, sum(is_delivery_evaluable) AS e, sum(is_late) AS l, count(review_score) AS r, sum(review_score) AS s, sum(is_positive_review) AS q FROM metric_orders), (SELECT count(*) FILTER (n >= 2) AS rep FROM user_counts), (SELECT count(*) AS pu FROM user_revenue), (SELECT count(*) AS gaps_n, count(DISTINCT customer_unique_id) AS gap_users FROM gaps), (SELECT sum(price) AS sales FROM metric_items))
+FROM (SELECT count(*) AS o, sum(is_delivered) AS v, sum(is_paid_delivered) AS p, sum(order_gmv) FILTER (is_paid_delivered = 1) AS g, sum(is_canceled) AS c, count(DISTINCT customer_unique_id) FILTER (is_delivered = 1) AS u, sum(is_delivery_evaluable) AS e, sum(is_late) AS l, count(review_score) AS r, sum(review_score) AS s, sum(is_positive_review) AS q FROM metric_orders), (SELECT count(*) FILTER (n >= 2) AS rep FROM user_counts), (SELECT count(*) AS pu FROM user_revenue), (SELECT count(*) AS gaps_n, count(DISTINCT customer_unique_id) AS gap_users FROM gaps), (SELECT sum(price) AS sales, count(DISTINCT product_category) AS cats FROM metric_items),
+     (SELECT count(DISTINCT m) AS fm FROM (SELECT min(purchase_month) AS m FROM metric_orders WHERE is_delivered = 1 GROUP BY customer_unique_id)),
+     (SELECT sum(date_diff('month', CAST(m || '-01' AS DATE), CAST(z || '-01' AS DATE)) + 1) AS grid FROM (
+        SELECT DISTINCT m FROM (SELECT min(purchase_month) AS m FROM metric_orders WHERE is_delivered = 1 GROUP BY customer_unique_id)),
+        (SELECT max(purchase_month) AS z FROM metric_orders WHERE is_delivered = 1)),
+     (SELECT date_diff('month', max(CAST(purchase_month || '-01' AS DATE)) FILTER (is_delivered = 1), max(CAST(purchase_month || '-01' AS DATE))) AS tail,
+             sum(delivery_micros) / sum(is_delivery_evaluable) / 86400000000 AS days FROM metric_orders),
+     (SELECT avg(gap) / 86400000000 AS gap_days FROM gaps),
+     (SELECT count(*) FILTER (delivery_days NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS long_tail, sum(has_chronology_error) AS chrono
+      FROM c_delivery_days, (SELECT quantile_disc(delivery_days, 0.25) AS q1, quantile_disc(delivery_days, 0.75) AS q3 FROM c_delivery_days)
+      WHERE order_status = 'delivered'),
+     (SELECT count(*) AS pay_keys FROM (SELECT 1 FROM m_payments WHERE payment_value > 0 AND payment_installments >= 0
+                                        GROUP BY order_id, payment_sequential HAVING count(*) > 1)))
 
 -- @query validate_dashboard_detail
 SELECT check_id, check_name, half_up(a, 6) AS actual_value, half_up(e, 6) AS expected_value, tolerance, half_up(half_up(a, 6) - half_up(e, 6), 6) AS difference,

@@ -5,6 +5,7 @@ here because the driver tables span 1995-2001 and have other amounts.
 """
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -209,15 +210,26 @@ def _numeric_contract(spark: SparkSession, path: str) -> DataFrame:
     return ingest.numeric_contract({t: tune(spark).read.parquet(f"{path}/{t}.parquet") for t in RAW_NUMBERS}, RAW_NUMBERS)
 
 
+# Rows of the driver tables at scale 1; a folder named after its scale ("sf0.01") is held to its share of them.
+ROWS_AT_ONE = {"customers": 150_000, "geolocation": 150_000, "products": 200_000, "sellers": 10_000, "orders": 1_500_000,
+               "order_items": 6_000_000, "order_payments": 6_000_000, "order_reviews": 6_000_000}
+
+
+def expected_rows(path: str) -> dict[str, int]:
+    scale = re.fullmatch(r"sf(\d+(?:\.\d+)?)", path.rstrip("/").rsplit("/", 1)[-1])
+    return {t: round(n * float(scale[1])) for t, n in ROWS_AT_ONE.items()} if scale else {}
+
+
 def _row_count_contract(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the nine model tables, parsed from the files, against the rows of the files behind them."""
+    """Rows of the nine model tables, parsed from the files, against the rows of the files behind them and, where the
+    folder names its scale, against the rows that scale has."""
     m = from_star_schema(tune(spark), path)
     raw = lambda name: spark.read.parquet(f"{path}/{name}.parquet")
     files = {"customers": "customer", "geolocation": "customer", "products": "part", "sellers": "supplier",
              "orders": "orders", "order_items": "lineitem", "order_payments": "lineitem", "order_reviews": "lineitem"}
     stored = {t: raw(f) for t, f in files.items()} | {"product_category_name_translation": raw("part").select(
         "p_brand").distinct().where(~F.col("p_brand").isin(*UNTRANSLATED))}
-    return ingest.row_count_contract(m.tables(), stored)
+    return ingest.row_count_contract(m.tables(), stored, expected_rows(path))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:

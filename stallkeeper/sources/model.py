@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stallkeeper.functions import materialize
+
 # Fixed values of the adapter.
 STATUS = {"F": "delivered", "O": "shipped", "P": "canceled"}
 PAYMENT_TYPE = {"A": "credit_card", "N": "boleto", "R": "voucher"}
@@ -43,6 +45,16 @@ class Commerce:
         self.__dict__[name] = frame
         return frame
 
+    def with_tables(self, **frames: DataFrame) -> Commerce:
+        """The same model with some tables replaced, such as by stored ones that many readings share. The order
+        columns known at purchase time then come from the replaced orders."""
+        kept = {k: v for k, v in self._sources.items() if k != "orders_core" or "orders" not in frames}
+        return Commerce(self.spark, **{**kept, **frames})
+
+    def held(self, *names: str) -> Commerce:
+        """The same model with the named tables stored once, in the shared folder, for operators that read them often."""
+        return self.with_tables(**{n: materialize(getattr(self, n)) for n in names})
+
     def tables(self) -> dict[str, DataFrame]:
         return {
             "customers": self.customers,

@@ -87,6 +87,21 @@ def test_contracts_can_fail(spark, commerce):
     assert counts["status"] == "fail"
 
 
+def test_row_counts_are_held_to_the_scale_of_the_folder(spark, tmp_path):
+    import shutil
+    from stallkeeper.plans import registry
+    assert registry.expected_rows("/data/sf0.01/")["orders"] == 15_000 and registry.expected_rows("/data/other") == {}
+    source, short = "/root/testdata/sf0.001", tmp_path / "sf0.001"
+    short.mkdir()
+    for t in ("nation", "customer", "part", "orders", "lineitem"):
+        shutil.copy(f"{source}/{t}.parquet", short)
+    spark.read.parquet(f"{source}/supplier.parquet").limit(7).write.parquet(str(short / "supplier.parquet"))
+    full = {r["table_name"]: r["status"] for r in registry.queries()["row_count_contract"](spark, source).collect()}
+    cut = {r["table_name"]: r["status"] for r in registry.queries()["row_count_contract"](spark, str(short)).collect()}
+    assert set(full.values()) == {"pass"} and len(full) == 9
+    assert {t for t, s in cut.items() if s == "fail"} == {"sellers"}
+
+
 def test_adapter_meets_the_schema_and_keeps_large_amounts(spark, tmp_path):
     from pyspark.sql import functions as F
     from stallkeeper.plans import registry
