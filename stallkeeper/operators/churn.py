@@ -1,4 +1,4 @@
-"""Churn (no purchase for more than 90 days) against value, experience and structure."""
+"""Churn (no purchase for more than 90 days, or another threshold) against value, experience and structure."""
 from __future__ import annotations
 
 from functools import reduce
@@ -36,7 +36,7 @@ def order_experience(m: Commerce, observation_date: str) -> DataFrame:
             .withColumn("is_delayed", F.when(usable & promised.isNotNull(), flag(arrived > promised))))
 
 
-def churn_users(m: Commerce, observation_date: str) -> DataFrame:
+def churn_users(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
     """Everything the churn reports need per user, in one aggregate over the orders."""
     reviewed = F.col("review_score")
     users = order_experience(m, observation_date).groupBy("customer_unique_id").agg(
@@ -55,11 +55,11 @@ def churn_users(m: Commerce, observation_date: str) -> DataFrame:
     return (users.withColumn("recency_days", _recency(last, observation_date))
             .withColumn("customer_lifecycle_days", F.date_diff(last, F.to_date("first_purchase_timestamp")).cast("bigint"))
             .withColumn("is_repeat_customer", flag(F.col("valid_order_count") >= 2))
-            .withColumn("churn_flag", flag(F.col("recency_days") > THRESHOLD)))
+            .withColumn("churn_flag", flag(F.col("recency_days") > threshold)))
 
 
-def churn_comparison(m: Commerce, observation_date: str) -> DataFrame:
-    u = churn_users(m, observation_date)
+def churn_comparison(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
+    u = churn_users(m, observation_date, threshold)
     n, orders, paid, gmv = F.count("*"), F.sum("valid_order_count"), F.sum("paid_order_count"), F.sum("lifetime_gmv")
     days = F.try_divide(ratio(F.sum("delivery_micros"), F.sum("delivery_orders")), F.lit(86_400_000_000.0))
     by = u.groupBy("churn_flag").agg(
@@ -85,8 +85,8 @@ def churn_comparison(m: Commerce, observation_date: str) -> DataFrame:
         "churn_status", status()).drop("churn_flag")
 
 
-def churn_user_detail(m: Commerce, observation_date: str) -> DataFrame:
-    return churn_users(m, observation_date).select(
+def churn_user_detail(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
+    return churn_users(m, observation_date, threshold).select(
         "customer_unique_id", "first_purchase_timestamp", "last_purchase_timestamp", "valid_order_count",
         "paid_order_count", half_up("lifetime_gmv", 2).alias("lifetime_gmv"),
         half_up(ratio("lifetime_gmv", "paid_order_count"), 2).alias("average_order_value"), "recency_days",
@@ -101,19 +101,19 @@ def churn_user_detail(m: Commerce, observation_date: str) -> DataFrame:
 
 # ------------------------------------------------------------ structure
 
-def _user_cells(orders: DataFrame, dim: str, observation_date: str) -> DataFrame:
+def _user_cells(orders: DataFrame, dim: str, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
     """Orders per user and value of a dimension, with the churn flag of the user. The window
     over a user covers one row per value, so no join back to the orders is needed."""
     cells = orders.groupBy("customer_unique_id", dim).agg(
         F.count("*").alias("orders"), F.sum("is_paid_order").alias("paid"), F.sum("order_gmv").alias("gmv"),
         F.max("purchase_date").alias("last"))
     last = F.max("last").over(W.partitionBy("customer_unique_id"))
-    return cells.withColumn("churn_flag", flag(_recency(last, observation_date) > THRESHOLD))
+    return cells.withColumn("churn_flag", flag(_recency(last, observation_date) > threshold))
 
 
-def churn_by_payment(m: Commerce, observation_date: str) -> DataFrame:
+def churn_by_payment(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
     pay = order_payment_summary(m).select("order_id", F.col("order_payment_amount").alias("amount"), "primary_payment_type")
-    cells = _user_cells(observed_orders(m, observation_date, payments=pay), "primary_payment_type", observation_date)
+    cells = _user_cells(observed_orders(m, observation_date, payments=pay), "primary_payment_type", observation_date, threshold)
     by = cells.where(F.col("primary_payment_type").isNotNull()).groupBy("churn_flag", "primary_payment_type").agg(
         F.sum("orders").alias("order_count"), F.count("*").alias("users_using_payment_type"))
     total = F.sum("order_count").over(W.partitionBy("churn_flag"))
@@ -121,13 +121,13 @@ def churn_by_payment(m: Commerce, observation_date: str) -> DataFrame:
                      half_up(100 * ratio("order_count", total), 2).alias("order_share_pct"), "users_using_payment_type")
 
 
-def _users_by_place(m: Commerce, observation_date: str, place, name: str) -> DataFrame:
+def _users_by_place(m: Commerce, observation_date: str, place, name: str, threshold: int = THRESHOLD) -> DataFrame:
     orders = observed_orders(m, observation_date)
     users = orders.groupBy("customer_unique_id").agg(
         F.max(F.struct("order_purchase_timestamp", "order_id", "customer_id", "customer_state", "customer_city"))
         .alias("l"), F.max("purchase_date").alias("last"))
     by = (users.select(F.col("l.customer_state").alias("customer_state"), F.col("l.customer_city").alias("customer_city"),
-                       flag(_recency(F.col("last"), observation_date) > THRESHOLD).alias("churn_flag"))
+                       flag(_recency(F.col("last"), observation_date) > threshold).alias("churn_flag"))
           .groupBy(place.alias(name)).agg(F.count("*").alias("user_count"), F.sum("churn_flag").alias("churned_users")))
     a = W.partitionBy()  # one row per place
     rate = 100 * ratio("churned_users", "user_count")
@@ -139,26 +139,26 @@ def _users_by_place(m: Commerce, observation_date: str, place, name: str) -> Dat
         half_up(rate - overall, 2).alias("churn_rate_vs_overall_pct_point"))
 
 
-def churn_by_state(m: Commerce, observation_date: str) -> DataFrame:
-    return _users_by_place(m, observation_date, F.col("customer_state"), "customer_state")
+def churn_by_state(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
+    return _users_by_place(m, observation_date, F.col("customer_state"), "customer_state", threshold)
 
 
-def churn_by_city_top30(m: Commerce, observation_date: str, n: int = 30) -> DataFrame:
+def churn_by_city_top30(m: Commerce, observation_date: str, n: int = 30, threshold: int = THRESHOLD) -> DataFrame:
     """The n cities (named with their state) with most users."""
     place = F.concat_ws(" | ", "customer_city", "customer_state")
-    return _users_by_place(m, observation_date, place, "customer_city_state").orderBy(
+    return _users_by_place(m, observation_date, place, "customer_city_state", threshold).orderBy(
         F.desc("user_count"), "customer_city_state").limit(n)
 
 
-def churn_state_ranking(m: Commerce, observation_date: str, n: int = 10) -> DataFrame:
-    return churn_by_state(m, observation_date).select(
+def churn_state_ranking(m: Commerce, observation_date: str, n: int = 10, threshold: int = THRESHOLD) -> DataFrame:
+    return churn_by_state(m, observation_date, threshold).select(
         "customer_state", "user_count", "churned_users", "non_churned_users", "churn_rate_pct", "user_share_pct"
     ).orderBy(F.desc("user_count"), "customer_state").limit(n)
 
 
-def churn_by_day_type(m: Commerce, observation_date: str, start_date: str) -> DataFrame:
+def churn_by_day_type(m: Commerce, observation_date: str, start_date: str, threshold: int = THRESHOLD) -> DataFrame:
     orders = observed_orders(m, observation_date).withColumn("day_type", day_type_column())
-    by = _user_cells(orders, "day_type", observation_date).groupBy("churn_flag", "day_type").agg(
+    by = _user_cells(orders, "day_type", observation_date, threshold).groupBy("churn_flag", "day_type").agg(
         F.sum("orders").alias("order_count"), F.count("*").alias("users_with_orders"),
         F.sum("paid").alias("paid_order_count"), F.sum("gmv").alias("gmv"))
     days = calendar_day_types(m.spark, F.lit(start_date).cast("date"), F.lit(observation_date).cast("date"))
@@ -170,15 +170,15 @@ def churn_by_day_type(m: Commerce, observation_date: str, start_date: str) -> Da
         half_up("gmv", 2).alias("gmv"), half_up(ratio("gmv", "paid_order_count"), 2).alias("average_order_value"))
 
 
-def churn_by_first_month(m: Commerce, observation_date: str) -> DataFrame:
+def churn_by_first_month(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
     """Cohorts by first month, with the users who had the whole threshold to churn in. Younger
     cohorts are right-censored and must not be compared with older ones."""
     users = observed_orders(m, observation_date).groupBy("customer_unique_id").agg(
         F.min("purchase_date").alias("first"), F.max("purchase_date").alias("last"))
-    latest = F.date_sub(F.lit(observation_date).cast("date"), THRESHOLD + 1)
+    latest = F.date_sub(F.lit(observation_date).cast("date"), threshold + 1)
     by = users.groupBy(F.date_format("first", "yyyy-MM").alias("first_purchase_month")).agg(
         F.count("*").alias("cohort_users"),
-        count_if(_recency(F.col("last"), observation_date) > THRESHOLD).alias("churned_users"),
+        count_if(_recency(F.col("last"), observation_date) > threshold).alias("churned_users"),
         count_if(F.col("first") <= latest).alias("users_with_full_90d_opportunity"))
     total = F.sum("cohort_users").over(W.partitionBy())  # one row per month
     return by.select(
@@ -211,15 +211,15 @@ def cramers_v(cells: DataFrame, feature: str) -> DataFrame:
                       half_up(F.sqrt(F.try_divide(F.col("chi2"), dbl(F.col("total") * k))), 4).alias("association_value"))
 
 
-def churn_association(m: Commerce, observation_date: str, start_date: str) -> DataFrame:
+def churn_association(m: Commerce, observation_date: str, start_date: str, threshold: int = THRESHOLD) -> DataFrame:
     """Strength of association of churn with main payment type, state and day type."""
-    pay = churn_by_payment(m, observation_date).select(
+    pay = churn_by_payment(m, observation_date, threshold).select(
         F.col("churn_status").alias("row"), F.col("primary_payment_type").alias("column"), F.col("order_count").alias("n"))
-    day = churn_by_day_type(m, observation_date, start_date).select(
+    day = churn_by_day_type(m, observation_date, start_date, threshold).select(
         F.col("churn_status").alias("row"), F.col("day_type").alias("column"), F.col("order_count").alias("n"))
     halves = F.array(F.struct(F.lit("Churned").alias("row"), F.col("churned_users").alias("n")),
                      F.struct(F.lit("Non-churned").alias("row"), F.col("non_churned_users").alias("n")))
-    state = churn_by_state(m, observation_date).select(
+    state = churn_by_state(m, observation_date, threshold).select(
         F.col("customer_state").alias("column"), F.explode(halves).alias("h")).select("h.row", "column", "h.n")
     parts = [("Primary Payment Type", pay), ("Customer State", state), ("Weekday / Weekend", day)]
     return reduce(DataFrame.unionByName, [cramers_v(materialize(df), name) for name, df in parts])
@@ -233,12 +233,12 @@ FEATURES = {"Spend per User": "spend_per_user", "Average Purchase Frequency": "a
             "Delay Rate": "delay_rate_pct"}
 
 
-def churn_feature_summary(m: Commerce, observation_date: str, start_date: str) -> DataFrame:
+def churn_feature_summary(m: Commerce, observation_date: str, start_date: str, threshold: int = THRESHOLD) -> DataFrame:
     """Every compared feature with both values and their difference, then the associations."""
     cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(c).alias("value")) for n, c in FEATURES.items()])
     at = lambda s: F.max(F.when(F.col("churn_status") == s, F.col("value")))
-    means = (churn_comparison(m, observation_date).select("churn_status", F.explode(cells).alias("c"))
+    means = (churn_comparison(m, observation_date, threshold).select("churn_status", F.explode(cells).alias("c"))
              .select("churn_status", "c.*").groupBy("feature").agg(
                  at("Churned").alias("churned_value"), at("Non-churned").alias("non_churned_value")))
     means = means.withColumn("difference", half_up(F.col("churned_value") - F.col("non_churned_value"), 6))
-    return means.unionByName(churn_association(m, observation_date, start_date), allowMissingColumns=True)
+    return means.unionByName(churn_association(m, observation_date, start_date, threshold), allowMissingColumns=True)

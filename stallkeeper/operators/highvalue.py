@@ -19,11 +19,11 @@ GROUPS = ("all_users", "high_value_users")
 HIGH_AMOUNT = 500
 
 
-def rfm_churn_crosscheck(m: Commerce, observation_date: str) -> DataFrame:
+def rfm_churn_crosscheck(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
     """Do the RFM and the churn layer describe the same users with the same recency? One row."""
     r = rfm_detail(m, observation_date).select(
         USER, F.col("recency_days").alias("r1"), "rfm_segment", F.lit(1).alias("in_rfm"))
-    c = churn_users(m, observation_date).select(
+    c = churn_users(m, observation_date, threshold).select(
         USER, F.col("recency_days").alias("r2"), "churn_flag", F.lit(1).alias("in_churn"))
     both = r.join(c, USER, "outer")
     hv = F.col("rfm_segment") == HIGH_VALUE
@@ -37,11 +37,11 @@ def rfm_churn_crosscheck(m: Commerce, observation_date: str) -> DataFrame:
         ratio(churned, count_if(hv)).alias("high_value_churn_rate"))
 
 
-def user_value_base(m: Commerce, observation_date: str) -> DataFrame:
+def user_value_base(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
     """RFM scores, churn flag and representative geography per user. Churn follows from the
     recency the scores already hold, so the churn layer need not be joined."""
     hv = F.col("rfm_segment") == HIGH_VALUE
-    churn = F.col("recency_days") > THRESHOLD
+    churn = F.col("recency_days") > threshold
     return rfm_detail(m, observation_date).select(
         USER, "latest_order_id", "latest_order_purchase_timestamp", F.col("customer_state").alias("profile_state"),
         F.col("customer_city").alias("profile_city"), "recency_days", "frequency", "monetary", "r_score", "f_score",
@@ -49,16 +49,16 @@ def user_value_base(m: Commerce, observation_date: str) -> DataFrame:
         flag(hv).alias("is_high_value_user"), flag(hv & churn).alias("is_high_value_churn_user"))
 
 
-def user_value_report(m: Commerce, observation_date: str) -> DataFrame:
-    return user_value_base(m, observation_date).withColumn("monetary", dbl("monetary"))
+def user_value_report(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
+    return user_value_base(m, observation_date, threshold).withColumn("monetary", dbl("monetary"))
 
 
-def high_value_users(m: Commerce, observation_date: str) -> DataFrame:
+def high_value_users(m: Commerce, observation_date: str, threshold: int = THRESHOLD) -> DataFrame:
     """High-value users, each with the outcome of the two rule checks."""
     top = (F.col("r_score") >= 4) & (F.col("f_score") >= 4) & (F.col("m_score") >= 4)
-    return user_value_report(m, observation_date).where("is_high_value_user = 1").select(
+    return user_value_report(m, observation_date, threshold).where("is_high_value_user = 1").select(
         "*", flag(top).alias("high_value_rule_ok"),
-        flag((F.col("recency_days") > THRESHOLD) == (F.col("churn_flag") == 1)).alias("churn_rule_ok"))
+        flag((F.col("recency_days") > threshold) == (F.col("churn_flag") == 1)).alias("churn_rule_ok"))
 
 
 def high_value_geography(m: Commerce, observation_date: str, by_city: bool = False) -> DataFrame:

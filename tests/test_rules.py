@@ -191,3 +191,17 @@ def test_gaps_of_a_user_with_many_orders(commerce):
     r = metrics.m12_repurchase_interval(m).head()
     assert r["valid_interval_count"] == 399
     assert r["average_repurchase_interval_days"] == pytest.approx(sum(want) / 399 / 86_400e6)
+
+
+def test_churn_threshold_is_an_argument(commerce):
+    m = commerce(customers=[customer("c1"), customer("c2", state="RJ")], orders=[
+        order("o1", bought="2018-01-01 10:00:00"), order("o2", customer="c2", bought="2018-02-10 10:00:00")],
+        payments=[payment("o1", 10), payment("o2", 10)])
+    from stallkeeper.operators import highvalue
+    flags = lambda n: {r["customer_unique_id"]: r["churn_flag"] for r in churn.churn_users(m, "2018-03-02", n).collect()}
+    assert (flags(90), flags(59), flags(10)) == ({"c1": 0, "c2": 0}, {"c1": 1, "c2": 0}, {"c1": 1, "c2": 1})
+    by_state = {r["customer_state"]: r["churned_users"] for r in churn.churn_by_state(m, "2018-03-02", threshold=30).collect()}
+    assert by_state == {"SP": 1, "RJ": 0}
+    months = {r["first_purchase_month"]: r["churned_users"] for r in churn.churn_by_first_month(m, "2018-03-02", 30).collect()}
+    assert months == {"2018-01": 1, "2018-02": 0}
+    assert highvalue.rfm_churn_crosscheck(m, "2018-03-02", 10).first()["recency_mismatches"] == 0
