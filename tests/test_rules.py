@@ -205,3 +205,20 @@ def test_churn_threshold_is_an_argument(commerce):
     months = {r["first_purchase_month"]: r["churned_users"] for r in churn.churn_by_first_month(m, "2018-03-02", 30).collect()}
     assert months == {"2018-01": 1, "2018-02": 0}
     assert highvalue.rfm_churn_crosscheck(m, "2018-03-02", 10).first()["recency_mismatches"] == 0
+
+
+def test_metric_register_finds_repeated_payment_keys(commerce):
+    from stallkeeper.operators import checks
+    def register(*payments):
+        arrived = {"order_delivered_customer_date": "2018-01-09 10:00:00"}
+        m = commerce(customers=[customer("c1"), customer("c2")], sellers=SELLER, products=[{"product_id": "p1"}],
+                     orders=[order("o1", **arrived), order("o2", customer="c2", bought="2018-02-03 10:00:00"),
+                             order("o3", bought="2018-02-01 10:00:00", order_delivered_customer_date="2018-02-20 10:00:00")],
+                     items=[item("o1"), item("o3")], payments=list(payments), reviews=[review("o1", 5)])
+        return {r["check_name"]: r for r in checks.validate_metrics(m).collect()}
+    good = register(payment("o1", 10), payment("o1", 5, seq=2), payment("o3", 7))
+    assert len(good) == 48 and {r["status"] for r in good.values()} == {"PASS"}
+    assert good["M12 gaps"]["actual_value"] == 1 and good["M12 days between purchases"]["actual_value"] == 31
+    assert good["M09 cohort months"]["actual_value"] == 3 and good["M13 days"]["actual_value"] == 13.5
+    bad = register(payment("o1", 10), payment("o1", 5), payment("o3", 7))
+    assert [n for n, r in bad.items() if r["status"] != "PASS"] == ["payment keys are unique"]
