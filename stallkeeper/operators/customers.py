@@ -183,9 +183,10 @@ def growth_periods(m: Commerce, length: int = 6) -> DataFrame:
     return _growth_periods(base.select(F.col("purchase_month").alias("month")).distinct(), length)
 
 
-def market_growth_base(m: Commerce, length: int = 6) -> DataFrame:
+def market_growth_base(m: Commerce, length: int = 6, base: DataFrame | None = None) -> DataFrame:
     """Recent against prior window per state, counted per user and month first."""
-    user_months = materialize(customer_order_base(m).groupBy(
+    base = customer_order_base(m) if base is None else base
+    user_months = materialize(base.groupBy(
         "customer_state", "customer_unique_id", "purchase_month").agg(
         F.count("*").alias("orders"), F.sum("is_paid_order").alias("paid"), F.sum("order_gmv").alias("gmv")))
     p = _growth_periods(user_months.select(F.col("purchase_month").alias("month")).distinct(), length)
@@ -224,13 +225,13 @@ MARKET_TYPES = {"is_large_scale_low_spend": "规模较大但人均消费较低",
                 "is_high_spend_low_penetration": "人均消费较高但渗透规模较小"}
 
 
-def market_potential(m: Commerce, length: int = 6) -> DataFrame:
+def market_potential(m: Commerce, length: int = 6, base: DataFrame | None = None) -> DataFrame:
     """Label promising states by quartiles of the states with enough users in both windows.
     One row per state, so the ranking runs in one small task."""
     a = W.partitionBy()
     q = lambda c, p: F.percentile(c, F.lit(p)).over(a)
     users, prior = F.col("recent_unique_users"), F.col("prior_unique_users")
-    df = (market_growth_base(m, length)
+    df = (market_growth_base(m, length, base)
           .withColumn("sample_prior_user_threshold", F.ceil(q(F.when(prior > 0, prior), 0.25)).cast("bigint"))
           .withColumn("sample_recent_user_threshold", F.ceil(q(F.when(users > 0, users), 0.25)).cast("bigint"))
           .withColumn("is_sample_eligible", (prior >= F.col("sample_prior_user_threshold"))
@@ -270,9 +271,9 @@ def market_potential(m: Commerce, length: int = 6) -> DataFrame:
 
 # ------------------------------------------------------------ audits
 
-def observed_orders(m: Commerce, observation_date: str, **kw) -> DataFrame:
+def observed_orders(m: Commerce, observation_date: str, base: DataFrame | None = None, **kw) -> DataFrame:
     """Customer order base up to and including the observation date."""
-    return customer_order_base(m, **kw).where(F.col("purchase_date") <= F.lit(observation_date).cast("date"))
+    return (customer_order_base(m, **kw) if base is None else base).where(F.col("purchase_date") <= F.lit(observation_date).cast("date"))
 
 
 def order_base_audit(m: Commerce, observation_date: str) -> DataFrame:

@@ -13,8 +13,8 @@ HIGH_VALUE = SEGMENTS[0]
 PERCENTILES = {"P20": "0.2", "P40": "0.4", "P60": "0.6", "P80": "0.8"}
 
 
-def rfm_base(m: Commerce, observation_date: str) -> DataFrame:
-    users = observed_orders(m, observation_date).groupBy("customer_unique_id").agg(
+def rfm_base(m: Commerce, observation_date: str, orders: DataFrame | None = None) -> DataFrame:
+    users = observed_orders(m, observation_date, orders).groupBy("customer_unique_id").agg(
         F.min("purchase_date").alias("first_purchase_date"), F.max("purchase_date").alias("last_purchase_date"),
         F.count("*").alias("frequency"), F.sum("is_paid_order").alias("paid_order_count"),
         F.sum("order_gmv").alias("monetary"),
@@ -73,10 +73,10 @@ def _score(value, row, names, best_first: bool):
     return out.otherwise(1 if best_first else 5).cast("bigint")
 
 
-def rfm_detail(m: Commerce, observation_date: str, high_score: int = 4) -> DataFrame:
+def rfm_detail(m: Commerce, observation_date: str, high_score: int = 4, orders: DataFrame | None = None) -> DataFrame:
     """Scores, code and segment per user. Boundaries enter as scalar rows: scoring the users is
     a projection without any join (a join on frequency would send all one-order users to one task)."""
-    base = materialize(rfm_base(m, observation_date))  # one row per user, read four times
+    base = materialize(rfm_base(m, observation_date, orders))  # one row per user, read four times
     labels = list(PERCENTILES)
     r = scalar(nearest_rank(base.select("recency_days"), "recency_days", PERCENTILES), *labels)
     mo = scalar(nearest_rank(base.select("monetary"), "monetary", PERCENTILES), *labels)

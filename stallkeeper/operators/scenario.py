@@ -11,14 +11,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stallkeeper.functions import (count_if, dbl, global_rank, half_up, materialize, ratio, scalar, sum_if,
-                                   nth_row_per_key, tile)
+                                   nth_row_per_key, stored, tile)
 from stallkeeper.operators import cleaning as C
 from stallkeeper.operators.category import category_items
-from stallkeeper.operators.customers import market_potential, observed_orders
+from stallkeeper.operators.customers import customer_order_base, market_potential, observed_orders
 from stallkeeper.operators.kpi import monthly_kpi
 from stallkeeper.operators.metrics import order_paid
 from stallkeeper.operators.rfm import SEGMENTS, rfm_detail
-from stallkeeper.operators.structure import ALL, paid_orders, payment_structure
+from stallkeeper.operators.structure import ALL, order_type_amounts, paid_orders, payment_structure
 from stallkeeper.sources.model import Commerce
 
 USER = "customer_unique_id"
@@ -48,13 +48,14 @@ def _mean(c):
     return ratio(F.sum(c), F.count(c))
 
 
-def scenario_repeat(m: Commerce, observation_date: str, rates: Mapping[str, float] = REPEAT_UPLIFT) -> DataFrame:
+def scenario_repeat(m: Commerce, observation_date: str, rates: Mapping[str, float] = REPEAT_UPLIFT,
+                    base: DataFrame | None = None, second: DataFrame | None = None) -> DataFrame:
     """More single-purchase users come back: their number x repeat rate x uplift x mean value
-    of a second order."""
-    orders = observed_orders(m, observation_date)
+    of a second order. ``base`` and ``second`` may bring the order base and the second orders stored."""
+    orders = observed_orders(m, observation_date, base)
     users = orders.groupBy(USER).agg(F.count("*").alias("n")).agg(
         F.count("*").alias("users"), count_if(F.col("n") >= 2).alias("repeat_users"))
-    value = scalar(second_orders(orders).agg(_mean("order_gmv").alias("v")), "v")["v"]
+    value = scalar((second_orders(orders) if second is None else second).agg(_mean("order_gmv").alias("v")), "v")["v"]
     base = users.select(
         (F.col("users") - F.col("repeat_users")).alias("target_users"),
         ratio("repeat_users", "users").alias("formal_repeat_rate"), value.alias("historical_second_order_avg_gmv"))
@@ -81,10 +82,12 @@ def scenario_aov(m: Commerce, first_month: str, last_month: str, rates: Mapping[
 
 
 def scenario_recall(m: Commerce, observation_date: str, segment: str = SEGMENTS[3],
-                    rates: Mapping[str, float] = RECALL) -> DataFrame:
+                    rates: Mapping[str, float] = RECALL, base: DataFrame | None = None,
+                    second: DataFrame | None = None) -> DataFrame:
     """Win back one value segment: its users x repeat share x coefficient x mean second order."""
-    target = materialize(rfm_detail(m, observation_date).where(F.col("rfm_segment") == segment).select(USER, "frequency"))
-    second = second_orders(observed_orders(m, observation_date)).join(target.select(USER), USER, "left_semi")
+    target = materialize(rfm_detail(m, observation_date, orders=base).where(F.col("rfm_segment") == segment).select(USER, "frequency"))
+    second = second_orders(observed_orders(m, observation_date, base)) if second is None else second
+    second = second.join(target.select(USER), USER, "left_semi")
     value = scalar(second.agg(_mean("order_gmv").alias("v")), "v")["v"]
     base = target.agg(F.count("*").alias("target_users"),
                       count_if(F.col("frequency") >= 2).alias("historical_repeat_users")).select(
@@ -100,9 +103,10 @@ def scenario_recall(m: Commerce, observation_date: str, segment: str = SEGMENTS[
         half_up(back * F.col("historical_second_order_avg_gmv"), 6).alias("simulated_incremental_gmv"))
 
 
-def scenario_basket(m: Commerce, rates: Mapping[str, float] = BASKET_UPLIFT) -> DataFrame:
+def scenario_basket(m: Commerce, rates: Mapping[str, float] = BASKET_UPLIFT, items: DataFrame | None = None) -> DataFrame:
     """More orders with several products, valued at the gap to single-product orders."""
-    products = (category_items(m).groupBy("order_id", "product_id").agg(F.lit(1).alias("one"))
+    items = category_items(m) if items is None else items
+    products = (items.groupBy("order_id", "product_id").agg(F.lit(1).alias("one"))
                 .groupBy("order_id").agg(F.count("*").alias("products")))
     orders = products.join(order_paid(m), "order_id", "left")
     one, many = F.col("products") == 1, F.col("products") > 1
@@ -118,13 +122,14 @@ def scenario_basket(m: Commerce, rates: Mapping[str, float] = BASKET_UPLIFT) ->
         half_up(new * F.col("historical_value_gap"), 6).alias("simulated_incremental_gmv"))
 
 
-def scenario_delivery(m: Commerce, rates: Mapping[str, float] = DELIVERY_CUT) -> DataFrame:
+def scenario_delivery(m: Commerce, rates: Mapping[str, float] = DELIVERY_CUT, items: DataFrame | None = None) -> DataFrame:
     """Shorter deliveries per category. Reviewed orders are ranked by (days, order id) into four
     equal groups as ``ntile(4)`` does; a shortened order is compared with the slowest day of each
     group and, where it reaches a faster one, takes over that group's historical means.
 
     A category may hold most orders, so the ranking is cut into order-preserving cells."""
-    pairs = category_items(m).groupBy("order_id", "category_name").agg(F.lit(1).alias("one")).drop("one")
+    items = category_items(m) if items is None else items
+    pairs = items.groupBy("order_id", "category_name").agg(F.lit(1).alias("one")).drop("one")
     orders = C.delivery_times(C.clean_orders(m).where("order_status = 'delivered'")).select("order_id", "delivery_micros")
     review = C.latest_review(C.valid_reviews(m)).select("order_id", "review_score")
     rows = materialize(pairs.join(orders, "order_id").join(review, "order_id").select(
@@ -163,10 +168,11 @@ def scenario_delivery(m: Commerce, rates: Mapping[str, float] = DELIVERY_CUT) ->
         half_up(mix("ones") - ones, 6).alias("historical_reference_one_star_rate_gap"))
 
 
-def scenario_region(m: Commerce, excluded: list[str], rates: Mapping[str, float] = REGION_UPLIFT) -> DataFrame:
+def scenario_region(m: Commerce, excluded: list[str], rates: Mapping[str, float] = REGION_UPLIFT,
+                    base: DataFrame | None = None) -> DataFrame:
     """Growth in candidate states: eligible, outside the leading ones, and either large with low
     spend or medium-sized and growing fast."""
-    c = market_potential(m).where(
+    c = market_potential(m, base=base).where(
         ~F.col("customer_state").isin(*excluded) & F.col("is_sample_eligible")
         & (F.col("is_large_scale_low_spend") | F.col("is_medium_scale_fast_growth")))
     base = c.agg(
@@ -182,9 +188,9 @@ def scenario_region(m: Commerce, excluded: list[str], rates: Mapping[str, float]
 
 
 def scenario_payment_shift(m: Commerce, payment_type: str = "credit_card",
-                           rates: Mapping[str, float] = PAYMENT_SHIFT) -> DataFrame:
+                           rates: Mapping[str, float] = PAYMENT_SHIFT, orders: DataFrame | None = None) -> DataFrame:
     """Part of the revenue moves from one payment type to others; the total does not change."""
-    p = payment_structure(m).where((F.col("period") == ALL) & (F.col("payment_type") == payment_type)).select(
+    p = payment_structure(m, orders=orders).where((F.col("period") == ALL) & (F.col("payment_type") == payment_type)).select(
         "total_gmv", "total_paid_orders", F.col("split_gmv").alias("type_gmv"),
         ratio("split_gmv", "total_gmv").alias("type_gmv_share"), F.col("primary_order_count").alias("type_primary_orders"),
         ratio("primary_order_count", "total_paid_orders").alias("type_order_share"))
@@ -195,9 +201,11 @@ def scenario_payment_shift(m: Commerce, payment_type: str = "credit_card",
         F.lit(0.0).alias("simulated_incremental_gmv"))
 
 
-def scenario_non_top3(m: Commerce, month: str, rates: Mapping[str, float] = NON_TOP3_UPLIFT) -> DataFrame:
+def scenario_non_top3(m: Commerce, month: str, rates: Mapping[str, float] = NON_TOP3_UPLIFT,
+                      orders: DataFrame | None = None) -> DataFrame:
     """Growth outside the three largest states, on the revenue of one month."""
-    states = paid_orders(m).groupBy("customer_state").agg(
+    orders = paid_orders(m) if orders is None else orders
+    states = orders.groupBy("customer_state").agg(
         F.sum("order_payment_amount").alias("gmv"), F.count("*").alias("orders"),
         F.sum(F.when(F.col("purchase_month") == month, F.col("order_payment_amount"))).alias("month_gmv"),
         count_if(F.col("purchase_month") == month).alias("month_orders"))
@@ -217,8 +225,21 @@ def scenario_non_top3(m: Commerce, month: str, rates: Mapping[str, float] = NON_
 
 def scenario_effects(m: Commerce, observation_date: str, aov_months: tuple[str, str], excluded: list[str],
                      month: str) -> DataFrame:
-    """All scenarios as one long table, over tables that are held once."""
-    m = m.held("orders", "customers", "payments", "items", "products", "sellers")
+    """All scenarios as one long table. Joined once and stored: payments added up per order and type, the order base,
+    the paid orders with their split, the users' second orders, and the products and categories of each order."""
+    paid = order_type_amounts(m).select(
+        "order_id", F.lit(1).alias("payment_sequential"), "payment_type", F.lit(1).cast("bigint").alias("payment_installments"),
+        F.col("amount").alias("payment_value"))
+    m = m.with_tables(payments=paid).held("orders", "payments")
+    base = stored(customer_order_base(m).select(
+        USER, "customer_id", "order_id", "order_purchase_timestamp", "purchase_date", "purchase_month", "customer_state",
+        "customer_city", "order_gmv", "is_paid_order"))
+    paid_base = stored(paid_orders(m).select(
+        "order_id", "customer_state", "purchase_month", "comparable_period", "order_payment_amount", "is_mixed_payment",
+        "primary_payment_type", "split"))
+    second = materialize(second_orders(observed_orders(m, observation_date, base)))
+    items = stored(category_items(m).select("order_id", "product_id", "category_name").distinct())
+
     def rows(df: DataFrame, name: str, metric: str, value: str, gmv: str, reference: str, scope: str | None = None):
         return df.select(
             F.lit(name).alias("effect_type"), "scenario", (F.col(scope) if scope else F.lit("all")).alias("target_scope"),
@@ -226,21 +247,21 @@ def scenario_effects(m: Commerce, observation_date: str, aov_months: tuple[str,
             (dbl(gmv) if gmv else F.lit(None).cast("double")).alias("simulated_incremental_gmv"),
             dbl(reference).alias("reference_value"))
     parts = [
-        rows(scenario_repeat(m, observation_date), "repeat_purchase_growth", "incremental_repeat_users",
+        rows(scenario_repeat(m, observation_date, base=base, second=second), "repeat_purchase_growth", "incremental_repeat_users",
              "incremental_repeat_users", "simulated_incremental_gmv", "historical_second_order_avg_gmv"),
         rows(scenario_aov(m, *aov_months), "aov_growth", "simulated_aov", "simulated_aov", "simulated_incremental_gmv",
              "baseline_aov"),
-        rows(scenario_recall(m, observation_date), "retention_user_recall", "simulated_reactivated_users",
+        rows(scenario_recall(m, observation_date, base=base, second=second), "retention_user_recall", "simulated_reactivated_users",
              "simulated_reactivated_users", "simulated_incremental_gmv", "historical_second_order_avg_gmv"),
-        rows(scenario_basket(m), "basket_structure", "simulated_new_multi_orders", "simulated_new_multi_orders",
+        rows(scenario_basket(m, items=items), "basket_structure", "simulated_new_multi_orders", "simulated_new_multi_orders",
              "simulated_incremental_gmv", "historical_value_gap"),
-        rows(scenario_delivery(m), "delivery_experience", "orders_crossing_to_faster_reference_group", "affected_orders",
+        rows(scenario_delivery(m, items=items), "delivery_experience", "orders_crossing_to_faster_reference_group", "affected_orders",
              "", "historical_reference_score_gap", "category_name"),
-        rows(scenario_region(m, excluded), "regional_pilot_growth", "simulated_candidate_gmv", "simulated_candidate_gmv",
+        rows(scenario_region(m, excluded, base=base), "regional_pilot_growth", "simulated_candidate_gmv", "simulated_candidate_gmv",
              "simulated_incremental_gmv", "candidate_recent_gmv", "candidate_states"),
-        rows(scenario_payment_shift(m), "payment_structure_shift", "simulated_shifted_gmv", "simulated_shifted_gmv",
+        rows(scenario_payment_shift(m, orders=paid_base), "payment_structure_shift", "simulated_shifted_gmv", "simulated_shifted_gmv",
              "simulated_incremental_gmv", "type_gmv_share"),
-        rows(scenario_non_top3(m, month), "non_top3_region_growth", "simulated_non_top3_share", "simulated_non_top3_share",
+        rows(scenario_non_top3(m, month, orders=paid_base), "non_top3_region_growth", "simulated_non_top3_share", "simulated_non_top3_share",
              "simulated_incremental_gmv", "non_top3_share"),
     ]
     out = reduce(DataFrame.unionByName, parts)
