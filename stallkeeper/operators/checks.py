@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallkeeper.functions import (MICROS_PER_DAY, count_if, dbl, fences, half_up, materialize, micros_between, month_index,
-                                   month_of, outside, ratio, scalar)
+                                   month_of, outside, ratio, scalar, stored)
 from stallkeeper.operators import cleaning, customers, metrics, rfm, structure
 from stallkeeper.sources.model import Commerce
 
@@ -174,11 +174,10 @@ def _base_facts(base: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
 
 def _stored_model(m: Commerce) -> Commerce:
     """The model for a register of all metrics: orders with their delivery times, one payment row and one review per
-    order, and items, each held once, so that every metric reads a few narrow columns instead of the lines again."""
-    narrow = m.with_tables(
-        payments=_one_payment(m), reviews=cleaning.latest_review(cleaning.valid_reviews(m)),
-        items=m.items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"))
-    return narrow.held("orders", "payments", "reviews", "customers", "products", "sellers", "items")
+    order, each held once, so that every metric reads a few narrow columns instead of the lines again. The other tables
+    are plain projections of their sources, which are read as cheaply as copies of them."""
+    narrow = m.with_tables(payments=_one_payment(m), reviews=cleaning.latest_review(cleaning.valid_reviews(m)))
+    return narrow.held("orders", "payments", "reviews")
 
 
 def _more_facts(source: Commerce, m: Commerce, base: DataFrame) -> list[tuple[DataFrame, dict[str, Column]]]:
@@ -209,7 +208,7 @@ def validate_metrics(source: Commerce) -> DataFrame:
     """Every metric against an independent count from the order base, and against its relatives; then the keys below.
     A repeated payment key fails its check: the sums are right all the same, as payments are added up per order."""
     m = _stored_model(source)
-    base = materialize(metrics.metric_order_base(m).select(
+    base = stored(metrics.metric_order_base(m).select(
         "customer_unique_id", "order_purchase_timestamp", "is_delivered", "is_paid_delivered", "order_gmv", "is_canceled",
         "is_delivery_evaluable", "is_late", "review_score", "is_positive_review", "delivery_micros"))
     one = lambda df, names: (df, {alias: _first(c) for alias, c in names.items()})

@@ -21,3 +21,10 @@ def test_scenarios_take_shared_layers(commerce):
     second = scenario.second_orders(observed_orders(m, "2018-12-31", base))
     assert scenario.scenario_repeat(m, "2018-12-31", base=base, second=second).collect() == scenario.scenario_repeat(
         m, "2018-12-31").collect()
+
+
+def test_metric_register_copies_no_plain_table(commerce):
+    from stallkeeper.operators import checks
+    m = commerce(customers=[customer("c1")], orders=[order("o1")], items=[item("o1")], payments=[payment("o1", 10)])
+    kept = checks._stored_model(m)
+    assert kept.items is m.items and kept.customers is m.customers and kept.orders.inputFiles()
