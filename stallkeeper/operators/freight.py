@@ -33,7 +33,8 @@ def great_circle_km(lat: Column, lng: Column, lat2: Column, lng2: Column) -> Col
 
 def shipments(m: Commerce) -> DataFrame:
     """One row per delivered order and seller: zips and states of both ends, items, item value and freight."""
-    sent = sellable_items(m).groupBy("order_id", "seller_id").agg(
+    done = m.orders_core.where(delivered()).select("order_id")  # first, so that no other order's items are grouped
+    sent = sellable_items(m).join(done, "order_id", "left_semi").groupBy("order_id", "seller_id").agg(
         F.count("*").alias("items"), F.sum("price").alias("price"), F.sum("freight_value").alias("freight"))
     ends = m.orders_core.where(delivered()).join(m.customers, "customer_id").select(
         "order_id", F.col("customer_zip_code_prefix").alias("to_zip"), F.col("customer_state").alias("destination"))
