@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,10 +25,14 @@ END = 2                # closes every document
 SHARD = 1 << 20        # ids of a shard; the document that reaches it is still taken whole
 MAGIC = b"WVM1"
 BLOCK = 512            # bits per running count
-MEMO = 200_000         # recent runs of a worker, in each of two generations
-# Fixed by the tokenizer: how it cuts lower-case text into words, here for ASCII.
-ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-PROBES = ("It's", "don't", "We'LL", "x86-64", "(a.b)", "100%", "~!@#$%^&*()_+{}|:<>?", "Word,word")
+MEMO = 400_000         # recent words of a worker, in each of two generations
+CHARS = 1 << 20        # characters cut into words at a time, if no document is longer
+BLANK, LETTER, DIGIT, SYMBOL, ODD = range(5)  # kinds of characters
+# Fixed by the tokenizer: these endings are words of their own where an apostrophe begins a word.
+ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+COMMON = [*range(0xA1, 0x250), *range(0x400, 0x530), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0)]
+PROBES = ("It's", "don't", "We'LL", "x86-64", "(a.b)", "100%", "~!@#$%^&*()_+{}|:<>?", "Word,word", "one\ttwo\r\n three", "''s's'rest'l", "12'ms 'dx",
+          "L'\xc9T\xc9", "\u201cna\xefve\u201d\u20145\u20ac", "\u041c\u0438\u0440's")
 
 
 class WaveletMatrix:
@@ -118,10 +123,10 @@ class WaveletMatrix:
         """All ids in order: the partitions undone from the lowest plane up."""
         values = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(values)
-            above[~one] = values[:self.zeros[level]]
-            above[one] = values[self.zeros[level]:] | values.dtype.type(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~one)] = values[:self.zeros[level]]
+            above[np.flatnonzero(one)] = values[self.zeros[level]:] | values.dtype.type(1 << (self.bits - 1 - level))
             values = above
         return values
 
@@ -161,10 +166,10 @@ def load(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray
 
 
 class Words:
-    """Ids of a text by the ids of its runs between blanks. The tokenizer drops white space and never joins
-    across it, so a text's ids are those of its runs in turn. A run of plain ASCII is cut into words by the
-    tokenizer's own rule and its model splits each word once; any other run, and any that holds the content of
-    an added token in either case, goes through the whole tokenizer."""
+    """Ids of texts by the ids of their words. The tokenizer drops white space and never joins across it. Runs between
+    blanks of plain characters (printable ASCII, common letters and symbols that the tokenizer treats one by one) are
+    cut by its own rule, for many texts at once, and its model splits each word once. Any other run, and any that
+    holds the content of an added token in either case, goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -173,27 +178,103 @@ class Words:
         self.bits = max(1, (max(self.tokenizer.get_vocab_size(), END + 1) - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.format = "H" if self.bits <= 16 else "I"
-        self.runs, self.words = Memo(self.run, MEMO), Memo(self.word, MEMO)
-        self.split = re.compile(ASCII_WORDS, re.ASCII).findall
+        self.kinds, self.low, self.mapped = self.common()
+        plain = re.escape("".join(map(chr, np.flatnonzero(self.kinds != ODD))))
+        self.odd = re.compile("|".join([f"[^{plain}]", *map("(?i:{})".format, map(re.escape, self.added))])).search
+        self.words = Memo(self.word, MEMO)
         # The short cut holds for tokenizers that treat a probe alike either way.
-        self.plain = all(b"".join(map(self.word, self.split(x.lower()))) == self.whole(x) for x in PROBES)
-
-    def whole(self, run: str) -> bytes:
-        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.short = True
+        if any(self.encode([x])[1].tolist() != self.whole(x).tolist() for x in PROBES):
+            self.short = False
+            self.kinds[self.kinds != BLANK] = ODD
+            self.words.clear()
+
+    def common(self) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+        """Kinds and lower cases of characters by their numbers (the last stands for all others), and what those beyond
+        ASCII become for the model: letters and symbols that the tokenizer lower-cases as Python does and never
+        joins with what stands beside them but into a word."""
+        kinds, lower, mapped = np.full(COMMON[-1] + 2, ODD, np.uint8), np.arange(COMMON[-1] + 2, dtype=np.uint32), {}
+        for i in range(ord("!"), ord("~") + 1):
+            char = chr(i)
+            kinds[i] = LETTER if char.isalpha() else DIGIT if char.isdigit() else SYMBOL
+            lower[i] = ord(char.lower())
+        kinds[[ord(x) for x in " \t\n\r"]] = BLANK
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        for i in COMMON if normalizer is not None and cutter is not None else ():
+            low = chr(i).lower()
+            if len(low) > 1 or normalizer.normalize_str(chr(i)) != low or unicodedata.category(low)[0] == "M":
+                continue
+            for side, kind in (("a", LETTER), ("!", SYMBOL)):
+                pieces = [x for x, _ in cutter.pre_tokenize_str(side + low + side)]
+                if len(pieces) == 1 and pieces[0][0] == pieces[0][-1] == side:
+                    kinds[i], lower[i], mapped[ord(low)] = kind, ord(low), pieces[0][1:-1]
+        return kinds, lower, mapped
+
+    def whole(self, run: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, self.dtype)
 
     def word(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        """Of a piece that ``cut`` gives."""
+        if word[0] in " \t\n\r":
+            return b""
+        if not self.short or self.odd(word):
+            return self.whole(word).tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.mapped))]
         return struct.pack(f"<{len(ids)}{self.format}", *ids)
 
-    def run(self, run: str) -> bytes:
-        if self.plain and run.isascii() and run.isprintable():
-            low = run.lower()
-            if not any(x in low for x in self.added):
-                return b"".join(map(self.words.__getitem__, self.split(low)))
-        return self.whole(run)
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.runs.__getitem__, (text or "").replace("\n", " ").split(" ")))
+    def cut(self, text: str) -> tuple[np.ndarray, pa.Array]:
+        """Where the pieces of a text begin: words in lower case, runs with odd characters as they are, and blanks."""
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        known = np.minimum(codes, len(self.kinds) - 1)
+        kind, low = self.kinds[known], np.where(codes < len(self.low), self.low[known], codes)
+        odd = kind == ODD
+        plain = low.tobytes().decode("utf-32-le")
+        for token in self.added:
+            at = plain.find(token)
+            while at >= 0:
+                odd[at] = True
+                at = plain.find(token, at + 1)
+        if odd.any():
+            filled = kind != BLANK
+            run = np.cumsum(np.diff(filled, prepend=False) & filled)
+            whole = np.zeros(int(run[-1]) + 1, bool)
+            whole[run[odd]] = True
+            odd = whole[run] & filled
+            kind[odd] = ODD
+            low[odd] = codes[odd]
+            plain = low.tobytes().decode("utf-32-le")
+        begins = np.r_[kind[:1] >= 0, kind[1:] != kind[:-1], True]
+        begins[:-1] |= kind == DIGIT
+        # An apostrophe alone before a letter: the endings go with it.
+        at = np.flatnonzero((low[:-1] == ord("'")) & (kind[:-1] == SYMBOL) & begins[:-2] & (kind[1:] == LETTER))
+        after = np.r_[low, 0, 0]
+        for ending in ENDINGS:
+            found = at[np.logical_and.reduce([after[at + 1 + i] == ord(x) for i, x in enumerate(ending)])]
+            begins[found + 1] = False
+            begins[found + 1 + len(ending)] = True
+        begins = np.flatnonzero(begins)
+        data = plain.encode()
+        places = begins
+        if len(data) > len(low):
+            places = np.r_[0, np.cumsum(1 + (low > 0x7F) + (low > 0x7FF) + (low > 0xFFFF))][begins]
+        pieces = pa.Array.from_buffers(pa.large_string(), len(places) - 1,
+                                       [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)])
+        return begins[:-1], pieces
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids in turn."""
+        size = np.array([len(x) + 1 for x in texts])
+        begins, pieces = self.cut("\n".join(texts) + "\n")
+        pieces = pieces.dictionary_encode()
+        found = [self.words[x] for x in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        length = np.array([len(x) for x in found]) // self.dtype.itemsize
+        first, piece = np.cumsum(length) - length, pieces.indices.to_numpy()
+        count = length[piece]
+        upto = np.r_[0, np.cumsum(count)]
+        ids = ids[np.arange(upto[-1]) + np.repeat(first[piece] - upto[:-1], count)]
+        # Blanks have no ids, so it does not matter that those around the end of a text are one piece.
+        return np.diff(upto[np.searchsorted(begins, np.r_[0, np.cumsum(size)])]), ids
 
 
 @lru_cache(maxsize=2)
@@ -201,32 +282,49 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Documents of a batch, about CHARS characters at a time."""
+    for batch in batches:
+        ids, texts, held = [], [], 0
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            held += len(texts[-1])
+            if held >= CHARS:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+        if ids:
+            yield ids, texts
+
+
 def _shards(path: str, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, seq = TaskContext.get().partitionId(), 0
         table = words(path)
-        end = np.array([END], table.dtype).tobytes()
-        ids, texts, held = [], [], 0
+        end = np.array([END], table.dtype)
+        ids, parts, sizes, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(t) for t in texts]) // len(end)
-            values = np.frombuffer(b"".join(texts), table.dtype)
+            values = np.concatenate(parts)
             known = np.array([x is not None for x in ids], bool)
-            blob = dump(WaveletMatrix.build(values, table.bits), np.array([x or 0 for x in ids], np.int64), known, lengths)
+            blob = dump(WaveletMatrix.build(values, table.bits), np.array([x or 0 for x in ids], np.int64), known,
+                        np.array(sizes))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([seq], pa.int64()), pa.array([len(values)], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
                 ["part", "seq", "n_tokens", "n_docs", "blob"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+        for doc_ids, texts in _chunks(batches):
+            lengths, values = table.encode(texts)
+            for doc_id, n, upto in zip(doc_ids, lengths.tolist(), np.cumsum(lengths).tolist()):
                 ids.append(doc_id)
-                texts.append(table.encode(text.as_py()) + end)
-                held += len(texts[-1]) // len(end)
+                parts += [values[upto - n:upto], end]
+                sizes.append(n + 1)
+                held += n + 1
                 if held >= shard:
                     yield close()
-                    seq, ids, texts, held = seq + 1, [], [], 0
+                    seq, ids, parts, sizes, held = seq + 1, [], [], [], 0
         if ids:
             yield close()
     return run

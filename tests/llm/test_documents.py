@@ -196,6 +196,28 @@ def test_token_files_with_added_tokens(spark, make_docs):
     assert [r["start"] for r in got] == np.cumsum([0, *map(len, want)])[:-1].tolist()
 
 
+def test_words_like_the_library(monkeypatch):
+    known, table, rng = Tokenizer.from_file(WORDS), wavelet.Words(WORDS), np.random.RandomState(6)
+    chars = [*"aB '\t\n\r9.!'sStTr\xe9lLvVeE", *map(chr, wavelet.COMMON), *"\u0301\u0308\x00\x1c\x85\xa0\u6587\U0001f600\u0130\u03a3\ufb01",
+             "J\u030c", "<|endoftext|>", "<|EndOfText|>"]
+    odds = np.where(np.arange(len(chars)) < 24, 1.0, 0.02)
+    texts = ["", "\n", "'", *("".join(rng.choice(chars, rng.randint(15), p=odds / odds.sum())) for _ in range(5000))]
+    counts, ids = table.encode(texts)
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == known.encode(text, add_special_tokens=False).ids, ascii(text)
+    # The words of plain texts in common scripts go through the model alone, once, whatever stands at them.
+    seen, split = [], wavelet.Words.word
+    monkeypatch.setattr(wavelet.Words, "whole", lambda self, run: pytest.fail(ascii(run)) if run not in wavelet.PROBES
+                        else np.array(known.encode(run, add_special_tokens=False).ids, self.dtype))
+    monkeypatch.setattr(wavelet.Words, "word", lambda self, word: seen.append(word) or split(self, word))
+    table = wavelet.Words(WORDS)
+    table.words.clear()
+    seen.clear()
+    table.encode(["\xc9t\xe9, \xe9t\xe9; (\xc9T\xc9) \u043c\u0438\u0440! \u041c\u0418\u0420. "] * 3 + ["Word, word; (WORD)\tword's\n"])
+    assert sorted(x for x in seen if not x.isspace()) == sorted(
+        ["\xe9t\xe9", "\u043c\u0438\u0440", "word", "'s", ",", ";", "(", ")", "!", "."])
+
+
 def test_token_files_of_nothing(spark, make_docs):
     path = scratch_path(spark)
     wavelet.write(make_docs([]), path, WORDS)
