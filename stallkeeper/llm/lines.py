@@ -14,16 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stallkeeper.llm.common import packed, stored
+from stallkeeper.llm.common import batches_of, packed, stored
 from stallkeeper.llm.components import connected
 
 SHINGLE = 8          # characters
 SIMILAR = 0.8        # Jaccard of shingle sets
 BANDS, ROWS = 10, 4  # a pair at 0.8 shares a band with probability 0.995, at 0.9 all but surely
-CHUNK = 1 << 16      # characters hashed at a time
+CHUNK = 1 << 16      # characters hashed, or shingles compared, at a time
+PAIRWISE = 8         # lines of a tile that are compared pair by pair
 TILE = 256           # lines of a chunk of a key's holders in the second round
+NARROW = 50_000      # rows of a few numbers that a worker takes at a time
 SIEVE = 1 << 26      # bits of the map that tells which lines are worth sending
 SEEN = 400_000       # lines a task remembers so as not to hash them again
 _MULTIPLIERS = (np.random.RandomState(5).randint(1, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -31,7 +33,10 @@ _FILL = "\U0010ffff"  # lengthens lines below one shingle
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    line = line.lower()
+    if line.isprintable() and "  " not in line:  # no white space but single blanks
+        return line.strip(" ")
+    return " ".join(line.split())
 
 
 def line_hash(line: str) -> int:
@@ -57,6 +62,46 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return eight, start, start + size - SHINGLE + 1
 
 
+def _across(end: np.ndarray) -> np.ndarray:
+    """Windows that lie across two lines."""
+    return (end[:-1, None] + np.arange(SHINGLE - 1)).ravel()
+
+
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' shingle sets, each sorted, in one array, and where each begins and the last one ends."""
+    windows, start, end = shingles(lines)
+    for a, b in zip(start.tolist(), end.tolist()):
+        windows[a:b].sort()
+    new = np.r_[True, windows[1:] != windows[:-1]]
+    new[start] = True
+    new[_across(end)] = False
+    return windows[new], np.r_[0, np.cumsum(np.add.reduceat(new, start, dtype=np.int64))]
+
+
+def near(flat: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, similar: float) -> np.ndarray:
+    """Whether the Jaccard similarity of sets a and b (numbers in ``begin``) of each pair reaches ``similar``."""
+    size = np.diff(begin)
+    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    good = small / large >= similar  # as if one held the other
+    left = np.flatnonzero(good)
+    upto = np.cumsum(small[left] + large[left])
+    at = 0
+    while at < len(left):  # CHUNK values at a time, or one pair
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+        pair = np.stack([a[left[at:stop]], b[left[at:stop]]], 1).ravel()
+        ends = np.cumsum(size[pair])
+        values = flat[np.arange(ends[-1]) + np.repeat(begin[pair] - (ends - size[pair]), size[pair])]
+        first = np.r_[0, ends[1:-1:2]]
+        for x, y in zip(first.tolist(), ends[1::2].tolist()):
+            values[x:y].sort(kind="stable")  # two sorted parts
+        same = np.r_[values[1:] == values[:-1], False]
+        same[ends[1::2] - 1] = False
+        both = np.add.reduceat(same, first, dtype=np.int64)
+        good[left[at:stop]] = both / (size[pair[::2]] + size[pair[1::2]] - both) >= similar
+        at = stop
+    return good
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys of the bands of the lines' MinHash signatures."""
     out, at = [], 0
@@ -66,10 +111,9 @@ def band_keys(lines: list[str]) -> np.ndarray:
             chars += max(SHINGLE, len(lines[stop]))
             stop += 1
         windows, start, end = shingles(lines[at:stop])
-        cut = np.stack([start, end], 1).ravel()
-        cut = cut[:-1] if cut[-1] >= len(windows) else cut
         short = (windows >> np.uint64(32)).astype(np.uint32)
-        sign = np.stack([np.minimum.reduceat(short * m, cut)[::2] for m in _MULTIPLIERS], 1).astype(np.uint64)
+        short[_across(end)] = np.repeat(short[start[:-1]], SHINGLE - 1)  # no new values, so the least ones stay
+        sign = np.stack([np.minimum.reduceat(short * m, start) for m in _MULTIPLIERS], 1).astype(np.uint64)
         keys = np.empty((stop - at, BANDS), np.uint64)
         with np.errstate(over="ignore"):
             for b in range(BANDS):
@@ -89,8 +133,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dids, dks = batch.column("doc_id").to_pylist(), batch.column("dk").to_pylist()
         texts = batch.column("text")
         for at in range(0, len(dids), 100):
-            did, dk, number, hashes, fresh, where = [], [], [], [], [], []
+            did, dk, size, number, hashes, fresh, where = [], [], [], [], [], [], []
             for i in range(at, min(at + 100, len(dids))):
+                before = len(hashes)
                 for k, line in enumerate((texts[i].as_py() or "").split("\n")):
                     if not (line := normal(line)):
                         continue
@@ -105,13 +150,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     dk.append(dks[i])
                     number.append(k)
                     hashes.append(h)
+                size += [len(hashes) - before] * (len(hashes) - before)
             keys = band_keys(fresh)
             count = np.zeros(len(hashes) + 1, np.int32)
             count[np.array(where, np.int64) + 1] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(count, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes, pa.int64()), pa.array(did, pa.int64()), pa.array(dk, pa.int64()),
-                 pa.array(number, pa.int32()), bands], ["h", "doc_id", "dk", "line", "bands"])
+                 pa.array(size, pa.int32()), pa.array(number, pa.int32()), bands],
+                ["h", "doc_id", "dk", "n_lines", "line", "bands"])
 
 
 def sieve(hashes: DataFrame):
@@ -146,7 +193,7 @@ def _texts(shared):
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, h): each holder with the first one of its key here; the first and last key of
+    """Rows sorted by key: each holder with the first one of its key here; the first and last key of
     the range, which other ranges may share, also with their first holder alone (edge)."""
     key_now = rep_now = first = None
 
@@ -174,28 +221,27 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(k, r, r, [True] * len(k))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays of distinct values."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def _verify(similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-
-            def of(h: int, text) -> np.ndarray:
-                if h not in sets:
-                    if len(sets) > 2000:
-                        sets.clear()
-                    sets[h] = np.unique(shingles([text.as_py()])[0])
-                return sets[h]
-
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            good = [jaccard(of(x, s), of(y, t)) >= similar
-                    for x, y, s, t in zip(a, b, batch.column("text_a"), batch.column("text_b"))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+            text_a, text_b = batch.column("text_a"), batch.column("text_b")
+            good, at = [], 0
+            while at < len(a):  # pairs of lines of about CHUNK characters
+                number: dict[int, int] = {}
+                lines, chars, stop = [], 0, at
+                while stop < len(a) and chars < CHUNK:
+                    for h, text in ((a[stop], text_a), (b[stop], text_b)):
+                        if h not in number:
+                            number[h] = len(lines)
+                            lines.append(text[stop].as_py())
+                            chars += len(lines[-1])
+                    stop += 1
+                x, y = (np.array([number[h] for h in side[at:stop]]) for side in (a, b))
+                good.append(near(*shingle_sets(lines), x, y, similar))
+                at = stop
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
+                pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
     return run
 
 
@@ -206,36 +252,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
         _verify(similar), "a bigint, b bigint")
 
 
-def overlaps(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the lines' shingle sets, and of all their intersections."""
-    windows, start, end = shingles(texts)
-    sets = [np.unique(windows[a:b]) for a, b in zip(start.tolist(), end.tolist())]
-    size = np.array([len(x) for x in sets])
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
-    line = np.repeat(np.arange(len(sets)), size)
+def overlaps(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of sets that stand in one array."""
+    code = np.unique(flat, return_inverse=True)[1].ravel()
+    line = np.repeat(np.arange(len(size)), size)
     shared = np.bincount(code) > 1  # a shingle of one line alone adds to no intersection
     number = np.cumsum(shared) - 1
     keep = shared[code]
     code, line = number[code[keep]], line[keep]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(size), len(size)), np.float32)
     order = np.argsort(code, kind="stable")
     code, line = code[order], line[order]
     for low in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(code, [low, low + 4096])
-        part = np.zeros((len(sets), min(4096, int(shared.sum()) - low)), np.float32)
+        part = np.zeros((len(size), min(4096, int(shared.sum()) - low)), np.float32)
         part[line[a:b], code[a:b] - low] = 1
         both += part @ part.T
-    return size, both
+    return both
 
 
 def _tiles(similar: float):
     """Rows sorted by (key, tile): links between classes so far, of lines of a tile that are in different ones, as far
-    as they join more."""
-    def compare(h: list[int], c: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
-        size, both = overlaps(texts)
-        c = np.array(c)
-        near = both >= similar * (size[:, None] + size[None, :] - both) - 1e-3
-        near &= c[:, None] != c[None, :]
+    as they join more. Small tiles are taken many at a time and compared pair by pair."""
+    def alike(flat: np.ndarray, begin: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, int]]:
+        size = np.diff(begin)
+        both = overlaps(flat, size)
+        likely = both >= similar * (size[:, None] + size[None, :] - both) - 1e-3
+        likely &= c[:, None] != c[None, :]
+        for i, j in zip(*np.nonzero(np.triu(likely, 1))):
+            if int(both[i, j]) / (int(size[i]) + int(size[j]) - int(both[i, j])) >= similar:
+                yield i, j
+
+    def compare(tiles: list[tuple[list[int], list[str]]]) -> tuple[list[int], list[int]]:
+        flat, begin = shingle_sets([x for _, texts in tiles for x in texts])
+        c = np.array([x for classes, _ in tiles for x in classes])
+        ends = np.cumsum([len(classes) for classes, _ in tiles])
+        first, second, found, at = [], [], [], 0
+        for end in ends.tolist():
+            if end - at <= PAIRWISE:
+                i, j = np.triu_indices(end - at, 1)
+                first.append(at + i)
+                second.append(at + j)
+            else:
+                found += [(at + i, at + j) for i, j in alike(flat[begin[at]:begin[end]], begin[at:end + 1], c[at:end])]
+            at = end
+        if first:
+            i, j = np.concatenate(first), np.concatenate(second)
+            other = c[i] != c[j]
+            i, j = i[other], j[other]
+            good = near(flat, begin, i, j, similar)
+            found += zip(i[good].tolist(), j[good].tolist())
         up: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -244,32 +310,33 @@ def _tiles(similar: float):
             return x
 
         a, b = [], []
-        for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        for i, j in found:
             x, y = root(int(c[i])), root(int(c[j]))
-            if x != y and int(both[i, j]) / (int(size[i]) + int(size[j]) - int(both[i, j])) >= similar:
+            if x != y:
                 up[max(x, y)] = min(x, y)
                 a.append(int(c[i]))
                 b.append(int(c[j]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, h, c, texts = None, [], [], []
+        def links(tiles):
+            a, b = compare(tiles)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        at, tiles, chars = None, [], 0
         for batch in batches:
-            a, b = [], []
-            for key, tile, x, y, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for key, tile, c, text in zip(*(batch.column(x).to_pylist() for x in ("key", "tile", "c", "text"))):
                 if (key, tile) != at:
-                    if len(h) > 1:
-                        x_new, y_new = compare(h, c, texts)
-                        a += x_new
-                        b += y_new
-                    at, h, c, texts = (key, tile), [], [], []
-                h.append(x)
-                c.append(y)
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if len(h) > 1:
-            a, b = compare(h, c, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    if chars >= CHUNK:
+                        yield links(tiles)
+                        tiles, chars = [], 0
+                    at = (key, tile)
+                    tiles.append(([], []))
+                tiles[-1][0].append(c)
+                tiles[-1][1].append(text)
+                chars += len(text)
+        if tiles:
+            yield links(tiles)
     return run
 
 
@@ -280,9 +347,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def classes(lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     """(node, component) of line hashes that are near copies of other lines."""
-    keys = lines.select(F.explode("bands").alias("key"), "h").repartitionByRange("key", "h").sortWithinPartitions(
-        "key", "h")
-    found = stored(keys.mapInArrow(_holders, "key bigint, h bigint, rep bigint, edge boolean"))
+    keys = lines.select(F.explode("bands").alias("key"), "h").repartitionByRange("key", "h").sortWithinPartitions("key")
+    with batches_of(docs.sparkSession, NARROW):
+        found = stored(keys.mapInArrow(_holders, "key bigint, h bigint, rep bigint, edge boolean"))
     ends = found.where("edge").select("key", "rep")
     low = ends.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     across = ends.join(low, "key").where("rep != low").select("key", F.col("rep").alias("h"), F.col("low").alias("rep"))
@@ -318,6 +385,24 @@ def classes(lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
             .select("node", F.coalesce("_root", "component").alias("component")).unionAll(alone))
 
 
+def _place() -> Column:
+    return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "line", "dk")
+
+
+def _judged(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Lines that are no blanks (h, doc_id, dk, n_lines of the document, line), and of those that stand in several
+    places or have near copies: _h, component, keeper."""
+    lines = stored(_keyed(docs).mapInArrow(
+        _lines, "h bigint, doc_id bigint, dk bigint, n_lines int, line int, bands array<bigint>"))
+    root = classes(lines, docs, similar)
+    firsts = stored(lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")))
+    copies = stored(firsts.join(root, F.col("h") == F.col("node")).select("h", "component", "first"))
+    keepers = copies.groupBy("component").agg(F.min("first").alias("keeper"))
+    alone = firsts.where("n > 1").join(copies, "h", "left_anti")
+    return lines.drop("bands"), copies.join(keepers, "component").select(
+        F.col("h").alias("_h"), "component", "keeper").unionAll(alone.select("h", "h", "first"))
+
+
 def decisions(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per line that is no blank: doc_id, dk (hash of the text), line (from 0), component (line hash
     that names the class), keeper (struct doc_id, line, dk of the line that stays), kept.
@@ -325,25 +410,21 @@ def decisions(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Of a class, the line with the smallest document id stays, then the smallest line number; rows without an
     id come last. Rows that repeat id and text share one decision.
     """
-    lines = stored(_keyed(docs).mapInArrow(
-        _lines, "h bigint, doc_id bigint, dk bigint, line int, bands array<bigint>"))
-    root = classes(lines, docs, similar)
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "line", "dk")
-    firsts = (lines.groupBy("h").agg(F.min(place).alias("first"))
-              .join(root, F.col("h") == F.col("node"), "left")
-              .select("h", "first", F.coalesce("component", "h").alias("component")))
-    firsts = stored(firsts)
-    keepers = firsts.groupBy("component").agg(F.min("first").alias("keeper"))
-    named = firsts.join(keepers, "component").select(F.col("h").alias("_h"), "component", "keeper")
-    return lines.join(named, F.col("h") == F.col("_h")).select(
-        "doc_id", "dk", "line", "component", "keeper", (place == F.col("keeper")).alias("kept"))
+    lines, judged = _judged(docs, similar)
+    keeper = F.coalesce("keeper", _place())
+    return lines.join(judged, F.col("h") == F.col("_h"), "left").select(
+        "doc_id", "dk", "line", F.coalesce("component", "h").alias("component"), keeper.alias("keeper"),
+        (_place() == keeper).alias("kept"))
 
 
 def removed(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, dk, n_lines (not blank), gone (sorted line numbers to remove) of documents with such lines."""
-    return decisions(docs, similar).groupBy("doc_id", "dk").agg(
-        F.count_distinct("line").alias("n_lines"),
-        F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("gone"))
+    lines, judged = _judged(docs, similar)
+    gone = (lines.join(judged, F.col("h") == F.col("_h")).where(_place() != F.col("keeper"))
+            .groupBy(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk")).agg(F.array_sort(F.collect_set("line")).alias("gone")))
+    sizes = lines.groupBy("doc_id", "dk").agg(F.max("n_lines").alias("n_lines"))
+    return (sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("dk") == F.col("_dk")), "left")
+            .select("doc_id", "dk", "n_lines", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
 
 
 def report(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -299,6 +300,47 @@ def test_line_dedup_keeps_one_of_a_crowd(make_docs):
     assert len(kept) == 300 and all("own text" in t for t in kept)
 
 
+def test_line_pairs_are_compared_many_at_a_time(monkeypatch):
+    rng = np.random.RandomState(7)
+    texts = ["".join(rng.choice(list("abc "), n)) for n in (*rng.randint(1, 60, 60), 2000)]
+    texts += [x[:len(x) // 2] + rng.choice(["", "z", "zz"]) + x[len(x) // 2:] for x in texts for _ in range(2)]
+    sets = [{x.ljust(8, "\U0010ffff")[i:i + 8] for i in range(max(1, len(x) - 7))} for x in texts]
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+               if i < j and len(a & b) / len(a | b) >= 0.8}
+    calls, shingles = [], lines.shingles
+    monkeypatch.setattr(lines, "shingles", lambda x: calls.append(len(x)) or shingles(x))
+
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (i, j) in similar or rng.rand() < 0.1]
+    a, b = map(list, zip(*pairs))
+    batch = pa.RecordBatch.from_pydict({"a": a, "b": b, "text_a": [texts[i] for i in a], "text_b": [texts[i] for i in b]})
+    (got,) = lines._verify(0.8)(iter([batch]))
+    assert set(zip(*got.to_pydict().values())) == similar and len(similar) > 60 and len(calls) < 5
+
+    calls.clear()
+    groups = [rng.permutation(len(texts))[:n].tolist() for n in (3, 2, 8, 9, 30, 1) for _ in range(20)]
+    rows = [(k, 0, i, i, texts[i]) for k, group in enumerate(groups) for i in sorted(group)]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("key", "tile", "h", "c", "text"), map(list, zip(*rows)))))
+    links = [x for out in lines._tiles(0.8)(iter([batch])) for x in zip(*out.to_pydict().values())]
+    union, want = Union(), Union()
+    for x, y in links:
+        union.join(x, y)
+    for x, y in {(i, j) for group in groups for i in group for j in group if (i, j) in similar}:
+        want.join(x, y)
+    assert [union.find(i) for i in range(len(texts))] == [want.find(i) for i in range(len(texts))] and len(calls) < 10
+
+
+def test_line_decisions_give_what_is_removed(make_docs):
+    docs = make_docs([(3, "one line of words here\nown line\n\nown line"), (3, "one line of words here\nown line\n\nown line"),
+                      (1, "One line of words here"), (None, "own  line\nsome other line of many words")])
+    rows = lines.decisions(docs).collect()
+    kept = {(r["doc_id"], r["line"]): r["kept"] for r in rows}
+    assert len(rows) == 9 and kept == {(1, 0): True, (3, 0): False, (3, 1): True, (3, 3): False, (None, 0): False, (None, 1): True}
+    assert sorted((r["doc_id"] or 0, r["n_lines"], r["gone"]) for r in lines.removed(docs).collect()) == [
+        (0, 2, [0]), (1, 1, []), (3, 3, [0, 3])]
+    assert sorted((r["doc_id"] or 0, r["n_lines"], r["removed"]) for r in lines.report(docs).collect()) == [
+        (0, 2, "0"), (1, 1, ""), (3, 3, "0,3"), (3, 3, "0,3")]
+
+
 def test_line_dedup_odd_rows(odd, make_docs):
     got = lines.report(odd).collect()
     assert len(got) == 13
