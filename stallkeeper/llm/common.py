@@ -42,9 +42,14 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None, each: int = 50_000) -> DataFrame:
     """Write a frame once to the shared folder and read it back: lineage is cut, lost executors cost
-    nothing, and several branches read one result."""
+    nothing, and several branches read one result.
+
+    If at most ``rows`` rows go into the frame, a task writes what comes of ``each`` of them (but no core is left
+    idle), so that a small frame does not become one file of a few rows for every shuffle partition."""
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
     path = scratch_path(df.sparkSession)
     schema = df.schema
     df.write.parquet(path)

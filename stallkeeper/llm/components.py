@@ -38,15 +38,17 @@ def _stars(edges: DataFrame) -> bool:
     return seen.where("out > 1 OR (out = 1 AND root = 1)").limit(1).count() == 0
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100, rows: int | None = None) -> DataFrame:
     """(node, component) for every node with an edge to another; component is the smallest node id
-    reachable. Self loops, repeated and reversed edges and null ends are allowed (ignored)."""
+    reachable. Self loops, repeated and reversed edges and null ends are allowed (ignored). ``rows``: an upper
+    bound of the number of edges, if it is known."""
     edges = stored(edges.where(F.col(a) != F.col(b))
-                   .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+                   .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows)
+    rows = edges.count()  # no round makes more
     for _ in range(max_rounds):
         if _stars(edges):
             break
-        edges = stored(_small_star(_large_star(edges)))
+        edges = stored(_small_star(_large_star(edges)), rows)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -26,6 +26,7 @@ CHUNK = 1 << 16      # characters hashed, or shingles compared, at a time
 PAIRWISE = 8         # lines of a tile that are compared pair by pair
 TILE = 256           # lines of a chunk of a key's holders in the second round
 NARROW = 50_000      # rows of a few numbers that a worker takes at a time
+COMPARED = 2_000     # pairs of lines, or lines, that are worth a task of their own
 SIEVE = 1 << 26      # bits of the map that tells which lines are worth sending
 SEEN = 400_000       # lines a task remembers so as not to hash them again
 _MULTIPLIERS = (np.random.RandomState(5).randint(1, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -349,22 +350,25 @@ def classes(lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     """(node, component) of line hashes that are near copies of other lines."""
     keys = lines.select(F.explode("bands").alias("key"), "h").repartitionByRange("key", "h").sortWithinPartitions("key")
     with batches_of(docs.sparkSession, NARROW):
-        found = stored(keys.mapInArrow(_holders, "key bigint, h bigint, rep bigint, edge boolean"))
+        found = stored(keys.mapInArrow(_holders, "key bigint, h bigint, rep bigint, edge boolean"), BANDS * lines.count())
     ends = found.where("edge").select("key", "rep")
     low = ends.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     across = ends.join(low, "key").where("rep != low").select("key", F.col("rep").alias("h"), F.col("low").alias("rep"))
-    held = stored(found.where("not edge").select("key", "h", "rep").unionAll(across))
-    pairs = stored(held.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct())
+    held = stored(found.where("not edge").select("key", "h", "rep").unionAll(across), found.count())
+    n_held = held.count()
+    pairs = stored(held.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct(), n_held)
+    n_pairs = pairs.count()
     need = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
     texts = stored(_keyed(docs).select("text").mapInArrow(_texts(sieve(need)), "h bigint, text string")
-                   .join(need, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
-    links = stored(_verified(pairs, texts, similar))
-    first = stored(connected(links))
+                   .join(need, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")), 2 * n_pairs, COMPARED)
+    links = stored(_verified(pairs, texts, similar), n_pairs, COMPARED)
+    n_links = links.count()
+    first = stored(connected(links, rows=n_links), 2 * n_links)
     # Holders of one key that the first round left apart and did not compare with each other. Keys with the
     # same holders say the same, so one of them is enough.
     held = stored(held.select("key", "h").unionAll(held.select("key", F.col("rep").alias("h"))).distinct()
                   .join(first, F.col("h") == F.col("node"), "left")
-                  .select("key", "h", F.coalesce("component", "h").alias("c")))
+                  .select("key", "h", F.coalesce("component", "h").alias("c")), 2 * n_held)
     mixed = (held.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("n"),
                                      F.bit_xor(F.xxhash64("h")).alias("_who"))
              .where("_low != _high AND n > 2").groupBy("n", "_who").agg(F.min("key").alias("key")))
@@ -378,7 +382,8 @@ def classes(lines: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     more = stored(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "h").select(
         "key", "tile", "h", "c", "text").mapInArrow(_tiles(similar), "a bigint, b bigint"))
     # Only classes are joined: a class is named by its smallest line, so the smallest class names the union.
-    second = stored(connected(more))
+    n_more = more.count()
+    second = stored(connected(more, rows=n_more), 2 * n_more)
     merged = second.select(F.col("node").alias("_class"), F.col("component").alias("_root"))
     alone = second.join(first, "node", "left_anti").select("node", "component")  # lines that were a class of their own
     return (first.join(merged, F.col("component") == F.col("_class"), "left")
@@ -395,8 +400,8 @@ def _judged(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     lines = stored(_keyed(docs).mapInArrow(
         _lines, "h bigint, doc_id bigint, dk bigint, n_lines int, line int, bands array<bigint>"))
     root = classes(lines, docs, similar)
-    firsts = stored(lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")))
-    copies = stored(firsts.join(root, F.col("h") == F.col("node")).select("h", "component", "first"))
+    firsts = stored(lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")), lines.count())
+    copies = stored(firsts.join(root, F.col("h") == F.col("node")).select("h", "component", "first"), firsts.count())
     keepers = copies.groupBy("component").agg(F.min("first").alias("keeper"))
     alone = firsts.where("n > 1").join(copies, "h", "left_anti")
     return lines.drop("bands"), copies.join(keepers, "component").select(

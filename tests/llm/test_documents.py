@@ -300,6 +300,35 @@ def test_line_dedup_keeps_one_of_a_crowd(make_docs):
     assert len(kept) == 300 and all("own text" in t for t in kept)
 
 
+def test_few_lines_are_stored_in_few_files(spark, make_docs, monkeypatch):
+    from stallkeeper.llm import common, components
+    rng = np.random.RandomState(3)
+    base = ["".join(rng.choice(list("abcdefgh "), 120)) for _ in range(60)]
+    docs = make_docs([(i, base[i % 60] + "z" * (i // 60) + f"\n{base[i % 7]}") for i in range(240)]).repartition(8)
+    files = []
+
+    def counted(*args):
+        out = common.stored(*args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    want = {r["doc_id"]: r["removed"] for r in lines.report(docs).collect()}
+    monkeypatch.setattr(components, "stored", counted)
+    monkeypatch.setattr(lines, "stored", counted)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["removed"] for r in lines.report(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and sum(map(bool, got.values())) > 150
+    few = max(8, spark.sparkContext.defaultParallelism)
+    assert len(files) > 10 and sum(n > few for n in files) <= 1, files  # only tiles stay spread over all tasks
+
+
 def test_line_pairs_are_compared_many_at_a_time(monkeypatch):
     rng = np.random.RandomState(7)
     texts = ["".join(rng.choice(list("abc "), n)) for n in (*rng.randint(1, 60, 60), 2000)]
