@@ -9,7 +9,7 @@ which their true neighbours' lists are read. Queries that find fewer answers tha
 the end to all.
 
 Equal vectors are one entry that carries its smallest ids, as many as an answer can hold. Lists are cut into
-pieces of bounded size; queries go to every piece of their lists.
+pieces of bounded size, which are dealt out to tasks; a query goes once to every task that holds a piece of its lists.
 """
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stallkeeper.llm.common import stored
@@ -31,8 +32,10 @@ BORDER = 1.05        # a vector is also in lists up to this ratio of its nearest
 AUDIT = 64           # queries answered exactly to learn the ratio
 RECALL = 0.97        # share of the audited neighbours whose lists are read
 WIDER = (2, 8)       # factors of the ratio for queries short of answers, before they go to all lists
-PIECE = 4096         # entries of a list compared at a time
+PIECE = 4096         # entries compared at a time
+DEALT = 16_384       # entries of a list that stay together in one task, about
 GROUP = 60_000       # entries of a task, about
+SENT = 20_000        # rows of an Arrow batch that a task gives back, at most
 
 
 def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
@@ -69,10 +72,11 @@ def lists_within(graph: Graph, q: np.ndarray, ratio: float) -> tuple[np.ndarray,
     rows, lists, ratios = [], [], []
     for at in range(0, len(q), 512):
         x = np.ascontiguousarray(q[at:at + 512], np.float32)
-        first, best = (part[:, 0] for part in graph.nearest(x, 32))
+        beam = graph.nearest(x, 32)
+        first, best = (part[:, 0] for part in beam)
         near = distances(graph, x, best)
         far = near * ratio + 1e-6
-        row, node, close = graph.within(x, ((x ** 2).sum(1) - far ** 2) / 2, 32)
+        row, node, close = graph.within(x, ((x ** 2).sum(1) - far ** 2) / 2, 32, beam)
         lost = np.setdiff1d(np.arange(len(x)), row)  # by rounding: to the nearest list all the same
         row, node = np.concatenate([row, lost]), np.concatenate([node, first[lost]])
         d = distances(graph, x[row], np.concatenate([close, best[lost]]))
@@ -84,15 +88,50 @@ def lists_within(graph: Graph, q: np.ndarray, ratio: float) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(lists), np.concatenate(ratios)
 
 
-def _post(shared, ratio: float, names: list[str]):
-    """Rows with a vector, once per list within the ratio."""
+def _post(shared, ratio: float):
+    """Entries, once per list within the ratio."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value
         for batch in batches:
             if batch.num_rows:
-                row, node, _ = lists_within(graph, matrix(batch.column("v")), ratio)
-                kept = batch.select(names).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int32()), *kept.columns], ["list", *names])
+                rows, nodes, _ = lists_within(graph, matrix(batch.column("v")), ratio)
+                for at in range(0, len(rows), SENT):
+                    kept = batch.select(["ids", "v"]).take(pa.array(rows[at:at + SENT]))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[at:at + SENT], pa.int32()), *kept.columns],
+                                                     ["list", "ids", "v"])
+    return run
+
+
+def task_of(lists, piece, groups: int):
+    """The task of a piece of a list, the same for columns and for arrays."""
+    return (lists * 2_147_483_647 + piece * 1_000_003) % groups  # primes: all tasks get their share
+
+
+def _ask(shared, dealt, ratio: float | None):
+    """Queries, once per task that holds a piece of a list within the ratio (None: of any list), with those lists."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, (pieces, groups) = shared.value, dealt.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                if ratio is None:
+                    row, node = (x.ravel() for x in np.indices((batch.num_rows, len(pieces))))
+                else:
+                    row, node, _ = lists_within(graph, matrix(batch.column("v")), ratio)
+                count = pieces[node]
+                piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                row, node = np.repeat(row, count), np.repeat(node, count)
+                # Several pieces of a list in one task are asked as one.
+                pair, node = np.divmod(np.unique((row * groups + task_of(node, piece, groups)) * len(pieces) + node), len(pieces))
+                first = np.unique(pair, return_index=True)[1]
+                ends = np.r_[first[1:], len(pair)]
+                for at in range(0, len(first), SENT):
+                    a, b = first[at:at + SENT], ends[at:at + SENT][-1]
+                    row, task = np.divmod(pair[a], groups)
+                    asked = pa.ListArray.from_arrays(pa.array(np.r_[a, b] - a[0], pa.int32()), pa.array(node[a[0]:b], pa.int32()))
+                    kept = batch.select(["query_id", "v"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), asked, *kept.columns],
+                                                     ["task", "lists", "query_id", "v"])
     return run
 
 
@@ -108,29 +147,48 @@ def exact_nearest(q: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray,
 
 
 def _audit(shared, most: int):
-    """Nearest entries of every audited query within a batch."""
+    """Nearest entries of every audited query within a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, q = shared.value
+        q = shared.value
+        row, score, near = np.empty(0, int), np.empty(0), np.empty((0, q.shape[1]))
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
-                part = batch.slice(at, PIECE)
-                row, col, score = exact_nearest(q, matrix(part.column("v")), most)
-                other = score > 0  # the query's own vector is found at any ratio
-                row, col, score = row[other], col[other], score[other]
-                vectors = part.column("v").take(pa.array(col))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[row], pa.int32()), pa.array(score), vectors],
-                                                 ["q", "score", "v"])
+                x = matrix(batch.column("v").slice(at, PIECE))
+                new, col, d = exact_nearest(q, x, most)
+                other = d > 0  # the query's own vector is found at any ratio
+                row, score = np.r_[row, new[other]], np.r_[score, d[other]]
+                near = np.concatenate([near, x[col[other]]])
+                order = np.lexsort((score, row))
+                place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                kept = order[place < most]
+                row, score, near = row[kept], score[kept], near[kept]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * q.shape[1], pa.int32()), pa.array(near.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(score), vectors], ["q", "score", "v"])
     return run
 
 
+def hash_sample(entries: DataFrame, n: int, most: int) -> np.ndarray:
+    """The vectors of the ``most`` smallest hashes among ``n`` entries, by hash. Each task gives back only rows under a
+    bound that lets a few more than ``most`` through in all, so that what is brought together does not grow with the
+    number of tasks."""
+    most = min(n, most)
+    through = most + 8 * most ** 0.5 + 8
+    while True:
+        bound = int(2 ** 64 * through / n) - 2 ** 63
+        low = entries.select("v") if through >= n else entries.select("v").where(F.xxhash64("v") < F.lit(bound))
+        sample = low.orderBy(F.xxhash64("v")).limit(most).toArrow()
+        if sample.num_rows == most or through >= n:
+            return matrix(sample.column("v"))
+        through *= 2
+
+
 def learned_ratio(spark, entries: DataFrame, queries: DataFrame, graph: Graph, shared, k: int, recall: float) -> float:
     """The distance ratio that reads a list of the wanted share of the audited queries' true neighbours."""
     sample = queries.orderBy(F.xxhash64("query_id", F.lit(5)), "query_id").limit(AUDIT).select("v").collect()  # bounded
     if not sample:
         return 1.0
     q = np.array([r["v"] for r in sample])
-    both = spark.sparkContext.broadcast((np.arange(len(q)), q))
-    found = entries.select("v").mapInArrow(_audit(both, k + 1), "q int, score double, v array<double>")
+    found = entries.select("v").mapInArrow(_audit(spark.sparkContext.broadcast(q), k + 1), "q int, score double, v array<double>")
     rank = F.row_number().over(W.partitionBy("q").orderBy("score"))
     truth = found.withColumn("_r", rank).where(F.col("_r") <= k).select("q", "v").collect()  # AUDIT * k rows
     if not truth:
@@ -146,7 +204,7 @@ def learned_ratio(spark, entries: DataFrame, queries: DataFrame, graph: Graph, s
 
 
 def _scan(k: int):
-    """A task's entries and queries: per query the nearest k + 1 entries over all its pieces of lists."""
+    """A task's entries and queries: per query the nearest k + 1 entries of its lists, as far as they are in the task."""
     def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())),
                           "score": pa.array([], pa.float64())})
@@ -154,24 +212,30 @@ def _scan(k: int):
             return empty
         x, q = matrix(entries.column("v")), matrix(queries.column("v"))
         qid = queries.column("query_id").to_numpy()
-        key_x, key_q = (t.column("list").to_numpy().astype(np.int64) * (1 << 31) + t.column("piece").to_numpy()
-                        for t in (entries, queries))
-        by_x, by_q = np.argsort(key_x, kind="stable"), np.argsort(key_q, kind="stable")
+        list_x = entries.column("list").to_numpy()
+        asked = queries.column("lists").combine_chunks()
+        list_q, row_q = asked.flatten().to_numpy(), np.repeat(np.arange(len(q)), asked.value_lengths().to_numpy())
+        by_x, by_q = np.argsort(list_x, kind="stable"), np.argsort(list_q, kind="stable")
+        list_x, list_q, row_q = list_x[by_x], list_q[by_q], row_q[by_q]
         at_q, at_x, scores = [], [], []
-        for key in np.intersect1d(key_x, key_q):
-            own_x = by_x[np.searchsorted(key_x[by_x], key):np.searchsorted(key_x[by_x], key, "right")]
-            own_q = by_q[np.searchsorted(key_q[by_q], key):np.searchsorted(key_q[by_q], key, "right")]
-            for a in range(0, len(own_q), 512):
-                part = own_q[a:a + 512]
-                row, col, score = exact_nearest(q[part], x[own_x], k + 1)
-                at_q.append(part[row])
-                at_x.append(own_x[col])
-                scores.append(score)
+        for key in np.intersect1d(list_x, list_q):
+            own_x = by_x[np.searchsorted(list_x, key):np.searchsorted(list_x, key, "right")]
+            own_q = row_q[np.searchsorted(list_q, key):np.searchsorted(list_q, key, "right")]
+            for b in range(0, len(own_x), PIECE):
+                block = own_x[b:b + PIECE]
+                near = x[block]
+                for a in range(0, len(own_q), 512):
+                    part = own_q[a:a + 512]
+                    row, col, score = exact_nearest(q[part], near, k + 1)
+                    at_q.append(part[row])
+                    at_x.append(block[col])
+                    scores.append(score)
         if not at_q:
             return empty
         at_q, at_x, score = np.concatenate(at_q), np.concatenate(at_x), np.concatenate(scores)
-        first_id = np.array([i[0] for i in entries.column("ids").to_pylist()])
-        entry = np.unique(x, axis=0, return_inverse=True)[1].ravel()  # an entry may stand in several lists
+        first_id = pc.list_element(entries.column("ids"), 0).to_numpy()
+        # An entry may stand in several lists; its copies are equal byte by byte.
+        entry = np.unique(x.view(f"V{x.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
         order = np.lexsort((entry[at_x], first_id[at_x], score, qid[at_q]))
         at_q, at_x, score = at_q[order], at_x[order], score[order]
         same = (qid[at_q][1:] == qid[at_q][:-1]) & (entry[at_x][1:] == entry[at_x][:-1])
@@ -213,37 +277,31 @@ def nearest(df: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vect
         F.array_sort(F.collect_list("vec_id")).alias("ids")))  # k + 1 ids at most
     n = entries.count()
     lists = int(min(LISTS, max(1, -(-n // per_list))))
-    sample = entries.select("v").orderBy(F.xxhash64("v")).limit(lists * PER_LIST).collect()  # bounded
-    graph = Graph(balanced_centroids(np.array([r["v"] for r in sample]), lists), euclidean=True)
+    graph = Graph(balanced_centroids(hash_sample(entries, n, lists * PER_LIST), lists), euclidean=True)  # bounded
     shared = spark.sparkContext.broadcast(graph)  # LISTS centroids at most
     ratio = learned_ratio(spark, entries, queries, graph, shared, k, recall)
-    vector = "v array<double>"
-    posted = stored(entries.mapInArrow(_post(shared, BORDER, ["ids", "v"]), f"list int, ids array<bigint>, {vector}"))
-    pieces = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))  # LISTS rows
-    groups = max(6, -(-posted.count() // GROUP))
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("task", F.pmod(F.xxhash64("list", "piece"), F.lit(groups)).cast("int")).drop("pieces")
+    posted = stored(entries.mapInArrow(_post(shared, BORDER), "list int, ids array<bigint>, v array<double>"))
+    sizes = posted.groupBy("list").count().collect()  # LISTS rows
+    pieces = np.zeros(lists, np.int64)
+    pieces[[r["list"] for r in sizes]] = [-(-r["count"] // DEALT) for r in sizes]
+    groups = max(6, -(-sum(r["count"] for r in sizes) // GROUP))
+    dealt = spark.sparkContext.broadcast((pieces, groups))
+    parts = F.element_at(F.lit(pieces), F.col("list") + 1)
+    left = posted.withColumn("task", task_of(F.col("list").cast("bigint"), F.pmod(F.xxhash64("ids"), parts), groups).cast("int"))
 
-    left = dealt(posted.join(pieces, "list").withColumn("piece", F.pmod(F.xxhash64("ids"), F.col("pieces")).cast("int")))
-
-    def answered(asked: DataFrame) -> DataFrame:
-        right = dealt(asked.join(pieces, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
+    def answered(asked: DataFrame, reach: float | None) -> DataFrame:
+        right = asked.mapInArrow(_ask(shared, dealt, reach), "task int, lists array<int>, query_id bigint, v array<double>")
         hits = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(
             _scan(k), "query_id bigint, ids array<bigint>, score double")
         return hits.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id").distinct()
 
-    def within(own: DataFrame, reach: float) -> DataFrame:
-        return own.mapInArrow(_post(shared, reach, ["query_id", "v"]), f"list int, query_id bigint, {vector}")
-
-    answers = stored(answered(within(queries, ratio)))
+    answers = stored(answered(queries, ratio))
     for wider in (*WIDER, None):
         full = answers.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
         short = stored(queries.join(full, "query_id", "left_anti"))
         if short.isEmpty():
             break
-        every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
-        more = answered(within(short, ratio * wider) if wider else every.select("list", "query_id", "v"))
+        more = answered(short, wider and ratio * wider)
         answers = stored(answers.unionAll(more).distinct())
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select(

@@ -166,14 +166,15 @@ class Graph:
             return np.full((len(q), 1), -1, np.int64), np.full((len(q), 1), -np.inf, np.float32)
         return self._walk(self.layers, 0, q, min(ef, len(self.vectors)))
 
-    def within(self, q: np.ndarray, least: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def within(self, q: np.ndarray, least: np.ndarray, ef: int,
+               beam: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All nodes found at least as close as each query's ``least``: query rows, nodes, closeness.
 
         The beam leads into the neighbourhood; from its members the walk goes on over every node that is close
-        enough, so the number of results is not tied to the beam.
+        enough, so the number of results is not tied to the beam. ``beam``: what ``nearest`` gave for these queries.
         """
         q = np.ascontiguousarray(q, np.float32)
-        ids, close = self.nearest(q, ef)
+        ids, close = beam or self.nearest(q, ef)
         good = (ids >= 0) & (close >= least[:, None])
         row, col = np.nonzero(good)
         rows, nodes, sims = [row], [ids[row, col]], [close[row, col]]

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stallkeeper.llm import ann, embed_dedup
 from stallkeeper.llm.hnsw import Graph
@@ -146,3 +147,41 @@ def test_search_whatever_the_magnitude(spark, size):
         assert [r[0] for r in rows] == list(range(1, 11))
         assert len(set(np.argsort(d)[:10].tolist()) & {r[1] for r in rows}) >= 9
         assert all(s == pytest.approx(d[v], rel=1e-12) for _, v, s in rows)
+
+
+def test_sample_does_not_grow_with_the_tasks(spark):
+    """The sample for the centroids fits a limit that the rows of all tasks together pass."""
+    x = np.random.RandomState(6).randn(24_000, 32)
+    limit = spark.sparkContext._jsc.sc().conf()
+    own = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in own}
+    try:
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        limit.set("spark.driver.maxResultSize", "2m")
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        rows = ann.nearest(df, lambda i: i % 4000 == 0).collect()
+        entries = df.select(df["embedding"].alias("v"))
+        sample = ann.hash_sample(entries, len(x), 500)
+    finally:
+        limit.set("spark.driver.maxResultSize", "1g")
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted((r["query_id"], r["rank"]) for r in rows) == [(q, k) for q in range(0, 24_000, 4000) for k in range(1, 11)]
+    by_hash = entries.orderBy(F.xxhash64("v")).limit(500).collect()
+    assert sample.tolist() == [r["v"] for r in by_hash]
+
+
+def test_pieces_of_large_lists(spark, monkeypatch):
+    """Lists of several pieces, in as many tasks: every query meets all of them once."""
+    monkeypatch.setattr(ann, "DEALT", 20)
+    monkeypatch.setattr(ann, "GROUP", 100)
+    monkeypatch.setattr(ann, "SENT", 7)
+    x = np.random.RandomState(7).randn(600, 6)
+    rows = ann.nearest(frame(spark, x), lambda i: i % 50 == 0, per_list=300, recall=1.0).collect()
+    y = x.astype(np.float32).astype(np.float64)
+    for q in range(0, 600, 50):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        got = [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert got == np.argsort(d, kind="stable")[:10].tolist()
