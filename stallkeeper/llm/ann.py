@@ -89,28 +89,53 @@ def lists_within(graph: Graph, q: np.ndarray, ratio: float) -> tuple[np.ndarray,
 
 
 def _post(shared, ratio: float):
-    """Entries, once per list within the ratio."""
+    """Entries with their lists, those within the ratio."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value
         for batch in batches:
-            if batch.num_rows:
-                rows, nodes, _ = lists_within(graph, matrix(batch.column("v")), ratio)
-                for at in range(0, len(rows), SENT):
-                    kept = batch.select(["ids", "v"]).take(pa.array(rows[at:at + SENT]))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[at:at + SENT], pa.int32()), *kept.columns],
-                                                     ["list", "ids", "v"])
+            row, node, _ = lists_within(graph, matrix(batch.column("v")), ratio)
+            order = np.lexsort((node, row))
+            ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(node[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "lists"])
     return run
 
 
-def task_of(lists, piece, groups: int):
-    """The task of a piece of a list, the same for columns and for arrays."""
+def task_of(lists: np.ndarray, piece: np.ndarray, groups: int) -> np.ndarray:
     return (lists * 2_147_483_647 + piece * 1_000_003) % groups  # primes: all tasks get their share
 
 
-def _ask(shared, dealt, ratio: float | None):
-    """Queries, once per task that holds a piece of a list within the ratio (None: of any list), with those lists."""
+def _dealt(batch: pa.RecordBatch, row: np.ndarray, node: np.ndarray, piece: np.ndarray, plan,
+           names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The named columns of the rows, once per task that has one of their pieces, with their lists there."""
+    pieces, groups = plan
+    # Several pieces of a list in one task count as one.
+    pair, node = np.divmod(np.unique((row * groups + task_of(node, piece, groups)) * len(pieces) + node), len(pieces))
+    first = np.unique(pair, return_index=True)[1]
+    ends = np.r_[first[1:], len(pair)]
+    for at in range(0, len(first), SENT):
+        a, b = first[at:at + SENT], ends[at:at + SENT][-1]
+        own, task = np.divmod(pair[a], groups)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[a, b] - a[0], pa.int32()), pa.array(node[a[0]:b], pa.int32()))
+        kept = batch.select(names).take(pa.array(own))
+        yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), lists, *kept.columns], ["task", "lists", *names])
+
+
+def _deal(plan):
+    """Entries for every task that has a piece of theirs; which piece of a list that is depends on the vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, (pieces, groups) = shared.value, dealt.value
+        for batch in batches:
+            lists = batch.column("lists")
+            node = lists.flatten().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            yield from _dealt(batch, row, node, batch.column("h").to_numpy()[row] % plan.value[0][node], plan.value, ["ids", "v"])
+    return run
+
+
+def _ask(shared, plan, ratio: float | None):
+    """Queries for every task that has a piece of a list within the ratio (None: of any list)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, pieces = shared.value, plan.value[0]
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)
@@ -120,18 +145,7 @@ def _ask(shared, dealt, ratio: float | None):
                     row, node, _ = lists_within(graph, matrix(batch.column("v")), ratio)
                 count = pieces[node]
                 piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                row, node = np.repeat(row, count), np.repeat(node, count)
-                # Several pieces of a list in one task are asked as one.
-                pair, node = np.divmod(np.unique((row * groups + task_of(node, piece, groups)) * len(pieces) + node), len(pieces))
-                first = np.unique(pair, return_index=True)[1]
-                ends = np.r_[first[1:], len(pair)]
-                for at in range(0, len(first), SENT):
-                    a, b = first[at:at + SENT], ends[at:at + SENT][-1]
-                    row, task = np.divmod(pair[a], groups)
-                    asked = pa.ListArray.from_arrays(pa.array(np.r_[a, b] - a[0], pa.int32()), pa.array(node[a[0]:b], pa.int32()))
-                    kept = batch.select(["query_id", "v"]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), asked, *kept.columns],
-                                                     ["task", "lists", "query_id", "v"])
+                yield from _dealt(batch, np.repeat(row, count), np.repeat(node, count), piece, plan.value, ["query_id", "v"])
     return run
 
 
@@ -173,10 +187,11 @@ def hash_sample(entries: DataFrame, n: int, most: int) -> np.ndarray:
     number of tasks."""
     most = min(n, most)
     through = most + 8 * most ** 0.5 + 8
+    h = F.xxhash64(F.col("v").cast("array<double>"))
     while True:
         bound = int(2 ** 64 * through / n) - 2 ** 63
-        low = entries.select("v") if through >= n else entries.select("v").where(F.xxhash64("v") < F.lit(bound))
-        sample = low.orderBy(F.xxhash64("v")).limit(most).toArrow()
+        low = entries.select("v") if through >= n else entries.select("v").where(h < F.lit(bound))
+        sample = low.orderBy(h).limit(most).toArrow()
         if sample.num_rows == most or through >= n:
             return matrix(sample.column("v"))
         through *= 2
@@ -203,6 +218,14 @@ def learned_ratio(spark, entries: DataFrame, queries: DataFrame, graph: Graph, s
     return float(np.quantile(need, recall) * 1.002)
 
 
+def by_list(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of a task's rows in order, and the row of each."""
+    lists = rows.column("lists").combine_chunks()
+    node, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    order = np.argsort(node, kind="stable")
+    return node[order], row[order]
+
+
 def _scan(k: int):
     """A task's entries and queries: per query the nearest k + 1 entries of its lists, as far as they are in the task."""
     def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
@@ -212,14 +235,10 @@ def _scan(k: int):
             return empty
         x, q = matrix(entries.column("v")), matrix(queries.column("v"))
         qid = queries.column("query_id").to_numpy()
-        list_x = entries.column("list").to_numpy()
-        asked = queries.column("lists").combine_chunks()
-        list_q, row_q = asked.flatten().to_numpy(), np.repeat(np.arange(len(q)), asked.value_lengths().to_numpy())
-        by_x, by_q = np.argsort(list_x, kind="stable"), np.argsort(list_q, kind="stable")
-        list_x, list_q, row_q = list_x[by_x], list_q[by_q], row_q[by_q]
+        (list_x, row_x), (list_q, row_q) = by_list(entries), by_list(queries)
         at_q, at_x, scores = [], [], []
         for key in np.intersect1d(list_x, list_q):
-            own_x = by_x[np.searchsorted(list_x, key):np.searchsorted(list_x, key, "right")]
+            own_x = row_x[np.searchsorted(list_x, key):np.searchsorted(list_x, key, "right")]
             own_q = row_q[np.searchsorted(list_q, key):np.searchsorted(list_q, key, "right")]
             for b in range(0, len(own_x), PIECE):
                 block = own_x[b:b + PIECE]
@@ -234,11 +253,9 @@ def _scan(k: int):
             return empty
         at_q, at_x, score = np.concatenate(at_q), np.concatenate(at_x), np.concatenate(scores)
         first_id = pc.list_element(entries.column("ids"), 0).to_numpy()
-        # An entry may stand in several lists; its copies are equal byte by byte.
-        entry = np.unique(x.view(f"V{x.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
-        order = np.lexsort((entry[at_x], first_id[at_x], score, qid[at_q]))
+        order = np.lexsort((at_x, first_id[at_x], score, qid[at_q]))
         at_q, at_x, score = at_q[order], at_x[order], score[order]
-        same = (qid[at_q][1:] == qid[at_q][:-1]) & (entry[at_x][1:] == entry[at_x][:-1])
+        same = (qid[at_q][1:] == qid[at_q][:-1]) & (at_x[1:] == at_x[:-1])  # found in several lists
         keep = np.r_[True, ~same]
         at_q, at_x, score = at_q[keep], at_x[keep], score[keep]
         begins = np.flatnonzero(np.r_[True, qid[at_q][1:] != qid[at_q][:-1]])
@@ -260,16 +277,23 @@ def nearest(df: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vect
     """
     spark = df.sparkSession
     rows = rows_of(df, id_column, vector_column).where("v is not null and vec_id is not null")
-    rows = stored(rows.withColumn("dim", F.size("v")))
+    kind = df.schema[vector_column].dataType.elementType.simpleString()
+    rows = stored(rows.withColumn("v", F.col("v").cast("array<float>" if kind == "float" else "array<double>"))
+                  .withColumn("dim", F.size("v")))
     common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if common is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.col("dim") == common["dim"]).select("vec_id", "v")
     # All vectors shrink by one power of two, so that no square overflows; that changes no digit, and distances grow back.
-    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
-    unit_ = F.lit(2.0 ** max(-1000, min(1000, int(np.frexp(top)[1]))))
-    rows = rows.withColumn("v", F.transform("v", lambda x: x / unit_))
+    size = F.transform("v", lambda x: F.abs(x).cast("double"))
+    top, least = rows.agg(F.max(F.array_max(size)), F.min(F.array_min(F.filter(size, lambda x: x > 0)))).first()
+    scale = 2.0 ** max(-1000, min(1000, int(np.frexp(top)[1])))
+    unit_ = F.lit(scale)
+    # Single precision stays so unless small parts would lose digits by shrinking.
+    kind = "float" if kind == "float" and least / scale >= 2.0 ** -126 else "double"
+    vector = f"v array<{kind}>"
+    rows = rows.withColumn("v", F.transform("v", lambda x: (x / unit_).cast(kind)))
     queries = stored(rows.where(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query_id")).agg(
         F.min("v").alias("v")))
     order = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
@@ -280,17 +304,17 @@ def nearest(df: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vect
     graph = Graph(balanced_centroids(hash_sample(entries, n, lists * PER_LIST), lists), euclidean=True)  # bounded
     shared = spark.sparkContext.broadcast(graph)  # LISTS centroids at most
     ratio = learned_ratio(spark, entries, queries, graph, shared, k, recall)
-    posted = stored(entries.mapInArrow(_post(shared, BORDER), "list int, ids array<bigint>, v array<double>"))
-    sizes = posted.groupBy("list").count().collect()  # LISTS rows
+    posted = stored(entries.withColumn("h", F.xxhash64("v")).mapInArrow(
+        _post(shared, BORDER), f"{vector}, ids array<bigint>, h bigint, lists array<int>"))
+    sizes = posted.select(F.explode("lists").alias("list")).groupBy("list").count().collect()  # LISTS rows
     pieces = np.zeros(lists, np.int64)
     pieces[[r["list"] for r in sizes]] = [-(-r["count"] // DEALT) for r in sizes]
     groups = max(6, -(-sum(r["count"] for r in sizes) // GROUP))
-    dealt = spark.sparkContext.broadcast((pieces, groups))
-    parts = F.element_at(F.lit(pieces), F.col("list") + 1)
-    left = posted.withColumn("task", task_of(F.col("list").cast("bigint"), F.pmod(F.xxhash64("ids"), parts), groups).cast("int"))
+    plan = spark.sparkContext.broadcast((pieces, groups))
+    left = posted.mapInArrow(_deal(plan), f"task int, lists array<int>, ids array<bigint>, {vector}")
 
     def answered(asked: DataFrame, reach: float | None) -> DataFrame:
-        right = asked.mapInArrow(_ask(shared, dealt, reach), "task int, lists array<int>, query_id bigint, v array<double>")
+        right = asked.mapInArrow(_ask(shared, plan, reach), f"task int, lists array<int>, query_id bigint, {vector}")
         hits = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(
             _scan(k), "query_id bigint, ids array<bigint>, score double")
         return hits.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id").distinct()
