@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stallkeeper.llm.common import stored
 from stallkeeper.llm.hnsw import Graph
-from stallkeeper.llm.vectors import matrix, rows_of
+from stallkeeper.llm.vectors import matrix, usable
 
 K = 10
 LIST = 128           # distinct vectors of a list, about
@@ -276,22 +276,23 @@ def nearest(df: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vect
     own; a query id answers for its first vector. Fewer rows than k give all of them, an empty table none.
     """
     spark = df.sparkSession
-    rows = rows_of(df, id_column, vector_column).where("v is not null and vec_id is not null")
-    kind = df.schema[vector_column].dataType.elementType.simpleString()
-    rows = stored(rows.withColumn("v", F.col("v").cast("array<float>" if kind == "float" else "array<double>"))
-                  .withColumn("dim", F.size("v")))
-    common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    kind = "float" if df.schema[vector_column].dataType.elementType.simpleString() == "float" else "double"
+    vec_id, v = F.col(id_column).cast("bigint"), F.col(vector_column)
+    rows = df.where(vec_id.isNotNull() & usable(v.cast("array<double>"))).select(
+        vec_id.alias("vec_id"), v.cast(f"array<{kind}>").alias("v")).withColumn("dim", F.size("v"))
+    size = F.transform("v", lambda x: F.abs(x).cast("double"))
+    common = rows.groupBy("dim").agg(
+        F.count("*").alias("n"), F.max(F.array_max(size)).alias("top"),
+        F.min(F.array_min(F.filter(size, lambda x: x > 0))).alias("least")).orderBy(F.desc("n"), "dim").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if common is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.col("dim") == common["dim"]).select("vec_id", "v")
     # All vectors shrink by one power of two, so that no square overflows; that changes no digit, and distances grow back.
-    size = F.transform("v", lambda x: F.abs(x).cast("double"))
-    top, least = rows.agg(F.max(F.array_max(size)), F.min(F.array_min(F.filter(size, lambda x: x > 0)))).first()
-    scale = 2.0 ** max(-1000, min(1000, int(np.frexp(top)[1])))
+    scale = 2.0 ** max(-1000, min(1000, int(np.frexp(common["top"])[1])))
     unit_ = F.lit(scale)
     # Single precision stays so unless small parts would lose digits by shrinking.
-    kind = "float" if kind == "float" and least / scale >= 2.0 ** -126 else "double"
+    kind = "float" if kind == "float" and common["least"] / scale >= 2.0 ** -126 else "double"
     vector = f"v array<{kind}>"
     rows = rows.withColumn("v", F.transform("v", lambda x: (x / unit_).cast(kind)))
     queries = stored(rows.where(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query_id")).agg(
